@@ -119,8 +119,11 @@ def lifecycle_stream(events: DataFrame, key: str) -> DataFrame:
             elif event == "complete" and now == IN_PROGRESS:
                 now, done = COMPLETED, t
         state.update((now, start, done, error))
-        out = pd.DataFrame([[name[0], now, start, done, error]], columns=schema.names)
-        yield out.astype({"start_time": "Int64", "completion_time": "Int64"})
+        whole = lambda x: pd.array([x], dtype="Int64")
+        yield pd.DataFrame(
+            {key: [name[0]], "state": [now], "start_time": whole(start), "completion_time": whole(done),
+             "error": pd.array([error], dtype="string")}
+        )
 
     folded = (
         events.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id", "event", "message")
