@@ -23,7 +23,3 @@ def elements(v: Column) -> Column:
 
 def as_text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
-
-
-def is_container(v: Column) -> Column:
-    return kind(v).isin("OBJECT", "ARRAY")

@@ -1,10 +1,14 @@
 """Turns, entities and relations out of episode contents.
 
-Everything here is a column expression over one episode: no shuffle.
+Everything here works on one episode at a time: no shuffle.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +36,7 @@ CATEGORIES = {
 }
 OTHER_CATEGORY = "other"
 ROOT = "$"
+NAME_KEYS = ["name", "title", "id"]
 
 
 def split_turns(episodes: DataFrame) -> DataFrame:
@@ -55,98 +60,68 @@ def split_turns(episodes: DataFrame) -> DataFrame:
     )
 
 
-def _scalar_attributes(members: Column) -> Column:
-    """Scalar members and arrays without objects, as JSON text."""
-    nested = lambda v: F.schema_of_variant(v).contains("OBJECT") | F.schema_of_variant(v).contains("VARIANT")
-    kept = F.map_filter(members, lambda _, v: ~nested(v) & (V.kind(v) != "OBJECT"))
-    return F.transform_values(kept, lambda _, v: F.to_json(v))
-
-
-def _entity_name(members: Column, path: Column, label: Column) -> Column:
-    named = [
-        F.when(~V.is_container(members[k]) & (V.kind(members[k]) != "VOID"), V.as_text(members[k]))
-        for k in ("name", "title", "id")
-    ]
-    return F.coalesce(*named, F.when(path == ROOT, label).otherwise(path))
-
-
-def _container(value: Column, label: Column, path: Column, parent: Column, depth: Column) -> Column:
-    return F.struct(
-        value.alias("value"),
-        label.alias("label"),
-        path.alias("path"),
-        parent.alias("parent"),  # (path, label, name) of the object around it
-        depth.alias("depth"),
-    )
-
-
-def _parent(path: Column, label: Column, name: Column) -> Column:
-    return F.struct(path.alias("path"), label.alias("label"), name.alias("name"))
-
-
-def _inner_containers(c: Column) -> Column:
-    """Objects and arrays directly inside a container."""
-    m = V.members(c["value"])
-    own = _parent(c["path"], c["label"], _entity_name(m, c["path"], c["label"]))
-    deeper = lambda v: c["depth"] + F.when(V.kind(v) == "OBJECT", 1).otherwise(0)
-    from_object = F.transform(
-        F.map_entries(F.map_filter(m, lambda _, v: V.is_container(v))),
-        lambda e: _container(
-            e["value"], e["key"], F.concat(c["path"], F.lit("."), e["key"]), own, deeper(e["value"])
-        ),
-    )
-    # elements take the array's key, and belong to the object around the array
-    indexed = F.transform(V.elements(c["value"]), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    from_array = F.transform(
-        F.filter(indexed, lambda e: V.is_container(e["v"])),
-        lambda e: _container(
-            e["v"], c["label"], F.concat(c["path"], F.lit("["), e["i"].cast("string"), F.lit("]")), c["parent"],
-            deeper(e["v"]),
-        ),
-    )
-    return F.when(V.kind(c["value"]) == "OBJECT", from_object).otherwise(from_array)
+def _walk(text: str | None, label: str | None, max_depth: int) -> Iterator[tuple]:
+    """(label, name, path, parent, attributes) of every object in a JSON text."""
+    try:
+        root = json.loads(text) if text else None
+    except ValueError:
+        return
+    todo = [(root, label, ROOT, None, 0)]
+    while todo:
+        value, key, path, parent, depth = todo.pop()
+        if isinstance(value, list):
+            # elements take the array's key and belong to the object around it
+            todo.extend((v, key, f"{path}[{i}]", parent, depth) for i, v in enumerate(value))
+        elif isinstance(value, dict) and depth <= max_depth:
+            named = [value[k] for k in NAME_KEYS if isinstance(value.get(k), (str, int, float))]
+            name = (named[0] if isinstance(named[0], str) else json.dumps(named[0])) if named else None
+            name = name if name is not None else (key if path == ROOT else path)
+            plain = [(k, v) for k, v in value.items() if not _has_object(v)]
+            yield key, name, path, parent, [(k, json.dumps(v, ensure_ascii=False, separators=(",", ":"))) for k, v in plain]
+            me = {"path": path, "label": key, "name": name}
+            todo.extend((v, k, f"{path}.{k}", me, depth + 1) for k, v in value.items() if _has_object(v))
+
+
+def _has_object(value: object) -> bool:
+    return isinstance(value, dict) or (isinstance(value, list) and any(_has_object(v) for v in value))
+
+
+_OBJECT_COLUMNS = {
+    "label": "string",
+    "name": "string",
+    "path": "string",
+    "parent": "struct<path:string,label:string,name:string>",
+    "attributes": "map<string,string>",
+}
 
 
 def json_objects(episodes: DataFrame, max_depth: int = 4) -> DataFrame:
     """Every JSON object of JSON episodes, down to `max_depth` nested objects.
 
-    The levels are built inside the row and exploded once, so the episodes are
-    read and parsed once.
+    Contents nest freely, which column expressions can follow only level by
+    level; a batch function walks each text once instead.  Narrow: no shuffle.
     """
-    no_parent = F.lit(None).cast("struct<path:string,label:string,name:string>")
-    df = (
-        episodes.filter(F.lower("source") == "json")
-        .withColumn("_v", F.try_parse_json("content"))
-        .filter(V.is_container(F.col("_v")))
-        .withColumn(
-            "_level0",
-            F.array(
-                _container(
-                    F.col("_v"), F.col("name"), F.lit(ROOT), no_parent,
-                    F.when(V.kind(F.col("_v")) == "OBJECT", 0).otherwise(-1),
-                )
-            ),
-        )
-    )
-    rounds = 2 * max_depth  # an object may sit in an array at each level
-    for i in range(rounds):
-        inner = F.flatten(F.transform(f"_level{i}", _inner_containers))
-        df = df.withColumn(f"_level{i + 1}", F.filter(inner, lambda c: c["depth"] <= max_depth))
-    levels = F.concat(*[F.col(f"_level{i}") for i in range(rounds + 1)])
-    objects = df.select(
-        F.col("uuid").alias("episode_uuid"), "group_id", "reference_time", F.explode(levels).alias("o")
-    ).filter(V.kind(F.col("o.value")) == "OBJECT")
-    m = V.members(F.col("o.value"))
-    return objects.select(
-        "episode_uuid",
-        "group_id",
-        "reference_time",
-        "o.label",
-        _entity_name(m, F.col("o.path"), F.col("o.label")).alias("name"),
-        "o.path",
-        "o.parent",
-        _scalar_attributes(m).alias("attributes"),
-    )
+    columns = ["uuid", "group_id", "reference_time"]
+    types = [pa.string(), pa.string(), pa.string(),
+             pa.struct([("path", pa.string()), ("label", pa.string()), ("name", pa.string())]),
+             pa.map_(pa.string(), pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, labels = batch.column("content").to_pylist(), batch.column("name").to_pylist()
+            found = [
+                (i, *obj) for i, pair in enumerate(zip(texts, labels)) for obj in _walk(*pair, max_depth)
+            ]
+            at, *fields = zip(*found) if found else [()] * (1 + len(types))
+            rows = pa.array(at, pa.int32())
+            kept = [batch.column(c).take(rows) for c in columns]
+            made = [pa.array(f, t) for f, t in zip(fields, types)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*columns, *_OBJECT_COLUMNS])
+
+    source = episodes.filter(F.lower("source") == "json").select(*columns, "name", "content")
+    kept = [f"{c} {source.schema[c].dataType.simpleString()}" for c in columns]
+    schema = ", ".join([*kept, *[f"{n} {t}" for n, t in _OBJECT_COLUMNS.items()]])
+    return source.mapInArrow(run, schema).withColumnRenamed("uuid", "episode_uuid")
 
 
 def json_entities(episodes: DataFrame, max_depth: int = 4) -> DataFrame:

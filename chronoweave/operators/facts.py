@@ -48,11 +48,14 @@ def _is_single(single_valued: list[str]) -> Column:
 
 def _close(facts: DataFrame, hot_rows: int) -> DataFrame:
     """Each fact of a single-valued relation ends where the next one starts."""
-    followed = with_next(
-        facts, _RELATION, ["valid_at", "uuid"], ["valid_at", "created_at"], "_next", hot_rows
+    order = ["valid_at", "uuid", *[c for c in ("fact", "created_at") if c in facts.columns]]
+    followed = with_next(facts, _RELATION, order, ["valid_at", "created_at", "uuid"], "_next", hot_rows)
+    # a repeated fact stands next to its copy; the last one stays
+    distinct = followed.filter(
+        ~F.coalesce((F.col("_next.uuid") == F.col("uuid")) & (F.col("_next.valid_at") == F.col("valid_at")), F.lit(False))
     )
     expired = F.when(F.col("_next").isNotNull(), F.greatest("created_at", F.col("_next.created_at")))
-    return followed.withColumns({"invalid_at": F.col("_next.valid_at"), "expired_at": expired}).drop("_next")
+    return distinct.withColumns({"invalid_at": F.col("_next.valid_at"), "expired_at": expired}).drop("_next")
 
 
 def apply_facts(
@@ -68,7 +71,8 @@ def apply_facts(
     single = _close(whole.filter(_is_single(single_valued)), hot_rows)
     others = whole.filter(~_is_single(single_valued))
     columns = [c for c in whole.columns if c not in [*_RELATION, "target_node_uuid"]]
-    earliest = F.min_by(F.struct(*columns), F.struct("valid_at", "created_at", "uuid"))
+    tie = [c for c in ("fact",) if c in columns]
+    earliest = F.min_by(F.struct(*columns), F.struct("valid_at", "created_at", "uuid", *tie))
     kept = (
         others.groupBy(*_RELATION, "target_node_uuid")
         .agg(earliest.alias("_f"))

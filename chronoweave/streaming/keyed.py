@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -109,6 +110,8 @@ def lifecycle_stream(events: DataFrame, key: str) -> DataFrame:
     )
 
     def fold(name: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Spark concatenates the rows of many keys; all-null columns are meant
+        warnings.simplefilter("ignore", FutureWarning)
         now, start, done, error = state.get if state.exists else (NOT_STARTED, None, None, None)
         rows = pd.concat(chunks).sort_values(["t", "id"], kind="stable")
         for t, event, message in zip(rows["t"].tolist(), rows["event"], rows["message"]):

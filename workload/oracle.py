@@ -594,7 +594,7 @@ check(
         UNION ALL SELECT 'episodes', 'js-' || uuid, group_id, content FROM json_ep
         UNION ALL SELECT 'entities', id, any_value(group_id), arg_min(name, (reference_time, name)) FROM cand GROUP BY id
         UNION ALL SELECT DISTINCT 'mentions', id, group_id, uuid FROM cand
-        UNION ALL SELECT 'facts', uuid, group_id, fact FROM (SELECT *, row_number() OVER (PARTITION BY group_id, s, o ORDER BY reference_time, uuid) AS n FROM f) WHERE n = 1""",
+        UNION ALL SELECT 'facts', uuid, group_id, fact FROM (SELECT *, row_number() OVER (PARTITION BY group_id, s, o ORDER BY reference_time, uuid, fact) AS n FROM f) WHERE n = 1""",
     ["ev", "json_ep", "text_ep"],
     {
         "cand": f"SELECT *, sha256(group_id || '|' || label || '|' || lower(name)) AS id FROM ({_TYPED})",
