@@ -16,7 +16,7 @@ from chronoweave.operators.text_index import SCORE_DIGITS
 
 # Largest query block sent to the tasks: 4,000 vectors of 1,536 doubles are 49 MB.
 QUERY_BLOCK = 4_000
-_BLOCK_ROWS = 50_000
+_BLOCK_ROWS = 10_000
 
 
 def _unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +126,9 @@ def _blockwise(
     n_q = -(-queries.count() // QUERY_BLOCK) or 1
 
     def tile(df: DataFrame, mine: str, n_mine: int, id: str, other: str, n_other: int) -> DataFrame:
+        last = F.lit(n_other - 1).cast("long")
         return df.withColumn(mine, F.pmod(F.xxhash64(id), F.lit(n_mine))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).cast("long")
+            other, F.explode(F.sequence(F.lit(0).cast("long"), last))
         )
 
     v = tile(vectors, "vb", n_vec, "uuid", "qb", n_q)
