@@ -194,9 +194,11 @@ def joined_in_order(
     return whole.withColumn(out, F.coalesce("_text", F.lit(""))).drop("_text")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint behind a check of the row count; without it Spark shuffles.
+def is_small(df: DataFrame, max_rows: int = 100_000) -> bool:
+    """Whether a table has at most max_rows rows; stops reading beyond them."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-    The check stops reading at max_rows + 1 rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint behind a check of the row count; without it Spark shuffles."""
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions.text import tokens
 from chronoweave.operators.lookup import top_k
-from chronoweave.operators.ordered import broadcast_if_small
+from chronoweave.operators.ordered import is_small
 
 # Fixed values of the ranking function.
 BM25_K1 = 1.2
@@ -26,34 +29,69 @@ class TextIndex:
     stats: DataFrame  # one row: n_docs, avgdl
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of whole documents: (document, word) pairs counted per batch."""
+    for batch in batches:
+        words = batch.column("_words")
+        lengths = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        pair = np.repeat(np.arange(len(words), dtype=np.int64), lengths) * width + coded.indices.to_numpy()
+        pairs, tf = np.unique(pair, return_counts=True)
+        rows = pa.array(pairs // width)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(c).take(rows) for c in ("kind", "group_id", "doc_uuid")],
+                coded.dictionary.take(pa.array(pairs % width)),
+                pa.array(tf.astype(np.int64)),
+                pa.array(lengths.astype(np.int64)).take(rows),
+            ],
+            names=["kind", "group_id", "doc_uuid", "term", "tf", "dl"],
+        )
+
+
 def build_index(docs: DataFrame, id: str, text: Column, kind: str = "doc", group: str | None = None) -> TextIndex:
     """Postings, document frequencies and corpus statistics.
 
-    All words of one document lie in one row, so the counts per (document,
-    word) are complete before the shuffle; the length needs no aggregation.
+    All words of one document lie in one row, so its postings are complete
+    without a shuffle: words are split on the JVM side and counted per Arrow
+    batch with array operations.
     """
     words = docs.select(
         F.lit(kind).alias("kind"),
         (F.col(group) if group else F.lit(None).cast("string")).alias("group_id"),
         F.col(id).alias("doc_uuid"),
         tokens(text).alias("_words"),
-    ).withColumn("dl", F.size("_words").cast("long"))
-    postings = (
-        words.withColumn("term", F.explode("_words"))
-        .groupBy("kind", "group_id", "doc_uuid", "term", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select("kind", "group_id", "doc_uuid", "term", "tf", "dl")
     )
+    id_type = words.schema["doc_uuid"].dataType.simpleString()
+    schema = f"kind string, group_id string, doc_uuid {id_type}, term string, tf long, dl long"
+    postings = words.mapInArrow(_count_words, schema)
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_words")).alias("avgdl"))
     return TextIndex(postings, terms, stats)
 
 
+def write_index(index: TextIndex, path: str) -> None:
+    """Stores an index, so that searches read postings instead of texts."""
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_index(spark: SparkSession, path: str) -> TextIndex:
+    return TextIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term), each word once per query."""
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
+def _hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def bm25_search(
     index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None
 ) -> DataFrame:
@@ -65,11 +103,14 @@ def bm25_search(
     (query, document).
     """
     wanted = query_terms(queries)
+    small = is_small(wanted)
+    # frequencies are counted for the wanted words only
+    asked = index.terms.join(_hinted(wanted.select("term").distinct(), small), "term", "left_semi")
     n, df, tf = F.col("n_docs"), F.col("df"), F.col("tf")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     length = 1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")
     weighted = (
-        wanted.join(index.terms, "term")
+        wanted.join(asked, "term")
         .crossJoin(F.broadcast(index.stats))  # one row
         .select("query_id", "term", idf.alias("idf"), "avgdl")
     )
@@ -77,7 +118,7 @@ def bm25_search(
     if allowed is not None:
         postings = postings.join(allowed.select(F.col("uuid").alias("doc_uuid")), "doc_uuid", "left_semi")
     scored = (
-        postings.join(broadcast_if_small(weighted), "term")
+        postings.join(_hinted(weighted, small), "term")
         .select("query_id", "doc_uuid", (F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * length)).alias("_s"))
         .groupBy("query_id", "doc_uuid")
         .agg(F.round(F.sum("_s"), SCORE_DIGITS).alias("score"))

@@ -63,6 +63,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/chronoweave/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a scan with too few splits to all cores.
+
+    For CPU-heavy work on a few files or row groups; a scan with enough splits
+    is left as it is.  `df` must be a plain scan: its splits are counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     shared_folder(df.sparkSession)

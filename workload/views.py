@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.operators.episodes import conversations_to_episodes
-from chronoweave.session import configure
+from chronoweave.session import configure, spread
 
 EPOCH = "2024-01-01 00:00:00"
 
@@ -27,7 +27,8 @@ class Views:
         times = {
             f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)
         }
-        return df.withColumns(times) if times else df
+        df = df.withColumns(times) if times else df
+        return spread(df) if name == "documents" else df
 
     # --- episodes
     def msg_ep(self) -> DataFrame:
