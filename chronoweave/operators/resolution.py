@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.text import normalized_name, stable_id
+from chronoweave.session import cut_lineage
 
 
 def entity_id(group: str = "group_id", label: str = "label", name: str = "name") -> Column:
@@ -27,32 +28,45 @@ def resolve_entities(candidates: DataFrame, entities: DataFrame | None = None) -
     )
     if entities is not None:
         stored = entities.select(
-            "uuid", "name", F.element_at("labels", 1).alias("label"), "group_id", "created_at", "attributes", "summary"
+            "uuid", "name", F.get("labels", F.lit(0)).alias("label"), "group_id", "created_at", "attributes", "summary"
         )
         rows = rows.unionByName(stored)
-    first = F.struct("created_at", "name")
-    identity = rows.groupBy("uuid").agg(
-        F.min_by("name", first).alias("name"),
-        F.first("label").alias("label"),
-        F.first("group_id").alias("group_id"),
-        F.min("created_at").alias("created_at"),
-        F.max("summary").alias("summary"),
-    )
-    latest = (
-        rows.select("uuid", "created_at", F.explode("attributes").alias("k", "v"))
+    return _fold(rows)
+
+
+def _fold(rows: DataFrame) -> DataFrame:
+    """One entity per uuid."""
+    # one row per (entity, attribute) first, then one per entity
+    by_attribute = (
+        rows.select("*", F.explode_outer("attributes").alias("k", "v"))
         .groupBy("uuid", "k")
-        .agg(F.max_by("v", F.struct("created_at", "v")).alias("v"))
-        .groupBy("uuid")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("attributes"))
+        .agg(
+            F.max_by("v", F.struct("created_at", "v")).alias("v"),
+            F.min(F.struct("created_at", "name")).alias("_first"),
+            F.first("label").alias("label"),
+            F.first("group_id").alias("group_id"),
+            F.max("summary").alias("summary"),
+        )
     )
-    return identity.join(latest, "uuid", "left").select(
-        "uuid",
-        "name",
-        F.coalesce("summary", F.lit("")).alias("summary"),
-        F.array("label").alias("labels"),
-        "group_id",
-        "created_at",
-        F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+    pair = F.when(F.col("k").isNotNull(), F.struct("k", "v"))
+    return (
+        by_attribute.groupBy("uuid")
+        .agg(
+            F.min("_first").alias("_first"),
+            F.first("label").alias("label"),
+            F.first("group_id").alias("group_id"),
+            F.max("summary").alias("summary"),
+            F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("attributes"),
+        )
+        .select(
+            "uuid",
+            "_first.name",
+            F.coalesce("summary", F.lit("")).alias("summary"),
+            F.array("label").alias("labels"),
+            "group_id",
+            "_first.created_at",
+            "attributes",
+        )
     )
 
 
@@ -67,3 +81,69 @@ def build_mentions(extracted: DataFrame, entities: DataFrame | None = None) -> D
         return pairs
     known = entities.select(F.col("uuid").alias("entity_uuid"))
     return pairs.join(known, "entity_uuid", "left_semi").select("episode_uuid", "entity_uuid", "group_id")
+
+
+def similar_names(entities: DataFrame) -> DataFrame:
+    """Pairs (a, b) of entities, a < b, whose names differ by one edit.
+
+    Two such names share the text left when one letter is taken out of either,
+    so the pairs come from an equi-join on those texts.  Names are distinct per
+    group and label, and those sharing a text differ only in the letter taken
+    out and its place: a join group holds at most (length + 1) * alphabet names,
+    however many entities there are.
+    """
+    names = entities.select(
+        "uuid", "group_id", F.get("labels", F.lit(0)).alias("label"), normalized_name(F.col("name")).alias("_name")
+    )
+    shorter = F.transform(
+        F.sequence(F.lit(1), F.length("_name")),
+        lambda i: F.concat(F.substring("_name", F.lit(1), i - 1), F.substring("_name", i + 1, F.length("_name"))),
+    )
+    texts = F.array_distinct(F.concat(F.array("_name"), F.when(F.length("_name") > 0, shorter).otherwise(F.array())))
+    keyed = names.select("*", F.explode(texts).alias("_text"))
+    other = keyed.select("group_id", "label", "_text", F.col("uuid").alias("b"), F.col("_name").alias("_other"))
+    return (
+        keyed.withColumnRenamed("uuid", "a")
+        .join(other, ["group_id", "label", "_text"])
+        .filter((F.col("a") < F.col("b")) & (F.levenshtein("_name", "_other") <= 1))
+        .select("a", "b")
+        .distinct()
+    )
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """(uuid, root): the least id each id is linked to, directly or not.
+
+    Every round takes the least root among the neighbours and then the root of
+    that root, which halves the distance to go.  Labels are checkpointed.
+    """
+    links = cut_lineage(
+        pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    )
+    labels = cut_lineage(links.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "uuid"))
+    while True:
+        near = (
+            links.join(labels, F.col("b") == F.col("uuid"))
+            .groupBy("a")
+            .agg(F.min("root").alias("_near"))
+            .withColumnRenamed("a", "uuid")
+        )
+        step = labels.join(near, "uuid").select("uuid", F.least("root", "_near").alias("root"), F.col("root").alias("_old"))
+        of_root = labels.select(F.col("uuid").alias("root"), F.col("root").alias("_up"))
+        new = cut_lineage(
+            step.join(of_root, "root", "left").select("uuid", F.least("root", "_up").alias("root"), "_old")
+        )
+        labels = new.select("uuid", "root")
+        if new.filter(F.col("root") != F.col("_old")).isEmpty():
+            return labels
+
+
+def merge_similar(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """F11, fuzzy pass: entities whose names are linked by single edits become one.
+
+    Returns the merged entities and (uuid, root) for those that moved, to
+    redirect facts and mentions.
+    """
+    roots = connected(similar_names(entities))
+    rows = entities.join(roots, "uuid", "left").withColumn("uuid", F.coalesce("root", "uuid")).drop("root")
+    return _fold(rows.withColumn("label", F.get("labels", F.lit(0)))), roots.filter(F.col("uuid") != F.col("root"))

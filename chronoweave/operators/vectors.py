@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.functions.text import tokens
 from chronoweave.operators.lookup import check_limit, top_k
+from chronoweave.operators.ordered import broadcast_if_small
 from chronoweave.operators.text_index import SCORE_DIGITS
 
 # Largest query block sent to the tasks: 4,000 vectors of 1,536 doubles are 49 MB.
@@ -59,9 +62,8 @@ def _score_block(
             ids = batch["uuid"].to_numpy(dtype=object)[at]
             sims = np.round(unit_queries @ rows.T, SCORE_DIGITS)
             for q, (old_ids, old_sims) in enumerate(kept):
-                kept[q] = _best(
-                    np.concatenate([old_ids, ids]), np.concatenate([old_sims, sims[q]]), k, min_score
-                )
+                new_ids, new_sims = _best(ids, sims[q], k, min_score)
+                kept[q] = _best(np.concatenate([old_ids, new_ids]), np.concatenate([old_sims, new_sims]), k, None)
         for q, (ids, sims) in enumerate(kept):
             if len(ids):
                 yield pd.DataFrame({"query_id": query_ids[q], "uuid": ids, "score": sims})
@@ -146,6 +148,59 @@ def _blockwise(
     return v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(score, schema)
 
 
+def cosine_search_ann(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    bucket_length: float = 0.5,
+    tables: int = 8,
+    seed: int = 42,
+    min_score: float | None = None,
+) -> DataFrame:
+    """E3, approximate: only vectors sharing a hash bucket with the query are scored.
+
+    Unit vectors are hashed by random projections; the score of a candidate is
+    exact.  Each pair is scored in the first table in which it meets, so no
+    pair appears twice.  The queries are broadcast after a size check: vectors,
+    and hot buckets, are not shuffled; a task passes on its k best per query.
+    """
+    check_limit("k", k)
+    dim = queries.select(F.max(F.size("embedding"))).first()[0] or 0
+
+    def hashed(df: DataFrame, id: str) -> DataFrame:
+        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        unit = (
+            df.filter(F.size("embedding") == dim)
+            .withColumn("_norm", norm)
+            .filter(F.col("_norm") > 0)
+            .select(id, F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("_norm"))).alias("unit"))
+        )
+        hashes = F.transform("_hashes", lambda h: vector_to_array(h)[0].cast("long"))
+        return (
+            lsh.transform(unit.withColumn("_vector", array_to_vector("unit")))
+            .withColumn("hashes", hashes)
+            .select(id, "unit", "hashes", F.posexplode("hashes").alias("table", "bucket"))
+        )
+
+    lsh = BucketedRandomProjectionLSH(
+        inputCol="_vector", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
+    ).fit(queries.filter(F.size("embedding") == dim).select(array_to_vector("embedding").alias("_vector")).limit(1))
+    asked = hashed(queries, "query_id").select(
+        "query_id", F.col("unit").alias("_q"), F.col("hashes").alias("_qh"), "table", "bucket"
+    )
+    meets = F.zip_with("hashes", "_qh", lambda a, b: a == b)
+    dot = F.aggregate(F.zip_with("unit", "_q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    scored = (
+        hashed(vectors, "uuid")
+        .join(broadcast_if_small(asked, QUERY_BLOCK * tables), ["table", "bucket"])
+        .filter(F.array_position(meets, True) == F.col("table") + 1)
+        .select("query_id", "uuid", F.round(dot, SCORE_DIGITS).alias("score"))
+    )
+    if min_score is not None:
+        scored = scored.filter(F.col("score") >= min_score)
+    return top_k(scored, k, [F.desc("score")], ["uuid"], ["query_id"])
+
+
 def _hash_embed(dim: int) -> Callable[[pd.Series], pd.Series]:
     def embed(hashes: pd.Series) -> pd.Series:
         # one scatter-add for the whole batch

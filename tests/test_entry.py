@@ -10,8 +10,12 @@ SMALL = "/root/testdata/sf0.001"
 FAST = ["a2_normalize_episodes", "b5_normalize_urls", "d2_conversation_episodes", "e6_search_nodes", "f15_apply_facts"]
 
 
+# results that depend on Spark's own random projections; tested in test_search
+NO_SQL = {"e3_cosine_search_ann"}
+
+
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.queries()) - NO_SQL == set(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")

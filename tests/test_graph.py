@@ -9,7 +9,7 @@ from chronoweave.operators import facts as FA
 from chronoweave.operators import maintenance as M
 from chronoweave.operators.distance import node_distance
 from chronoweave.operators.merge import deep_merge
-from chronoweave.operators.resolution import build_mentions, resolve_entities
+from chronoweave.operators.resolution import build_mentions, connected, merge_similar, resolve_entities, similar_names
 from tests.conftest import same
 
 T0 = datetime(2024, 1, 1)
@@ -200,6 +200,41 @@ def test_resolution(table):
     assert build_mentions(cand, got.filter("labels[0] = 'M'")).count() == 1
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_similar_names_are_all_single_edits(table):
+    rnd = random.Random(9)
+    names = sorted({"".join(rnd.choice("abé") for _ in range(rnd.randint(0, 5))) for _ in range(120)})
+    rows = [(f"{i:03d}", n, [rnd.choice("LM")], "g") for i, n in enumerate(names)]
+    df = table(rows, "uuid string, name string, labels array<string>, group_id string")
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[2] == b[2] and edits(a[1], b[1]) <= 1}
+    assert {tuple(r) for r in similar_names(df).collect()} == want
+
+
+def test_connected(table):
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(40)]
+    pairs = chain + [("x", "y"), ("y", "z"), ("b", "a")]
+    got = {r.uuid: r.root for r in connected(table(pairs, "a string, b string")).collect()}
+    assert got == {**{f"c{i:02d}": "c00" for i in range(41)}, "x": "x", "y": "x", "z": "x", "a": "a", "b": "a"}
+    assert connected(table([], "a string, b string")).count() == 0
+
+
+def test_merge_similar(table):
+    rows = [("e1", "g", "L", "Jon", t(2), {"a": "1"}), ("e2", "g", "L", "John", t(1), {"b": "2"}), ("e3", "g", "L", "Mary", t(1), {})]
+    resolved = resolve_entities(table(rows, CAND))
+    merged, moved = merge_similar(resolved)
+    john = merged.filter("name = 'John'").first()
+    assert merged.count() == 2 and moved.count() == 1 and john.attributes == {"a": "1", "b": "2"}
+    assert moved.first().root == john.uuid
+
+
 def test_upsert(table):
     target = table([("a", 1, 0), ("b", 1, 0)], "uuid string, v int, n int")
     updates = table([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "uuid string, v int, n int")

@@ -92,6 +92,21 @@ def test_cosine(table, monkeypatch, blockwise):
     assert 8 not in got and 9 not in got
 
 
+def test_ann_scores_are_exact_and_pairs_single(table):
+    rnd = np.random.default_rng(4)
+    centers = rnd.normal(size=(6, 8))
+    rows = [(f"v{i:03d}", [float(x) for x in centers[i % 6] + 0.1 * rnd.normal(size=8)]) for i in range(240)]
+    rows += [("zero", [0.0] * 8), ("null", None), ("short", [1.0])]
+    df = table(rows, "uuid string, embedding array<float>")
+    q = table([(i, v) for i, (_, v) in enumerate(rows[:12])], "query_id int, embedding array<float>")
+    exact = {(r.query_id, r.uuid): r.score for r in VEC.cosine_search(df, q, 240).collect()}
+    found = VEC.cosine_search_ann(df, q, 10, bucket_length=1.0).collect()
+    assert len({(r.query_id, r.uuid) for r in found}) == len(found)
+    assert all(r.score == pytest.approx(exact[r.query_id, r.uuid], abs=1e-8) for r in found)
+    best = {(r.query_id, r.uuid) for r in VEC.cosine_search(df, q, 10).collect()}
+    assert len(best & {(r.query_id, r.uuid) for r in found}) > 0.9 * len(best)
+
+
 def test_cosine_min_score(table):
     df = table([("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 1.0])], "uuid string, embedding array<float>")
     q = table([(0, [1.0, 0.0])], "query_id int, embedding array<float>")

@@ -22,9 +22,9 @@ from chronoweave.operators.folds import lifecycle, lifecycle_events, ttl_cache
 from chronoweave.operators.merge import deep_merge
 from chronoweave.operators.plugins import with_extractor
 from chronoweave.operators.ranking import passthrough_rerank, rrf_fuse, with_reranker
-from chronoweave.operators.resolution import build_mentions, resolve_entities
+from chronoweave.operators.resolution import build_mentions, merge_similar, resolve_entities
 from chronoweave.operators.text_index import bm25_search, build_index
-from chronoweave.operators.vectors import cosine_search, embed_column, with_embedder
+from chronoweave.operators.vectors import cosine_search, cosine_search_ann, embed_column, with_embedder
 from chronoweave.plans.ingest import extract_candidates
 from chronoweave.plans.search import node_text, search_facts, search_nodes
 from chronoweave.session import scratch_path
@@ -295,6 +295,11 @@ def e3_cosine_search(v: Views) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+@query
+def e3_cosine_search_ann(v: Views) -> DataFrame:
+    return cosine_search_ann(_vectors(v), v.query(), 10).withColumn("score", F.round("score", 6))
+
+
 @query
 def e4_rrf_fuse(v: Views) -> DataFrame:
     node = v.node()
@@ -476,6 +481,14 @@ def f11_resolve_entities(v: Views) -> DataFrame:
     )
 
 
+@query
+def f11_merge_similar(v: Views) -> DataFrame:
+    """Suppliers and customers, whose names are numbers, linked digit by digit."""
+    people = v.ent().filter(F.array_contains("labels", "Customer") | F.array_contains("labels", "Supplier"))
+    merged, moved = merge_similar(people)
+    return moved.unionByName(merged.select("uuid", F.col("uuid").alias("root")))
+
+
 @query
 def f12_build_mentions(v: Views) -> DataFrame:
     lines = v.t("lineitem").select(
