@@ -169,11 +169,14 @@ def cosine_search_ann(
 
     def hashed(df: DataFrame, id: str) -> DataFrame:
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        scaled = F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("_norm")))
+        # the hash function may run before the filter, so it gets a vector in any case
+        usable = F.coalesce((F.size("embedding") == dim) & (F.col("_norm") > 0), F.lit(False))
         unit = (
-            df.filter(F.size("embedding") == dim)
-            .withColumn("_norm", norm)
-            .filter(F.col("_norm") > 0)
-            .select(id, F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("_norm"))).alias("unit"))
+            df.withColumn("_norm", norm)
+            .withColumn("unit", F.when(usable, scaled).otherwise(F.array_repeat(F.lit(0.0), dim)))
+            .filter(usable)
+            .select(id, "unit")
         )
         hashes = F.transform("_hashes", lambda h: vector_to_array(h)[0].cast("long"))
         return (
