@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.session import cut_lineage
 
 DEFAULT_HOPS = 3
-_BROADCAST_ROWS = 1_000_000
+_BROADCAST_ROWS = 200_000
 
 
 def node_distance(facts: DataFrame, centers: DataFrame, max_hops: int = DEFAULT_HOPS) -> DataFrame:

@@ -36,6 +36,7 @@ CATEGORIES = {
 }
 OTHER_CATEGORY = "other"
 ROOT = "$"
+PROJECT = "Project"
 NAME_KEYS = ["name", "title", "id"]
 
 
@@ -166,15 +167,60 @@ def _match(pattern: str, group: int = 1) -> Column:
     return F.when(found != "", found)
 
 
+def _requirement() -> Column:
+    """What a sentence states as needed, or null."""
+    return F.coalesce(_match(NEED), _match(REQUIRED), _match(MUST_HAVE))
+
+
+def _project() -> Column:
+    return F.when(F.trim("source_description") != "", F.col("source_description")).otherwise(F.col("name"))
+
+
+def _priority() -> Column:
+    return F.coalesce(*[F.when(F.col("sentence").rlike(p), F.lit(name)) for name, p in PRIORITIES.items()])
+
+
+def _preferences() -> Column:
+    """(description, polarity, category) of a sentence; over something is two."""
+
+    def one(what: Column, polarity: int) -> Column:
+        category = [F.when(what.rlike(p), F.lit(name)) for name, p in CATEGORIES.items()]
+        return F.struct(
+            what.alias("description"),
+            F.lit(polarity).cast("long").alias("polarity"),
+            F.coalesce(*category, F.lit(OTHER_CATEGORY)).alias("category"),
+        )
+
+    return (
+        F.when(
+            _match(PREFERS_OVER).isNotNull(),
+            F.array(one(_match(PREFERS_OVER), 1), one(_match(PREFERS_OVER, 2), -1)),
+        )
+        .when(_match(DISLIKES).isNotNull(), F.array(one(_match(DISLIKES), -1)))
+        .when(_match(LIKES).isNotNull(), F.array(one(_match(LIKES), 1)))
+    )
+
+
+def _steps() -> Column:
+    """The actions of a sentence in order, or null."""
+    then = r"(?i),? then "
+    return F.coalesce(
+        F.when(_match(STEPS).isNotNull(), F.split(_match(STEPS), then)),
+        F.when(_match(ALWAYS).isNotNull(), F.array(_match(ALWAYS))),
+        F.when(_match(CONDITION).isNotNull(), F.split(_match(CONDITION, 2), then)),
+    )
+
+
+def _trigger() -> Column:
+    return F.coalesce(_match(ALWAYS, 2), _match(CONDITION))
+
+
 def extract_requirements(episodes: DataFrame) -> DataFrame:
     """stated needs, with their project and priority."""
-    priority = F.coalesce(*[F.when(F.col("sentence").rlike(p), F.lit(name)) for name, p in PRIORITIES.items()])
-    project = F.when(F.trim("source_description") != "", F.col("source_description")).otherwise(F.col("name"))
     return (
         _sentences(episodes)
-        .withColumn("description", F.coalesce(_match(NEED), _match(REQUIRED), _match(MUST_HAVE)))
+        .select(*_FOUND, _project().alias("project_name"), _requirement().alias("description"), _priority().alias("priority"))
         .filter(F.col("description").isNotNull())
-        .select(*_FOUND, project.alias("project_name"), "description", priority.alias("priority"))
     )
 
 
@@ -186,7 +232,7 @@ def requirement_facts(requirements: DataFrame) -> DataFrame:
         "reference_time",
         F.lit("Requirement").alias("source_label"),
         F.col("description").alias("source_name"),
-        F.lit("Project").alias("target_label"),
+        F.lit(PROJECT).alias("target_label"),
         F.col("project_name").alias("target_name"),
         F.lit("requirement_of").alias("name"),
         F.concat(F.col("description"), F.lit(" is a requirement of "), F.col("project_name")).alias("fact"),
@@ -195,70 +241,52 @@ def requirement_facts(requirements: DataFrame) -> DataFrame:
 
 def extract_preferences(episodes: DataFrame) -> DataFrame:
     """likes (+1) and dislikes (-1); a preference over something is both."""
-
-    def one(what: Column, polarity: int) -> Column:
-        return F.struct(what.alias("description"), F.lit(polarity).cast("long").alias("polarity"))
-
-    stated = (
-        F.when(
-            _match(PREFERS_OVER).isNotNull(),
-            F.array(one(_match(PREFERS_OVER), 1), one(_match(PREFERS_OVER, 2), -1)),
-        )
-        .when(_match(DISLIKES).isNotNull(), F.array(one(_match(DISLIKES), -1)))
-        .when(_match(LIKES).isNotNull(), F.array(one(_match(LIKES), 1)))
-    )
-    category = F.coalesce(
-        *[F.when(F.col("p.description").rlike(p), F.lit(name)) for name, p in CATEGORIES.items()],
-        F.lit(OTHER_CATEGORY),
-    )
-    return (
-        _sentences(episodes)
-        .select(*_FOUND, F.explode(stated).alias("p"))
-        .select(*_FOUND, category.alias("category"), "p.description", "p.polarity")
-    )
+    return _sentences(episodes).select(*_FOUND, F.inline(_preferences()))
 
 
 def extract_procedures(episodes: DataFrame) -> DataFrame:
     """ordered steps, one row each, with the trigger that starts them."""
-    action = lambda text: F.regexp_replace(F.trim(text), r"(?i)^do ", "")
-    steps = F.when(_match(STEPS).isNotNull(), F.split(_match(STEPS), r"(?i),? then "))
-    steps = F.coalesce(
-        steps,
-        F.when(_match(ALWAYS).isNotNull(), F.array(_match(ALWAYS))),
-        F.when(_match(CONDITION).isNotNull(), F.split(_match(CONDITION, 2), r"(?i),? then ")),
-    )
     return (
         _sentences(episodes)
-        .withColumn("trigger", F.coalesce(_match(ALWAYS, 2), _match(CONDITION)))
-        .select(
-            *_FOUND, F.col("sentence").alias("description"), "trigger", F.posexplode(steps).alias("step", "action")
+        .select(*_FOUND, F.col("sentence").alias("description"), _trigger().alias("trigger"),
+                F.posexplode(_steps()).alias("step", "action"))
+        .withColumns(
+            {
+                "step": (F.col("step") + 1).cast("long"),
+                "action": F.regexp_replace(F.trim("action"), r"(?i)^do ", ""),
+            }
         )
-        .withColumns({"step": (F.col("step") + 1).cast("long"), "action": action(F.col("action"))})
     )
 
 
 def typed_extract(episodes: DataFrame, use_custom_entities: bool = True) -> DataFrame:
-    """entities of the typed schemas as (label, name, attributes); none when off."""
-
-    def typed(found: DataFrame, label: str, name: str, attributes: list[str]) -> DataFrame:
-        pairs = [x for a in attributes for x in (F.lit(a), F.col(a).cast("string"))]
-        return found.select(
-            "episode_uuid",
-            "group_id",
-            "reference_time",
-            F.lit(label).alias("label"),
-            F.col(name).alias("name"),
-            F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("attributes"),
-        )
+    """entities of the typed schemas as (label, name, attributes); none when off.
+
+    All rules look at each sentence in one pass over the texts.  A procedure's
+    sentence is one entity, whatever its number of steps.
+    """
+
+    def entity(label: str, name: Column, **attributes: Column) -> Column:
+        pairs = [x for k, v in attributes.items() for x in (F.lit(k), v.cast("string"))]
+        known = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+        return F.struct(F.lit(label).alias("label"), name.alias("name"), known.alias("attributes"))
 
-    # a procedure's sentence is one entity, whatever its number of steps
-    procedures = extract_procedures(episodes).filter(F.col("step") == 1)
+    need, sentence = F.col("_need"), F.col("sentence")
+    requirement = entity("Requirement", need, project_name=_project(), description=need, priority=_priority())
+    preference = lambda p: entity(
+        "Preference", p["description"], category=p["category"], description=p["description"], polarity=p["polarity"]
+    )
+    procedure = entity("Procedure", sentence, description=sentence, trigger=_trigger())
+    none = F.array().cast("array<struct<label:string,name:string,attributes:map<string,string>>>")
+    found = F.concat(
+        F.when(need.isNotNull(), F.array(requirement)).otherwise(none),
+        F.coalesce(F.transform("_liked", preference), none),
+        F.when(_steps().isNotNull(), F.array(procedure)).otherwise(none),
+    )
     whole = (
-        typed(extract_requirements(episodes), "Requirement", "description", ["project_name", "description", "priority"])
-        .unionByName(
-            typed(extract_preferences(episodes), "Preference", "description", ["category", "description", "polarity"])
-        )
-        .unionByName(typed(procedures, "Procedure", "description", ["description", "trigger"]))
+        _sentences(episodes)
+        .withColumns({"_need": _requirement(), "_liked": _preferences()})
+        .select("episode_uuid", "group_id", "reference_time", F.inline(found))
     )
     return whole if use_custom_entities else whole.filter(F.lit(False))
 

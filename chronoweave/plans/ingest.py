@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.text import normalized_name, stable_id
 from chronoweave.operators.extraction import (
+    PROJECT,
     extract_requirements,
     json_objects,
     json_relations,
@@ -34,14 +35,19 @@ def quarantine(episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extract_candidates(episodes: DataFrame, use_custom_entities: bool = True) -> DataFrame:
     """Entity candidates of all kinds, one row per occurrence."""
-    typed = typed_extract(episodes, use_custom_entities)
-    projects = typed.filter(F.col("label") == "Requirement").select(
-        *EXTRACTED[:3],
-        F.lit("Project").alias("label"),
+    objects = json_objects(episodes).select(*EXTRACTED)
+    if not use_custom_entities:
+        return objects
+    itself = F.struct("label", "name", "attributes")
+    # a requirement brings the project it belongs to
+    project = F.struct(
+        F.lit(PROJECT).alias("label"),
         F.col("attributes")["project_name"].alias("name"),
         F.create_map().cast("map<string,string>").alias("attributes"),
     )
-    return json_objects(episodes).select(*EXTRACTED).unionByName(typed.select(*EXTRACTED)).unionByName(projects)
+    entities = F.when(F.col("label") == "Requirement", F.array(itself, project)).otherwise(F.array(itself))
+    typed = typed_extract(episodes).select(*EXTRACTED[:3], F.inline(entities))
+    return objects.unionByName(typed)
 
 
 def _node_id(side: str) -> Column:

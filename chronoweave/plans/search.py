@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators.distance import DEFAULT_HOPS, node_distance
 from chronoweave.operators.lookup import check_limit, filter_groups, filter_label, top_k
+from chronoweave.operators.ordered import is_small
 from chronoweave.operators.projection import format_fact, project_node_result
 from chronoweave.operators.ranking import by_distance_then_score, rrf_fuse
 from chronoweave.operators.text_index import TextIndex, bm25_search, build_index
@@ -35,14 +36,25 @@ def _hybrid(
     vectors: DataFrame,
     queries: DataFrame,
     limit: int,
-    allowed: DataFrame | None,
+    groups: tuple[list[str] | None, str | None],
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
-    """BM25 and cosine candidates, fused: (query_id, uuid, rrf)."""
+    """BM25 and cosine candidates, fused: (query_id, uuid, rrf).
+
+    Postings know their group, so groups are filtered without a join.
+    """
     depth = CANDIDATES_PER_RESULT * limit
-    by_text = bm25_search(index, queries, depth, allowed)
+    in_groups = TextIndex(filter_groups(index.postings, *groups), index.terms, index.stats)
+    by_text = bm25_search(in_groups, queries, depth, allowed)
     return rrf_fuse([by_text, cosine_search(vectors, queries, depth)])
 
 
+def _few_hits(queries: DataFrame, limit: int) -> bool:
+    """Whether all candidates of all queries fit a broadcast."""
+    per_query = 2 * CANDIDATES_PER_RESULT * limit
+    return is_small(queries.select("query_id"), _BROADCAST_HITS // per_query)
+
+
 def _centers(queries: DataFrame) -> DataFrame | None:
     if "center_node_uuid" not in queries.columns:
         return None
@@ -54,11 +66,9 @@ def _distances(facts: DataFrame, centers: DataFrame, max_hops: int) -> DataFrame
     return centers.join(found, "center").select("query_id", "node", "distance")
 
 
-def _results(fused: DataFrame, source: DataFrame, queries: DataFrame, limit: int, ordered: list[Column]) -> DataFrame:
+def _results(fused: DataFrame, source: DataFrame, few: bool, limit: int, ordered: list[Column]) -> DataFrame:
     hits = top_k(fused, limit, ordered, ["uuid"], ["query_id"])
-    # a result has at most `limit` rows per query
-    small = queries.limit(_BROADCAST_HITS // limit + 1).count() * limit <= _BROADCAST_HITS
-    return (F.broadcast(hits) if small else hits).join(source, "uuid")
+    return (F.broadcast(hits) if few else hits).join(source, "uuid")
 
 
 def search_nodes(
@@ -78,11 +88,13 @@ def search_nodes(
     then the nearest candidates in `facts` come first.
     """
     check_limit("max_nodes", max_nodes)
-    candidates = filter_label(filter_groups(entities, group_ids, default_group), entity)
-    filtered = candidates is not entities
+    groups = group_ids, default_group
+    candidates = filter_label(filter_groups(entities, *groups), entity)
+    allowed = candidates.select("uuid") if entity != "" else None
+    few = _few_hits(queries, max_nodes)
     index = index or build_index(entities, "uuid", node_text(), kind="node", group="group_id")
     vectors = candidates.select("uuid", F.col("name_embedding").alias("embedding"))
-    fused = _hybrid(index, vectors, queries, max_nodes, candidates.select("uuid") if filtered else None)
+    fused = _hybrid(index, vectors, queries, max_nodes, groups, allowed)
 
     centers = _centers(queries)
     if centers is not None and facts is not None:
@@ -93,7 +105,7 @@ def search_nodes(
         fused = fused.withColumn("distance", F.lit(None).cast("long"))
         order = [F.desc("rrf")]
     nodes = project_node_result(entities)
-    return _results(fused, nodes, queries, max_nodes, order).select(
+    return _results(fused, nodes, few, max_nodes, order).select(
         "query_id", "rank", "rrf", "distance", *nodes.columns
     )
 
@@ -109,19 +121,21 @@ def search_facts(
 ) -> DataFrame:
     """The best facts per query; around a centre, the nearest end counts."""
     check_limit("max_facts", max_facts)
-    candidates = filter_groups(facts, group_ids, default_group)
-    filtered = candidates is not facts
+    groups = group_ids, default_group
+    candidates = filter_groups(facts, *groups)
+    few = _few_hits(queries, max_facts)
     index = index or build_index(facts, "uuid", F.col("fact"), kind="fact", group="group_id")
     vectors = candidates.select("uuid", F.col("fact_embedding").alias("embedding"))
-    fused = _hybrid(index, vectors, queries, max_facts, candidates.select("uuid") if filtered else None)
+    fused = _hybrid(index, vectors, queries, max_facts, groups)
 
     centers = _centers(queries)
     if centers is not None:
         near = _distances(facts, centers, max_hops)
         ends = facts.select("uuid", F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("node"))
         # candidates are few per query: they pick their facts' ends first
+        pairs = fused.select("query_id", "uuid")
         reach = (
-            F.broadcast(fused.select("query_id", "uuid"))
+            (F.broadcast(pairs) if few else pairs)
             .join(ends, "uuid")
             .join(near, ["query_id", "node"])
             .groupBy("query_id", "uuid")
@@ -133,6 +147,6 @@ def search_facts(
         fused = fused.withColumn("distance", F.lit(None).cast("long"))
         order = [F.desc("rrf")]
     rows = format_fact(facts)
-    return _results(fused, rows, queries, max_facts, order).select(
+    return _results(fused, rows, few, max_facts, order).select(
         "query_id", "rank", "rrf", "distance", *rows.columns
     )

@@ -17,26 +17,27 @@ def group_bucket(group: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(group), F.lit(buckets)).cast("int")
 
 
-def write_table(df: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, buckets: int = BUCKETS, whole: bool = False) -> None:
     """One table, in folders by group bucket.
 
-    The rebalance hint lets AQE merge small buckets into fewer files and split
-    a bucket that holds a hot group over several tasks.
+    `whole` replaces the table; otherwise only the buckets present in `df` are
+    replaced.  The rebalance hint lets AQE merge small buckets into fewer files
+    and split a bucket that holds a hot group over several tasks.
     """
     bucketed = df.withColumn(_BUCKET, group_bucket(F.col("group_id"), buckets))
     (
         bucketed.hint("rebalance", _BUCKET)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(_BUCKET)
         .parquet(path)
     )
 
 
 def write_graph(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
-    """A3: the tables of a graph; only buckets present in a table are replaced."""
+    """A3: the tables of a graph.  A graph read from `path` goes to a new path."""
     for name, df in tables.items():
-        write_table(df, f"{path}/{name}", buckets)
+        write_table(df, f"{path}/{name}", buckets, whole=True)
 
 
 def read_graph(

@@ -33,12 +33,14 @@ def ingest_batch(
     """One micro-batch into the log tables; work grows with the batch only."""
     episodes = normalize_episodes(raw, default_group, now).persist()
     good, failed = quarantine(episodes)
-    valid, rejected = validate_entities(extract_candidates(good, use_custom_entities))
+    candidates = extract_candidates(good, use_custom_entities).persist()
+    valid, rejected = validate_entities(candidates)
     _append(good, out, "episodes", batch_id)
     _append(failed, out, "failed", batch_id)
     _append(valid, out, "candidates", batch_id)
     _append(rejected, out, "rejected", batch_id)
     _append(extract_facts(good, use_custom_entities), out, "facts", batch_id)
+    candidates.unpersist()
     episodes.unpersist()
 
 

@@ -178,3 +178,5 @@ def test_rewriting_a_group_keeps_the_others(table, spark, tmp_path):
     write_table(table([("e1", "n", "a"), ("e2", "n", "b")], schema), path, 64)
     write_table(table([("e9", "n", "a")], schema), path, 64)
     assert sorted(r.episode_uuid for r in read_table(spark, path, schema, buckets=64).collect()) == ["e2", "e9"]
+    write_table(table([], schema), path, 64, whole=True)
+    assert read_table(spark, path, schema, buckets=64).count() == 0
