@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.operators.lookup import top_k
-from chronoweave.operators.ordered import HOT_ROWS, with_last_seen, with_next
+from chronoweave.operators.ordered import HOT_ROWS, broadcast_if_small, with_last_seen, with_next
 
 DEFAULT_SUMMARY_CHARS = 500
 _RELATION = ["group_id", "source_node_uuid", "name"]
@@ -65,9 +65,19 @@ def apply_facts(
 
     Single-valued relations are closed over the whole (group, source, name)
     key, so arrival order does not matter; the others are only freed of
-    repetitions, keeping the earliest.
+    repetitions, keeping the earliest.  Stored facts of keys without news are
+    passed through; they are not even shuffled while the news are small.
     """
-    whole = new if facts is None else facts.unionByName(new, allowMissingColumns=True)
+    if facts is None:
+        return _validity(new, single_valued, hot_rows)
+    touched = broadcast_if_small(new.select(*[F.col(c).alias(f"_t_{c}") for c in _RELATION]).distinct())
+    same_key = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in _RELATION]
+    affected = facts.join(touched, same_key, "left_semi").unionByName(new, allowMissingColumns=True)
+    recomputed = _validity(affected, single_valued, hot_rows)
+    return facts.join(touched, same_key, "left_anti").unionByName(recomputed, allowMissingColumns=True)
+
+
+def _validity(whole: DataFrame, single_valued: list[str], hot_rows: int) -> DataFrame:
     single = _close(whole.filter(_is_single(single_valued)), hot_rows)
     others = whole.filter(~_is_single(single_valued))
     columns = [c for c in whole.columns if c not in [*_RELATION, "target_node_uuid"]]

@@ -23,6 +23,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Applies the runtime settings every operator relies on."""
     for key, value in _RUNTIME.items():
         spark.conf.set(key, value)
+    width = "spark.sql.shuffle.partitions"
+    if spark.sparkContext.master.startswith("local") and spark.conf.get(width) == "200":
+        # the default width suits a cluster, not a few local cores
+        spark.conf.set(width, str(spark.sparkContext.defaultParallelism))
     return spark
 
 

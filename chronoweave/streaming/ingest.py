@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from chronoweave.operators.episodes import normalize_episodes
 from chronoweave.operators.extraction import validate_entities
 from chronoweave.operators.facts import apply_facts
+from chronoweave.operators.maintenance import upsert
 from chronoweave.operators.resolution import build_mentions, resolve_entities
 from chronoweave.plans.ingest import extract_candidates, extract_facts, quarantine
 from chronoweave.schema import DEFAULT_GROUP, EPISODES
@@ -68,27 +69,42 @@ def stream_ingest(
     )
 
 
+def _latest(df: DataFrame) -> DataFrame:
+    """The last ingested row of each uuid, without its batch."""
+    columns = [c for c in df.columns if c not in ("uuid", BATCH)]
+    newest = F.max_by(F.struct(*columns), F.struct(BATCH, "reference_time", "name", "content"))
+    return df.groupBy("uuid").agg(newest.alias("_r")).select("uuid", "_r.*")
+
+
 def materialize(
-    spark: SparkSession, out: str, single_valued: list[str] | None = None
+    spark: SparkSession,
+    out: str,
+    single_valued: list[str] | None = None,
+    base: dict[str, DataFrame] | None = None,
+    after: int | None = None,
 ) -> dict[str, DataFrame]:
     """The graph as of the log: latest episode per uuid, resolved entities, closed facts.
 
     Resolution, closing and deduplication do not depend on the order or the
     cut of the batches, so the result is that of one batch over everything.
+    With `base` (a graph stored earlier) only the batches `after` it are read
+    and folded into it; an attribute of a stored entity then counts as of the
+    entity's time, so later news replace it.
     """
     log = {t: spark.read.parquet(f"{out}/{t}") for t in ("episodes", "failed", "candidates", "facts")}
-
-    def latest(df: DataFrame, key: str) -> DataFrame:
-        columns = [c for c in df.columns if c not in (key, BATCH)]
-        newest = F.max_by(F.struct(*columns), F.struct(BATCH, *[c for c in columns if c in ("reference_time", "name", "content")]))
-        return df.groupBy(key).agg(newest.alias("_r")).select(key, "_r.*")
-
+    if after is not None:
+        log = {t: df.filter(F.col(BATCH) > after) for t, df in log.items()}
+    stored = base or {}
+    episodes = _latest(log["episodes"]).select(*EPISODES.names)
+    mentions = build_mentions(log["candidates"])
     return {
-        "episodes": latest(log["episodes"], "uuid").select(*EPISODES.names),
-        "failed": latest(log["failed"], "uuid"),
-        "entities": resolve_entities(log["candidates"].withColumnRenamed("reference_time", "created_at")),
-        "facts": apply_facts(log["facts"].drop(BATCH), None, single_valued or []),
-        "mentions": build_mentions(log["candidates"]),
+        "episodes": upsert(stored["episodes"], episodes) if base else episodes,
+        "failed": _latest(log["failed"]),
+        "entities": resolve_entities(
+            log["candidates"].withColumnRenamed("reference_time", "created_at"), stored.get("entities")
+        ),
+        "facts": apply_facts(log["facts"].drop(BATCH), stored.get("facts"), single_valued or []),
+        "mentions": stored["mentions"].unionByName(mentions).distinct() if base else mentions,
     }
 
 

@@ -11,7 +11,7 @@ from chronoweave.plans.ingest import build_graph, quarantine
 from chronoweave.schema import GRAPH_TABLES, RAW_EPISODES
 from chronoweave.sources.episodes import read_episodes, stream_episodes
 from chronoweave.sources.graph import read_graph, read_table, write_graph, write_table
-from chronoweave.streaming.ingest import dedup_episodes, materialize, quarantine_stream, stream_ingest
+from chronoweave.streaming.ingest import dedup_episodes, ingest_batch, materialize, quarantine_stream, stream_ingest
 from chronoweave.streaming.keyed import lifecycle_stream, sequence_by_group, ttl_cache_stream
 from tests.conftest import same
 
@@ -57,9 +57,22 @@ def test_stream_gives_the_batch_graph(table, spark, tmp_path):
     assert {(r.uuid, r.error) for r in got["failed"].collect()} == {(r.uuid, r.error) for r in want["failed"].collect()}
 
 
-def test_replayed_batch_changes_nothing(table, spark, tmp_path):
-    from chronoweave.streaming.ingest import ingest_batch
+def test_folding_news_into_a_stored_graph(table, spark, tmp_path):
+    rows = [episode(i, f"g{i % 3}", *BODIES[i % len(BODIES)]) for i in range(24)]
+    out, kept = str(tmp_path / "out"), str(tmp_path / "kept")
+    flat = lambda d: d.withColumn("attributes", F.to_json("attributes")) if "attributes" in d.columns else d
+    ingest_batch(table(rows[:12], RAW), 0, out, now=now())
+    for name, df in materialize(spark, out).items():
+        df.write.parquet(f"{kept}/{name}")
+    ingest_batch(table(rows[12:], RAW), 1, out, now=now())
+    base = {n: spark.read.parquet(f"{kept}/{n}") for n in ("episodes", "entities", "facts", "mentions")}
+    news = materialize(spark, out, base=base, after=0)
+    whole = materialize(spark, out)
+    for name in base:
+        same(flat(whole[name]), flat(news[name]))
 
+
+def test_replayed_batch_changes_nothing(table, spark, tmp_path):
     raw = table([episode(i, "g", *BODIES[i % 2]) for i in range(4)], RAW)
     out = str(tmp_path)
     counts = []
