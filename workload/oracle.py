@@ -362,7 +362,7 @@ check(
 # --- F
 check(
     "f1_split_turns",
-    """SELECT uuid, n - 1 AS turn, role, string_agg(line, chr(10) ORDER BY i) AS text FROM (
+    """SELECT uuid, CAST(n - 1 AS BIGINT) AS turn, role, string_agg(line, chr(10) ORDER BY i) AS text FROM (
         SELECT uuid, i, n, first_value(r) OVER (PARTITION BY uuid, n ORDER BY i) AS role,
             CASE WHEN opens THEN regexp_replace(l, '^(?i)(system|user|assistant):\\s*', '') ELSE l END AS line FROM (
             SELECT uuid, i, l, opens, CASE WHEN opens THEN lower(regexp_extract(l, '^(?i)(system|user|assistant):', 1)) ELSE 'user' END AS r,
