@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.text import stable_id
 from chronoweave.operators.ordered import HOT_ROWS, joined_in_order, with_position
-from chronoweave.schema import DEFAULT_GROUP, SOURCES
+from chronoweave.schema import DEFAULT_GROUP, QUEUED, SOURCES
 
 # How a role opens a line of a rendered prompt.
 PROMPT_ROLES = {"system": "System: ", "user": "User: ", "assistant": "Assistant: "}
@@ -39,7 +39,7 @@ def queue_position(
 ) -> DataFrame:
     """A4: 1-based place of each accepted episode in its group's queue."""
     placed = with_position(episodes, ["group_id"], [arrival, "uuid"], "position", hot_rows)
-    message = F.format_string("Episode '%s' queued for processing (position: %d)", "name", "position")
+    message = F.format_string(QUEUED, "name", "position")
     return placed.withColumn("message", message)
 
 

@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators.ordered import broadcast_if_small
 from chronoweave.operators.projection import format_fact
-from chronoweave.schema import DEFAULT_GROUP, DEFAULT_LIMIT
+from chronoweave.schema import (
+    AVAILABLE,
+    BAD_GROUP,
+    BAD_LIMIT,
+    CHECK_SKIPPED,
+    DEFAULT_GROUP,
+    DEFAULT_LIMIT,
+    FACT_ERROR,
+    NO_MODELS,
+    NOT_FOUND,
+    SHOWN_MODELS,
+)
 
 
 def filter_groups(
@@ -33,7 +44,7 @@ def filter_label(entities: DataFrame, label: str = "") -> DataFrame:
 def get_fact(facts: DataFrame, uuid: str) -> DataFrame:
     """C3, one fact: its formatted row, or one row with only `uuid` and `error`."""
     found = format_fact(facts.filter(F.col("uuid") == uuid)).withColumn("error", F.lit(None).cast("string"))
-    error = F.format_string("Error getting entity edge: edge %s not found", F.lit(uuid))
+    error = F.lit(f"{FACT_ERROR}edge {uuid} not found")
     hits = found.agg(F.count(F.lit(1)).alias("_n"))
     missing = hits.filter(F.col("_n") == 0).select(F.lit(uuid).alias("uuid"), error.alias("error"))
     return found.unionByName(missing, allowMissingColumns=True)
@@ -61,20 +72,14 @@ def check_membership(
     """
     asked = requests.select(F.col(key).alias("key"))
     if catalog is None:
-        skipped = f"{noun} validation skipped due to error: Missing 'models' field in response"
-        return asked.select("key", F.lit(True).alias("available"), F.lit(skipped).alias("message"))
+        return asked.select("key", F.lit(True).alias("available"), F.lit(CHECK_SKIPPED % noun).alias("message"))
 
-    head = catalog.orderBy("position").limit(5)  # the message shows five
+    head = catalog.orderBy("position").limit(SHOWN_MODELS)  # as many as the message shows
     names = F.transform(F.sort_array(F.collect_list(F.struct("position", key))), lambda x: x[key])
     shown = head.agg(F.array_join(names, ", ").alias("_shown"))
     known = catalog.select(F.col(key).alias("key"), F.lit(True).alias("_known")).distinct()
-
-    missing = F.concat(
-        F.lit(f"{noun} '"),
-        F.col("key"),
-        F.lit("' not found. Available models: "),
-        F.when(F.col("_shown") == "", "(none)").otherwise(F.col("_shown")),
-    )
+    listed = F.when(F.col("_shown") == "", NO_MODELS).otherwise(F.col("_shown"))
+    missing = F.format_string(NOT_FOUND, F.lit(noun), "key", listed)
     available = F.coalesce("_known", F.lit(False))
     # `known` has one row per key, so a hot requested key cannot multiply
     return (
@@ -83,14 +88,14 @@ def check_membership(
         .select(
             "key",
             available.alias("available"),
-            F.when(available, f"{noun} available").otherwise(missing).alias("message"),
+            F.when(available, AVAILABLE % noun).otherwise(missing).alias("message"),
         )
     )
 
 
 def check_limit(name: str, value: int) -> None:
     if value <= 0:
-        raise ValueError(f"{name} must be a positive integer")
+        raise ValueError(BAD_LIMIT % name)
 
 
 def get_episodes(
@@ -104,7 +109,7 @@ def get_episodes(
     check_limit("last_n", last_n)
     group = group_id if group_id is not None else default_group
     if not isinstance(group, str):
-        raise ValueError("Group ID must be a string")
+        raise ValueError(BAD_GROUP)
     bounded = episodes_before(episodes, F.current_timestamp() if reference_time is None else reference_time)
     return filter_groups(bounded, [group]).orderBy(F.desc("reference_time"), "uuid").limit(last_n)
 

@@ -78,3 +78,14 @@ DEFAULT_LIMIT = 10
 CACHE_TTL_SECONDS = 300
 RERANK_TOP_SCORE = 1.0
 RERANK_STEP = 0.01
+
+# The texts of messages.
+QUEUED = "Episode '%s' queued for processing (position: %d)"
+FACT_ERROR = "Error getting entity edge: "
+AVAILABLE = "%s available"
+NOT_FOUND = "%s '%s' not found. Available models: %s"
+NO_MODELS = "(none)"
+CHECK_SKIPPED = "%s validation skipped due to error: Missing 'models' field in response"
+SHOWN_MODELS = 5
+BAD_GROUP = "Group ID must be a string"
+BAD_LIMIT = "%s must be a positive integer"
