@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,35 +51,36 @@ def _served(df: DataFrame) -> DataFrame:
 
 def _walk(rows: DataFrame, key: str, id: str, ttl: int) -> DataFrame:
     """One pass over partitions sorted by (key, time); state is (key, last entry)."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("_kept", T.LongType()), T.StructField("hit", T.BooleanType())])
+    schema = T.StructType(
+        [*rows.schema.fields, T.StructField("_kept", T.LongType()), T.StructField("hit", T.BooleanType())]
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: tuple[object, int] | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, entry = None, None  # no entry yet
         for batch in batches:
-            t = batch["_t"].to_numpy()
-            codes, uniques = pd.factorize(batch[key], use_na_sentinel=False)
+            t = batch.column("_t").to_numpy()
+            coded = batch.column(key).dictionary_encode(null_encoding="encode")
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(t) else []
             kept = np.empty(len(t), dtype=np.int64)
             miss = np.zeros(len(t), dtype=bool)
             for a, b in zip(starts, [*starts[1:], len(t)]):
-                name = uniques[codes[a]]
-                name = None if pd.isna(name) else name
                 at = a
-                if state is not None and state[0] == name:
+                if entry is not None and name == names[codes[a]]:
                     # rows still served by the entry of the batch before
-                    at = a + int(np.searchsorted(t[a:b], state[1] + ttl))
-                    kept[a:at] = state[1]
-                    entry = state[1]
+                    at = a + int(np.searchsorted(t[a:b], entry + ttl))
+                    kept[a:at] = entry
+                name = names[codes[a]]
                 while at < b:
                     entry = int(t[at])
-                    nxt = at + max(1, int(np.searchsorted(t[at:b], entry + ttl)))
-                    kept[at:nxt], miss[at] = entry, True
-                    at = nxt
-                state = (name, entry)
-            yield batch.assign(_kept=kept, hit=~miss)
+                    after = at + int(np.searchsorted(t[at:b], entry + ttl))
+                    kept[at:after], miss[at] = entry, True
+                    at = after
+            columns = [*batch.columns, pa.array(kept), pa.array(~miss)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     ordered = rows.repartition(key).sortWithinPartitions(key, "_t", id)
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def _double(rows: DataFrame, key: str, id: str, ttl: int, hot_rows: int) -> DataFrame:
@@ -108,12 +109,13 @@ def _double(rows: DataFrame, key: str, id: str, ttl: int, hot_rows: int) -> Data
     entry = kept.select(F.col("k").alias("_k"), F.col("_t").alias("_e"))
     marked = rows.join(entry, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_e")), "left").drop("_k")
     found = with_last_seen(marked, [key], ["_t", id], "_e", "_kept", hot_rows)
-    # of several rows at an entry's instant the first is the miss
+    # of several rows at an entry's instant the first is the miss; a null id comes first
+    place = F.struct(F.col(id).isNotNull(), F.col(id))
     firsts = found.filter(F.col("_e").isNotNull()).groupBy(F.col(key).alias("_k"), F.col("_t").alias("_ft")).agg(
-        F.min(id).alias("_first")
+        F.min(place).alias("_first")
     )
     joined = found.join(firsts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_ft")), "left")
-    hit = F.col("_first").isNull() | (F.col(id) != F.col("_first"))
+    hit = F.col("_first").isNull() | ~place.eqNullSafe(F.col("_first"))
     return joined.withColumn("hit", hit).drop("_e", "_k", "_ft", "_first").select(*rows.columns, "_kept", "hit")
 
 

@@ -1,49 +1,34 @@
-"""Keyed state over streams."""
+"""Keyed state over streams.
+
+Each micro-batch runs the batch operator, which is safe from hot keys, on its
+own rows and the state the batch before has left.  Rows and state are written
+per batch id: a replayed batch reads the same state and writes the same rows.
+"""
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronoweave.operators.folds import COMPLETED, FAILED, IN_PROGRESS, NOT_STARTED
+from chronoweave.operators.folds import COMPLETED, FAILED, HOT_CACHE_ROWS, lifecycle, ttl_cache
 from chronoweave.operators.ordered import HOT_ROWS, broadcast_if_small, with_position
 from chronoweave.schema import CACHE_TTL_SECONDS
 
 
-def sequence_by_group(
-    stream: DataFrame, out: str, ckpt: str, arrival: str = "reference_time", hot_rows: int = HOT_ROWS
+def _each_batch(
+    stream: DataFrame, ckpt: str, out: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 ) -> StreamingQuery:
-    """Gap-free number of each episode within its group, across micro-batches.
-
-    A batch is numbered with the batch operator, which splits hot groups, and
-    shifted by the counters the batch before has left.  Rows and counters are
-    written per batch id, so a replay gives the same numbers.
-    """
+    """Runs `step(batch, state) -> (rows, state)`; rows go to `out`/rows."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = (
-            spark.read.parquet(f"{out}/counters/{batch_id - 1}")
-            if batch_id > 0
-            else spark.createDataFrame([], "group_id string, seen bigint")
-        )
+        before = batch.sparkSession.read.parquet(f"{out}/state/{batch_id - 1}") if batch_id > 0 else None
         batch = batch.persist()
-        placed = with_position(batch, ["group_id"], [arrival, "uuid"], "_here", hot_rows)
-        shifted = placed.join(broadcast_if_small(before), "group_id", "left")
-        number = F.col("_here") + F.coalesce("seen", F.lit(0))
-        shifted.withColumn("sequence", number).drop("_here", "seen").write.mode("overwrite").parquet(
-            f"{out}/sequenced/batch_id={batch_id}"
-        )
-        here = batch.groupBy("group_id").agg(F.count(F.lit(1)).alias("seen"))
-        after = before.unionByName(here).groupBy("group_id").agg(F.sum("seen").alias("seen"))
-        after.write.mode("overwrite").parquet(f"{out}/counters/{batch_id}")
+        rows, state = step(batch, before)
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        state.write.mode("overwrite").parquet(f"{out}/state/{batch_id}")
         batch.unpersist()
 
     return (
@@ -54,84 +39,86 @@ def sequence_by_group(
     )
 
 
-def ttl_cache_stream(
-    events: DataFrame, key: str, ts: str, id: str, ttl_seconds: int = CACHE_TTL_SECONDS
-) -> DataFrame:
-    """J5 on a stream whose batches arrive in time order; the state of a key is one number."""
-    ttl = ttl_seconds * 1_000_000
-    schema = T.StructType(
-        [
-            events.schema[key],
-            events.schema[id],
-            T.StructField("t", T.LongType()),
-            T.StructField("hit", T.BooleanType()),
-            T.StructField("kept", T.LongType()),
-        ]
-    )
+def sequence_by_group(
+    stream: DataFrame, out: str, ckpt: str, arrival: str = "reference_time", hot_rows: int = HOT_ROWS
+) -> StreamingQuery:
+    """Gap-free number of each episode within its group, across micro-batches.
 
-    def fold(name: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(chunks).sort_values(["t", id], kind="stable")
-        entry = state.get[0] if state.exists else None
-        kept, hits = [], []
-        for t in rows["t"].tolist():
-            hit = entry is not None and t - entry < ttl
-            entry = entry if hit else t
-            hits.append(hit)
-            kept.append(entry)
-        state.update((entry,))
-        yield rows.assign(hit=hits, kept=kept)[[key, id, "t", "hit", "kept"]]
-
-    folded = (
-        events.select(key, id, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-        .groupBy(key)
-        .applyInPandasWithState(fold, schema, "entry long", "append", GroupStateTimeout.NoTimeout)
-    )
-    return folded.select(
-        key, id, F.timestamp_micros("t").alias(ts), "hit", F.timestamp_micros("kept").alias("served_from")
-    )
+    The state is one counter per group.
+    """
 
+    def step(batch: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        placed = with_position(batch, ["group_id"], [arrival, "uuid"], "sequence", hot_rows)
+        here = batch.groupBy("group_id").agg(F.count(F.lit(1)).alias("seen"))
+        if seen is None:
+            return placed, here
+        shifted = placed.join(broadcast_if_small(seen), "group_id", "left")
+        number = F.col("sequence") + F.coalesce("seen", F.lit(0))
+        after = seen.unionByName(here).groupBy("group_id").agg(F.sum("seen").alias("seen"))
+        return shifted.withColumn("sequence", number).drop("seen"), after
 
-_LIFE_STATE = "state string, start_time long, completion_time long, error string"
+    return _each_batch(stream, ckpt, out, step)
 
 
-def lifecycle_stream(events: DataFrame, key: str) -> DataFrame:
-    """J6 on a stream with (key, ts, id, event, message): the state after each batch.
+def ttl_cache_stream(
+    stream: DataFrame,
+    out: str,
+    ckpt: str,
+    key: str,
+    ts: str,
+    id: str,
+    ttl_seconds: int = CACHE_TTL_SECONDS,
+    hot_rows: int = HOT_CACHE_ROWS,
+) -> StreamingQuery:
+    """J5 on a stream whose batches arrive in time order.
 
-    Update mode: a key's row replaces the one before.
+    The state is the entry of each key that can still serve.  Entries come
+    back as rows without id: the first row of its key, an entry is a miss again.
     """
-    schema = T.StructType(
-        [
-            events.schema[key],
-            T.StructField("state", T.StringType()),
-            T.StructField("start_time", T.LongType()),
-            T.StructField("completion_time", T.LongType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
 
-    def fold(name: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Spark concatenates the rows of many keys; all-null columns are meant
-        warnings.simplefilter("ignore", FutureWarning)
-        now, start, done, error = state.get if state.exists else (NOT_STARTED, None, None, None)
-        rows = pd.concat(chunks).sort_values(["t", "id"], kind="stable")
-        for t, event, message in zip(rows["t"].tolist(), rows["event"], rows["message"]):
-            if event == "fail":
-                now, done, error = FAILED, t, message
-            elif event == "start" and now == NOT_STARTED:
-                now, start = IN_PROGRESS, t
-            elif event == "complete" and now == IN_PROGRESS:
-                now, done = COMPLETED, t
-        state.update((now, start, done, error))
-        whole = lambda x: pd.array([x], dtype="Int64")
-        yield pd.DataFrame(
-            {key: [name[0]], "state": [now], "start_time": whole(start), "completion_time": whole(done),
-             "error": pd.array([error], dtype="string")}
+    def step(batch: DataFrame, entries: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = batch.select(key, id, ts, F.lit(True).alias("_new"))
+        if entries is not None:
+            none = F.lit(None).cast(batch.schema[id].dataType)
+            rows = rows.unionByName(entries.select(key, none.alias(id), ts, F.lit(False).alias("_new")))
+        cached = ttl_cache(rows, key, ts, id, ttl_seconds, hot_rows)
+        newest = F.broadcast(batch.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("_newest")))
+        alive = F.unix_micros(F.col(ts)) + ttl_seconds * 1_000_000 > F.col("_newest")
+        last = cached.groupBy(key).agg(F.max("served_from").alias(ts)).join(newest).filter(alive).drop("_newest")
+        return cached.filter("_new").drop("_new"), last
+
+    return _each_batch(stream, ckpt, out, step)
+
+
+def lifecycle_stream(stream: DataFrame, out: str, ckpt: str, key: str) -> StreamingQuery:
+    """J6 on a stream with (key, ts, id, event, message) whose batches arrive in time order.
+
+    Writes the new state of every key with events in the batch.  The state of a
+    key comes back as the events that lead to it, before all others.
+    """
+    first = -(2**63)
+
+    def replayed(states: DataFrame) -> DataFrame:
+        def event(when, at: str, place: int, name: str, message):
+            row = F.struct(
+                F.col(at).alias("ts"), F.lit(first + place).alias("id"), F.lit(name).alias("event"), message.alias("message")
+            )
+            return F.when(when, row)
+
+        none = F.lit(None).cast("string")
+        done = "completion_time"
+        events = F.array(
+            event(F.col("start_time").isNotNull(), "start_time", 0, "start", none),
+            event(F.col("state") == COMPLETED, done, 1, "complete", none),
+            event(F.col("state") == FAILED, done, 2, "fail", F.col("error")),
         )
+        return states.select(key, F.inline(F.array_compact(events)))
 
-    folded = (
-        events.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id", "event", "message")
-        .groupBy(key)
-        .applyInPandasWithState(fold, schema, _LIFE_STATE, "update", GroupStateTimeout.NoTimeout)
-    )
-    times = {c: F.timestamp_micros(c) for c in ("start_time", "completion_time")}
-    return folded.withColumns(times)
+    def step(batch: DataFrame, states: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        events = batch.select(key, F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"), "event", "message")
+        whole = events if states is None else events.unionByName(replayed(states))
+        after = lifecycle(whole, [key]).select(key, "state", "start_time", "completion_time", "error")
+        changed = batch.select(key).distinct()
+        return after.join(changed, key, "left_semi"), after
+
+    return _each_batch(stream, ckpt, out, step)

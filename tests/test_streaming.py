@@ -106,7 +106,7 @@ def test_sequence_has_no_gaps(table, spark, tmp_path, hot):
     for part in (rows[:20], rows[20:70], rows[70:]):
         put(table(part, RAW), inbox)
         sequence_by_group(stream_episodes(spark, inbox), out, ckpt, hot_rows=hot).awaitTermination()
-    got = {r.uuid: r.sequence for r in spark.read.parquet(f"{out}/sequenced").collect()}
+    got = {r.uuid: r.sequence for r in spark.read.parquet(f"{out}/rows").collect()}
     seen = {}
     for r in rows:
         seen[r[5]] = seen.get(r[5], 0) + 1
@@ -125,35 +125,33 @@ def test_dedup(table, spark, tmp_path):
     assert sorted(r.uuid for r in spark.read.parquet(out).collect()) == ["u", "v"]
 
 
-def run_parts(spark, df, at, tmp_path, make, mode):
-    """Feeds a table in two parts, in time order, and collects what comes out."""
+def run_parts(spark, df, tmp_path, start):
+    """Feeds a table in three parts, in time order, and reads what comes out."""
     inbox, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
-    cut = T0 + timedelta(minutes=25)
-    for part in (df.filter(F.col(at) <= cut), df.filter(F.col(at) > cut)):
+    cuts = [T0 + timedelta(minutes=m) for m in (15, 30)]
+    for part in (df.filter(F.col("ts") <= cuts[0]), df.filter((F.col("ts") > cuts[0]) & (F.col("ts") <= cuts[1])), df.filter(F.col("ts") > cuts[1])):
         put(part, inbox, "parquet")
-        stream = make(spark.readStream.schema(df.schema).parquet(inbox))
-        (
-            stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-            .foreachBatch(lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/b={n}"))
-            .trigger(availableNow=True).start().awaitTermination()
-        )
-    return spark.read.parquet(out).drop("b")
+        start(spark.readStream.schema(df.schema).parquet(inbox), out, ckpt).awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
 
 
-def test_cache_stream_is_the_batch(table, spark, tmp_path):
+@pytest.mark.parametrize("hot", [10**6, 20])
+def test_cache_stream_is_the_batch(table, spark, tmp_path, hot):
     rnd = random.Random(2)
-    df = table([(rnd.choice("ab"), T0 + timedelta(seconds=rnd.randrange(3000)), i) for i in range(150)], "k string, ts timestamp, id int")
-    got = run_parts(spark, df, "ts", tmp_path, lambda s: ttl_cache_stream(s, "k", "ts", "id", 300), "append")
-    same(ttl_cache(df, "k", "ts", "id", 300), got.drop("n"))
+    big = 2**60  # ids that a double cannot hold
+    rows = [(rnd.choice("aaab"), T0 + timedelta(seconds=rnd.randrange(3000)), big + i) for i in range(150)]
+    df = table(rows, "k string, ts timestamp, id long")
+    got = run_parts(spark, df, tmp_path, lambda s, out, ckpt: ttl_cache_stream(s, out, ckpt, "k", "ts", "id", 300, hot))
+    same(ttl_cache(df, "k", "ts", "id", 300), got.drop("batch_id"))
 
 
 def test_lifecycle_stream_is_the_batch(table, spark, tmp_path):
     rnd = random.Random(3)
-    rows = [(f"k{rnd.randrange(40)}", T0 + timedelta(minutes=rnd.randrange(50)), i, rnd.choice(["start", "complete", "fail"]), f"m{i}") for i in range(120)]
+    rows = [(f"k{rnd.randrange(60)}", T0 + timedelta(minutes=rnd.randrange(50)), i, rnd.choice(["start", "complete", "start", "complete", "fail"]), f"m{i}") for i in range(200)]
     df = table(rows, "key string, ts timestamp, id long, event string, message string")
-    got = run_parts(spark, df, "ts", tmp_path, lambda s: lifecycle_stream(s, "key"), "update")
+    got = run_parts(spark, df, tmp_path, lambda s, out, ckpt: lifecycle_stream(s, out, ckpt, "key"))
     columns = ["state", "start_time", "completion_time", "error"]
-    last = got.groupBy("key").agg(F.max_by(F.struct(*columns), "n").alias("r")).select("key", "r.*")
+    last = got.groupBy("key").agg(F.max_by(F.struct(*columns), "batch_id").alias("r")).select("key", "r.*")
     same(lifecycle(df, ["key"]).select("key", *columns), last)
 
 

@@ -653,7 +653,7 @@ def j2_sequence_by_group(v: Views) -> DataFrame:
     for half in halves:
         _arrive(half, inbox)
         sequence_by_group(stream_episodes(v.spark, inbox, "json"), out, ckpt).awaitTermination()
-    return v.spark.read.parquet(f"{out}/sequenced").select("uuid", "group_id", "sequence")
+    return v.spark.read.parquet(f"{out}/rows").select("uuid", "group_id", "sequence")
 
 
 @query
@@ -705,12 +705,8 @@ def j5_ttl_cache_stream(v: Views) -> DataFrame:
     for half in halves:
         _arrive(half, inbox, "parquet")
         stream = v.spark.readStream.schema(events.schema).parquet(inbox)
-        (
-            ttl_cache_stream(stream, "user_id", "ts", "event_id", CACHE_TTL)
-            .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-            .trigger(availableNow=True).start().awaitTermination()
-        )
-    return iso(v.spark.read.parquet(out), "ts", "served_from")
+        ttl_cache_stream(stream, out, ckpt, "user_id", "ts", "event_id", CACHE_TTL).awaitTermination()
+    return iso(v.spark.read.parquet(f"{out}/rows").drop("batch_id"), "ts", "served_from")
 
 
 @query
@@ -731,15 +727,11 @@ def j6_lifecycle_stream(v: Views) -> DataFrame:
     out, ckpt = scratch_path(v.spark, "life"), scratch_path(v.spark, "ckpt")
     for half in halves:
         _arrive(half, inbox, "parquet")
-        stream = lifecycle_stream(v.spark.readStream.schema(life.schema).parquet(inbox), "key")
-        (
-            stream.writeStream.outputMode("update").option("checkpointLocation", ckpt)
-            .foreachBatch(lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/b={n}"))
-            .trigger(availableNow=True).start().awaitTermination()
-        )
-    rows = v.spark.read.parquet(out)
+        stream = v.spark.readStream.schema(life.schema).parquet(inbox)
+        lifecycle_stream(stream, out, ckpt, "key").awaitTermination()
     columns = ["state", "start_time", "completion_time", "error"]
-    last = rows.groupBy("key").agg(F.max_by(F.struct(*columns), "n").alias("r")).select("key", "r.*")
+    rows = v.spark.read.parquet(f"{out}/rows")
+    last = rows.groupBy("key").agg(F.max_by(F.struct(*columns), "batch_id").alias("r")).select("key", "r.*")
     return iso(last, "start_time", "completion_time")
 
 
