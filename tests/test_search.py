@@ -1,16 +1,14 @@
 import math
-import random
 import re
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators import vectors as VEC
 from chronoweave.operators.ranking import passthrough_rerank, rrf_fuse, with_reranker
 from chronoweave.operators.text_index import bm25_search, build_index
-from chronoweave.plans.search import node_text, one_query, search_facts, search_nodes
+from chronoweave.plans.search import one_query, search_facts, search_nodes
 
 DOCS = {
     "1": "Red widget, red!", "2": "blue widget", "3": "", "4": "Ünïcode 漢字 красный widget 7", "5": "red", "6": "RED blue red widget",
