@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-_SPACE = r"[\x20\x09-\x0D]+"
-
 _OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -33,11 +31,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+_OP4 = r"""
+WITH u AS (SELECT page_id, url, position('://' IN url) AS p0 FROM pages),
+h AS (SELECT page_id, url, CASE WHEN p0 > 0 THEN translate(regexp_extract(substr(url, p0 + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN p0 > 0 THEN regexp_extract(substr(url, p0 + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+  CASE WHEN p0 > 0 THEN regexp_extract(substr(url, p0 + 3), '^[^/?#]*[^?#]*\?([^#]*)', 1) END AS query FROM u),
+c AS (SELECT page_id, url, host, path, list_sort(list_filter(string_split(query, '&'),
+    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS q FROM h),
+k AS (SELECT page_id, url, host, path, CASE WHEN q IS NOT NULL THEN
+    regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '/index\.html?$', ''), '/+$', '')
+    || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canon FROM c),
+listed AS (SELECT DISTINCT canon FROM k WHERE canon IS NOT NULL AND len(list_intersect(string_split(host, '.'), [@LABELS@])) > 0),
+r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(decision, h, p)),
+best AS (SELECT page_id, url, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(decision, length(r.h || r.p)) AS decision
+  FROM (SELECT DISTINCT page_id, url, host, path FROM k) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+SELECT k.page_id, host, path, rule, l.canon IS NOT NULL AS listed,
+  coalesce(decision, CASE WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN best ON k.page_id IS NOT DISTINCT FROM best.page_id AND k.url IS NOT DISTINCT FROM best.url LEFT JOIN listed l ON k.canon = l.canon
+"""
+
+_OP9 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, md5(':' || coalesce(doc_id::VARCHAR, '')) AS code FROM documents),
+x AS (SELECT s, count(*) AS cnt, floor(sqrt(count(*)) * 1000)::BIGINT AS x FROM d GROUP BY s),
+y AS (SELECT *, greatest(240, count(*) OVER ()) - count(*) OVER () AS free, sum(x) OVER ()::BIGINT AS sx FROM x),
+z AS (SELECT *, free * x // sx AS q, free * x % sx AS rem FROM y),
+v AS (SELECT s, cnt, (1 + q + CASE WHEN row_number() OVER (ORDER BY rem DESC, s) <= free - sum(q) OVER () THEN 1 ELSE 0 END)::BIGINT AS n FROM z),
+o AS (SELECT list(s ORDER BY s) AS ss, list(n ORDER BY s) AS ns, sum(n)::BIGINT AS total FROM v),
+st AS (SELECT -1::BIGINT AS t, list_transform(ns, lambda a: 0::BIGINT) AS done, 0::BIGINT AS pick, 0::BIGINT AS k FROM o
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda c, i: c + CASE WHEN i = best THEN 1 ELSE 0 END), best, done[best]
+  FROM (SELECT st.t, st.done, list_position(due, list_min(due)) AS best FROM (SELECT st.t, st.done,
+      list_transform(range(1, len(ns) + 1), lambda i: CASE WHEN st.done[i] < ns[i] AND st.done[i] * total // ns[i] <= st.t + 1
+        THEN ((st.done[i] + 1) * total + ns[i] - 1) // ns[i] END) AS due FROM st, o WHERE st.t + 1 < total) st)),
+plan AS (SELECT ss[pick] AS s, k, k * total // ns[pick] AS release, ((k + 1) * total + ns[pick] - 1) // ns[pick] AS deadline, t AS slot FROM st, o WHERE t >= 0),
+num AS (SELECT d.doc_id, d.source, d.s, n, (row_number() OVER (PARTITION BY d.s ORDER BY code, doc_id) - 1)::BIGINT AS seq FROM d JOIN v USING (s)),
+dry AS (SELECT min((cnt // 16) // n * total + slot) AS t FROM v JOIN plan USING (s), o WHERE k = (cnt // 16) % n)
+SELECT doc_id, source, seq, seq // 16 AS block, seq // 16 // n * total + release AS release, seq // 16 // n * total + deadline AS deadline,
+  seq // 16 // n * total + slot AS slot, (seq // 16 // n * total + slot) < dry.t AS in_mix
+FROM num JOIN plan ON plan.s = num.s AND plan.k = seq // 16 % n, o, dry
+"""
+
 
 def _filled() -> dict[str, str]:
     from chronoweave.llm import quality
+    from chronoweave.llm.queries import LISTED_LABELS
 
-    return {"op5_quality_rules": _OP5.replace("@BOILERPLATE@", "|".join(quality.BOILERPLATE))}
+    return {
+        "op4_url_filters": _OP4.replace("@LABELS@", ", ".join(f"'{x}'" for x in LISTED_LABELS)),
+        "op9_mix_sources": _OP9,
+        "op5_quality_rules": _OP5.replace("@BOILERPLATE@", "|".join(quality.BOILERPLATE)),
+    }
 
 
 ORACLE = _filled()

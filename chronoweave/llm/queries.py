@@ -4,9 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import quality
+from pyspark.sql import functions as F
+
+from chronoweave.llm import mixing, pii, quality, urls
 from chronoweave.llm.common import read
 
+URL_RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
+# The given pages come without a list; the URLs of pages below these host labels are the listed ones.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = F.split(urls.url_host(F.col("url")), r"\.")
+    listed = pages.filter(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in LISTED_LABELS]))).select("url")
+    return urls.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "listed", "verdict")
+
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -16,4 +31,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs).withColumn("_base", pii.base_only(F.col("spans")))
+    counts = [pii.count_kind(F.col("_base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.spans_text(F.col("_base")), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix_sources(docs).select("doc_id", "source", "seq", "block", "release", "deadline", "slot", "in_mix")
+
+
+QUERIES = {
+    "op4_url_filters": op4_url_filters,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_personal_data": op8_personal_data,
+    "op9_mix_sources": op9_mix_sources,
+}
