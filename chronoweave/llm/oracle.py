@@ -31,6 +31,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+_OP1 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>((?s).*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x:
+    trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'),
+      '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
 _OP4 = r"""
 WITH u AS (SELECT page_id, url, position('://' IN url) AS p0 FROM pages),
 h AS (SELECT page_id, url, CASE WHEN p0 > 0 THEN translate(regexp_extract(substr(url, p0 + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
@@ -77,6 +86,7 @@ def _filled() -> dict[str, str]:
     from chronoweave.llm.queries import LISTED_LABELS
 
     return {
+        "op1_html_extraction": _OP1,
         "op4_url_filters": _OP4.replace("@LABELS@", ", ".join(f"'{x}'" for x in LISTED_LABELS)),
         "op9_mix_sources": _OP9,
         "op5_quality_rules": _OP5.replace("@BOILERPLATE@", "|".join(quality.BOILERPLATE)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chronoweave.llm import minhash, mixing, pii, quality, urls
+from chronoweave.llm import html, minhash, mixing, pii, quality, urls
 from chronoweave.llm.common import read
 
 URL_RULES = [
@@ -16,6 +16,10 @@ URL_RULES = [
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the contract of this query asks for shingles of four words
     return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
@@ -52,6 +56,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
