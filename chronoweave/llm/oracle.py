@@ -59,6 +59,15 @@ SELECT k.page_id, host, path, rule, l.canon IS NOT NULL AS listed,
 FROM k LEFT JOIN best ON k.page_id IS NOT DISTINCT FROM best.page_id AND k.url IS NOT DISTINCT FROM best.url LEFT JOIN listed l ON k.canon = l.canon
 """
 
+_OP6 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM p QUALIFY rank <= 5
+"""
+
 _OP9 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, md5(':' || coalesce(doc_id::VARCHAR, '')) AS code FROM documents),
 x AS (SELECT s, count(*) AS cnt, floor(sqrt(count(*)) * 1000)::BIGINT AS x FROM d GROUP BY s),
@@ -88,6 +97,7 @@ def _filled() -> dict[str, str]:
     return {
         "op1_html_extraction": _OP1,
         "op4_url_filters": _OP4.replace("@LABELS@", ", ".join(f"'{x}'" for x in LISTED_LABELS)),
+        "op6_exact_top_k": _OP6,
         "op9_mix_sources": _OP9,
         "op5_quality_rules": _OP5.replace("@BOILERPLATE@", "|".join(quality.BOILERPLATE)),
     }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chronoweave.llm import html, minhash, mixing, pii, quality, urls
+from chronoweave.llm import html, minhash, mixing, pii, quality, topk, urls
 from chronoweave.llm.common import read
 
 URL_RULES = [
@@ -40,6 +40,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs).withColumn("_base", pii.base_only(F.col("spans")))
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
+    "op6_exact_top_k": op6_exact_top_k,
     "op8_personal_data": op8_personal_data,
     "op9_mix_sources": op9_mix_sources,
 }
