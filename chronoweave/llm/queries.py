@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chronoweave.llm import html, minhash, mixing, pii, quality, topk, urls
+from chronoweave.llm import html, lm, minhash, mixing, pii, quality, topk, urls
 from chronoweave.llm.common import read
 
 URL_RULES = [
@@ -60,6 +60,13 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "seq", "block", "release", "deadline", "slot", "in_mix")
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
+    )
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op3_near_duplicates": op3_near_duplicates,
@@ -68,4 +75,5 @@ QUERIES = {
     "op6_exact_top_k": op6_exact_top_k,
     "op8_personal_data": op8_personal_data,
     "op9_mix_sources": op9_mix_sources,
+    "op10_context_mixing": op10_context_mixing,
 }
