@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.words import mix, shingle_sets, slices
 from chronoweave.operators.resolution import connected
-from chronoweave.session import scratch_path
+from chronoweave.session import cut_lineage, scratch_path
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -116,8 +116,7 @@ class _Work:
         """Full shingle sets of the documents in shared buckets."""
         size = self.size
         wanted = ids.select(F.col("id").alias("doc_id")).distinct()
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        texts = self.texts.join(wanted, "doc_id", "left_semi")
+        texts = self.texts.join(_few(wanted), "doc_id", "left_semi")
         self.sets = self.written(texts.mapInArrow(lambda it: _sets(it, size), "id long, set array<long>"), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -213,8 +212,17 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     """`docs` with one document of each group: the one with the least doc_id.
 
-    Of several equal (doc_id, text) rows one stays; rows with a null doc_id all stay.
+    Of several rows with that doc_id one stays; rows with a null doc_id all stay.
     """
-    kept = near_duplicates(docs, **options).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
+    near = cut_lineage(near_duplicates(docs, **options).filter("doc_id IS NOT NULL").select("doc_id", "kept"))
+    repeated = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("kept")).filter("_n > 1")
+    others = docs.join(_few(near.filter("NOT kept").select("doc_id").unionByName(repeated.select("doc_id")).distinct()), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return others.select(docs.columns)
+    again = docs.join(_few(repeated.filter("kept").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return others.select(docs.columns).unionByName(again.select(docs.columns))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Broadcast behind a count; without it Spark joins by shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chronoweave.llm import html, lm, minhash, mixing, pii, quality, topk, urls
+from chronoweave.llm import html, lm, minhash, mixing, pieces, pii, quality, topk, urls
 from chronoweave.llm.common import read
 
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 ]
@@ -20,6 +21,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), MODEL_FILE)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the contract of this query asks for shingles of four words
     return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
@@ -69,6 +74,7 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,

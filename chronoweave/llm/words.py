@@ -36,7 +36,7 @@ _LOWER_VALUE = _VALUE[_LOWER]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if len(_powers[0]) < n:
         inverse = pow(_BASE, -1, 1 << 64)
@@ -85,7 +85,7 @@ def hash_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     border[offsets] = True
     starts = np.flatnonzero(full & (border[:-1] | np.concatenate(([True], ~full[:-1]))))
     ends = np.flatnonzero(full & (border[1:] | np.concatenate((~full[1:], [True])))) + 1
-    power, inverse = _power_table(n + 1)
+    power, inverse = power_table(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER_VALUE[data] * power[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
