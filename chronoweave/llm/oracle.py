@@ -68,6 +68,36 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM p QUALIFY rank <= 5
 """
 
+_OP7 = r"""
+WITH t AS (SELECT * FROM (VALUES @TEMPLATES@) x(template, licence, text)),
+f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+    source || '/' || (doc_id % 1000 // 100) || CASE WHEN doc_id % 50 = 0 THEN '/LICENSE' ELSE '/' || (doc_id % 100 // 10) || '/' || doc_id || '.txt' END AS path FROM documents),
+g AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir,
+    list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '@CUE@')), lambda x: trim(x)) AS ls FROM f),
+h AS (SELECT rid, path, dir, unnest(list_distinct(list_concat(ls, CASE WHEN doc_id % 50 = 0 AND len(ls) > 1 THEN [text] ELSE [] END))) AS statement FROM g),
+st AS (SELECT DISTINCT statement FROM h),
+sw AS (SELECT statement, unnest(list_filter(regexp_split_to_array(lower(statement), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM st),
+sc AS (SELECT statement, term, count(*) AS tf FROM sw GROUP BY ALL),
+tw AS (SELECT template, licence, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM t),
+tc AS (SELECT template, licence, term, count(*) AS tf FROM tw GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM st) + (SELECT count(*) FROM t) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0 AS idf
+  FROM (SELECT term FROM sc UNION ALL SELECT term FROM tc) GROUP BY term),
+sv AS (SELECT statement, term, tf * idf AS w FROM sc JOIN idf USING (term)),
+tv AS (SELECT template, licence, term, tf * idf AS v FROM tc JOIN idf USING (term)),
+c AS (SELECT statement, licence, round(sum(w * v) / (any_value(sn) * any_value(tn)), 6) AS cosine FROM sv JOIN tv USING (term)
+  JOIN (SELECT statement, sqrt(sum(w * w)) AS sn FROM sv GROUP BY 1) USING (statement)
+  JOIN (SELECT template, sqrt(sum(v * v)) AS tn FROM tv GROUP BY 1) USING (template) GROUP BY statement, template, licence),
+b AS (SELECT statement, licence, cosine FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, licence) = 1),
+own AS (SELECT rid, licence, cosine FROM h JOIN b USING (statement) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, licence) = 1),
+od AS (SELECT dir, licence, cosine FROM h JOIN b USING (statement) WHERE ends_with(path, '/LICENSE') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, licence) = 1),
+inh AS (SELECT rid, od.dir, od.licence, od.cosine FROM g JOIN od ON g.dir = od.dir OR starts_with(g.dir, od.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(od.dir) DESC) = 1)
+SELECT doc_id, path, coalesce(own.licence, inh.licence) AS licence, coalesce(own.cosine, inh.cosine) AS cosine,
+  CASE WHEN own.rid IS NOT NULL THEN 'own' WHEN inh.rid IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own.rid IS NULL THEN inh.dir END AS licence_dir
+FROM g LEFT JOIN own USING (rid) LEFT JOIN inh USING (rid)
+"""
+
 _OP9 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, md5(':' || coalesce(doc_id::VARCHAR, '')) AS code FROM documents),
 x AS (SELECT s, count(*) AS cnt, floor(sqrt(count(*)) * 1000)::BIGINT AS x FROM d GROUP BY s),
@@ -91,13 +121,15 @@ FROM num JOIN plan ON plan.s = num.s AND plan.k = seq // 16 % n, o, dry
 
 
 def _filled() -> dict[str, str]:
-    from chronoweave.llm import quality
+    from chronoweave.llm import licenses, quality
     from chronoweave.llm.queries import LISTED_LABELS
 
+    templates = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
     return {
         "op1_html_extraction": _OP1,
         "op4_url_filters": _OP4.replace("@LABELS@", ", ".join(f"'{x}'" for x in LISTED_LABELS)),
         "op6_exact_top_k": _OP6,
+        "op7_license_scan": _OP7.replace("@CUE@", licenses.CUE).replace("@TEMPLATES@", templates),
         "op9_mix_sources": _OP9,
         "op5_quality_rules": _OP5.replace("@BOILERPLATE@", "|".join(quality.BOILERPLATE)),
     }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chronoweave.llm import html, lm, minhash, mixing, pieces, pii, quality, topk, urls
+from chronoweave.llm import html, licenses, lm, minhash, mixing, pieces, pii, quality, topk, urls
 from chronoweave.llm.common import read
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -50,6 +50,17 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no paths; a layout of directories follows from their ids
+    digits = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(digits, F.lit(".txt")))
+    up = F.concat_ws("/", "source", (F.col("doc_id") % 1000 / 100).cast("long").cast("string"))
+    deep = F.concat_ws("/", up, (F.col("doc_id") % 100 / 10).cast("long").cast("string"))
+    path = F.concat_ws("/", F.when(F.col("doc_id") % 50 == 0, up).otherwise(deep), name)
+    files = read(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return licenses.scan_licenses(files).select("doc_id", "path", "licence", "cosine", "origin", "licence_dir")
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs).withColumn("_base", pii.base_only(F.col("spans")))
@@ -79,6 +90,7 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_license_scan": op7_license_scan,
     "op8_personal_data": op8_personal_data,
     "op9_mix_sources": op9_mix_sources,
     "op10_context_mixing": op10_context_mixing,
