@@ -7,12 +7,13 @@ by one more place for every coordinate, and the least value is the coordinate.
 Coordinates are cut into bands; documents that agree on a band share a bucket.
 
 Equal sets become one class first, and only class representatives go on.  In
-every bucket the members are compared with the least one, on their full sets.
-Members that stay outside its group are then compared with all members of
-other groups in their bucket: pairs whose documents are already connected need
-no comparison, so a group of near copies costs its size, not its square.  A
-bucket with more outsiders than OUTSIDERS is divided by its members' further
-bands first.  Nothing is capped.
+every bucket the members are compared with the least one, on their full sets,
+and those that are not near it with PIVOTS other members.  Where a bucket then
+still holds several groups, the members outside the least one's group are
+compared with all members of other groups: documents already connected need no
+comparison, so a group of near copies costs its size, not its square.  A bucket
+with more outsiders than OUTSIDERS is divided by its members' further bands
+first.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm.components import components, few
 from chronoweave.llm.words import mix, shingle_sets, slices
-from chronoweave.operators.resolution import connected
 from chronoweave.session import cut_lineage, scratch_path
 
 SHINGLE_WORDS = 5
@@ -33,10 +34,10 @@ PERCENT = 80
 # A pair of similarity 0.8 misses all 40 bands of 5 with probability 1.2e-7.
 BANDS = 40
 ROWS = 5
-OUTSIDERS = 64
+OUTSIDERS = 1000
+PIVOTS = 8
+SKETCH_WORDS = 3
 MAX_DEPTH = 3
-# ids are broadcast up to this many (8 bytes each), else joined by shuffle
-BROADCAST_IDS = 1_000_000
 
 _CHUNK = 512
 _SIGNED = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>"
@@ -64,21 +65,28 @@ def coordinates(members: np.ndarray, count: int) -> np.ndarray:
     return least
 
 
-def band_keys(members: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit bucket key per band; the band's number is part of it."""
-    values = coordinates(members, bands * rows).reshape(bands, rows).astype(np.uint64)
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit bucket key per band of coordinates; the band's number is part of it."""
+    values = values.reshape(bands, rows).astype(np.uint64)
     key = np.arange(1, bands + 1, dtype=np.uint64)
     for k in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, k])
     return key.view(np.int64)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """One bit of each of the first 64 * SKETCH_WORDS coordinates, as whole numbers."""
+    bits = (values[: 64 * SKETCH_WORDS] & np.uint32(1)).astype(np.uint8)
+    return np.packbits(np.resize(bits, 64 * SKETCH_WORDS), bitorder="little").view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).fill_null("")
         for lo, hi in slices(texts):
             sets = shingle_sets(texts.slice(lo, hi - lo), size)
-            keys = [band_keys(s, bands, rows) if len(s) else np.zeros(0, np.int64) for s in sets]
+            values = [coordinates(s, bands * rows) if len(s) else None for s in sets]
+            keys = [np.zeros(0, np.int64) if v is None else np.concatenate((band_keys(v, bands, rows), sketch(v))) for v in values]
             digest = np.array([[s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -105,78 +113,124 @@ class _Work:
 
     def __init__(self, texts: DataFrame, size: int, percent: int):
         self.spark, self.texts, self.size, self.percent = texts.sparkSession, texts, size, percent
-        self.sets: DataFrame | None = None
+        self.calls = 0
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, f"minhash-{name}")
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def load_sets(self, ids: DataFrame) -> None:
-        """Full shingle sets of the documents in shared buckets."""
+    def confirmed(self, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+        """The (a, b) of `pairs` whose full sets are similar enough.
+
+        Pairs that differ too much in size, or in more sketch bits than similar
+        sets do but once in 10^8, are left out before the sets are fetched.
+        """
+        of = self.sketches(firsts)
+        return self.compared(pairs.join(of["a"], "a").join(of["b"], "b").filter(self.likely()).select("a", "b"))
+
+    def sketches(self, firsts: DataFrame) -> dict[str, DataFrame]:
+        """Sizes and sketches, named for either end of a pair."""
+        known = few(firsts.select("id", "n", "sketch"))
+        return {x: known.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"}
+
+    def likely(self) -> Column:
+        """Condition over n_a, n_b, s_a and s_b."""
+        apart = sum((F.bit_count(F.get("s_a", F.lit(w)).bitwiseXOR(F.get("s_b", F.lit(w)))) for w in range(SKETCH_WORDS)), F.lit(0))
+        near_size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
+        return near_size & (apart <= _most_apart(self.percent))
+
+    def compared(self, likely: DataFrame) -> DataFrame:
+        """The (a, b) of `likely` whose full sets are similar enough."""
+        return self.measured(likely).filter(F.col("both") * 100 >= F.col("union") * self.percent).select("a", "b")
+
+    def measured(self, likely: DataFrame) -> DataFrame:
+        """(a, b, both, union): sizes of the intersection and the union of the full sets."""
+        self.calls += 1
+        likely = self.written(likely, f"likely-{self.calls}")
+        ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
         size = self.size
-        wanted = ids.select(F.col("id").alias("doc_id")).distinct()
-        texts = self.texts.join(_few(wanted), "doc_id", "left_semi")
-        self.sets = self.written(texts.mapInArrow(lambda it: _sets(it, size), "id long, set array<long>"), "sets")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) of `pairs` whose full sets are similar enough."""
-        of_a = self.sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-        of_b = self.sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        similar = both * 100 >= (F.size("sa") + F.size("sb") - both) * self.percent
-        return pairs.join(of_b, "b").join(of_a, "a").filter(similar).select("a", "b")
+        sets = self.texts.join(few(ids), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, size), "id long, set array<long>")
+        sets = self.written(sets, f"sets-{self.calls}")
+        of_a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
+        of_b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+        sized = likely.join(of_b, "b").join(of_a, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+        return sized.select("a", "b", "both", (F.col("na") + F.col("nb") - F.col("both")).alias("union"))
 
-    def near_in_size(self, n_a: str, n_b: str) -> F.Column:
-        return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * self.percent
 
-
-def _groups(links: DataFrame) -> DataFrame:
-    return connected(links).select(F.col("uuid").alias("id"), F.col("root").alias("group"))
+def _most_apart(percent: int) -> int:
+    """Sketch bits in which sets of the given similarity differ, and 5.7 standard deviations more."""
+    bits, p = 64 * SKETCH_WORDS, (100 - percent) / 200
+    return int(bits * p + 5.7 * (bits * p * (1 - p)) ** 0.5) + 1
 
 
 def _linked(work: _Work, firsts: DataFrame, outsiders: int) -> DataFrame | None:
-    """Links (a, b) that connect every group of the class representatives `firsts` (id, n, bands).
+    """Links (a, b) that connect every group of the class representatives `firsts` (id, n, bands, sketch).
 
     None when no two of them share a bucket.
     """
-    keyed = firsts.select(F.posexplode("bands").alias("band", "key"), "id", "n")
+    keyed = firsts.select(F.posexplode("bands").alias("band", "key"), "id")
     links = None
     for depth in range(MAX_DEPTH + 1):
-        star = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max("id").alias("_top")).filter("c.id < _top")
-        star = star.select("key", F.col("c.id").alias("center"), F.col("c.n").alias("center_n"))
+        star = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_top")).filter("center < _top").drop("_top")
         shared = work.written(keyed.join(star, "key"), f"shared-{depth}")
         if shared.isEmpty():
             return links
-        if work.sets is None:
-            work.load_sets(shared)
-        pairs = shared.filter((F.col("id") != F.col("center")) & work.near_in_size("n", "center_n"))
-        found = work.confirmed(pairs.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
-        links = work.written(found if links is None else links.unionByName(found), f"links-{depth}")
-        grouped = shared.join(_groups(links), "id", "left").withColumn("group", F.coalesce("group", "id"))
+        pairs = shared.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+        found = work.written(work.confirmed(pairs, firsts), f"star-{depth}")
+        pivots = work.compared(_pivot_pairs(work, shared, found, firsts, depth))
+        links = work.written((found if links is None else links.unionByName(found)).unionByName(pivots), f"links-{depth}")
+        grouped = shared.join(few(components(links)), "id", "left").withColumn("group", F.coalesce("group", "id"))
         of_center = F.max(F.when(F.col("id") == F.col("center"), F.col("group"))).alias("main")
         mixed = grouped.groupBy("key").agg(of_center, F.min("group").alias("_lo"), F.max("group").alias("_hi")).filter("_lo < _hi")
         still = work.written(grouped.join(mixed.select("key", "main"), "key"), f"open-{depth}")
+        if still.isEmpty():
+            return links
+        # the similarity of every member of these buckets to the least one
+        known = work.measured(still.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
+        near = few(work.written(known.groupBy("a", "b").agg(F.when(F.count(F.lit(1)) == 1, F.max(F.col("both") / F.col("union"))).alias("near")), f"near-{depth}"))
+        near = near.select(F.col("a").alias("center"), F.col("b").alias("id"), "near")
         out = F.col("group") != F.col("main")
-        counted = still.groupBy("key").agg(F.sum(out.cast("long")).alias("outside"))
+        counted = work.written(still.groupBy("key").agg(F.sum(out.cast("long")).alias("outside")), f"outside-{depth}")
         light = counted.filter(F.col("outside") <= outsiders) if depth < MAX_DEPTH else counted
-        rest = still.join(light.select("key"), "key").select("key", "id", "n", "group", out.alias("out"))
-        left = rest.filter("out").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("group").alias("g_a"))
-        right = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("g_b"), "out")
-        other = (F.col("g_a") != F.col("g_b")) & (~F.col("out") | (F.col("a") < F.col("b")))
-        cross = left.join(right, "key").filter(other & work.near_in_size("n_a", "n_b")).select("a", "b").distinct()
-        links = work.written(links.unionByName(work.confirmed(cross)), f"more-{depth}")
+        rest = still.join(few(light.select("key")), "key").join(few(firsts.select("id", "n", "sketch")), "id")
+        rest = rest.join(near, ["center", "id"], "left").withColumn("near", F.when(F.col("id") == F.col("center"), 1.0).otherwise(F.col("near")))
+        rest = rest.select("key", "id", "group", "n", "sketch", "near", out.alias("out"))
+        left, right = [
+            rest.select("key", F.col("id").alias(x), F.col("group").alias(f"g_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("near").alias(f"near_{x}"), F.col("out").alias(f"out_{x}"))
+            for x in "ab"
+        ]
+        # conditions of the join itself, so that pairs that cannot be similar are never made: sizes, sketches,
+        # and the triangle inequality of Jaccard distances to the bucket's least member
+        other = (F.col("g_a") != F.col("g_b")) & (~F.col("out_b") | (F.col("a") < F.col("b")))
+        # (a document of several texts has no single distance)
+        triangle = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) <= 1 - work.percent / 100 + 1e-9, F.lit(True))
+        cross = left.filter("out_a").join(right, "key").filter(other & triangle & work.likely()).select("a", "b").distinct()
+        links = work.written(links.unionByName(work.compared(cross)), f"more-{depth}")
         heavy = counted.filter(F.col("outside") > outsiders).select("key")
         if depth == MAX_DEPTH or heavy.isEmpty():
             return links
-        crowded = still.join(heavy, "key", "left_semi").select("id", "n", F.col("key").alias("_key"), F.col("band").alias("_band"))
+        crowded = still.join(few(heavy), "key", "left_semi").select("id", F.col("key").alias("_key"), F.col("band").alias("_band"))
         further = crowded.join(firsts.select("id", "bands"), "id").select("*", F.posexplode("bands").alias("band", "_next"))
-        keyed = work.written(
-            further.filter("band > _band").select("band", F.xxhash64("_key", "_next").alias("key"), "id", "n"), f"keyed-{depth}"
-        )
+        keyed = work.written(further.filter("band > _band").select("band", F.xxhash64("_key", "_next").alias("key"), "id"), f"keyed-{depth}")
     return links
 
 
+def _pivot_pairs(work: _Work, shared: DataFrame, found: DataFrame, firsts: DataFrame, depth: int) -> DataFrame:
+    """Likely pairs (a, b) of members outside their bucket's star and PIVOTS members of the bucket drawn by hash."""
+    of = work.sketches(firsts)
+    inside = few(found.select(F.col("a").alias("center"), F.col("b").alias("id")))
+    outside = shared.filter("id <> center").join(inside, ["center", "id"], "left_anti").select("key", "id")
+    outside = work.written(outside, f"outside-star-{depth}")
+    open_keys = few(outside.select("key").distinct())
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id")).getField("id").alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = shared.filter("id <> center").join(open_keys, "key", "left_semi").groupBy("key").agg(*drawn)
+    pivots = pivots.select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("b"))
+    left = outside.select("key", F.col("id").alias("a")).join(of["a"], "a")
+    pairs = left.join(pivots.join(of["b"], "b"), "key").filter((F.col("a") != F.col("b")) & work.likely())
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT,
     bands: int = BANDS, rows: int = ROWS, outsiders: int = OUTSIDERS,
@@ -196,13 +250,15 @@ def near_duplicates(
     classes = taking.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     first = F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")
     members = work.written(taking.join(classes, digest).select("doc_id", "n_shingles", "rep", first), "members")
-    firsts = members.filter(F.col("bands").isNotNull()).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "bands")
+    # the array holds the band keys, then the sketch
+    keys, sketched = F.slice("bands", 1, bands).alias("bands"), F.slice("bands", bands + 1, SKETCH_WORDS).alias("sketch")
+    firsts = members.filter(F.col("bands").isNotNull()).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), keys, sketched)
     links = _linked(work, firsts, outsiders)
     # documents of several texts connect the classes they are in
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_hi")).filter("a < _hi")
     several = several.join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").filter("a < b").select("a", "b")
     links = several if links is None else links.unionByName(several)
-    reps = members.select("doc_id", "n_shingles", "rep").join(_groups(links).withColumnRenamed("id", "rep"), "rep", "left")
+    reps = members.select("doc_id", "n_shingles", "rep").join(few(components(links)).withColumnRenamed("id", "rep"), "rep", "left")
     linked = reps.select("doc_id", "n_shingles", F.coalesce("group", "rep").alias("component_id"))
     alone = signed.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
     both = linked.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -216,13 +272,8 @@ def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     """
     near = cut_lineage(near_duplicates(docs, **options).filter("doc_id IS NOT NULL").select("doc_id", "kept"))
     repeated = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("kept")).filter("_n > 1")
-    others = docs.join(_few(near.filter("NOT kept").select("doc_id").unionByName(repeated.select("doc_id")).distinct()), "doc_id", "left_anti")
+    others = docs.join(few(near.filter("NOT kept").select("doc_id").unionByName(repeated.select("doc_id")).distinct()), "doc_id", "left_anti")
     if repeated.isEmpty():
         return others.select(docs.columns)
-    again = docs.join(_few(repeated.filter("kept").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = docs.join(few(repeated.filter("kept").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return others.select(docs.columns).unionByName(again.select(docs.columns))
-
-
-def _few(ids: DataFrame) -> DataFrame:
-    """Broadcast behind a count; without it Spark joins by shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -76,6 +76,9 @@ class Vocabulary:
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(plain)[order].astype(np.int32)
         self.longest = max(len(self.pieces[i]) for i in plain)
+        starts = {self.pieces[i][:k] for i in plain for k in range(1, len(self.pieces[i]))}
+        self.prefixes = np.zeros(1 << 22, bool)
+        self.prefixes[(np.array([_hash_text(p) for p in starts], np.uint64) >> np.uint64(42)).astype(np.int64)] = True
         # first place to look by the upper bits; pieces that meet there are found by search
         self.place = np.full(1 << 20, -1, np.int32)
         self.place[(self.hashes >> np.uint64(44)).astype(np.int64)] = np.arange(len(self.hashes), dtype=np.int32)
@@ -86,6 +89,10 @@ class Vocabulary:
             for i, p in enumerate(self.pieces)
         ]
 
+    def begins(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether a longer piece may begin with the hashed text."""
+        return self.prefixes[(hashes >> np.uint64(42)).astype(np.int32)]
+
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Piece id per hash, -1 for none."""
         upper = (hashes >> np.uint64(44)).astype(np.int32)
@@ -119,23 +126,31 @@ class Lattice:
         left = ends - np.arange(n, dtype=np.int32)
         rolled = value.copy()
         at = np.arange(n, dtype=np.int32)
-        nodes, lengths, ids = [], [], []
+        hits = []
         for length in range(1, longest + 1):
             if length > 1:
-                fits = left[at] >= length
+                fits = (left[at] >= length) & vocab.begins(rolled)
                 at, rolled = at[fits], rolled[fits]
                 rolled = rolled * _BASE + value[at + length - 1]
             found = vocab.lookup(rolled)
             if length == 1:
                 found = np.where(found < 0, self._bytes_of(codes), found)
             hit = np.flatnonzero(found != -1)
-            nodes.append(at[hit])
-            lengths.append(np.full(len(hit), length, np.int32))
-            ids.append(found[hit])
-        node, length, piece = np.concatenate(nodes), np.concatenate(lengths), np.concatenate(ids)
-        order = np.lexsort((node, left[node]))  # by distance from the unit's end, then node, then length
-        node, length, piece = node[order], length[order], piece[order]
-        del order, nodes, lengths, ids, rolled, at, value
+            hits.append((at[hit], found[hit]))
+        # edges by distance of their node from the unit's end, then node, then length
+        degree = np.zeros(n, np.int32)
+        for where, _ in hits:
+            degree[where] += 1
+        order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        place = np.empty(n, np.int32)
+        place[order] = np.cumsum(degree[order]) - degree[order]
+        total = int(degree.sum())
+        node, length, piece = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32)
+        for k, (where, found) in enumerate(hits, 1):
+            to = place[where]
+            node[to], length[to], piece[to] = where, k, found
+            place[where] += 1
+        del order, place, hits, rolled, at, value
         weight = np.where(piece >= 0, vocab.log_weight[piece], 0.0)
         wide = np.flatnonzero(piece == -2)
         weight[wide] = vocab.byte_weight * _byte_count(codes[node[wide]])
@@ -155,18 +170,17 @@ class Lattice:
             t = weight[lo:hi] + sums[to[lo:hi]]
             top = np.maximum.reduceat(t, heads)
             size = np.diff(np.append(heads, hi - lo))
-            total = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, size)), heads))
-            sums[node[lo:hi][heads]] = total
-            terms[lo:hi] = t - np.repeat(total, size)
+            whole = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, size)), heads))
+            sums[node[lo:hi][heads]] = whole
+            terms[lo:hi] = t - np.repeat(whole, size)
         self.ids, self.log_share = piece.astype(np.int32), terms
         self.edge = np.full((n, longest), -1, np.int32)
         self.edge[node, length - 1] = np.arange(len(node), dtype=np.int32)
         share = np.zeros((n, longest), np.float32)
         share[node, length - 1] = np.exp(terms)
         self.cum = np.cumsum(share, axis=1)
-        self.last = np.zeros(n, np.int8)
-        np.maximum.at(self.last, node, (length - 1).astype(np.int8))
-        self.degree = np.bincount(node, minlength=n).astype(np.int8)
+        self.degree, self.last = degree, np.zeros(n, np.int8)
+        self.last[node[first]] = length[np.append(first[1:], total) - 1] - 1
 
     def _bytes_of(self, codes: np.ndarray) -> np.ndarray:
         """Byte piece of each ASCII character, -2 for the others."""
