@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # Anything that is neither a letter nor a digit, in any script.
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
-SENTENCE_BREAK = r"(?<=[.!?])\s+"
+SENTENCE_BREAK = r"(?<=[.!?])\s+|[\r\n]+"
+# Marks of a list item at the start of a line.
+LIST_MARK = r"^(?:[-*•]|\d+[.)])\s+"
 
 
 def tokens(text: Column) -> Column:
@@ -16,9 +18,10 @@ def tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences without their end marks and outer blanks."""
+    """Sentences and lines without list marks, end marks and outer blanks."""
     parts = F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK)
-    trimmed = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.trim(s), r"[.!?]+$", "")))
+    bare = lambda s: F.regexp_replace(F.regexp_replace(F.trim(s), LIST_MARK, ""), r"[.!?]+$", "")
+    trimmed = F.transform(parts, lambda s: F.trim(bare(s)))
     return F.filter(trimmed, lambda s: s != "")
 
 
@@ -28,5 +31,14 @@ def normalized_name(name: Column) -> Column:
 
 
 def stable_id(*parts: Column) -> Column:
-    """Deterministic id, so that a rerun or a retried task writes the same key."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """Deterministic id, so that a rerun or a retried task writes the same key.
+
+    Every part brings its length, and null is not the empty text, so different
+    parts never join to the same text.
+    """
+
+    def marked(part: Column) -> Column:
+        text = part.cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.sha2(F.concat_ws("|", *[marked(p) for p in parts]), 256)

@@ -40,99 +40,132 @@ PROJECT = "Project"
 NAME_KEYS = ["name", "title", "id"]
 
 
-def split_turns(episodes: DataFrame) -> DataFrame:
-    """turns of message episodes as (uuid, turn, role, text).
+def _turns(content: Column) -> Column:
+    """Turns of a chat as array<struct<role, text>>.
 
     A line starting with a role opens a turn, other lines continue it; text
     before the first role belongs to the user.
     """
     role = "|".join(ROLES)
-    opened = F.split("content", rf"(?i)(?:^|\n)(?=(?:{role}):)")
-    turns = (
-        episodes.filter((F.col("source") == "message") & (F.col("content") != ""))
-        .select("uuid", F.posexplode(F.filter(opened, lambda t: t != "")).alias("turn", "_t"))
-        .withColumn("_role", F.lower(F.regexp_extract("_t", rf"(?i)^({role}):", 1)))
-    )
-    return turns.select(
-        "uuid",
-        F.col("turn").cast("long").alias("turn"),
-        F.when(F.col("_role") == "", "user").otherwise(F.col("_role")).alias("role"),
-        F.regexp_replace("_t", rf"(?i)^(?:{role}):[^\S\n]*", "").alias("text"),
-    )
+    opened = F.filter(F.split(content, rf"(?i)(?:^|\n)(?=(?:{role}):)"), lambda t: t != "")
 
+    def turn(t: Column) -> Column:
+        who = F.lower(F.regexp_extract(t, rf"(?i)^({role}):", 1))
+        return F.struct(
+            F.when(who == "", "user").otherwise(who).alias("role"),
+            F.regexp_replace(t, rf"(?i)^(?:{role}):[^\S\n]*", "").alias("text"),
+        )
 
-def _walk(text: str | None, label: str | None, max_depth: int) -> Iterator[tuple]:
-    """(label, name, path, parent, attributes) of every object in a JSON text."""
-    try:
-        root = json.loads(text) if text else None
-    except ValueError:
-        return
-    todo = [(root, label, ROOT, None, 0)]
+    return F.transform(opened, turn)
+
+
+def split_turns(episodes: DataFrame) -> DataFrame:
+    """turns of message episodes as (uuid, turn, role, text)."""
+    chats = episodes.filter((F.col("source") == "message") & (F.col("content") != ""))
+    turns = chats.select("uuid", F.posexplode(_turns(F.col("content"))).alias("turn", "_t"))
+    return turns.select("uuid", F.col("turn").cast("long").alias("turn"), "_t.role", "_t.text")
+
+
+def _walk(text: str, label: str | None) -> list[tuple]:
+    """(label, name, path, parent, attributes) of every object in a JSON text, however deep."""
+    found = []
+    todo = [(json.loads(text), label, ROOT, None)]
     while todo:
-        value, key, path, parent, depth = todo.pop()
+        value, key, path, parent = todo.pop()
         if isinstance(value, list):
             # elements take the array's key and belong to the object around it
-            todo.extend((v, key, f"{path}[{i}]", parent, depth) for i, v in enumerate(value))
-        elif isinstance(value, dict) and depth <= max_depth:
+            todo.extend((v, key, f"{path}[{i}]", parent) for i, v in enumerate(value))
+        elif isinstance(value, dict):
             named = [value[k] for k in NAME_KEYS if isinstance(value.get(k), (str, int, float))]
             name = (named[0] if isinstance(named[0], str) else json.dumps(named[0])) if named else None
             name = name if name is not None else (key if path == ROOT else path)
-            plain = [(k, v) for k, v in value.items() if not _has_object(v)]
-            yield key, name, path, parent, [(k, json.dumps(v, ensure_ascii=False, separators=(",", ":"))) for k, v in plain]
+            inner = {k for k, v in value.items() if _has_object(v)}
+            plain = [(k, json.dumps(v, ensure_ascii=False, separators=(",", ":"))) for k, v in value.items() if k not in inner]
+            found.append((key, name, path, parent, plain))
             me = {"path": path, "label": key, "name": name}
-            todo.extend((v, k, f"{path}.{k}", me, depth + 1) for k, v in value.items() if _has_object(v))
+            todo.extend((v, k, f"{path}.{k}", me) for k, v in value.items() if k in inner)
+    return found
 
 
 def _has_object(value: object) -> bool:
-    return isinstance(value, dict) or (isinstance(value, list) and any(_has_object(v) for v in value))
-
-
-_OBJECT_COLUMNS = {
-    "label": "string",
-    "name": "string",
-    "path": "string",
-    "parent": "struct<path:string,label:string,name:string>",
-    "attributes": "map<string,string>",
-}
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            return True
+        if isinstance(v, list):
+            todo.extend(v)
+    return False
+
+
+_OBJECT = pa.struct(
+    [
+        ("label", pa.string()), ("name", pa.string()), ("path", pa.string()),
+        ("parent", pa.struct([("path", pa.string()), ("label", pa.string()), ("name", pa.string())])),
+        ("attributes", pa.map_(pa.string(), pa.string())),
+    ]
+)
+_OBJECT_SQL = "struct<label:string,name:string,path:string,parent:struct<path:string,label:string,name:string>,attributes:map<string,string>>"
+MISSING, NOT_JSON, UNREADABLE = "missing content", "content is not valid JSON", "content cannot be read: "
+
+
+def _objects_of(text: str | None, label: str | None) -> tuple[pa.Array, str | None]:
+    """(objects of one text as a one-row list array, error); no text stops the others."""
+    none = pa.array([None], pa.list_(_OBJECT))
+    if text is None:
+        return none, None
+    try:
+        fields = ("label", "name", "path", "parent", "attributes")
+        return pa.array([[dict(zip(fields, o, strict=True)) for o in _walk(text, label)]], pa.list_(_OBJECT)), None
+    except (ValueError, RecursionError, MemoryError, pa.ArrowException) as e:  # includes lone surrogates
+        return none, UNREADABLE + type(e).__name__
 
 
-def json_objects(episodes: DataFrame, max_depth: int = 4) -> DataFrame:
-    """Every JSON object of JSON episodes, down to `max_depth` nested objects.
+def with_objects(episodes: DataFrame) -> DataFrame:
+    """`episodes` plus `objects` (of JSON episodes) and `error` (null when the episode can be processed).
 
-    Contents nest freely, which column expressions can follow only level by
-    level; a batch function walks each text once instead.  Narrow: no shuffle.
+    The one place that parses contents.  Contents nest freely, which column
+    expressions can follow only level by level; a batch function walks each
+    text once instead, and a text it cannot read becomes an error of its row.
+    Narrow: no shuffle.
     """
-    columns = ["uuid", "group_id", "reference_time"]
-    types = [pa.string(), pa.string(), pa.string(),
-             pa.struct([("path", pa.string()), ("label", pa.string()), ("name", pa.string())]),
-             pa.map_(pa.string(), pa.string())]
+    is_json = F.coalesce(F.lower("source") == "json", F.lit(False))
+    bad_json = is_json & F.try_parse_json("content").isNull()
+    error = F.when(F.col("content").isNull(), MISSING).when(bad_json, NOT_JSON)
+    judged = episodes.drop("objects", "error").withColumn("error", error)
+    columns = judged.columns
+    parsed = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in judged.schema.fields)}, objects array<{_OBJECT_SQL}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, labels = batch.column("content").to_pylist(), batch.column("name").to_pylist()
-            found = [
-                (i, *obj) for i, pair in enumerate(zip(texts, labels)) for obj in _walk(*pair, max_depth)
-            ]
-            at, *fields = zip(*found) if found else [()] * (1 + len(types))
-            rows = pa.array(at, pa.int32())
-            kept = [batch.column(c).take(rows) for c in columns]
-            made = [pa.array(f, t) for f, t in zip(fields, types)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*columns, *_OBJECT_COLUMNS])
-
-    source = episodes.filter(F.lower("source") == "json").select(*columns, "name", "content")
-    kept = [f"{c} {source.schema[c].dataType.simpleString()}" for c in columns]
-    schema = ", ".join([*kept, *[f"{n} {t}" for n, t in _OBJECT_COLUMNS.items()]])
-    return source.mapInArrow(run, schema).withColumnRenamed("uuid", "episode_uuid")
-
-
-def json_entities(episodes: DataFrame, max_depth: int = 4) -> DataFrame:
+            errors = batch.column("error").to_pylist()
+            made = []
+            for i, (text, label) in enumerate(zip(batch.column("content"), batch.column("name"), strict=True)):
+                objects, failed = _objects_of(None if errors[i] else text.as_py(), label.as_py())
+                made.append(objects)
+                errors[i] = errors[i] or failed
+            objects = pa.concat_arrays(made) if made else pa.array([], pa.list_(_OBJECT))
+            kept = [pa.array(errors, pa.string()) if c == "error" else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, objects], names=[*columns, "objects"])
+
+    texts = judged.filter(~is_json).withColumn("objects", F.lit(None).cast(f"array<{_OBJECT_SQL}>"))
+    return judged.filter(is_json).mapInArrow(run, parsed).unionByName(texts)
+
+
+def json_objects(episodes: DataFrame) -> DataFrame:
+    """Every JSON object of JSON episodes, at any depth; texts that cannot be read have none."""
+    parsed = episodes if "objects" in episodes.columns else with_objects(episodes)
+    return parsed.select(F.col("uuid").alias("episode_uuid"), "group_id", "reference_time", F.inline("objects"))
+
+
+def json_entities(episodes: DataFrame) -> DataFrame:
     """each JSON object as an entity, its scalar members as attributes."""
-    return json_objects(episodes, max_depth).drop("parent")
+    return json_objects(episodes).drop("parent")
 
 
-def json_relations(episodes: DataFrame, max_depth: int = 4) -> DataFrame:
+def json_relations(episodes: DataFrame) -> DataFrame:
     """containment of objects as facts named after the containing key."""
-    inner = json_objects(episodes, max_depth).filter(F.col("parent").isNotNull())
+    inner = json_objects(episodes).filter(F.col("parent").isNotNull())
     return inner.select(
         "episode_uuid",
         "group_id",
@@ -149,17 +182,23 @@ def json_relations(episodes: DataFrame, max_depth: int = 4) -> DataFrame:
 
 
 def _sentences(episodes: DataFrame) -> DataFrame:
-    return episodes.select(
+    """Sentences of texts, and of the turns of chats with their turn and role."""
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.col("content").alias("text")))
+    spoken = F.when(F.col("source") == "message", _turns(F.col("content"))).otherwise(whole)
+    parts = episodes.select("uuid", "group_id", "reference_time", "name", "source", "source_description", F.posexplode(spoken).alias("_at", "_part"))
+    return parts.select(
         F.col("uuid").alias("episode_uuid"),
         "group_id",
         "reference_time",
         "name",
         "source_description",
-        F.posexplode(sentences(F.col("content"))).alias("sentence_no", "sentence"),
+        F.when(F.col("source") == "message", F.col("_at").cast("long")).alias("turn"),
+        F.col("_part.role").alias("role"),
+        F.posexplode(sentences(F.col("_part.text"))).alias("sentence_no", "sentence"),
     )
 
 
-_FOUND = ["episode_uuid", "group_id", "reference_time", "sentence_no"]
+_FOUND = ["episode_uuid", "group_id", "reference_time", "turn", "sentence_no"]
 
 
 def _match(pattern: str, group: int = 1) -> Column:
@@ -181,7 +220,10 @@ def _priority() -> Column:
 
 
 def _preferences() -> Column:
-    """(description, polarity, category) of a sentence; over something is two."""
+    """(description, polarity, category) of a sentence; over something is two.
+
+    In a chat only the user's own words state a preference.
+    """
 
     def one(what: Column, polarity: int) -> Column:
         category = [F.when(what.rlike(p), F.lit(name)) for name, p in CATEGORIES.items()]
@@ -191,13 +233,14 @@ def _preferences() -> Column:
             F.coalesce(*category, F.lit(OTHER_CATEGORY)).alias("category"),
         )
 
+    own = F.coalesce(F.col("role"), F.lit("user")) == "user"
     return (
         F.when(
-            _match(PREFERS_OVER).isNotNull(),
+            own & _match(PREFERS_OVER).isNotNull(),
             F.array(one(_match(PREFERS_OVER), 1), one(_match(PREFERS_OVER, 2), -1)),
         )
-        .when(_match(DISLIKES).isNotNull(), F.array(one(_match(DISLIKES), -1)))
-        .when(_match(LIKES).isNotNull(), F.array(one(_match(LIKES), 1)))
+        .when(own & _match(DISLIKES).isNotNull(), F.array(one(_match(DISLIKES), -1)))
+        .when(own & _match(LIKES).isNotNull(), F.array(one(_match(LIKES), 1)))
     )
 
 
@@ -286,7 +329,7 @@ def typed_extract(episodes: DataFrame, use_custom_entities: bool = True) -> Data
     whole = (
         _sentences(episodes)
         .withColumns({"_need": _requirement(), "_liked": _preferences()})
-        .select("episode_uuid", "group_id", "reference_time", F.inline(found))
+        .select("episode_uuid", "group_id", "reference_time", "turn", F.inline(found))
     )
     return whole if use_custom_entities else whole.filter(F.lit(False))
 

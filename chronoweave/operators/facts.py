@@ -6,34 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.operators.lookup import top_k
-from chronoweave.operators.ordered import HOT_ROWS, broadcast_if_small, with_last_seen, with_next
+from chronoweave.operators.ordered import (
+    HOT_ROWS,
+    broadcast_if_small,
+    joined_in_order,
+    with_last_seen,
+    with_next,
+    with_position,
+)
 
-DEFAULT_SUMMARY_CHARS = 500
 _RELATION = ["group_id", "source_node_uuid", "name"]
 
 
-def node_summary(entities: DataFrame, facts: DataFrame, max_chars: int = DEFAULT_SUMMARY_CHARS) -> DataFrame:
-    """the valid facts around each node, oldest first, cut at max_chars; degree.
-
-    Each sentence takes at least its separator, so the text is complete after
-    max_chars + 1 facts: a hub's facts are limited per task before the shuffle
-    and its group stays small, while the degree counts all of them.
-    """
+def _incident(facts: DataFrame) -> DataFrame:
+    """(node, uuid, created_at, fact): valid facts from each of their ends."""
     valid = facts.filter(F.col("invalid_at").isNull())
     ends = F.array_distinct(F.array("source_node_uuid", "target_node_uuid"))
-    incident = valid.select(F.explode(ends).alias("node"), "uuid", "created_at", "fact")
+    return valid.select(F.explode(ends).alias("node"), "uuid", "created_at", "fact")
+
+
+def node_facts(facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """F14, one row per fact: (node, position, uuid, fact), the valid facts around each node, oldest first."""
+    rows = _incident(facts).filter(F.col("fact").isNotNull())
+    return with_position(rows, ["node"], ["created_at", "uuid"], "position", hot_rows).select("node", "position", "uuid", "fact")
+
+
+def node_summary(entities: DataFrame, facts: DataFrame, max_chars: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """the valid facts around each node, oldest first, in one text; degree.
+
+    With `max_chars` the text is cut there.  Each sentence takes at least its
+    separator, so it is complete after max_chars + 1 facts: a hub's facts are
+    then limited per task before the shuffle, while the degree counts all of them.
+    """
+    incident = _incident(facts)
     degree = incident.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    first = top_k(
-        incident.filter(F.col("fact").isNotNull()), max_chars + 1, [F.asc("created_at")], ["uuid"], ["node"]
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "fact")))
-    text = first.groupBy("node").agg(
-        F.substring(F.array_join(F.transform(ordered, lambda x: x["fact"]), " "), 1, max_chars).alias("summary")
-    )
+    if max_chars is None:
+        ordered = incident.withColumn("_at", F.struct("created_at", "uuid")).select("node", "_at", "fact")
+        text = joined_in_order(ordered, ["node"], "_at", F.col("fact"), " ", "summary", hot_rows=hot_rows)
+    else:
+        first = top_k(
+            incident.filter(F.col("fact").isNotNull()), max_chars + 1, [F.asc("created_at")], ["uuid"], ["node"]
+        )
+        ranked = F.sort_array(F.collect_list(F.struct("rank", "fact")))
+        text = first.groupBy("node").agg(
+            F.substring(F.array_join(F.transform(ranked, lambda x: x["fact"]), " "), 1, max_chars).alias("summary")
+        )
     return (
         entities.select("uuid")
         .join(degree.withColumnRenamed("node", "uuid"), "uuid", "left")
-        .join(text.withColumnRenamed("node", "uuid"), "uuid", "left")
+        .join(text.select(F.col("node").alias("uuid"), "summary"), "uuid", "left")
         .select(
             "uuid",
             F.coalesce("summary", F.lit("")).alias("summary"),
@@ -42,6 +63,34 @@ def node_summary(entities: DataFrame, facts: DataFrame, max_chars: int = DEFAULT
     )
 
 
+def relations_of(facts: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Distinct (group, source, name) of the facts seen in one of the `episodes` (uuid)."""
+    rows = facts.select(*_RELATION, F.explode("episodes").alias("uuid"))
+    return rows.join(episodes, "uuid", "left_semi").select(*_RELATION).distinct()
+
+
+def split_relations(facts: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts of the given relations, and the others."""
+    keys = broadcast_if_small(relations.select(*[F.col(c).alias(f"_k_{c}") for c in _RELATION]))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in _RELATION]
+    return facts.join(keys, same, "left_semi"), facts.join(keys, same, "left_anti")
+
+
+def _united(facts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, _episodes): sources of all sightings of a fact, united map-side."""
+    return facts.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("episodes")))).alias("_episodes"))
+
+
+def _with_sources(kept: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
+    """`kept` with the episodes of all rows of `whole` that have the same key."""
+    if "episodes" not in whole.columns:
+        return kept
+    united = _united(whole, key).select(*[F.col(c).alias(f"_k_{c}") for c in key], "_episodes")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
+    joined = kept.join(united, same, "left").withColumn("episodes", F.coalesce("_episodes", "episodes"))
+    return joined.drop("_episodes", *[f"_k_{c}" for c in key])
+
+
 def _is_single(single_valued: list[str]) -> Column:
     return F.col("name").isin(single_valued) if single_valued else F.lit(False)
 
@@ -65,7 +114,7 @@ def apply_facts(
 
     Single-valued relations are closed over the whole (group, source, name)
     key, so arrival order does not matter; the others are only freed of
-    repetitions, keeping the earliest.  Stored facts of keys without news are
+    repetitions, keeping the earliest with the episodes of all.  Stored facts of keys without news are
     passed through; they are not even shuffled while the news are small.
     """
     if facts is None:
@@ -78,7 +127,8 @@ def apply_facts(
 
 
 def _validity(whole: DataFrame, single_valued: list[str], hot_rows: int) -> DataFrame:
-    single = _close(whole.filter(_is_single(single_valued)), hot_rows)
+    alone = whole.filter(_is_single(single_valued))
+    single = _with_sources(_close(alone, hot_rows), alone, [*_RELATION, "valid_at", "uuid"])
     others = whole.filter(~_is_single(single_valued))
     columns = [c for c in whole.columns if c not in [*_RELATION, "target_node_uuid"]]
     tie = [c for c in ("fact",) if c in columns]
@@ -88,6 +138,7 @@ def _validity(whole: DataFrame, single_valued: list[str], hot_rows: int) -> Data
         .agg(earliest.alias("_f"))
         .select(*_RELATION, "target_node_uuid", "_f.*")
     )
+    kept = _with_sources(kept, others, [*_RELATION, "target_node_uuid"])
     if "invalid_at" not in whole.columns:
         kept = kept.withColumns({c: F.lit(None).cast("timestamp") for c in ("invalid_at", "expired_at")})
     return single.unionByName(kept)

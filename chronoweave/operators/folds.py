@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.operators.ordered import hot_keys, with_last_seen
+from chronoweave.operators.ordered import broadcast_if_small, hot_keys, with_last_seen
 from chronoweave.schema import CACHE_TTL_SECONDS
 from chronoweave.session import cut_lineage
 
@@ -35,14 +35,16 @@ def ttl_cache(
     one task are solved by path doubling.
     """
     ttl = ttl_seconds * 1_000_000
-    rows = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    hot, _ = hot_keys(rows, [key], hot_rows)
+    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = timed.filter(F.col("_t").isNotNull())
+    never = timed.filter(F.col("_t").isNull()).withColumns({"_kept": F.lit(None).cast("long"), "hit": F.lit(False)})
+    hot = hot_keys(rows, [key], hot_rows)
     if hot is None:
-        return _served(_walk(rows, key, id, ttl))
-    names = F.broadcast(hot.select(F.col(key).alias("_h")))
+        return _served(_walk(rows, key, id, ttl).unionByName(never))
+    names = broadcast_if_small(hot.select(F.col(key).alias("_h")))
     is_hot = F.col(key).eqNullSafe(F.col("_h"))
     small = _walk(rows.join(names, is_hot, "left_anti"), key, id, ttl)
-    return _served(small.unionByName(_double(rows.join(names, is_hot, "left_semi"), key, id, ttl, hot_rows)))
+    return _served(never.unionByName(small).unionByName(_double(rows.join(names, is_hot, "left_semi"), key, id, ttl, hot_rows)))
 
 
 def _served(df: DataFrame) -> DataFrame:
@@ -143,12 +145,22 @@ def _bounds(events: DataFrame, keys: list[str]) -> DataFrame:
     completes = (
         events.filter(is_("complete"))
         .select(*keys, at.alias("_c"))
-        .join(first.filter(F.col("first_complete").isNotNull()).select(*keys, "start", "first_fail"), keys)
+        .join(_renamed(first.filter(F.col("first_complete").isNotNull()), keys, ["start", "first_fail"]), _same_keys(keys))
         .filter((F.col("_c") > F.col("start")) & (F.col("first_fail").isNull() | (F.col("_c") < F.col("first_fail"))))
         .groupBy(*keys)
         .agg(F.min("_c").alias("complete"))
     )
-    return first.drop("first_complete").join(completes, keys, "left")
+    known = _renamed(completes, keys, ["complete"])
+    return first.drop("first_complete").join(known, _same_keys(keys), "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def _renamed(df: DataFrame, keys: list[str], others: list[str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *others)
+
+
+def _same_keys(keys: list[str]) -> list[Column]:
+    """Equal keys, null with null."""
+    return [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
 
 
 def lifecycle(events: DataFrame, keys: list[str], now: str | None = None) -> DataFrame:
@@ -187,5 +199,5 @@ def lifecycle_events(events: DataFrame, keys: list[str]) -> DataFrame:
         .when(F.col("event") == "start", at == F.col("start"))
         .otherwise(at == F.col("complete"))
     )
-    joined = events.join(b, keys, "left")
-    return joined.withColumn("ignored", ~F.coalesce(accepted, F.lit(False))).drop("start", "complete")
+    joined = events.join(_renamed(b, keys, ["start", "complete"]), _same_keys(keys), "left")
+    return joined.withColumn("ignored", ~F.coalesce(accepted, F.lit(False))).drop("start", "complete", *[f"_k_{k}" for k in keys])

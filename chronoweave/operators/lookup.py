@@ -52,9 +52,18 @@ def get_fact(facts: DataFrame, uuid: str) -> DataFrame:
 
 def get_facts(facts: DataFrame, uuids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C3, many facts: the formatted rows, and the uuids that do not exist."""
-    wanted = uuids.select("uuid").distinct()
-    found = format_fact(facts.join(broadcast_if_small(wanted), "uuid", "left_semi"))
-    return found, wanted.join(facts.select("uuid"), "uuid", "left_anti")
+    wanted = broadcast_if_small(uuids.select("uuid").distinct())
+    return format_fact(facts.join(wanted, "uuid", "left_semi")), unknown_ids(wanted, facts)
+
+
+def unknown_ids(ids: DataFrame, table: DataFrame) -> DataFrame:
+    """The `ids` (uuid) that `table` does not have.
+
+    The ids found are looked up first, so that the join against them has two
+    small sides and the table is not shuffled while the ids are few.
+    """
+    found = table.select("uuid").join(ids, "uuid", "left_semi").distinct()
+    return ids.join(found, "uuid", "left_anti")
 
 
 def episodes_before(episodes: DataFrame, reference_time: Column) -> DataFrame:

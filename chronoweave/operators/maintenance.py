@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.operators.lookup import unknown_ids
 from chronoweave.operators.ordered import broadcast_if_small
 from chronoweave.schema import GRAPH_TABLES
 
@@ -12,21 +13,22 @@ from chronoweave.schema import GRAPH_TABLES
 def upsert(target: DataFrame, updates: DataFrame, key: str = "uuid", order: list[str] | None = None) -> DataFrame:
     """A5: replaces rows with the updates' keys and appends the rest.
 
-    Several updates of one key are reduced to the last in `order`, combined
-    map-side.  Target rows are not shuffled while the updates are small.
+    Several updates of one key are reduced to the last in `order` (by default
+    all columns that have an order; maps have none), combined map-side.  Target
+    rows are not shuffled while the updates are small.
     """
     columns = [c for c in updates.columns if c != key]
-    last = F.max_by(F.struct(*columns), F.struct(*(order or columns)))
+    by = order or [c for c in columns if "map<" not in updates.schema[c].dataType.simpleString()]
+    last = F.max_by(F.struct(*columns), F.struct(*by) if by else F.lit(0))
     newest = updates.groupBy(key).agg(last.alias("_u")).select(key, "_u.*")
-    kept = target.join(broadcast_if_small(newest.select(key)), key, "left_anti")
+    kept = target.join(broadcast_if_small(updates.select(key).distinct()), key, "left_anti")
     return kept.unionByName(newest)
 
 
 def delete_facts(facts: DataFrame, uuids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G1: facts without the given ones, and the uuids that do not exist."""
-    gone = uuids.select("uuid").distinct()
-    kept = facts.join(broadcast_if_small(gone), "uuid", "left_anti")
-    return kept, gone.join(facts.select("uuid"), "uuid", "left_anti")
+    gone = broadcast_if_small(uuids.select("uuid").distinct())
+    return facts.join(gone, "uuid", "left_anti"), unknown_ids(gone, facts)
 
 
 def delete_episodes(
@@ -39,7 +41,7 @@ def delete_episodes(
     gone = broadcast_if_small(uuids.select("uuid").distinct())
     kept = episodes.join(gone, "uuid", "left_anti")
     kept_mentions = mentions.join(gone.withColumnRenamed("uuid", "episode_uuid"), "episode_uuid", "left_anti")
-    return kept, kept_mentions, gone.join(episodes.select("uuid"), "uuid", "left_anti")
+    return kept, kept_mentions, unknown_ids(gone, episodes)
 
 
 def delete_group_episodes(

@@ -6,9 +6,10 @@ Without any, they are the plain window.  With some, the rows of each hot key
 are cut into order-preserving pieces, the window runs per (key, piece), and
 what crosses a piece border is carried over from a table of one row per piece.
 
-Size bounds: a key is hot above ``max(hot_rows, total / MAX_HOT)`` rows, so
-there are at most MAX_HOT hot keys and about 2 * MAX_HOT pieces in all; every
-table broadcast here has at most one row per piece.
+A key is hot above `hot_rows` rows, and a piece has about that many, whatever
+the size of the table.  The tables of hot keys, cuts and pieces have one row
+per key or piece; they are broadcast behind a check of their row count and
+joined by shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
-MAX_HOT = 1_000
 _SAMPLES_PER_PIECE = 20
 
 PIECE = "_piece"
@@ -44,7 +44,7 @@ class Pieces:
 
     def attach(self, df: DataFrame, carried: DataFrame, *columns: str) -> DataFrame:
         """Joins the per-piece `columns` to the rows; null-safe on the keys."""
-        right = F.broadcast(carried.select(*[F.col(c).alias(f"_r_{c}") for c in [*self.keys, PIECE]], *columns))
+        right = broadcast_if_small(carried.select(*[F.col(c).alias(f"_r_{c}") for c in [*self.keys, PIECE]], *columns))
         on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*self.keys, PIECE]]
         return df.join(right, on, "left").drop(*[f"_r_{c}" for c in [*self.keys, PIECE]])
 
@@ -52,17 +52,11 @@ class Pieces:
         return df.drop(PIECE, _HOT)
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, int]:
-    """Keys with more rows than one task should take, and the threshold used.
-
-    Runs one job.  Returns None when there is no such key.
-    """
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more rows than one task should take; None when there is no such key.  Runs one job."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top, total = counts.agg(F.max("_n"), F.sum("_n")).first()
-    if top is None or top <= hot_rows:
-        return None, hot_rows
-    threshold = max(hot_rows, total // MAX_HOT)
-    return counts.filter(F.col("_n") > threshold), threshold
+    top = counts.agg(F.max("_n")).first()[0]
+    return None if top is None or top <= hot_rows else counts.filter(F.col("_n") > hot_rows)
 
 
 def split_hot_keys(
@@ -74,13 +68,13 @@ def split_hot_keys(
     are drawn again when a task is retried.  They only place the cuts; every
     row stays in.
     """
-    hot, threshold = hot_keys(df, keys, hot_rows)
+    hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         return Pieces(df.withColumn(PIECE, F.lit(0)).withColumn(_HOT, F.lit(False)), keys, False)
 
-    renamed = F.broadcast(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    renamed = broadcast_if_small(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
     on_hot = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    stride = max(1, threshold // _SAMPLES_PER_PIECE)
+    stride = max(1, hot_rows // _SAMPLES_PER_PIECE)
     drawn = (
         df.select(*keys, F.struct(*order).alias("_at"))
         .filter(F.pmod(F.xxhash64("_at", *keys), F.lit(stride)) == 0)
@@ -99,12 +93,22 @@ def split_hot_keys(
             ).alias("_cuts"),
         )
     )
-    before = F.size(F.filter(F.col("_cuts"), lambda c: c < F.struct(*order)))
+    # cuts below the row: first among every _step-th cut, then among those up to the next of them
+    here = F.struct(*order)
+    step = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
+    cuts = cuts.withColumn("_step", F.greatest(step, F.lit(1)))
+    every_step = F.transform(
+        F.when(F.size("_cuts") >= F.col("_step"), F.sequence(F.col("_step"), F.size("_cuts"), F.col("_step"))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.element_at("_cuts", i),
+    )
+    cuts = cuts.withColumn("_coarse", F.when(F.col("_cuts").isNotNull(), every_step))
+    above = F.size(F.filter("_coarse", lambda c: c < here)) * F.col("_step")
+    before = above + F.size(F.filter(F.slice("_cuts", above + 1, F.col("_step")), lambda c: c < here))
     pieces = (
-        df.join(F.broadcast(cuts), on_hot, "left")
+        df.join(broadcast_if_small(cuts), on_hot, "left")
         .withColumn(_HOT, F.col("_cuts").isNotNull())
         .withColumn(PIECE, F.when(F.col(_HOT), before).otherwise(0))
-        .drop("_cuts", *[f"_h_{k}" for k in keys])
+        .drop("_cuts", "_coarse", "_step", *[f"_h_{k}" for k in keys])
     )
     return Pieces(pieces, keys, True)
 

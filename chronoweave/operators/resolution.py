@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.text import normalized_name, stable_id
+from chronoweave.operators.ordered import broadcast_if_small
 from chronoweave.session import cut_lineage
 
 
@@ -18,55 +19,67 @@ def resolve_entities(candidates: DataFrame, entities: DataFrame | None = None) -
     """candidates and stored entities folded to one row per identity.
 
     `candidates` has (group_id, label, name, created_at, attributes).  The
-    earliest row names the entity, the latest value of each attribute wins.
-    Both folds combine map-side, so an entity mentioned by a third of all rows
-    sends one partial row per task.
+    earliest row names the entity and gives its vector, labels are united, the
+    latest value of each attribute wins.  The folds combine map-side, so an
+    entity mentioned by a third of all rows sends one partial row per task.
     """
-    rows = candidates.select(
-        entity_id().alias("uuid"), "name", "label", "group_id", "created_at", "attributes",
-        F.lit(None).cast("string").alias("summary"),
+    rows = _as_rows(candidates)
+    return _fold(rows if entities is None else rows.unionByName(_stored(entities)))
+
+
+def fold_into(entities: DataFrame, candidates: DataFrame) -> DataFrame:
+    """F11, incremental: stored entities that the candidates name are folded with them, the others pass."""
+    rows = _as_rows(candidates)
+    touched = broadcast_if_small(rows.select("uuid").distinct())
+    stored = _stored(entities)
+    changed = _fold(stored.join(touched, "uuid", "left_semi").unionByName(rows))
+    return entities.join(touched, "uuid", "left_anti").unionByName(changed, allowMissingColumns=True)
+
+
+_ROW = ["uuid", "name", "labels", "group_id", "created_at", "attributes", "summary", "name_embedding"]
+
+
+def _as_rows(candidates: DataFrame) -> DataFrame:
+    return candidates.select(
+        entity_id().alias("uuid"), "name", F.array("label").alias("labels"), "group_id", "created_at", "attributes",
+        F.lit(None).cast("string").alias("summary"), F.lit(None).cast("array<float>").alias("name_embedding"),
     )
-    if entities is not None:
-        stored = entities.select(
-            "uuid", "name", F.get("labels", F.lit(0)).alias("label"), "group_id", "created_at", "attributes", "summary"
-        )
-        rows = rows.unionByName(stored)
-    return _fold(rows)
+
+
+def _stored(entities: DataFrame) -> DataFrame:
+    none = {"name_embedding": F.lit(None).cast("array<float>"), "summary": F.lit(None).cast("string")}
+    return entities.withColumns({c: v for c, v in none.items() if c not in entities.columns}).select(*_ROW)
 
 
 def _fold(rows: DataFrame) -> DataFrame:
-    """One entity per uuid."""
-    # one row per (entity, attribute) first, then one per entity
-    by_attribute = (
-        rows.select("*", F.explode_outer("attributes").alias("k", "v"))
+    """One entity per uuid.
+
+    Attributes are folded one row per (entity, attribute) first.  A vector stays
+    with the name it was made for.
+    """
+    values = (
+        rows.select("uuid", "created_at", F.explode("attributes").alias("k", "v"))
         .groupBy("uuid", "k")
-        .agg(
-            F.max_by("v", F.struct("created_at", "v")).alias("v"),
-            F.min(F.struct("created_at", "name")).alias("_first"),
-            F.first("label").alias("label"),
-            F.first("group_id").alias("group_id"),
-            F.max("summary").alias("summary"),
-        )
+        .agg(F.max_by("v", F.struct("created_at", "v")).alias("v"))
+        .groupBy("uuid")
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("attributes"))
     )
-    pair = F.when(F.col("k").isNotNull(), F.struct("k", "v"))
-    return (
-        by_attribute.groupBy("uuid")
-        .agg(
-            F.min("_first").alias("_first"),
-            F.first("label").alias("label"),
-            F.first("group_id").alias("group_id"),
-            F.max("summary").alias("summary"),
-            F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("attributes"),
-        )
-        .select(
-            "uuid",
-            "_first.name",
-            F.coalesce("summary", F.lit("")).alias("summary"),
-            F.array("label").alias("labels"),
-            "group_id",
-            "_first.created_at",
-            "attributes",
-        )
+    first = F.min(F.struct("created_at", "name", F.col("name_embedding").isNull().alias("bare"), "name_embedding")).alias("_first")
+    itself = rows.groupBy("uuid").agg(
+        first,
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"),
+        F.first("group_id").alias("group_id"),
+        F.max("summary").alias("summary"),
+    )
+    return itself.join(values, "uuid", "left").select(
+        "uuid",
+        "_first.name",
+        F.coalesce("summary", F.lit("")).alias("summary"),
+        "labels",
+        "group_id",
+        "_first.created_at",
+        F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+        "_first.name_embedding",
     )
 
 
@@ -83,6 +96,14 @@ def build_mentions(extracted: DataFrame, entities: DataFrame | None = None) -> D
     return pairs.join(known, "entity_uuid", "left_semi").select("episode_uuid", "entity_uuid", "group_id")
 
 
+def merge_mentions(stored: DataFrame, new: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Stored mentions without those of `replaced` episodes, and the new ones that are not there yet."""
+    kept = stored.join(replaced.select(F.col("uuid").alias("episode_uuid")), "episode_uuid", "left_anti")
+    touched = broadcast_if_small(new.select("episode_uuid").distinct())
+    known = kept.join(touched, "episode_uuid", "left_semi")
+    return kept.unionByName(new.join(known, ["episode_uuid", "entity_uuid"], "left_anti"))
+
+
 def similar_names(entities: DataFrame) -> DataFrame:
     """Pairs (a, b) of entities, a < b, whose names differ by one edit.
 
@@ -145,5 +166,5 @@ def merge_similar(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     redirect facts and mentions.
     """
     roots = connected(similar_names(entities))
-    rows = entities.join(roots, "uuid", "left").withColumn("uuid", F.coalesce("root", "uuid")).drop("root")
-    return _fold(rows.withColumn("label", F.get("labels", F.lit(0)))), roots.filter(F.col("uuid") != F.col("root"))
+    rows = _stored(entities).join(roots, "uuid", "left").withColumn("uuid", F.coalesce("root", "uuid")).drop("root")
+    return _fold(rows), roots.filter(F.col("uuid") != F.col("root"))

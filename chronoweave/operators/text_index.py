@@ -114,14 +114,13 @@ def bm25_search(
         .crossJoin(F.broadcast(index.stats))  # one row
         .select("query_id", "term", idf.alias("idf"), "avgdl")
     )
-    postings = index.postings
-    if allowed is not None:
-        postings = postings.join(allowed.select(F.col("uuid").alias("doc_uuid")), "doc_uuid", "left_semi")
     scored = (
-        postings.join(_hinted(weighted, small), "term")
+        index.postings.join(_hinted(weighted, small), "term")
         .select("query_id", "doc_uuid", (F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * length)).alias("_s"))
         .groupBy("query_id", "doc_uuid")
         .agg(F.round(F.sum("_s"), SCORE_DIGITS).alias("score"))
         .withColumnRenamed("doc_uuid", "uuid")
     )
+    if allowed is not None:  # after scoring: only documents with a query word meet the candidates
+        scored = scored.join(allowed.select("uuid"), "uuid", "left_semi")
     return top_k(scored, k, [F.desc("score")], ["uuid"], ["query_id"])

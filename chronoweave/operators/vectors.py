@@ -165,7 +165,19 @@ def cosine_search_ann(
     and hot buckets, are not shuffled; a task passes on its k best per query.
     """
     check_limit("k", k)
-    dim = queries.select(F.max(F.size("embedding"))).first()[0] or 0
+    sizes = [r[0] for r in queries.filter(F.size("embedding") > 0).select(F.size("embedding")).distinct().collect()]
+    if not sizes:
+        return cosine_search(vectors, queries, k, min_score)
+    # every size of query vectors has projections of its own
+    parts = [_ann_scores(vectors, queries, dim, bucket_length, tables, seed) for dim in sorted(sizes)]
+    scored = _union(parts)
+    if min_score is not None:
+        scored = scored.filter(F.col("score") >= min_score)
+    return top_k(scored, k, [F.desc("score")], ["uuid"], ["query_id"])
+
+
+def _ann_scores(vectors: DataFrame, queries: DataFrame, dim: int, bucket_length: float, tables: int, seed: int) -> DataFrame:
+    """Scores of the vectors that share a bucket with a query of `dim` components."""
 
     def hashed(df: DataFrame, id: str) -> DataFrame:
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -193,15 +205,12 @@ def cosine_search_ann(
     )
     meets = F.zip_with("hashes", "_qh", lambda a, b: a == b)
     dot = F.aggregate(F.zip_with("unit", "_q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = (
+    return (
         hashed(vectors, "uuid")
         .join(broadcast_if_small(asked, QUERY_BLOCK * tables), ["table", "bucket"])
         .filter(F.array_position(meets, True) == F.col("table") + 1)
         .select("query_id", "uuid", F.round(dot, SCORE_DIGITS).alias("score"))
     )
-    if min_score is not None:
-        scored = scored.filter(F.col("score") >= min_score)
-    return top_k(scored, k, [F.desc("score")], ["uuid"], ["query_id"])
 
 
 def _hash_embed(dim: int) -> Callable[[pd.Series], pd.Series]:

@@ -14,10 +14,12 @@ from chronoweave.operators.extraction import (
     requirement_facts,
     typed_extract,
     validate_entities,
+    with_objects,
 )
 from chronoweave.operators.facts import apply_facts
 from chronoweave.operators.ordered import HOT_ROWS
 from chronoweave.operators.resolution import build_mentions, resolve_entities
+from chronoweave.session import cut_lineage
 
 EXTRACTED = ["episode_uuid", "group_id", "reference_time", "label", "name", "attributes"]
 
@@ -26,11 +28,12 @@ def quarantine(episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Episodes that can be processed, and the failed ones with the reason.
 
     A condition on the row alone: a bad episode holds up nobody in its group.
+    Episodes that with_objects has staged keep their objects.
     """
-    bad_json = (F.col("source") == "json") & F.try_parse_json("content").isNull()
-    error = F.when(F.col("content").isNull(), "missing content").when(bad_json, "content is not valid JSON")
-    judged = episodes.withColumn("error", error)
-    return judged.filter(F.col("error").isNull()).drop("error"), judged.filter(F.col("error").isNotNull())
+    staged = "error" in episodes.columns
+    judged = episodes if staged else with_objects(episodes)
+    good = judged.filter(F.col("error").isNull()).drop("error")
+    return good if staged else good.drop("objects"), judged.filter(F.col("error").isNotNull()).drop("objects")
 
 
 def extract_candidates(episodes: DataFrame, use_custom_entities: bool = True) -> DataFrame:
@@ -87,14 +90,28 @@ def build_graph(
     use_custom_entities: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> dict[str, DataFrame]:
-    """Normalised episodes to episodes, entities, facts, mentions and failures."""
-    good, failed = quarantine(episodes)
+    """Normalised episodes to episodes, entities, facts, mentions and failures.
+
+    Of several episodes with one uuid the newest counts.  Contents are parsed
+    once: everything below reads the staged result.
+    """
+    staged = cut_lineage(with_objects(newest_episodes(episodes)))
+    good, failed = quarantine(staged)
     valid, rejected = validate_entities(extract_candidates(good, use_custom_entities))
     return {
-        "episodes": good,
+        "episodes": good.drop("objects"),
         "entities": resolve_entities(valid.withColumnRenamed("reference_time", "created_at")),
         "facts": apply_facts(extract_facts(good, use_custom_entities), None, single_valued or [], hot_rows),
         "mentions": build_mentions(valid),
         "failed": failed,
         "rejected": rejected,
     }
+
+
+def newest_episodes(episodes: DataFrame) -> DataFrame:
+    """One row per uuid: the newest, ties to the greater name and content.  Null uuids all stay."""
+    columns = [c for c in episodes.columns if c != "uuid"]
+    newest = F.max_by(F.struct(*columns), F.struct("reference_time", "name", "content"))
+    known = episodes.filter(F.col("uuid").isNotNull())
+    one = known.groupBy("uuid").agg(newest.alias("_r")).select("uuid", "_r.*").select(*episodes.columns)
+    return one.unionByName(episodes.filter(F.col("uuid").isNull()))

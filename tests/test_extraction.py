@@ -54,10 +54,35 @@ def test_json_objects(table):
     }
 
 
-def test_json_depth(table):
+def test_json_of_any_depth(table):
     df = ep(table, '{"a": {"b": {"c": {"d": {"e": {"f": {}}}}}}}', source="json")
-    assert X.json_entities(df, 4).count() == 5
-    assert X.json_entities(df, 1).count() == 2
+    assert X.json_entities(df).count() == 7
+    deep = "{" + '"a": {' * 300 + '"name": "deepest"' + "}" * 301
+    assert X.json_entities(ep(table, deep, source="json")).filter("name = 'deepest'").count() == 1
+
+
+def test_texts_that_cannot_be_read_become_errors(table):
+    from chronoweave.plans.ingest import quarantine
+
+    bodies = ['{"x":' + "[" * 3000 + "]" * 3000 + "}", '{"name":"x\\ud800"}', '{"a": {"b": 1}}', "{", None, "[]"]
+    rows = [ep(table, b, source="json").withColumn("uuid", X.F.lit(str(i))) for i, b in enumerate(bodies)]
+    whole = rows[0]
+    for r in rows[1:]:
+        whole = whole.unionByName(r)
+    good, failed = quarantine(whole)
+    assert {r["uuid"] for r in good.collect()} == {"2", "5"}
+    bad = {r["uuid"]: r for r in failed.collect()}
+    assert set(bad) == {"0", "1", "3", "4"} and all(r["error"] for r in bad.values())
+    assert bad["1"]["content"] == bodies[1]
+    assert X.json_entities(good).count() == 2
+
+
+def test_chat_turns_and_lines_are_read(table):
+    chat = ep(table, "user: I like tea.\nassistant: We need milk\nassistant: I like rain\nuser: - I hate mud", source="message")
+    found = {(r["turn"], r["label"], r["name"]) for r in X.typed_extract(chat).collect()}
+    assert found == {(0, "Preference", "tea"), (1, "Requirement", "milk"), (3, "Preference", "mud")}
+    lines = ep(table, "We need milk\n\n* I like tea\r\n2) Audit is required", source="text")
+    assert sorted(r["name"] for r in X.typed_extract(lines).collect()) == ["Audit", "milk", "tea"]
 
 
 TEXT = (

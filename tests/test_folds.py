@@ -78,3 +78,19 @@ def test_durations(table):
     got = {r.k: r for r in lifecycle(table(rows, LIFE), ["k"], "2024-01-01 00:00:12").collect()}
     assert got["a"].duration_seconds == 6 and got["a"].elapsed_seconds is None and got["a"].error == "m"
     assert got["b"].duration_seconds is None and got["b"].elapsed_seconds == 10
+
+
+@pytest.mark.parametrize("hot", [10**6, 3])
+def test_events_without_a_time_are_misses(table, hot):
+    rows = [("a", None, 1), ("a", None, 2), *[("a", T0 + timedelta(seconds=10 * i), 10 + i) for i in range(6)], (None, T0, 30), (None, T0, 31)]
+    got = {r.id: (r.hit, r.served_from) for r in ttl_cache(table(rows, "k string, ts timestamp, id int"), "k", "ts", "id", 25, hot).collect()}
+    assert got[1] == got[2] == (False, None)
+    assert [got[10 + i][0] for i in range(6)] == [False, True, True, False, True, True]
+    assert (got[30][0], got[31][0]) == (False, True)
+
+
+def test_null_key_has_a_state_of_its_own(table):
+    rows = [(None, T0, 1, "start", None), (None, T0 + timedelta(seconds=5), 2, "complete", None), ("a", T0, 3, "complete", None)]
+    df = table(rows, "k string, ts timestamp, id long, event string, message string")
+    assert {r.k: r.state for r in lifecycle(df, ["k"]).collect()} == {None: "completed", "a": "not_started"}
+    assert {r.id: r.ignored for r in lifecycle_events(df, ["k"]).collect()} == {1: False, 2: False, 3: True}

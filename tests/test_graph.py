@@ -152,6 +152,11 @@ def test_summary_is_cut_and_counts_all(table):
     got = {r.uuid: r for r in FA.node_summary(ent, facts, 20).collect()}
     assert got["hub"].summary == "fact 000 fact 001 fa" and got["hub"].degree == 61
     assert got["n1"].summary == "fact 001" and (got["lonely"].summary, got["lonely"].degree) == ("", 0)
+    for hot in (10**6, 10):
+        full = {r.uuid: r.summary for r in FA.node_summary(ent, facts, hot_rows=hot).collect()}
+        assert full["hub"] == " ".join([f"fact {i:03d}" for i in range(60)] + ["self"]) and full["lonely"] == ""
+        rows = FA.node_facts(facts, hot).filter("node = 'hub'").orderBy("position").collect()
+        assert [r.fact for r in rows] == [f"fact {i:03d}" for i in range(60)] + ["self"] and rows[-1].position == 61
 
 
 def test_distance(table):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators import vectors as VEC
 from chronoweave.operators.ranking import passthrough_rerank, rrf_fuse, with_reranker
 from chronoweave.operators.text_index import bm25_search, build_index
+from chronoweave.operators.distance import distances_to
 from chronoweave.plans.search import one_query, search_facts, search_nodes
 
 DOCS = {
@@ -161,22 +162,66 @@ def people(table):
 
 def test_search_nodes(table, spark):
     ent, facts = people(table)
-    ask = lambda **kw: [r.uuid for r in search_nodes(ent, one_query(spark, "tea", [1.0, 0.0]), **kw).orderBy("rank").collect()]
+    whole = {"group_ids": []}
+    ask = lambda **kw: [r.uuid for r in search_nodes(ent, one_query(spark, "tea", [1.0, 0.0]), **(whole | kw)).orderBy("rank").collect()]
     assert ask() == ["1", "2", "3"]
     assert ask(max_nodes=1) == ["1"]
     assert ask(group_ids=["h"]) == ["3"] and ask(entity="P") == ["1", "2"] and ask(group_ids=["nobody"]) == []
-    assert ask(group_ids=[]) == ask()
-    r = search_nodes(ent, one_query(spark, "dee", [0.0, 0.0])).collect()
+    # null means the default group, as everywhere
+    assert ask(group_ids=None, default_group="h") == ["3"] and ask(group_ids=None) == []
+    r = search_nodes(ent, one_query(spark, "dee", [0.0, 0.0]), group_ids=[]).collect()
     assert [(x.uuid, x.summary, x.labels, x.attributes) for x in r] == [("4", "", [], {})]
     with pytest.raises(ValueError):
         search_nodes(ent, one_query(spark, "x", [1.0]), max_nodes=0)
 
 
+def test_search_from_text_alone(table, spark):
+    ent, facts = people(table)
+    found = search_nodes(ent.drop("name_embedding"), one_query(spark, "cid likes rum"), group_ids=[]).orderBy("rank").collect()
+    assert found[0].uuid == "3"
+    found = search_facts(facts.drop("fact_embedding"), one_query(spark, "who met bob"), group_ids=[]).orderBy("rank").collect()
+    assert found[0].uuid == "e2"
+
+
+def test_ann_answers_every_size(table):
+    rows = [(f"a{i}", [float(i + 1), 1.0]) for i in range(5)] + [(f"b{i}", [1.0, float(i), 2.0]) for i in range(5)]
+    df = table(rows, "uuid string, embedding array<float>")
+    q = table([(0, [2.0, 1.0]), (1, [1.0, 1.0, 2.0]), (2, None), (3, [])], "query_id int, embedding array<float>")
+    got = {r.query_id for r in VEC.cosine_search_ann(df, q, 3).collect()}
+    assert got == {0, 1}
+
+
+def test_distances_from_both_ends(table):
+    rnd = np.random.default_rng(8)
+    edges = {(int(a), int(b)) for a, b in rnd.integers(0, 60, size=(70, 2))}
+    facts = table([(f"f{a}-{b}", str(a), str(b)) for a, b in edges], "uuid string, source_node_uuid string, target_node_uuid string")
+    pairs = [(str(a), str(b)) for a, b in rnd.integers(0, 65, size=(80, 2))]
+    near = {str(i): set() for i in range(65)}
+    for a, b in edges:
+        near[str(a)].add(str(b))
+        near[str(b)].add(str(a))
+
+    def hops(a, b):
+        seen, at, d = {a}, {a}, 0
+        while at:
+            if b in at:
+                return d
+            at = {y for x in at for y in near[x]} - seen
+            seen |= at
+            d += 1
+        return None
+
+    got = {(r.center, r.node): r.distance for r in distances_to(facts, table(pairs, "center string, node string")).collect()}
+    assert got == {(a, b): hops(a, b) for a, b in pairs}
+    short = {(r.center, r.node): r.distance for r in distances_to(facts, table(pairs, "center string, node string"), 2).collect()}
+    assert short == {k: d if d is not None and d <= 2 else None for k, d in got.items()}
+
+
 def test_search_around_a_node(table, spark):
     ent, facts = people(table)
-    near = search_nodes(ent, one_query(spark, "tea", [1.0, 0.0], "4"), facts=facts).orderBy("rank").collect()
+    near = search_nodes(ent, one_query(spark, "tea", [1.0, 0.0], "4"), group_ids=[], facts=facts).orderBy("rank").collect()
     assert [(r.uuid, r.distance) for r in near] == [("2", 1), ("3", 1), ("1", None)]
-    found = search_facts(facts, one_query(spark, "tea knows", [1.0], "2")).orderBy("rank").collect()
+    found = search_facts(facts, one_query(spark, "tea knows", [1.0], "2"), group_ids=[]).orderBy("rank").collect()
     assert [(r.uuid, r.distance) for r in found] == [("e2", 0), ("e1", 1)]
     with pytest.raises(ValueError, match="max_facts must be a positive integer"):
         search_facts(facts, one_query(spark, "x", [1.0]), max_facts=0)

@@ -24,6 +24,11 @@ def words(text: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({text}), '{TOKEN_BREAK}'), lambda w: w <> '')"
 
 
+def sid(*parts: str) -> str:
+    """The library's stable id: every part with its length, '-' for null."""
+    return "sha256(" + " || '|' || ".join(f"coalesce(length(CAST({p} AS VARCHAR)) || ':' || CAST({p} AS VARCHAR), '-')" for p in parts) + ")"
+
+
 # --- the input views
 EVENT_CONTENT = {
     "json_ep": "props",
@@ -84,6 +89,20 @@ V: dict[str, str] = {
             SELECT center, b, d + 1 FROM h{i - 1} JOIN links ON node = a) GROUP BY center, node"""
         for i in (1, 2, 3)
     },
+    "said": """SELECT user_id, event_id, event_type, k, CASE WHEN event_id % 3 = 0 THEN 'assistant' ELSE 'user' END AS role,
+            event_id % 2 = 1 AS odd, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS turn FROM ev""",
+    # what the rules find: (user_id, turn, role, label, name, attributes)
+    "found": """SELECT user_id, turn, role, 'Preference' AS label, name, 'category=' || category || ',description=' || name || ',polarity=' || polarity AS attributes FROM (
+            SELECT user_id, turn, role, CASE WHEN odd THEN 'album ' ELSE 'tea ' END || k AS name, CASE WHEN odd THEN 'Music' ELSE 'Food' END AS category, 1 AS polarity FROM said WHERE event_type = 'purchase'
+            UNION ALL SELECT user_id, turn, role, 'basic', 'other', -1 FROM said WHERE event_type = 'purchase' AND NOT odd
+            UNION ALL SELECT user_id, turn, role, CASE WHEN odd THEN 'label ' ELSE 'song ' END || k, CASE WHEN odd THEN 'Brands' ELSE 'Music' END, -1 FROM said WHERE event_type = 'view')
+        UNION ALL SELECT user_id, turn, role, 'Requirement', d, 'description=' || d || coalesce(',priority=' || priority, '') || ',project_name=@' FROM (
+            SELECT user_id, turn, role, CASE WHEN odd THEN 'Audit ' ELSE 'critical fix ' END || k AS d, CASE WHEN NOT odd THEN 'critical' END AS priority FROM said WHERE event_type = 'error'
+            UNION ALL SELECT user_id, turn, role, 'Login ' || k || ' must have high priority check', 'high' FROM said WHERE event_type = 'signup' AND odd)
+        UNION ALL SELECT user_id, turn, role, 'Procedure', d, 'description=' || d || coalesce(',trigger=' || t, '') FROM (
+            SELECT user_id, turn, role, CASE WHEN odd THEN 'Always check ' || k || ' when rain happens' ELSE 'First do ' || k || ', then do ship' END AS d,
+                CASE WHEN odd THEN 'rain' END AS t FROM said WHERE event_type = 'click'
+            UNION ALL SELECT user_id, turn, role, 'If signup occurs, then do welcome ' || k, 'signup' FROM said WHERE event_type = 'signup' AND NOT odd)""",
     "life": """SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_id AS id,
             CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS event,
             'failed with ' || props AS message FROM events WHERE event_type IN ('signup', 'purchase', 'error')""",
@@ -152,7 +171,7 @@ check(
 )
 check(
     "a2_normalize_episodes",
-    f"""SELECT CASE WHEN event_type = 'click' THEN sha256(group_id || '|' || name || '|' || epoch_us(t) || '|' || content)
+    f"""SELECT CASE WHEN event_type = 'click' THEN {sid("group_id", "name", "epoch_us(t)", "content")}
             ELSE 'ev-' || event_id END AS uuid, name, content, source, source_description, group_id,
             {iso("t")} AS reference_time, {iso(f"TIMESTAMP '{NOW}'")} AS created_at FROM m""",
     extra={
@@ -178,6 +197,15 @@ check(
         FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY reference_time, uuid) AS position FROM json_ep)""",
     ["ev", "json_ep"],
 )
+check("a4_queue_position_hot", ORACLE["a4_queue_position"])
+check(
+    "a5_upsert_entities",
+    f"""SELECT uuid, CASE group_id WHEN 'supplier' THEN '2 ' || name ELSE name END AS name, group_id,
+        {iso(f"({after_epoch('k')} + CASE group_id WHEN 'supplier' THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END)")} AS created_at,
+        upper(left(group_id, 1)) || substr(group_id, 2) AS labels, 'key=' || k AS attributes,
+        CAST(CASE WHEN v IS NULL THEN NULL ELSE len(v) END AS BIGINT) AS dim FROM ent""",
+    ["ent0", "ent"],
+)
 check(
     "a5_upsert",
     """SELECT uuid, name, CASE WHEN p_size >= 45 THEN 'large ' || label ELSE summary END AS summary, group_id FROM node
@@ -314,6 +342,18 @@ check(
     "SELECT center, node, CAST(d AS BIGINT) AS distance FROM h3",
     ["edge0", "edge", "links", *_HOPS],
 )
+check(
+    "e5_distances_to",
+    """SELECT p.center, p.node, CAST(d AS BIGINT) AS distance FROM (SELECT 'n:' || ((c_nationkey + 1) % 25) AS center, 'c:' || c_custkey AS node FROM customer) p
+        LEFT JOIN h3 ON h3.center = p.center AND h3.node = p.node""",
+    ["edge0", "edge", "links", *_HOPS],
+)
+check(
+    "e6_search_nodes_default_group",
+    f"SELECT query_id, rank, round(rrf, 6) AS rrf, uuid, name, group_id FROM ({ranked('f', 'rrf DESC', 10)}) JOIN node USING (uuid)",
+    ["node", "q"],
+    hybrid("f", "node", _NODE_TEXT, "q", 10, "group_id = 'Brand#3'"),
+)
 check(
     "e6_search_nodes",
     f"""SELECT query_id, rank, round(rrf, 6) AS rrf, uuid, name, summary, group_id, {iso("created_at")} AS created_at, label AS labels
@@ -388,6 +428,13 @@ check(
         UNION ALL SELECT o_orderkey, o_orderstatus, 'marks', o_orderstatus, '$.marks[0]', 'id="' || o_orderstatus || '",n=1' FROM {_ORDER}
         UNION ALL SELECT o_orderkey, o_orderstatus, 'marks', o_orderpriority, '$.marks[1]', 'id="' || o_orderpriority || '"' FROM {_ORDER})""",
 )
+check(
+    "f2_json_entities_deep",
+    """SELECT 'o-' || o_orderkey AS episode_uuid, CASE l WHEN 0 THEN 'order' ELSE 'in' || l END AS label, 'n' || l AS name,
+        array_to_string(list_concat(['$'], list_transform(range(1, l + 1), lambda i: 'in' || i)), '.') AS path,
+        CASE l WHEN 8 THEN 'key=' || o_orderkey || ',' ELSE '' END || 'name="n' || l || '"' AS attributes
+        FROM orders, (SELECT unnest(range(0, 9)) AS l)""",
+)
 check(
     "f3_json_relations",
     f"""SELECT 'o-' || o_orderkey AS episode_uuid, source_name, target_name, name, source_name || ' ' || name || ' ' || target_name AS fact FROM (
@@ -428,6 +475,17 @@ check(
         WHERE event_type NOT IN ('click', 'view', 'purchase', 'error')""",
     ["ev", "text_ep"],
 )
+check(
+    "f7_chat_statements",
+    """SELECT 'chat-' || user_id AS episode_uuid, turn, label, name, replace(attributes, '@', 'chat') AS attributes
+        FROM found WHERE label <> 'Preference' OR role = 'user'""",
+    ["ev", "said", "found"],
+)
+check(
+    "f7_line_statements",
+    """SELECT 'note-' || user_id AS episode_uuid, CAST(NULL AS BIGINT) AS turn, label, name, replace(attributes, '@', 'note') AS attributes FROM found""",
+    ["ev", "said", "found"],
+)
 check(
     "f8_validate_entities",
     """SELECT event_id, label, CASE WHEN missing <> '' THEN 'missing required fields: ' || missing END AS reason FROM (
@@ -454,9 +512,9 @@ check(
     ["ev"],
 )
 _SEEN = {
-    "seen": """SELECT p_partkey, p_brand AS group_id, p_type AS label, lower(p_name) AS norm, p_size,
+    "seen": f"""SELECT p_partkey, p_brand AS group_id, p_type AS label, lower(p_name) AS norm, p_size,
         CASE WHEN p_size >= 25 THEN '  ' || upper(p_name) ELSE p_name END AS name,
-        sha256(p_brand || '|' || p_type || '|' || lower(p_name)) AS uuid FROM part"""
+        {sid("p_brand", "p_type", "lower(p_name)")} AS uuid FROM part"""
 }
 check(
     "f11_resolve_entities",
@@ -465,6 +523,11 @@ check(
         any_value(label) || '=' || max(p_partkey) || ',size=' || arg_max(p_size, p_partkey) AS attributes FROM seen GROUP BY uuid""",
     extra=_SEEN,
 )
+check(
+    "f11_stored_labels",
+    "SELECT uuid, any_value(label) || ',Stored' AS labels, 'kept' AS summary, CAST(1 AS BIGINT) AS dim FROM seen GROUP BY uuid",
+    extra=_SEEN,
+)
 # numbers counted from zero lead to zero by lowering one digit at a time
 check(
     "f11_merge_similar",
@@ -499,6 +562,13 @@ check(
         ON node = ent.uuid GROUP BY ent.uuid""",
     ["ent0", "edge0", "edge"],
 )
+check(
+    "f14_node_summary_full",
+    """SELECT ent.uuid, coalesce(string_agg(fact, ' ' ORDER BY valid_at, e.uuid), '') AS summary, count(fact) AS degree
+        FROM ent0 ent LEFT JOIN (SELECT src AS node, uuid, fact, valid_at FROM edge UNION ALL SELECT dst, uuid, fact, valid_at FROM edge) e
+        ON node = ent.uuid GROUP BY ent.uuid""",
+    ["ent0", "edge0", "edge"],
+)
 _SINGLE = "name IN ('view', 'purchase', 'signup')"
 
 
@@ -518,6 +588,13 @@ check(
     ["fact"],
     {"c": closed("fact")},
 )
+check("f15_apply_facts_hot", ORACLE["f15_apply_facts"])
+check(
+    "f15_provenance",
+    """SELECT source_node_uuid, name, target_node_uuid, string_agg(uuid, ',' ORDER BY uuid) AS episodes FROM fact
+        GROUP BY group_id, source_node_uuid, name, target_node_uuid""",
+    ["fact"],
+)
 _TRUE_AT = "valid_at <= TIMESTAMP '{t}' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '{t}')"
 check(
     "f16_facts_as_of",
@@ -539,6 +616,7 @@ check(
         ON CAST(p.user_id AS VARCHAR) = f.source_node_uuid AND p.ts >= f.valid_at, LATERAL (SELECT p.ts < f.valid_at + INTERVAL 2 DAY AS live)""",
     ["fact"],
 )
+check("f16_facts_as_of_keys_hot", ORACLE["f16_facts_as_of_keys"])
 check(
     "f17_embed_column",
     f"SELECT doc_id, CAST(64 AS BIGINT) AS dim, CASE WHEN len({words('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents",
@@ -577,6 +655,19 @@ check(
     {"c": closed("fact")},
 )
 
+_OBJECTS = f"""SELECT o_orderkey, o_orderstatus AS g, 'order' AS label, 'order' AS name, CAST(NULL AS VARCHAR) AS parent FROM {_ORDER}
+    UNION ALL SELECT o_orderkey, o_orderstatus, 'customer', c_name, 'order' FROM {_ORDER}
+    UNION ALL SELECT o_orderkey, o_orderstatus, 'segment', c_mktsegment, c_name FROM {_ORDER}
+    UNION ALL SELECT o_orderkey, o_orderstatus, 'marks', o_orderstatus, 'order' FROM {_ORDER}
+    UNION ALL SELECT o_orderkey, o_orderstatus, 'marks', o_orderpriority, 'order' FROM {_ORDER}"""
+check(
+    "g4_graph_status_ok",
+    f"""SELECT group_id, episodes, entities, facts, facts AS active_facts, mentions, newest_episode, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM
+        (SELECT o_orderstatus AS group_id, count(*) AS episodes, {iso("max(o_orderdate)")} AS newest_episode FROM {_ORDER} GROUP BY 1)
+        JOIN (SELECT g AS group_id, count(DISTINCT (label, lower(name))) AS entities, count(DISTINCT (o_orderkey, label, lower(name))) AS mentions,
+            count(DISTINCT (lower(parent), label, lower(name))) FILTER (parent IS NOT NULL) AS facts FROM ({_OBJECTS}) GROUP BY 1) USING (group_id)""",
+)
+
 # --- H
 check(
     "h1_messages_to_prompt",
@@ -595,21 +686,52 @@ _TYPED = f"""SELECT uuid, group_id, 'Preference' AS label, 'item ' || k AS name,
     UNION ALL SELECT uuid, group_id, 'Procedure', 'If signup occurs, then do welcome', reference_time FROM text_ep
         WHERE event_type NOT IN ('click', 'view', 'purchase', 'error')
     UNION ALL SELECT 'js-' || uuid, group_id, name, name, reference_time FROM json_ep"""
+_IDS = {
+    "cand": f"""SELECT *, {sid("group_id", "label", "lower(name)")} AS id FROM ({_TYPED})""",
+    "f0": f"""SELECT group_id, reference_time, uuid AS episode, d || ' is a requirement of ' || project AS fact,
+            {sid("group_id", "'Requirement'", "lower(d)")} AS s, {sid("group_id", "'Project'", "lower(project)")} AS o FROM ({_REQUIREMENT})""",
+    "f": f"""SELECT {sid("group_id", "s", "'requirement_of'", "o", "epoch_us(reference_time)")} AS uuid, * FROM f0""",
+}
+# attribute values of a candidate, by key; the latest of each key stays
+_VALUES = """SELECT uuid, group_id, 'Preference' AS label, 'item ' || k AS name, reference_time, unnest(['category', 'description', 'polarity']) AS key,
+        unnest(['other', 'item ' || k, CASE event_type WHEN 'view' THEN '-1' ELSE '1' END]) AS val FROM text_ep WHERE event_type IN ('view', 'purchase')
+    UNION ALL SELECT uuid, group_id, 'Preference', 'basic', reference_time, unnest(['category', 'description', 'polarity']), unnest(['other', 'basic', '-1'])
+        FROM text_ep WHERE event_type = 'purchase'
+    UNION ALL SELECT uuid, group_id, 'Requirement', prefix || k, reference_time, unnest(['description', 'project_name']), unnest([prefix || k, name])
+        FROM text_ep, (VALUES ('fix '), ('Fix ')) p(prefix) WHERE event_type = 'error'
+    UNION ALL SELECT uuid, group_id, 'Procedure', 'First do ' || k || ', then do ship', reference_time, 'description', 'First do ' || k || ', then do ship'
+        FROM text_ep WHERE event_type = 'click'
+    UNION ALL SELECT uuid, group_id, 'Procedure', 'If signup occurs, then do welcome', reference_time, unnest(['description', 'trigger']), unnest(['If signup occurs, then do welcome', 'signup'])
+        FROM text_ep WHERE event_type NOT IN ('click', 'view', 'purchase', 'error')
+    UNION ALL SELECT 'js-' || uuid, group_id, name, name, reference_time, 'k', k FROM json_ep"""
 check(
     "j1_stream_ingest",
-    """SELECT 'episodes' AS kind, uuid, group_id, content AS body FROM text_ep
-        UNION ALL SELECT 'episodes', 'js-' || uuid, group_id, content FROM json_ep
-        UNION ALL SELECT 'entities', id, any_value(group_id), arg_min(name, (reference_time, name)) FROM cand GROUP BY id
-        UNION ALL SELECT DISTINCT 'mentions', id, group_id, uuid FROM cand
-        UNION ALL SELECT 'facts', uuid, group_id, fact FROM (SELECT *, row_number() OVER (PARTITION BY group_id, s, o ORDER BY reference_time, uuid, fact) AS n FROM f) WHERE n = 1""",
+    f"""SELECT 'episodes' AS kind, uuid, group_id, content AS body, CAST(NULL AS VARCHAR) AS attributes, {iso("reference_time")} AS since, CAST(NULL AS VARCHAR) AS until FROM text_ep
+        UNION ALL SELECT 'episodes', 'js-' || uuid, group_id, content, NULL, {iso("reference_time")}, NULL FROM json_ep
+        UNION ALL SELECT 'entities', id, any_value(group_id), arg_min(name, (reference_time, name)), coalesce(any_value(attributes), ''), {iso("min(reference_time)")}, NULL
+            FROM cand LEFT JOIN attrs USING (id) GROUP BY id
+        UNION ALL SELECT DISTINCT 'mentions', id, group_id, uuid, NULL, NULL, NULL FROM cand
+        UNION ALL SELECT 'facts', uuid, group_id, fact, NULL, {iso("reference_time")}, {iso("nxt")} FROM (
+            SELECT *, lead(reference_time) OVER (PARTITION BY group_id, s ORDER BY reference_time, uuid) AS nxt
+            FROM (SELECT DISTINCT ON (uuid) * FROM f ORDER BY uuid, fact DESC))""",
     ["ev", "json_ep", "text_ep"],
-    {
-        "cand": f"SELECT *, sha256(group_id || '|' || label || '|' || lower(name)) AS id FROM ({_TYPED})",
-        "f": f"""SELECT sha256(group_id || '|' || s || '|requirement_of|' || o || '|' || epoch_us(reference_time)) AS uuid, * FROM (
-            SELECT group_id, reference_time, d || ' is a requirement of ' || project AS fact,
-                sha256(group_id || '|Requirement|' || lower(d)) AS s, sha256(group_id || '|Project|' || lower(project)) AS o FROM ({_REQUIREMENT}))""",
+    _IDS
+    | {
+        "vals": f"""SELECT {sid("group_id", "label", "lower(name)")} AS id, key, arg_max(val, (reference_time, val)) AS val FROM ({_VALUES}) GROUP BY 1, 2""",
+        "attrs": "SELECT id, string_agg(key || '=' || val, ',' ORDER BY key) AS attributes FROM vals GROUP BY id",
     },
 )
+_KEPT = "CAST(regexp_extract({u}, '[0-9]+') AS BIGINT) % 2 = 1"
+check(
+    "j1_replaced_episode",
+    f"""SELECT form, x.* FROM (VALUES ('whole'), ('later')) forms(form), (
+        SELECT 'episodes' AS kind, uuid, CASE WHEN {_KEPT.format(u="uuid")} THEN content ELSE 'Nothing to say' END AS body FROM text_ep
+        UNION ALL SELECT DISTINCT 'mentions', id, uuid FROM cand WHERE uuid NOT LIKE 'js-%' AND {_KEPT.format(u="uuid")}
+        UNION ALL SELECT 'facts', uuid, fact FROM (SELECT *, row_number() OVER (PARTITION BY group_id, s, o ORDER BY reference_time, uuid, fact) AS n
+            FROM f WHERE {_KEPT.format(u="episode")}) WHERE n = 1) x""",
+    ["ev", "json_ep", "text_ep"],
+    _IDS,
+)
 check(
     "j2_sequence_by_group",
     "SELECT uuid, group_id, row_number() OVER (PARTITION BY group_id ORDER BY reference_time, uuid) AS sequence FROM json_ep",
@@ -634,6 +756,7 @@ _CACHE = dict(
 )
 _CACHE_ROWS = f"SELECT event_id, user_id, {iso('ts')} AS ts, hit, {iso('served')} AS served_from FROM r"
 check("j5_ttl_cache", _CACHE_ROWS, **_CACHE)
+check("j5_ttl_cache_hot", _CACHE_ROWS, **_CACHE)
 check("j5_ttl_cache_stream", _CACHE_ROWS, **_CACHE)
 _BY_KEY = "PARTITION BY user_id, day"
 _LIFE = {

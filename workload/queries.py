@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,17 +16,18 @@ from chronoweave.operators import facts as FA
 from chronoweave.operators import lookup as L
 from chronoweave.operators import maintenance as M
 from chronoweave.operators import projection as P
-from chronoweave.operators.distance import node_distance
+from chronoweave.operators.distance import distances_to, node_distance
 from chronoweave.operators.folds import lifecycle, lifecycle_events, ttl_cache
 from chronoweave.operators.merge import deep_merge
 from chronoweave.operators.plugins import with_extractor
+from chronoweave.operators.ordered import HOT_ROWS
 from chronoweave.operators.ranking import passthrough_rerank, rrf_fuse, with_reranker
 from chronoweave.operators.resolution import build_mentions, merge_similar, resolve_entities
 from chronoweave.operators.text_index import bm25_search, build_index
 from chronoweave.operators.vectors import cosine_search, cosine_search_ann, embed_column, with_embedder
-from chronoweave.plans.ingest import extract_candidates
+from chronoweave.plans.ingest import build_graph, extract_candidates
 from chronoweave.plans.search import node_text, search_facts, search_nodes
-from chronoweave.session import scratch_path
+from chronoweave.session import cut_lineage, scratch_path
 from chronoweave.sources.episodes import read_episodes, stream_episodes
 from chronoweave.sources.graph import read_graph, write_graph
 from chronoweave.streaming.ingest import dedup_episodes, materialize, quarantine_stream, stream_ingest
@@ -119,6 +119,24 @@ def a5_upsert(v: Views) -> DataFrame:
     return M.upsert(v.node().select(*columns), large.unionByName(new))
 
 
+@query
+def a4_queue_position_hot(v: Views) -> DataFrame:
+    """Every larger group cut into pieces."""
+    return E.queue_position(v.json_ep(), hot_rows=20).select("uuid", "group_id", "position", "message")
+
+
+@query
+def a5_upsert_entities(v: Views) -> DataFrame:
+    """Whole entity rows, with attributes and vectors; suppliers are renamed, twice."""
+    suppliers = v.ent().filter(F.array_contains("labels", "Supplier"))
+    renamed = [suppliers.withColumns({"name": F.concat(F.lit(f"{n} "), F.col("name")), "created_at": F.col("created_at") + F.expr(f"INTERVAL {n} DAYS")}) for n in (1, 2)]
+    after = M.upsert(v.ent(), renamed[0].unionByName(renamed[1]), order=["created_at"])
+    return iso(after, "created_at").select(
+        "uuid", "name", "group_id", "created_at", F.array_join("labels", ",").alias("labels"),
+        pairs_text("attributes").alias("attributes"), F.size("name_embedding").cast("long").alias("dim"),
+    )
+
+
 # --- B
 @query
 def b1_project_node_result(v: Views) -> DataFrame:
@@ -225,7 +243,7 @@ def c5_check_membership(v: Views) -> DataFrame:
     part = v.t("part")
     kinds = part.select(F.col("p_type").alias("key"))
     asked = kinds.unionByName(part.select(F.col("p_brand").alias("key")))
-    catalog = kinds.distinct().withColumn("position", F.row_number().over(W.orderBy("key")))  # a handful of types
+    catalog = kinds.distinct().withColumn("position", F.col("key"))
     return L.check_membership(asked, catalog)
 
 
@@ -316,13 +334,21 @@ def e5_node_distance(v: Views) -> DataFrame:
     return node_distance(v.edge(), centers, 3)
 
 
+@query
+def e5_distances_to(v: Views) -> DataFrame:
+    """From the nation after a customer's own to the customer; null without a path."""
+    center = F.concat(F.lit("n:"), (F.col("c_nationkey") + 1) % 25)
+    pairs = v.t("customer").select(center.alias("center"), F.concat(F.lit("c:"), F.col("c_custkey")).alias("node"))
+    return distances_to(v.edge(), pairs)
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("rrf", F.round("rrf", 6))
 
 
 @query
 def e6_search_nodes(v: Views) -> DataFrame:
-    return _shown(search_nodes(v.node(), v.query())).select(
+    return _shown(search_nodes(v.node(), v.query(), group_ids=[])).select(
         "query_id", "rank", "rrf", "uuid", "name", "summary", "group_id", "created_at", F.array_join("labels", ",").alias("labels")
     )
 
@@ -333,6 +359,13 @@ def e6_search_nodes_filtered(v: Views) -> DataFrame:
     return _shown(found).select("query_id", "rank", "rrf", "uuid", "name", "group_id")
 
 
+@query
+def e6_search_nodes_default_group(v: Views) -> DataFrame:
+    """Without groups a search stays in the default one."""
+    found = search_nodes(v.node(), v.query(), default_group="Brand#3")
+    return _shown(found).select("query_id", "rank", "rrf", "uuid", "name", "group_id")
+
+
 def _centered(v: Views) -> DataFrame:
     """Per nation: its customers' segment words, its own vector, itself as the centre."""
     emb = v.t("embeddings").select(F.col("vec_id").alias("n_nationkey"), "embedding")
@@ -346,19 +379,19 @@ def _centered(v: Views) -> DataFrame:
 
 @query
 def e6_search_nodes_centered(v: Views) -> DataFrame:
-    found = search_nodes(v.ent(), _centered(v), facts=v.edge())
+    found = search_nodes(v.ent(), _centered(v), group_ids=[], facts=v.edge())
     return _shown(found).select("query_id", "rank", "rrf", "distance", "uuid", "name")
 
 
 @query
 def e7_search_facts(v: Views) -> DataFrame:
-    found = search_facts(v.edge(), _centered(v).drop("center_node_uuid"))
+    found = search_facts(v.edge(), _centered(v).drop("center_node_uuid"), group_ids=[])
     return _shown(found).select("query_id", "rank", "rrf", "uuid", "fact", "valid_at")
 
 
 @query
 def e7_search_facts_centered(v: Views) -> DataFrame:
-    return _shown(search_facts(v.edge(), _centered(v), max_facts=5)).select("query_id", "rank", "rrf", "distance", "uuid", "fact")
+    return _shown(search_facts(v.edge(), _centered(v), group_ids=[], max_facts=5)).select("query_id", "rank", "rrf", "distance", "uuid", "fact")
 
 
 @query
@@ -406,6 +439,11 @@ def f2_json_entities_nested(v: Views) -> DataFrame:
     )
 
 
+@query
+def f2_json_entities_deep(v: Views) -> DataFrame:
+    return X.json_entities(v.deep_ep()).select("episode_uuid", "label", "name", "path", pairs_text("attributes").alias("attributes"))
+
+
 @query
 def f3_json_relations(v: Views) -> DataFrame:
     return X.json_relations(_nested_ep(v)).select("episode_uuid", "source_name", "target_name", "name", "fact")
@@ -432,6 +470,20 @@ def f7_typed_extract(v: Views) -> DataFrame:
     return on.unionByName(X.typed_extract(v.text_ep(), False).select("episode_uuid", "label", "name"))
 
 
+def _typed(episodes: DataFrame) -> DataFrame:
+    return X.typed_extract(episodes).select("episode_uuid", "turn", "label", "name", pairs_text("attributes").alias("attributes"))
+
+
+@query
+def f7_chat_statements(v: Views) -> DataFrame:
+    return _typed(v.chat_ep())
+
+
+@query
+def f7_line_statements(v: Views) -> DataFrame:
+    return _typed(v.line_ep())
+
+
 @query
 def f8_validate_entities(v: Views) -> DataFrame:
     kind = F.col("event_type")
@@ -481,6 +533,18 @@ def f11_resolve_entities(v: Views) -> DataFrame:
     )
 
 
+@query
+def f11_stored_labels(v: Views) -> DataFrame:
+    """Stored entities keep their labels, vectors and summaries when seen again."""
+    stored = resolve_entities(_seen_parts(v)).withColumns(
+        {"labels": F.array(F.lit("Stored"), F.get("labels", F.lit(0))), "name_embedding": F.array(F.lit(0.5).cast("float")), "summary": F.lit("kept")}
+    )
+    again = _seen_parts(v).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    return resolve_entities(again, stored).select(
+        "uuid", F.array_join("labels", ",").alias("labels"), "summary", F.size("name_embedding").cast("long").alias("dim")
+    )
+
+
 @query
 def f11_merge_similar(v: Views) -> DataFrame:
     """Suppliers and customers, whose names are numbers, linked digit by digit."""
@@ -512,6 +576,11 @@ def f14_node_summary(v: Views) -> DataFrame:
     return FA.node_summary(v.ent(), v.edge(), 300)
 
 
+@query
+def f14_node_summary_full(v: Views) -> DataFrame:
+    return FA.node_summary(v.ent(), v.edge())
+
+
 _SINGLE = ["view", "purchase", "signup"]
 
 
@@ -521,6 +590,21 @@ def f15_apply_facts(v: Views) -> DataFrame:
     return iso(applied, "valid_at", "created_at", "invalid_at", "expired_at").drop("fact")
 
 
+@query
+def f15_apply_facts_hot(v: Views) -> DataFrame:
+    applied = FA.apply_facts(v.fact(), None, _SINGLE, hot_rows=20)
+    return iso(applied, "valid_at", "created_at", "invalid_at", "expired_at").drop("fact")
+
+
+@query
+def f15_provenance(v: Views) -> DataFrame:
+    """A fact seen in several episodes names them all."""
+    seen = v.fact().withColumn("episodes", F.array(F.col("uuid")))
+    return FA.apply_facts(seen, None, []).select(
+        "source_node_uuid", "name", "target_node_uuid", F.array_join("episodes", ",").alias("episodes")
+    )
+
+
 @query
 def f16_facts_as_of(v: Views) -> DataFrame:
     stored = FA.apply_facts(v.fact(), None, _SINGLE)
@@ -536,15 +620,24 @@ def f16_facts_as_known(v: Views) -> DataFrame:
 @query
 def f16_facts_as_of_keys(v: Views) -> DataFrame:
     """What each user last viewed before each purchase."""
+    return _last_viewed(v, HOT_ROWS)
+
+
+def _last_viewed(v: Views, hot_rows: int) -> DataFrame:
     facts = v.fact().filter(F.col("name") == "view").select("uuid", "source_node_uuid", "target_node_uuid", "valid_at")
     facts = facts.withColumn("invalid_at", F.col("valid_at") + F.expr("INTERVAL 2 DAYS"))
     probes = v.t("events").filter(F.col("event_type") == "purchase").select(
         F.col("user_id").cast("string").alias("source_node_uuid"), F.col("ts").alias("at"), "event_id"
     )
-    found = FA.facts_as_of_keys(facts, probes, ["source_node_uuid"])
+    found = FA.facts_as_of_keys(facts, probes, ["source_node_uuid"], hot_rows=hot_rows)
     return found.select("event_id", "source_node_uuid", F.col("found.uuid").alias("fact_uuid"), F.col("found.target_node_uuid").alias("target"))
 
 
+@query
+def f16_facts_as_of_keys_hot(v: Views) -> DataFrame:
+    return _last_viewed(v, 20)
+
+
 @query
 def f17_embed_column(v: Views) -> DataFrame:
     docs = embed_column(v.t("documents").select("doc_id", "text"), F.col("text"), 64)
@@ -599,6 +692,12 @@ def g4_graph_status(v: Views) -> DataFrame:
     return iso(M.graph_status(tables), "newest_episode")
 
 
+@query
+def g4_graph_status_ok(v: Views) -> DataFrame:
+    """A graph built from nested episodes refers to nothing it does not hold."""
+    return iso(M.graph_status(build_graph(_nested_ep(v), use_custom_entities=False)), "newest_episode")
+
+
 # --- H
 @query
 def h1_messages_to_prompt(v: Views) -> DataFrame:
@@ -635,16 +734,48 @@ def j1_stream_ingest(v: Views) -> DataFrame:
     for half in [*halves, halves[1]]:
         _arrive(half, inbox)
         stream_ingest(v.spark, inbox, out, ckpt, now=at(NOW)).awaitTermination()
-    graph = materialize(v.spark, out)
-    rows = lambda name, uuid, body: graph[name].select(F.lit(name).alias("kind"), F.col(uuid).alias("uuid"), "group_id", F.col(body).alias("body"))
+    graph = materialize(v.spark, out, ["requirement_of"])
+    none = F.lit(None).cast("string")
+
+    def rows(name: str, uuid: str, body: str, attributes=none, since=none, until=none) -> DataFrame:
+        return graph[name].select(
+            F.lit(name).alias("kind"), F.col(uuid).alias("uuid"), "group_id", F.col(body).alias("body"),
+            attributes.alias("attributes"), since.alias("since"), until.alias("until"),
+        )
+
+    at_ = lambda c: iso_utc(F.col(c))
     return (
-        rows("episodes", "uuid", "content")
-        .unionByName(rows("entities", "uuid", "name"))
-        .unionByName(rows("facts", "uuid", "fact"))
+        rows("episodes", "uuid", "content", since=at_("reference_time"))
+        .unionByName(rows("entities", "uuid", "name", pairs_text("attributes"), at_("created_at")))
+        .unionByName(rows("facts", "uuid", "fact", since=at_("valid_at"), until=at_("invalid_at")))
         .unionByName(rows("mentions", "entity_uuid", "episode_uuid"))
     )
 
 
+@query
+def j1_replaced_episode(v: Views) -> DataFrame:
+    """Every second episode comes again as a note without statements: nothing of its first text is left."""
+    ep = v.text_ep().drop("created_at")
+    again = ep.filter(F.regexp_extract("uuid", "[0-9]+", 0).cast("long") % 2 == 0).withColumn("content", F.lit("Nothing to say"))
+    inbox, out, ckpt = (scratch_path(v.spark, x) for x in ("arrivals", "log", "ckpt"))
+    for part in (ep, again):
+        _arrive(part, inbox)
+        stream_ingest(v.spark, inbox, out, ckpt, now=at(NOW)).awaitTermination()
+    whole = materialize(v.spark, out)
+    # the same from a graph stored after the first arrival
+    stored = {n: cut_lineage(df) for n, df in materialize(v.spark, out, base=None, after=None, before=1).items()}
+    later = materialize(v.spark, out, base=stored, after=0)
+    parts = [
+        g[name].select(F.lit(form).alias("form"), F.lit(name).alias("kind"), F.col(uuid).alias("uuid"), F.col(body).alias("body"))
+        for form, g in (("whole", whole), ("later", later))
+        for name, uuid, body in (("episodes", "uuid", "content"), ("mentions", "entity_uuid", "episode_uuid"), ("facts", "uuid", "fact"))
+    ]
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
+
+
 @query
 def j2_sequence_by_group(v: Views) -> DataFrame:
     ep = v.json_ep().drop("created_at")
@@ -697,6 +828,13 @@ def j5_ttl_cache(v: Views) -> DataFrame:
     return iso(ttl_cache(events, "user_id", "ts", "event_id", CACHE_TTL), "ts", "served_from")
 
 
+@query
+def j5_ttl_cache_hot(v: Views) -> DataFrame:
+    """Every larger key solved by path doubling."""
+    events = v.t("events").select("event_id", "user_id", "ts")
+    return iso(ttl_cache(events, "user_id", "ts", "event_id", CACHE_TTL, hot_rows=20), "ts", "served_from")
+
+
 @query
 def j5_ttl_cache_stream(v: Views) -> DataFrame:
     events = v.t("events").select("event_id", "user_id", "ts")

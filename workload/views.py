@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.operators.episodes import conversations_to_episodes
+from chronoweave.operators.ordered import joined_in_order
 from chronoweave.session import configure, spread
 
 EPOCH = "2024-01-01 00:00:00"
@@ -121,6 +122,50 @@ class Views:
             F.col("ts").alias("created_at"),
         )
 
+    def statements(self) -> DataFrame:
+        """One statement per event, each rule at least once; (user_id, event_id, role, text)."""
+        kind, k, odd = F.col("event_type"), F.get_json_object("props", "$.k"), F.col("event_id") % 2 == 1
+        say = lambda template: F.replace(F.lit(template), F.lit("{k}"), k)
+        text = (
+            F.when(kind == "purchase", F.when(odd, say("I love album {k}")).otherwise(say("I prefer tea {k} over basic")))
+            .when(kind == "view", F.when(odd, say("I hate label {k}")).otherwise(say("I don't like song {k}")))
+            .when(kind == "error", F.when(odd, say("Audit {k} is required")).otherwise(say("We need critical fix {k}")))
+            .when(kind == "click", F.when(odd, say("Always check {k} when rain happens")).otherwise(say("First do {k}, then do ship")))
+            .otherwise(F.when(odd, say("Login {k} must have high priority check")).otherwise(say("If signup occurs, then do welcome {k}")))
+        )
+        role = F.when(F.col("event_id") % 3 == 0, "assistant").otherwise("user")
+        return self.t("events").select("user_id", "event_id", role.alias("role"), text.alias("text"))
+
+    def _told(self, df: DataFrame, prefix: str, source: str) -> DataFrame:
+        at = minutes_after_epoch(F.col("user_id"))
+        return df.select(
+            F.concat(F.lit(prefix), F.col("user_id")).alias("uuid"), F.lit(prefix.rstrip("-")).alias("name"), "content",
+            F.lit(source).alias("source"), F.lit("").alias("source_description"),
+            F.col("user_id").cast("string").alias("group_id"), at.alias("reference_time"), at.alias("created_at"),
+        )
+
+    def chat_ep(self) -> DataFrame:
+        """A chat per user, a statement per turn."""
+        chats = conversations_to_episodes(self.statements(), "user_id", "event_id", "role", "text")
+        return self._told(chats, "chat-", "message")
+
+    def line_ep(self) -> DataFrame:
+        """A note per user, a statement per line, without end marks and some as list items."""
+        line = F.concat(F.when(F.col("event_id") % 5 == 0, "- ").otherwise(""), F.col("text"))
+        notes = joined_in_order(self.statements(), ["user_id"], "event_id", line, "\n", "content")
+        return self._told(notes, "note-", "text")
+
+    def deep_ep(self) -> DataFrame:
+        """Orders as objects nested eight deep."""
+        body = F.concat(F.lit('{"name": "n8", "key": '), F.col("o_orderkey").cast("string"), F.lit("}"))
+        for level in range(7, -1, -1):
+            body = F.concat(F.lit(f'{{"name": "n{level}", "in{level + 1}": '), body, F.lit("}"))
+        return self.t("orders").select(
+            F.concat(F.lit("o-"), F.col("o_orderkey")).alias("uuid"), F.lit("order").alias("name"), body.alias("content"),
+            F.lit("json").alias("source"), F.lit("").alias("source_description"), F.col("o_orderstatus").alias("group_id"),
+            F.col("o_orderdate").alias("reference_time"), F.col("o_orderdate").alias("created_at"),
+        )
+
     # --- nodes, queries
     def node(self) -> DataFrame:
         emb = self.t("embeddings").select(F.col("vec_id").alias("p_partkey"), F.col("embedding").alias("name_embedding"))
