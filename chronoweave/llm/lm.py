@@ -33,13 +33,13 @@ from chronoweave.session import scratch_path
 
 FOLDS = 7
 HELD_OUT_FOLD = 2
-BITS = 12
+BITS = 10
 CLASSES = 1 << BITS
 SLOT_BITS = 20
 ORDERS = 3  # digits alone, after one word, after two words
 FAN_IN = 32
 BATCH_BYTES = 16_000_000
-TOKENS_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 300_000
 
 FIRST_WEIGHTS = (1.0, 0.35, 0.25)
 RATE = 0.02
@@ -143,25 +143,21 @@ def _training(rows: pa.RecordBatch) -> pa.Array:
 # --- what is learnt ------------------------------------------------------------
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column("blob"):
-            tokens = np.concatenate([np.zeros(0, np.uint64), *_each_slice(_training(_unpack(blob.as_py())))])
-            words, n = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
-
-
 def _each_slice(texts: pa.Array) -> Iterator[np.ndarray]:
     for lo, hi in slices(texts):
         yield _tokens(texts.slice(lo, hi - lo))[0]
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, word, n): the words of each batch, and how often they occur in its training texts."""
     for batch in batches:
         for number, blob in zip(batch.column("batch").to_pylist(), batch.column("blob"), strict=True):
-            found = [np.unique(t) for t in _each_slice(_unpack(blob.as_py()).column("text"))]
-            words = np.unique(np.concatenate(found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), pa.array(words.view(np.int64))], ["batch", "word"])
+            rows = _unpack(blob.as_py())
+            others = [np.unique(t) for t in _each_slice(rows.column("text").filter(rows.column("held_out")))]
+            words, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_each_slice(_training(rows))]), return_counts=True)
+            unseen = np.setdiff1d(np.concatenate([np.zeros(0, np.uint64), *others]), words)
+            words, n = np.concatenate([words, unseen]), np.concatenate([n, np.zeros(len(unseen), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), pa.array(words.view(np.int64)), pa.array(n)], ["batch", "word", "n"])
 
 
 def _count_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +259,8 @@ class Model:
         for t in range(len(active)):
             a, lo = int(active[t]), int(first[t])
             x, w, d = logits[:, lo : lo + a], weights[:, :a], digit[lo : lo + a]
-            z = np.clip((w * x).sum(axis=0), -_CLIP, _CLIP)
+            z = w[0] * x[0] + w[1] * x[1] + w[2] * x[2]
+            np.minimum(np.maximum(z, -_CLIP, out=z), _CLIP, out=z)
             p = 1 / (1 + np.exp(-z))
             cell = row[:a] + np.rint((z + _CLIP) * scale).astype(np.int64)
             refined = maps[cell]
@@ -314,49 +311,51 @@ def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     path = scratch_path(spark, "lm-batches")
     rows.mapInArrow(_batched, "batch long, blob binary").write.option("compression", "none").parquet(path)
     batches = spark.read.schema("batch long, blob binary").parquet(path)
-    counted = scratch_path(spark, "lm-words")
-    batches.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(counted)
-    counts = spark.read.schema("word long, n long").parquet(counted)
+    words = _stored(batches.mapInArrow(_words_of, "batch long, word long, n long"), "lm-words")
+    counts = _stored(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     kind = F.shiftrightunsigned("word", 64 - BITS).alias("kind")
     classes = counts.groupBy(kind).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).toArrow()
     class_tokens, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     class_tokens[classes["kind"].to_numpy()], class_words[classes["kind"].to_numpy()] = classes["tokens"].to_numpy(), classes["words"].to_numpy()
     model = spark.sparkContext.broadcast(Model(digit_tables(batches), class_tokens, class_words))
 
-    needed = batches.mapInArrow(_words_of, "batch long, word long").join(counts, "word")
-    fetched = needed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("w"))
-    fetched = fetched.select("batch", F.col("w.word").alias("words"), F.col("w.n").alias("counts"))
-
-    def score(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in incoming:
-            for i in range(len(batch)):
-                held = _unpack(batch.column("blob")[i].as_py())
-                words = np.asarray(batch.column("words")[i].values if batch.column("words")[i].is_valid else pa.array([], pa.int64())).view(np.uint64)
-                n = np.asarray(batch.column("counts")[i].values if batch.column("counts")[i].is_valid else pa.array([], pa.int64()))
-                order = np.argsort(words)
-                words, n = words[order], n[order]
-                texts = held.column("text")
-                for lo, hi in _pieces(texts):
-                    part = texts.slice(lo, hi - lo)
-                    lengths, known, base, total = score_texts(part, model.value, words, n)
-                    trained = np.full(hi - lo, model.value.train_tokens)
-                    sizes = pa.compute.binary_length(part).cast(pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [held.column("doc_id").slice(lo, hi - lo), held.column("held_out").slice(lo, hi - lo), pa.array(lengths.astype(np.int64)),
-                         pa.array(known), pa.array(trained), sizes, pa.array(base), pa.array(total)],
-                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "n_bytes", "base_score", "score"],
-                    )
-
-    scored = batches.join(fetched, "batch", "left").select("blob", "words", "counts").mapInArrow(score, _SCORED)
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known.column("word").to_numpy().view(np.uint64))
+        found, n = known.column("word").to_numpy().view(np.uint64)[order], known.column("n").to_numpy()[order]
+        del known, order
+        done = [_scored(_unpack(blob.as_py()), model.value, found, n) for blob in texts.column("blob")]
+        return pa.Table.from_batches([b for part in done for b in part])
+
+    needed = words.select("batch", "word").join(counts, "word")
+    scored = batches.groupBy("batch").cogroup(needed.groupBy("batch")).applyInArrow(score, _SCORED)
     bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
     return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, bits))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _scored(held: pa.RecordBatch, model: Model, words: np.ndarray, counts: np.ndarray) -> list[pa.RecordBatch]:
+    texts, out = held.column("text"), []
+    for lo, hi in _pieces(texts):
+        part = texts.slice(lo, hi - lo)
+        lengths, known, base, total = score_texts(part, model, words, counts)
+        columns = [
+            held.column("doc_id").slice(lo, hi - lo), held.column("held_out").slice(lo, hi - lo), pa.array(lengths.astype(np.int64)),
+            pa.array(known), pa.array(np.full(hi - lo, model.train_tokens)), pa.compute.binary_length(part).cast(pa.int64()), pa.array(base), pa.array(total),
+        ]
+        out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "n_bytes", "base_score", "score"]))
+    return out
+
+
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch that are scored together."""
     lo = 0
     for _, hi in slices(texts):
         sizes = texts.slice(lo, hi - lo)
-        if hi == len(texts) or pa.compute.sum(pa.compute.binary_length(sizes)).as_py() >= 4 << 21:
+        if hi == len(texts) or pa.compute.sum(pa.compute.binary_length(sizes)).as_py() >= 1 << 22:
             yield lo, hi
             lo = hi
