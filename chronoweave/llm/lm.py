@@ -38,7 +38,7 @@ CLASSES = 1 << BITS
 SLOT_BITS = 20
 ORDERS = 3  # digits alone, after one word, after two words
 FAN_IN = 32
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 TOKENS_AT_ONCE = 300_000
 
 FIRST_WEIGHTS = (1.0, 0.35, 0.25)
@@ -132,6 +132,7 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= BATCH_BYTES:
                 yield emit()
                 held, size, number = [], 0, number + 1
+                _release()
     if held:
         yield emit()
 
@@ -143,6 +144,11 @@ def _training(rows: pa.RecordBatch) -> pa.Array:
 # --- what is learnt ------------------------------------------------------------
 
 
+def _release() -> None:
+    """Gives memory that Arrow has freed back, as workers live on."""
+    pa.default_memory_pool().release_unused()
+
+
 def _each_slice(texts: pa.Array) -> Iterator[np.ndarray]:
     for lo, hi in slices(texts):
         yield _tokens(texts.slice(lo, hi - lo))[0]
@@ -158,6 +164,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unseen = np.setdiff1d(np.concatenate([np.zeros(0, np.uint64), *others]), words)
             words, n = np.concatenate([words, unseen]), np.concatenate([n, np.zeros(len(unseen), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), pa.array(words.view(np.int64)), pa.array(n)], ["batch", "word", "n"])
+            _release()
 
 
 def _count_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +179,25 @@ def _count_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 one, two = _earlier(tokens, lengths)
                 for table, cells in zip(tables, (node, _slots(one, node), _slots(two, node)), strict=True):
                     table += np.bincount((cells * np.uint32(2) + digit).ravel(), minlength=len(table))
+            _release()
     part = TaskContext.get().partitionId()
     for order, table in enumerate(tables):
         for at in range(0, len(table), _CHUNK):
-            piece = table[at : at + _CHUNK]
+            piece = np.zeros(_CHUNK, np.int64)
+            piece[: len(table) - at] = table[at : at + _CHUNK]
             if piece.any():
                 yield _chunk_row(order, at // _CHUNK, part, piece)
 
 
+_CODEC = pa.Codec("zstd")
+
+
+def _counts_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(packed, _CHUNK * 8, asbytes=True), np.uint64).astype(np.int64)
+
+
 def _chunk_row(order: int, chunk: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([x], pa.int64()) for x in (order, chunk, part)] + [pa.array([counts.astype(np.uint64).tobytes()], pa.binary())]
+    columns = [pa.array([x], pa.int64()) for x in (order, chunk, part)] + [pa.array([_CODEC.compress(counts.astype(np.uint64).tobytes(), asbytes=True)], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["order", "chunk", "part", "counts"])
 
 
@@ -190,7 +206,7 @@ _CHUNKS = "order long, chunk long, part long, counts binary"
 
 def _add_chunks(table: pa.Table) -> pa.Table:
     """Sum of at most FAN_IN partial chunks."""
-    total = sum(np.frombuffer(c.as_py(), np.uint64).astype(np.int64) for c in table.column("counts"))
+    total = sum(_counts_of(c.as_py()) for c in table.column("counts"))
     first = [table.column(c)[0].as_py() for c in ("order", "chunk", "part")]
     return pa.Table.from_batches([_chunk_row(first[0], first[1], first[2] // FAN_IN, total)])
 
@@ -208,8 +224,8 @@ def digit_tables(batches: DataFrame) -> list[np.ndarray]:
             break
     tables = [np.zeros(2 * CLASSES, np.int64), *[np.zeros(2 << SLOT_BITS, np.int64) for _ in range(ORDERS - 1)]]
     for row in counted.select("order", "chunk", "counts").toLocalIterator():  # tables of fixed size
-        piece = np.frombuffer(bytes(row["counts"]), np.uint64).astype(np.int64)
-        tables[row["order"]][row["chunk"] * _CHUNK : row["chunk"] * _CHUNK + len(piece)] = piece
+        piece = tables[row["order"]][row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK]
+        piece[:] = _counts_of(bytes(row["counts"]))[: len(piece)]
     logits = [np.log((t[1::2] + 0.4) / (t[0::2] + 0.4)) for t in tables]
     return [np.clip(x, -_CLIP, _CLIP).astype(np.float16) for x in logits]
 
@@ -311,7 +327,7 @@ def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     path = scratch_path(spark, "lm-batches")
     rows.mapInArrow(_batched, "batch long, blob binary").write.option("compression", "none").parquet(path)
     batches = spark.read.schema("batch long, blob binary").parquet(path)
-    words = _stored(batches.mapInArrow(_words_of, "batch long, word long, n long"), "lm-words")
+    words = batches.mapInArrow(_words_of, "batch long, word long, n long")
     counts = _stored(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     kind = F.shiftrightunsigned("word", 64 - BITS).alias("kind")
     classes = counts.groupBy(kind).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).toArrow()
@@ -324,6 +340,7 @@ def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         found, n = known.column("word").to_numpy().view(np.uint64)[order], known.column("n").to_numpy()[order]
         del known, order
         done = [_scored(_unpack(blob.as_py()), model.value, found, n) for blob in texts.column("blob")]
+        _release()
         return pa.Table.from_batches([b for part in done for b in part])
 
     needed = words.select("batch", "word").join(counts, "word")
