@@ -36,7 +36,7 @@ BLOCK = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article body center div main section table tbody td tr".split())
+CONTAINER = frozenset("article body center div html main section table tbody td tr".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Start tags that end an open element of these names.
 CLOSES = {
