@@ -39,7 +39,7 @@ SLOT_BITS = 20
 ORDERS = 3  # digits alone, after one word, after two words
 FAN_IN = 32
 BATCH_BYTES = 8_000_000
-TOKENS_AT_ONCE = 300_000
+TOKENS_AT_ONCE = 200_000
 
 FIRST_WEIGHTS = (1.0, 0.35, 0.25)
 RATE = 0.02
