@@ -2,20 +2,22 @@
 
 A word is coded in two steps.  Its hash gives a class of BITS binary digits,
 which are predicted one by one; within the class the word has its share of the
-training counts.  Every digit is predicted by several hashed contexts: the
-digits before it alone, with the word before, and with the two words before.
-Each context looks up the counts of zeros and ones it met in training, in a
-table of fixed size.  The predictions are mixed in the logistic domain with
+training counts.  Every digit is predicted by several contexts: the digits
+before it alone, with the word before, and with the two words before.  Each
+context has the counts of zeros and ones it met in training, under its own
+hash.  The predictions are mixed in the logistic domain with
 weights gated by the digit's place; after each digit the weights move along
 the coding error, and an adaptive map refines the mixed probability.  Weights
 and map start afresh in every document, so a score depends on the text and the
 corpus only.
 
-What is learnt covers every training document: word counts are a distributed
-aggregation of any size; the bit tables of fixed size are added up over the
-tasks in a tree of bounded fan-in and broadcast.  Documents are packed into
-batches of bounded bytes; a batch fetches the counts of its own words by joins,
-so no vocabulary is held in one place.
+What is learnt covers every training document and grows with them: the counts
+of words and of classes after each context are cut by hash into parts, more of
+them the more text there is.  Documents are packed into batches of bounded
+bytes.  A batch sends its own words and (context, class) pairs with their counts
+to the parts; a part adds up the batches and answers each with what it asked
+for, so no table is held in one place.  A context is 54 bits of its hash and has
+at most CLASSES pairs a batch.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +40,8 @@ BITS = 10
 CLASSES = 1 << BITS
 SLOT_BITS = 20
 ORDERS = 3  # digits alone, after one word, after two words
-FAN_IN = 32
 BATCH_BYTES = 8_000_000
+PART_BYTES = 1 << 20  # text to each part of the counts
 TOKENS_AT_ONCE = 200_000
 
 FIRST_WEIGHTS = (1.0, 0.35, 0.25)
@@ -50,7 +53,8 @@ _CLIP = 8.0
 
 _END = np.uint64(0xD6E8FEB86659FD93)
 _START = np.uint64(0xA0761D6478BD642F)
-_CHUNK = 1 << 16
+_CLASS = np.uint64(CLASSES - 1)
+_CODEC = pa.Codec("zstd")
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +88,11 @@ def _digits(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node, (code >> (np.uint32(BITS - 1) - depth)) & np.uint32(1)
 
 
+def _keys(tokens: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Context and class of each token as one number; the classes of a context are neighbours."""
+    return (context & ~_CLASS) | (tokens >> np.uint64(64 - BITS))
+
+
 def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Table cell of a context at a place."""
     x = (context >> np.uint64(32)).astype(np.uint32)[:, None] + node * np.uint32(0x9E3779B1)
@@ -100,7 +109,7 @@ def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
 def _pack(rows: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_batches(rows).combine_chunks()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -116,7 +125,8 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = number = 0
 
     def emit() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), pa.array([_pack(held)], pa.large_binary())], ["batch", "blob"])
+        columns = [pa.array([base + number], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(held)], pa.large_binary())]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "size", "blob"])
 
     for batch in batches:
         text = batch.column(2).cast(pa.large_string()).fill_null("")
@@ -137,10 +147,6 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def _training(rows: pa.RecordBatch) -> pa.Array:
-    return rows.column("text").filter(pa.compute.invert(rows.column("held_out")))
-
-
 # --- what is learnt ------------------------------------------------------------
 
 
@@ -149,85 +155,172 @@ def _release() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def _each_slice(texts: pa.Array) -> Iterator[np.ndarray]:
-    for lo, hi in slices(texts):
-        yield _tokens(texts.slice(lo, hi - lo))[0]
+def _summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, their added counts, place of each given value among them)."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[first], np.add.reduceat(n[order], first) if len(first) else n, place
+
+
+def _gathered(rows: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The words and the (context, class) keys of a batch in order, each with its count in the batch's training texts."""
+    found: tuple[list, list] = ([], [])
+    for held_out in (False, True):
+        held = rows.column("held_out")
+        texts = rows.column("text").filter(held if held_out else pa.compute.invert(held))
+        for lo, hi in slices(texts):
+            tokens, lengths = _tokens(texts.slice(lo, hi - lo))
+            keys = np.concatenate([_keys(tokens, c) for c in _earlier(tokens, lengths)])
+            for parts, values in zip(found, (tokens, keys), strict=True):
+                distinct, n = np.unique(values, return_counts=True)
+                parts.append((distinct, n * (not held_out)))
+    return [_summed(np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts]))[:2] for parts in found]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of like place together, which packs better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(batch, word, n): the words of each batch, and how often they occur in its training texts."""
+def _from_planes(data: bytes, at: int, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
+
+
+def _squeezed(*parts: bytes) -> bytes:
+    data = b"".join(parts)
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def _opened(blob: bytes) -> bytes:
+    return _CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(batch, part, blob): the words and keys of each batch and their counts, by ranges of their hashes."""
+    word_cuts = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+    key_cuts = np.array([((p << 64 - BITS) // parts) << BITS for p in range(1, parts)], np.uint64)
     for batch in batches:
         for number, blob in zip(batch.column("batch").to_pylist(), batch.column("blob"), strict=True):
-            rows = _unpack(blob.as_py())
-            others = [np.unique(t) for t in _each_slice(rows.column("text").filter(rows.column("held_out")))]
-            words, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_each_slice(_training(rows))]), return_counts=True)
-            unseen = np.setdiff1d(np.concatenate([np.zeros(0, np.uint64), *others]), words)
-            words, n = np.concatenate([words, unseen]), np.concatenate([n, np.zeros(len(unseen), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), pa.array(words.view(np.int64)), pa.array(n)], ["batch", "word", "n"])
+            both = _gathered(_unpack(blob.as_py()))
+            ends = [np.concatenate(([0], np.searchsorted(v, cuts), [len(v)])) for (v, _), cuts in zip(both, (word_cuts, key_cuts), strict=True)]
+            chosen, blobs = [], []
+            for p in range(parts):
+                if any(e[p] < e[p + 1] for e in ends):
+                    cut = [(v[e[p] : e[p + 1]], n[e[p] : e[p + 1]]) for (v, n), e in zip(both, ends, strict=True)]
+                    packed = [x for v, n in cut for x in (_planes(np.diff(v, prepend=np.uint64(0))), _planes(n.astype(np.uint32)))]
+                    chosen.append(p)
+                    blobs.append(_squeezed(np.array([len(v) for v, _ in cut], np.int64).tobytes(), *packed))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), number)), pa.array(chosen, pa.int64()), pa.array(blobs, pa.binary())], ["batch", "part", "blob"])
+            del both, blobs
             _release()
 
 
-def _count_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of zeros and ones per cell of this task, cut into chunks."""
-    tables = [np.zeros(2 * CLASSES, np.int64), *[np.zeros(2 << SLOT_BITS, np.int64) for _ in range(ORDERS - 1)]]
-    for batch in batches:
-        for blob in batch.column("blob"):
-            texts = _training(_unpack(blob.as_py()))
-            for lo, hi in slices(texts):
-                tokens, lengths = _tokens(texts.slice(lo, hi - lo))
-                node, digit = _digits(tokens)
-                one, two = _earlier(tokens, lengths)
-                for table, cells in zip(tables, (node, _slots(one, node), _slots(two, node)), strict=True):
-                    table += np.bincount((cells * np.uint32(2) + digit).ravel(), minlength=len(table))
-            _release()
-    part = TaskContext.get().partitionId()
-    for order, table in enumerate(tables):
-        for at in range(0, len(table), _CHUNK):
-            piece = np.zeros(_CHUNK, np.int64)
-            piece[: len(table) - at] = table[at : at + _CHUNK]
-            if piece.any():
-                yield _chunk_row(order, at // _CHUNK, part, piece)
+def _asked_for(blob: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    data = _opened(blob)
+    at, out = 16, []
+    for size in np.frombuffer(data, np.int64, 2).tolist():
+        values = np.cumsum(_from_planes(data, at, size, np.uint64), dtype=np.uint64)
+        out.append((values, _from_planes(data, at + 8 * size, size, np.uint32).astype(np.int64)))
+        at += 12 * size
+    return out
 
 
-_CODEC = pa.Codec("zstd")
+def met_along(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often a key's context was met with a class of the same first 0, 1 .. BITS digits.
+
+    All keys of a context must be there, in order.
+    """
+    sums = np.concatenate(([0], np.cumsum(n)))
+    out = np.empty((len(keys), BITS + 1), np.int64)
+    for d in range(BITS + 1):
+        first = _first_of(keys, d)
+        ends = np.append(first[1:], len(keys))
+        out[:, d] = np.repeat(sums[ends] - sums[first], ends - first)
+    return out
+
+
+_ANSWERS = "batch long, part long, blob binary, totals binary"
+
 
+def _first_of(keys: np.ndarray, d: int) -> np.ndarray:
+    """Rows of sorted keys where another context or other first d digits begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), np.diff(keys >> np.uint64(BITS - d)) != 0)))
 
-def _counts_of(packed: bytes) -> np.ndarray:
-    return np.frombuffer(_CODEC.decompress(packed, _CHUNK * 8, asbytes=True), np.uint64).astype(np.int64)
 
+def _thin(keys: np.ndarray, met: np.ndarray) -> list[bytes]:
+    """The count of each key, and upwards from it how often each place went the other way, once for each place."""
+    return [_planes(met[:, BITS])] + [_planes((met[:, d] - met[:, d + 1])[_first_of(keys, d + 1)]) for d in reversed(range(BITS))]
 
-def _chunk_row(order: int, chunk: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([x], pa.int64()) for x in (order, chunk, part)] + [pa.array([_CODEC.compress(counts.astype(np.uint64).tobytes(), asbytes=True)], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["order", "chunk", "part", "counts"])
+
+def _thick(keys: np.ndarray, data: bytes, at: int) -> np.ndarray:
+    """Logits for the digits of each key's class, be they zero or one, from the counts that _thin has packed."""
+    out = np.empty((len(keys), BITS), np.float16)
+    same = _from_planes(data, at, len(keys), np.int64)
+    at += 8 * len(keys)
+    for d in reversed(range(BITS)):
+        first = _first_of(keys, d + 1)
+        other = np.repeat(_from_planes(data, at, len(first), np.int64), np.diff(np.append(first, len(keys))))
+        out[:, d] = np.clip(np.log((same + 0.4) / (other + 0.4)), -_CLIP, _CLIP)
+        same = same + other
+        at += 8 * len(first)
+    return out
 
 
-_CHUNKS = "order long, chunk long, part long, counts binary"
+def _answers(table: pa.Table) -> pa.Table:
+    """Answers of one part to all batches, and its totals by class in a row without a batch."""
+    asked = [_asked_for(b.as_py()) for b in table.column("blob")]
+    words, n_words, word_at = _summed(*(np.concatenate([a[0][i] for a in asked]) for i in (0, 1)))
+    keys, n_keys, key_at = _summed(*(np.concatenate([a[1][i] for a in asked]) for i in (0, 1)))
+    met = met_along(keys, n_keys)
+    blobs, w, k = [], 0, 0
+    for (own_words, _), (own_keys, _) in asked:
+        counts, own_met = n_words[word_at[w : w + len(own_words)]], met[key_at[k : k + len(own_keys)]]
+        blobs.append(_squeezed(np.array([len(own_words), len(own_keys)], np.int64).tobytes(), _planes(counts), *_thin(own_keys, own_met)))
+        w, k = w + len(own_words), k + len(own_keys)
+    kind = (words >> np.uint64(64 - BITS)).astype(np.int64)
+    totals = np.zeros((2, CLASSES), np.int64)
+    np.add.at(totals[0], kind, n_words)
+    np.add.at(totals[1], kind, n_words > 0)
+    part = table.column("part")[0].as_py()
+    columns = [[*table.column("batch").to_pylist(), None], [part] * (len(blobs) + 1), [*blobs, None], [None] * len(blobs) + [_squeezed(totals.tobytes())]]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    _release()
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["batch", "part", "blob", "totals"])
+
+
+def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("totals"):
+            totals = np.frombuffer(_opened(blob.as_py()), np.int64).reshape(2, CLASSES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(totals[0]), pa.array(totals[1])], ["kind", "tokens", "words"])
 
 
-def _add_chunks(table: pa.Table) -> pa.Table:
-    """Sum of at most FAN_IN partial chunks."""
-    total = sum(_counts_of(c.as_py()) for c in table.column("counts"))
-    first = [table.column(c)[0].as_py() for c in ("order", "chunk", "part")]
-    return pa.Table.from_batches([_chunk_row(first[0], first[1], first[2] // FAN_IN, total)])
+def class_logits(class_tokens: np.ndarray) -> np.ndarray:
+    """Logits of the digits alone, by place in the tree."""
+    out = np.zeros(CLASSES)
+    for depth in range(BITS):
+        n = class_tokens.reshape(2 << depth, -1).sum(axis=1)
+        out[1 << depth : 2 << depth] = np.log((n[1::2] + 0.4) / (n[0::2] + 0.4))
+    return np.clip(out, -_CLIP, _CLIP).astype(np.float16)
 
 
-def digit_tables(batches: DataFrame) -> list[np.ndarray]:
-    """Logits per cell for each context order, from the counts of all training documents."""
-    parts = batches.rdd.getNumPartitions()
-    counted = batches.mapInArrow(_count_digits, _CHUNKS)
-    while True:
-        counted = counted.withColumn("group", F.floor(F.col("part") / FAN_IN)).groupBy("order", "chunk", "group").applyInArrow(
-            lambda table: _add_chunks(table.drop_columns(["group"])), _CHUNKS
-        )
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            break
-    tables = [np.zeros(2 * CLASSES, np.int64), *[np.zeros(2 << SLOT_BITS, np.int64) for _ in range(ORDERS - 1)]]
-    for row in counted.select("order", "chunk", "counts").toLocalIterator():  # tables of fixed size
-        piece = tables[row["order"]][row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK]
-        piece[:] = _counts_of(bytes(row["counts"]))[: len(piece)]
-    logits = [np.log((t[1::2] + 0.4) / (t[0::2] + 0.4)) for t in tables]
-    return [np.clip(x, -_CLIP, _CLIP).astype(np.float16) for x in logits]
+def _received(answers: pa.Table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a batch's words and logits of its keys, in the order of the batch's own."""
+    counts, logits, done = [np.zeros(0, np.int64)], np.empty((len(keys), BITS), np.float16), 0
+    blobs = answers.column("blob")
+    for i in np.argsort(answers.column("part").to_numpy()).tolist():
+        data = _opened(blobs[i].as_py())
+        n_words, n_keys = np.frombuffer(data, np.int64, 2).tolist()
+        counts.append(_from_planes(data, 16, n_words, np.int64))
+        logits[done : done + n_keys] = _thick(keys[done : done + n_keys], data, 16 + 8 * n_words)
+        done += n_keys
+    return np.concatenate(counts), logits
 
 
 # --- scoring -------------------------------------------------------------------
@@ -240,6 +333,10 @@ class Model:
         self.tables, self.class_tokens, self.class_words = tables, class_tokens, class_words
         self.train_tokens, self.train_words = int(class_tokens.sum()), int(class_words.sum())
 
+    def after_words(self, order: int, tokens: np.ndarray, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Logits of each token's digits after its context, from a table of hashed cells."""
+        return self.tables[order][_slots(context, node)]
+
     def digit_logs(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of the digits of each text.
 
@@ -262,8 +359,8 @@ class Model:
         node, digit = _digits(moved[0])
         logits = np.empty((ORDERS, len(tokens), BITS), np.float32)
         logits[0] = self.tables[0][node]
-        logits[1] = self.tables[1][_slots(moved[1], node)]
-        logits[2] = self.tables[2][_slots(moved[2], node)]
+        logits[1] = self.after_words(1, moved[0], moved[1], node)
+        logits[2] = self.after_words(2, moved[0], moved[2], node)
         digit = digit.astype(np.float32)
         weights = np.empty((ORDERS, len(order), BITS), np.float32)
         weights[:] = np.array(FIRST_WEIGHTS, np.float32)[:, None, None]
@@ -288,6 +385,18 @@ class Model:
         return np.add.reduceat(logs, starts)
 
 
+class BatchModel(Model):
+    """The model with the counted contexts of one batch, in place of hashed cells."""
+
+    def __init__(self, digits: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, keys: np.ndarray, logits: np.ndarray):
+        super().__init__([digits], class_tokens, class_words)
+        self.keys, self.logits = keys, logits
+
+    def after_words(self, order: int, tokens: np.ndarray, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        logits = self.logits[np.searchsorted(self.keys, _keys(tokens, context))]
+        return np.where(_digits(tokens)[1] > 0, logits, -logits)
+
+
 def score_texts(texts: pa.Array, model: Model, words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """n_tokens, n_known, base_score, score of each text; `words` (sorted) have `counts` in training."""
     tokens, lengths = _tokens(texts)
@@ -325,34 +434,41 @@ def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == HELD_OUT_FOLD).alias("held_out"), F.col(text).alias("text"))
     path = scratch_path(spark, "lm-batches")
-    rows.mapInArrow(_batched, "batch long, blob binary").write.option("compression", "none").parquet(path)
-    batches = spark.read.schema("batch long, blob binary").parquet(path)
-    words = batches.mapInArrow(_words_of, "batch long, word long, n long")
-    counts = _stored(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
-    kind = F.shiftrightunsigned("word", 64 - BITS).alias("kind")
-    classes = counts.groupBy(kind).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")).toArrow()
+    rows.mapInArrow(_batched, "batch long, size long, blob binary").write.option("compression", "none").parquet(path)
+    batches = spark.read.schema("batch long, size long, blob binary").parquet(path)
+    parts = max(1, -(-(batches.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+    asked = batches.select("batch", "blob").mapInArrow(lambda b: _asked(b, parts), "batch long, part long, blob binary")
+    answers = _stored(asked.groupBy("part").applyInArrow(_answers, _ANSWERS), "lm-answers")
+    by_class = answers.select("totals").filter("totals IS NOT NULL").mapInArrow(_by_class, "kind long, tokens long, words long")
+    classes = by_class.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
     class_tokens, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     class_tokens[classes["kind"].to_numpy()], class_words[classes["kind"].to_numpy()] = classes["tokens"].to_numpy(), classes["words"].to_numpy()
-    model = spark.sparkContext.broadcast(Model(digit_tables(batches), class_tokens, class_words))
+    shared = spark.sparkContext.broadcast((class_logits(class_tokens), class_tokens, class_words))
 
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known.column("word").to_numpy().view(np.uint64))
-        found, n = known.column("word").to_numpy().view(np.uint64)[order], known.column("n").to_numpy()[order]
-        del known, order
-        done = [_scored(_unpack(blob.as_py()), model.value, found, n) for blob in texts.column("blob")]
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        held = _unpack(texts.column("blob")[0].as_py())  # a batch is one row
+        (words, _), (keys, _) = _gathered(held)
+        counts, logits = _received(answers, keys)
+        done = _scored(held, BatchModel(*shared.value, keys, logits), words, counts)
         _release()
-        return pa.Table.from_batches([b for part in done for b in part])
+        return pa.Table.from_batches(done)
 
-    needed = words.select("batch", "word").join(counts, "word")
-    scored = batches.groupBy("batch").cogroup(needed.groupBy("batch")).applyInArrow(score, _SCORED)
+    received = answers.filter("batch IS NOT NULL").select("batch", "part", "blob")
+    scored = batches.select("batch", "blob").groupBy("batch").cogroup(received.groupBy("batch")).applyInArrow(score, _SCORED)
     bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
     return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, bits))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written and read again; what the write shuffled is removed with its end."""
+    spark, path, cleanup = df.sparkSession, scratch_path(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "none").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _scored(held: pa.RecordBatch, model: Model, words: np.ndarray, counts: np.ndarray) -> list[pa.RecordBatch]:
