@@ -114,10 +114,10 @@ class _Sum:
 
 
 def _kth_value(sums: list[np.ndarray], live: np.ndarray, k: int) -> list[int]:
-    """k-th largest sum of each query, from the most significant slice down."""
+    """k-th largest sum of each query, from the most significant slice down; the least if there are fewer."""
     queries = sums[0].shape[0]
     tied = np.broadcast_to(live, sums[0].shape).copy()
-    need = np.full(queries, k)
+    need = np.minimum(k, np.bitwise_count(tied).sum(axis=1, dtype=np.int64))
     value = [0] * queries
     for b in range(len(sums) - 1, -1, -1):
         ones = tied & sums[b]
@@ -142,8 +142,22 @@ def _at_least(sums: list[np.ndarray], live: np.ndarray, bound: list[int]) -> np.
     return above | equal
 
 
-def candidates(block: SlicedBlock, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, rows of the block) such that the k best rows are among them."""
+def _without_own(block: SlicedBlock, query_ids: np.ndarray) -> np.ndarray:
+    """Bitmap per query of the rows that do not bear the query's id."""
+    order = np.argsort(block.ids, kind="stable")
+    lo, hi = (np.searchsorted(block.ids, query_ids, side, sorter=order) for side in ("left", "right"))
+    live = np.repeat(block.live[None, :], len(query_ids), axis=0)
+    for q in np.flatnonzero(lo < hi):
+        own = order[lo[q] : hi[q]].astype(np.uint64)
+        np.bitwise_and.at(live[q], (own >> np.uint64(6)).astype(np.int64), ~(np.uint64(1) << (own & np.uint64(63))))
+    return live
+
+
+def candidates(block: SlicedBlock, queries: np.ndarray, k: int, query_ids: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, rows of the block) such that the k best rows are among them.
+
+    With query_ids, the k best are those of the rows without the query's own id, however often it occurs.
+    """
     n, words = len(block.ids), block.live.shape[0]
     step = max(1, WORK_WORDS // words)
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -171,9 +185,10 @@ def candidates(block: SlicedBlock, queries: np.ndarray, k: int) -> Iterator[tupl
         # what the dropped bits of row and query add at most, in units of the sum
         slack = (weight << drop).sum(axis=1) * ((1 << block.shift) - 1) + (size - (weight << drop)).sum(axis=1) * block.range
         unit = 1 << (block.shift + drop)
-        kth = _kth_value(sums, block.live, min(k, n))
+        live = block.live if query_ids is None else _without_own(block, query_ids[lo : lo + step])
+        kth = _kth_value(sums, live, k)
         bound = [max(0, v - -(-int(s) // unit)) for v, s in zip(kth, slack, strict=True)]
-        near = _at_least(sums, block.live, bound)
+        near = _at_least(sums, live, bound)
         for q in range(len(part)):
             yield lo + q, np.flatnonzero(np.unpackbits(near[q].view(np.uint8), bitorder="little")[:n])
 
@@ -181,8 +196,7 @@ def candidates(block: SlicedBlock, queries: np.ndarray, k: int) -> Iterator[tupl
 def best_rows(block: SlicedBlock, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, ids, exact scores) of the block's k best rows, without the query's own."""
     exact = block.rows.astype(np.float64) if _fits(block, queries) else block.rows
-    # one more than k, since the query's own row may be among them
-    for q, at in candidates(block, queries, k + 1):
+    for q, at in candidates(block, queries, k, query_ids):
         scores = (exact[at] @ queries[q].astype(exact.dtype)).astype(np.int64)
         ids = block.ids[at]
         other = ids != query_ids[q]
