@@ -190,16 +190,50 @@ def _score(parts: list[tuple[_Element, str | None]]) -> _Element | None:
     return best if best is not None and best.prose > best.linked else None
 
 
+def _whole(parts: list[tuple[_Element, str | None]], best: _Element) -> _Element:
+    """The element that holds the whole article around its densest container.
+
+    That is the nearest article or main; without one, the highest container whose
+    text besides what is below it is there and not mostly links, with none that
+    is mostly links in between.
+    """
+    chain = [best]
+    while chain[-1].parent is not None:
+        if chain[-1].tag in ("article", "main"):
+            return chain[-1]
+        chain.append(chain[-1].parent)
+    level = {id(e): i for i, e in enumerate(chain)}
+    added = [[0, 0] for _ in chain]
+    for element, text in parts:
+        if text is None or element.furniture or not text.strip():
+            continue
+        in_link, at = False, element
+        while id(at) not in level:
+            in_link, at = in_link or at.tag == "a", at.parent
+        added[level[id(at)]][in_link] += len(text.strip())
+    whole = best
+    for element, (plain, links) in list(zip(chain, added, strict=True))[1:]:
+        if links > plain:
+            break
+        if plain and element.tag in CONTAINER:
+            whole = element
+    return whole
+
+
 def best_path(html: str | None) -> tuple[str, float] | None:
     """(generalised path, score) of a page's best container; None without prose."""
     if not html:
         return None
-    best = _score(list(_parts(html)))
-    return (best.path, best.prose - best.linked) if best is not None else None
+    parts = list(_parts(html))
+    best = _score(parts)
+    return (_whole(parts, best).path, best.prose - best.linked) if best is not None else None
 
 
 def main_text(html: str | None, path: str | None) -> tuple[str, bool]:
-    """(blocks of the elements at `path` joined by newlines, whether there were any)."""
+    """(blocks of the elements at `path` joined by newlines, whether there were any).
+
+    Without text at `path` the page's own best container is taken.
+    """
     if not html:
         return "", False
     parts = list(_parts(html))
@@ -209,7 +243,7 @@ def main_text(html: str | None, path: str | None) -> tuple[str, bool]:
         best = _score(parts)
         if best is None:
             return "", False
-        chosen = best.path
+        chosen = _whole(parts, best).path
     # the text at the path, per element there; one that is mostly links is a menu of the same form
     tops: dict[int, list[str | None]] = {}
     linked: dict[int, list[int]] = {}
@@ -241,6 +275,8 @@ def main_text(html: str | None, path: str | None) -> tuple[str, bool]:
                 if block:
                     blocks.append(block)
                 piece = []
+    if agreed and not blocks:
+        return main_text(html, None)
     return "\n".join(blocks), agreed
 
 
