@@ -119,6 +119,114 @@ SELECT doc_id, source, seq, seq // 16 AS block, seq // 16 // n * total + release
 FROM num JOIN plan ON plan.s = num.s AND plan.k = seq // 16 % n, o, dry
 """
 
+# The table of CRC-32 and the checksum of the bytes in column `bytes`.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab"
+_CRC = "xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)]), 4294967295), 4294967295)"
+_BYTES = "list_transform(regexp_extract_all(hex(encode(@)), '..'), lambda h: ('0x' || h)::BIGINT)"
+
+_OP11 = r"""
+WITH RECURSIVE k AS (@TABLE@),
+t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT rid, doc_id, @BYTES@ AS bytes FROM t),
+c AS (SELECT rid, doc_id, len(bytes)::BIGINT + 1 AS size, @CRC@ AS text_crc32 FROM b, k),
+v AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text_crc32), 1, 15))::BIGINT % 4096)::INTEGER AS virtual_slot FROM c),
+w AS (SELECT s::INTEGER AS virtual_slot, (s % 8)::INTEGER AS old, coalesce(sum(size), 0)::BIGINT AS bytes, count(rid) AS n_rows
+  FROM range(4096) r(s) LEFT JOIN v ON v.virtual_slot = s GROUP BY s),
+hv AS (SELECT bytes, row_number() OVER (ORDER BY bytes DESC) AS i, sum(bytes) OVER (ORDER BY bytes DESC ROWS UNBOUNDED PRECEDING) - bytes AS prior, sum(bytes) OVER () AS total FROM w),
+fair AS (SELECT (total - prior) // (9 - i) AS share FROM hv WHERE i >= 8 OR bytes * (9 - i) < total - prior ORDER BY i LIMIT 1),
+h AS (SELECT w.*, fair.share, sum(bytes) OVER (PARTITION BY old ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) AS held,
+  row_number() OVER (PARTITION BY old ORDER BY bytes DESC, virtual_slot) AS nth FROM w, fair),
+p AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS turn FROM h WHERE held > share AND nth > 1),
+s AS (SELECT 0::BIGINT AS turn, NULL::INTEGER AS virtual_slot, NULL::INTEGER AS shard,
+    (SELECT list(x ORDER BY o) FROM (SELECT o, coalesce(sum(bytes), 0)::BIGINT AS x FROM range(8) q(o) LEFT JOIN h ON old = o AND (held <= share OR nth = 1) GROUP BY o)) AS loads
+  UNION ALL
+  SELECT p.turn, p.virtual_slot, list_position(loads, list_min(loads)) - 1,
+    list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN p.bytes ELSE 0 END)
+  FROM s JOIN p ON p.turn = s.turn + 1),
+m AS (SELECT h.virtual_slot, coalesce(s.shard, h.old) AS shard, h.n_rows FROM h LEFT JOIN s ON s.virtual_slot = h.virtual_slot),
+st AS (SELECT *, coalesce(sum(n_rows) OVER (PARTITION BY shard ORDER BY virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM m)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, st.shard,
+  (start + row_number() OVER (PARTITION BY v.virtual_slot ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard, v.virtual_slot
+FROM v JOIN st ON v.virtual_slot = st.virtual_slot
+"""
+
+_EDIT = "lpad((substr({v}, 1, 9)::INTEGER + {c})::VARCHAR, 9, '0') || substr({v}, 10) || '{i}'"
+
+
+def _edit(value: str, cost: str, initial: str) -> str:
+    return "(" + _EDIT.format(v=value, c=cost, i=initial) + ")"
+
+
+def _op12() -> str:
+    """Lightest values per state as text: nine digits of cost, then the audit; the least text is the lightest."""
+    inserted = f"""least(b2, {_edit("b0", "5", "I")}, {_edit("b1", "5", "I")}, {_edit("b3", "5", "I")}) AS i2"""
+    into = lambda initial: "least(" + ", ".join(
+        f"CASE WHEN kind = '{initial}' THEN {_edit(v, 'extra', 'K')} ELSE {_edit(v, 'extra + 1', 'R')} END" for v in (("i0", "i1", "j3") if initial == "u" else ("i2",))
+    ) + ")"
+    return rf"""
+WITH RECURSIVE k AS ({_CRC_TABLE}),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_BYTES.replace("@", "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} AS bytes FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS d FROM c, k),
+x AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+  CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE d <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM x),
+f AS (SELECT conv_id, turn, role, text, pos, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+  lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS next FROM p),
+g AS (SELECT *, CASE WHEN blank OR again THEN 'd' ELSE initial END AS kind, CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM f),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+  count(*) FILTER (initial || next NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+r AS (SELECT conv_id, 0::BIGINT AS seen, '000000000' AS b0, NULL::VARCHAR AS b1, NULL::VARCHAR AS b2, NULL::VARCHAR AS b3 FROM sums
+  UNION ALL
+  SELECT conv_id, pos, {_edit("i0", "2", "D")},
+    least({_edit("i1", "2", "D")}, CASE WHEN kind = 's' THEN {_edit("i0", "extra", "K")} END),
+    least({_edit("i2", "2", "D")}, CASE WHEN kind <> 'd' THEN {into("u")} END),
+    least({_edit("j3", "2", "D")}, CASE WHEN kind <> 'd' THEN {into("a")} END)
+  FROM (SELECT r.conv_id, g.pos, g.kind, g.extra, b0 AS i0, b1 AS i1, {inserted}, least(b3, {_edit("i2", "5", "I")}) AS j3
+    FROM r JOIN g ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND g.pos = r.seen + 1)),
+e AS (SELECT sums.*, least(b0, b3, {_edit("i2", "5", "I")}) AS best
+  FROM (SELECT *, {inserted} FROM r) r JOIN sums ON r.conv_id IS NOT DISTINCT FROM sums.conv_id AND seen = n),
+a AS (SELECT *, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM e),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS j FROM a WHERE audit <> ''),
+o AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS row_no, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS nth FROM l),
+q AS (SELECT o.*, g.role, g.text, g.initial, max(CASE WHEN edit = 'K' AND nth = 1 AND g.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY o.conv_id) AS led
+  FROM o LEFT JOIN g ON o.conv_id IS NOT DISTINCT FROM g.conv_id AND o.row_no = g.pos AND edit <> 'I'),
+z AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha
+  FROM q WHERE edit <> 'D' GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN a ON o.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON o.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (len(ws) < 200)::INTEGER + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INTEGER
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+    + 16 * coalesce(w.doc_id > first, false)::INTEGER AS fails FROM w LEFT JOIN lab ON w.doc_id = lab.doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+  list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i::INTEGER, 1)) - 65))) AS sofar
+  FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (fails & (coalesce(sofar, 0)::INTEGER | bit) = 0) AS kept,
+  sum(n) FILTER (fails & coalesce(sofar, 0)::INTEGER = 0 AND fails & bit > 0) AS removed, sum(n) FILTER (fails & coalesce(sofar, 0)::INTEGER > 0 AND fails & bit > 0) AS redundant,
+  sum(n) FILTER (fails = bit) AS unique_fails, sum(good) FILTER (fails & coalesce(sofar, 0)::INTEGER = 0 AND fails & bit > 0) AS good_lost,
+  sum(toxic) FILTER (fails & coalesce(sofar, 0)::INTEGER = 0 AND fails & bit > 0) AS toxic_lost FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r
+"""
+
 
 def _filled() -> dict[str, str]:
     from chronoweave.llm import licenses, quality
@@ -131,6 +239,9 @@ def _filled() -> dict[str, str]:
         "op6_exact_top_k": _OP6,
         "op7_license_scan": _OP7.replace("@CUE@", licenses.CUE).replace("@TEMPLATES@", templates),
         "op9_mix_sources": _OP9,
+        "op11_sharding": _OP11.replace("@TABLE@", _CRC_TABLE).replace("@BYTES@", _BYTES.replace("@", "text")).replace("@CRC@", _CRC),
+        "op12_conversation_repair": _op12(),
+        "op13_filter_audit": _OP13,
         "op5_quality_rules": _OP5.replace("@BOILERPLATE@", "|".join(quality.BOILERPLATE)),
     }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chronoweave.llm import html, licenses, lm, minhash, mixing, pieces, pii, quality, topk, urls
+from chronoweave.llm import audit, html, licenses, lm, minhash, mixing, pieces, pii, quality, repair, sharding, topk, urls
 from chronoweave.llm.common import read
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -83,6 +83,42 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """One turn in twenty is lost, emptied, robbed of its sentence ends, said twice or given to the user, by its checksum."""
+    blank = F.lit(" ")
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    rows = turns.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+        (F.crc32(name.cast("binary")) % 20).alias("_d"),
+    )
+    hurt = F.col("_d")
+    text = F.when(hurt == 1, "").when(hurt == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(hurt == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    left = rows.filter(hurt != 0).select("conv_id", "turn", F.when(hurt == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times))
+    return left.drop("col")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = repair.repair_conversations(damaged(turns)).withColumnRenamed("conv_id", "_conv")
+    every = turns.select("conv_id").distinct()
+    joined = every.join(repaired, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(repair.NOTHING)).alias("repaired_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return audit.audit_filters(docs, read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_sentencepiece": op2_sentencepiece,
@@ -94,4 +130,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_mix_sources": op9_mix_sources,
     "op10_context_mixing": op10_context_mixing,
+    "op11_sharding": op11_sharding,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
