@@ -133,7 +133,7 @@ v AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || tex
 w AS (SELECT s::INTEGER AS virtual_slot, (s % 8)::INTEGER AS old, coalesce(sum(size), 0)::BIGINT AS bytes, count(rid) AS n_rows
   FROM range(4096) r(s) LEFT JOIN v ON v.virtual_slot = s GROUP BY s),
 hv AS (SELECT bytes, row_number() OVER (ORDER BY bytes DESC) AS i, sum(bytes) OVER (ORDER BY bytes DESC ROWS UNBOUNDED PRECEDING) - bytes AS prior, sum(bytes) OVER () AS total FROM w),
-fair AS (SELECT (total - prior) // (9 - i) AS share FROM hv WHERE i >= 8 OR bytes * (9 - i) < total - prior ORDER BY i LIMIT 1),
+fair AS (SELECT (total - prior) // greatest(9 - i, 1) AS share FROM hv WHERE i = 8 OR (i < 8 AND bytes * (9 - i) < total - prior) ORDER BY i LIMIT 1),
 h AS (SELECT w.*, fair.share, sum(bytes) OVER (PARTITION BY old ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) AS held,
   row_number() OVER (PARTITION BY old ORDER BY bytes DESC, virtual_slot) AS nth FROM w, fair),
 p AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS turn FROM h WHERE held > share AND nth > 1),
