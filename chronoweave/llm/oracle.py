@@ -136,7 +136,7 @@ hv AS (SELECT bytes, row_number() OVER (ORDER BY bytes DESC) AS i, sum(bytes) OV
 fair AS (SELECT (total - prior) // greatest(9 - i, 1) AS share FROM hv WHERE i = 8 OR (i < 8 AND bytes * (9 - i) < total - prior) ORDER BY i LIMIT 1),
 h AS (SELECT w.*, fair.share, sum(bytes) OVER (PARTITION BY old ORDER BY bytes DESC, virtual_slot ROWS UNBOUNDED PRECEDING) AS held,
   row_number() OVER (PARTITION BY old ORDER BY bytes DESC, virtual_slot) AS nth FROM w, fair),
-p AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS turn FROM h WHERE held > share AND nth > 1),
+p AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot) AS turn FROM h WHERE held > share AND nth > 1 AND bytes > 0),
 s AS (SELECT 0::BIGINT AS turn, NULL::INTEGER AS virtual_slot, NULL::INTEGER AS shard,
     (SELECT list(x ORDER BY o) FROM (SELECT o, coalesce(sum(bytes), 0)::BIGINT AS x FROM range(8) q(o) LEFT JOIN h ON old = o AND (held <= share OR nth = 1) GROUP BY o)) AS loads
   UNION ALL

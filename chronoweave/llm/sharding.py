@@ -57,12 +57,13 @@ def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
 
 
 def _kept(owned: list[int], weights: dict[int, tuple[int, int]], share: int) -> tuple[list[int], list[int]]:
-    """A shard's slots, heaviest first, up to its share (the first in any case), and the others."""
+    """A shard's slots, heaviest first, up to its share (the first and the empty ones in any case), and the others."""
     ordered = sorted(owned, key=lambda s: (-weights.get(s, (0, 0))[0], s))
     held, stay, over = 0, [], []
     for slot in ordered:
-        held += weights.get(slot, (0, 0))[0]
-        (stay if held <= share or not stay else over).append(slot)
+        weight = weights.get(slot, (0, 0))[0]
+        held += weight
+        (stay if held <= share or not stay or not weight else over).append(slot)
     return stay, over
 
 
