@@ -5,10 +5,6 @@ Everything here works on one episode at a time: no shuffle.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,96 +62,99 @@ def split_turns(episodes: DataFrame) -> DataFrame:
     return turns.select("uuid", F.col("turn").cast("long").alias("turn"), "_t.role", "_t.text")
 
 
-def _walk(text: str, label: str | None) -> list[tuple]:
-    """(label, name, path, parent, attributes) of every object in a JSON text, however deep."""
-    found = []
-    todo = [(json.loads(text), label, ROOT, None)]
-    while todo:
-        value, key, path, parent = todo.pop()
-        if isinstance(value, list):
-            # elements take the array's key and belong to the object around it
-            todo.extend((v, key, f"{path}[{i}]", parent) for i, v in enumerate(value))
-        elif isinstance(value, dict):
-            named = [value[k] for k in NAME_KEYS if isinstance(value.get(k), (str, int, float))]
-            name = (named[0] if isinstance(named[0], str) else json.dumps(named[0])) if named else None
-            name = name if name is not None else (key if path == ROOT else path)
-            inner = {k for k, v in value.items() if _has_object(v)}
-            plain = [(k, json.dumps(v, ensure_ascii=False, separators=(",", ":"))) for k, v in value.items() if k not in inner]
-            found.append((key, name, path, parent, plain))
-            me = {"path": path, "label": key, "name": name}
-            todo.extend((v, k, f"{path}.{k}", me) for k, v in value.items() if k in inner)
-    return found
-
-
-def _has_object(value: object) -> bool:
-    todo = [value]
-    while todo:
-        v = todo.pop()
-        if isinstance(v, dict):
-            return True
-        if isinstance(v, list):
-            todo.extend(v)
-    return False
-
-
-_OBJECT = pa.struct(
-    [
-        ("label", pa.string()), ("name", pa.string()), ("path", pa.string()),
-        ("parent", pa.struct([("path", pa.string()), ("label", pa.string()), ("name", pa.string())])),
-        ("attributes", pa.map_(pa.string(), pa.string())),
-    ]
+_PARENT_SQL = "struct<path:string,label:string,name:string>"
+_ENTRY_SQL = f"struct<value:variant,label:string,path:string,parent:{_PARENT_SQL}>"
+_OBJECT_SQL = f"struct<label:string,name:string,path:string,parent:{_PARENT_SQL},attributes:map<string,string>>"
+MISSING, NOT_JSON, UNREADABLE = "missing content", "content is not valid JSON", "content cannot be read: lone surrogate"
+# half of a surrogate pair in an escape that is not itself escaped
+_LONE = (
+    r"(?<!\\)(?:\\\\)*+\\u(?:[dD][89aAbB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|"
+    r"(?<!\\u[dD][89aAbB][0-9a-fA-F]{2}\\u)[dD][c-fC-F][0-9a-fA-F]{2})"
 )
-_OBJECT_SQL = "struct<label:string,name:string,path:string,parent:struct<path:string,label:string,name:string>,attributes:map<string,string>>"
-MISSING, NOT_JSON, UNREADABLE = "missing content", "content is not valid JSON", "content cannot be read: "
+_STRINGS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+# The expressions below are SQL text: as one text they are analysed far faster than as columns built one by one.
+def _let(value: str, name: str, body: str) -> str:
+    """`body` with `name` standing for `value`, computed once per row."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _fields(entry: str) -> str:
+    """Members of an object as (key, value, json, inner); null for anything else.
+
+    `inner`: an object, or an array with an object somewhere inside.
+    """
+    holds = (
+        f"startswith(j, '{{') OR (startswith(j, '[') AND contains(j, '{{') AND contains(regexp_replace(j, r'{_STRINGS}', ''), '{{'))"
+    )
+    field = _let("to_json(m.value)", "j", f"struct(m.key AS key, m.value AS value, j AS json, {holds} AS inner)")
+    return f"transform(map_entries(try_variant_get({entry}.value, '$', 'map<string,variant>')), m -> {field})"
 
 
-def _objects_of(text: str | None, label: str | None) -> tuple[pa.Array, str | None]:
-    """(objects of one text as a one-row list array, error); no text stops the others."""
-    none = pa.array([None], pa.list_(_OBJECT))
-    if text is None:
-        return none, None
-    try:
-        fields = ("label", "name", "path", "parent", "attributes")
-        return pa.array([[dict(zip(fields, o, strict=True)) for o in _walk(text, label)]], pa.list_(_OBJECT)), None
-    except (ValueError, RecursionError, MemoryError, pa.ArrowException) as e:  # includes lone surrogates
-        return none, UNREADABLE + type(e).__name__
+def _object_of(entry: str) -> str:
+    """(found, next) of an object with members `fields`: itself, and the entries one level down."""
+    named = [
+        _let(
+            f"get(filter(fields, f -> f.key = '{key}'), 0)", "f",
+            r"""CASE WHEN startswith(f.json, '"') THEN try_variant_get(f.value, '$', 'string') WHEN f.json RLIKE '^[-0-9tf]' THEN f.json END""",
+        )
+        for key in NAME_KEYS
+    ]
+    name = f"coalesce({', '.join(named)}, CASE WHEN {entry}.path = '{ROOT}' THEN {entry}.label ELSE {entry}.path END)"
+    plain = "map_from_entries(transform(filter(fields, f -> NOT f.inner), f -> struct(f.key, f.json)))"
+    below = f"struct(f.value AS value, f.key AS label, concat({entry}.path, '.', f.key) AS path, struct({entry}.path AS path, {entry}.label AS label, n AS name) AS parent)"
+    itself = f"struct({entry}.label AS label, n AS name, {entry}.path AS path, {entry}.parent AS parent, {plain} AS attributes)"
+    return _let(name, "n", f"struct(array({itself}) AS found, transform(filter(fields, f -> f.inner), f -> {below}) AS next)")
+
+
+def _elements_of(entry: str) -> str:
+    """The same for an array: its elements take its key and belong to the object around it."""
+    element = f"struct(v AS value, {entry}.label AS label, concat({entry}.path, '[', i, ']') AS path, {entry}.parent AS parent)"
+    inner = f"transform(try_variant_get({entry}.value, '$', 'array<variant>'), (v, i) -> {element})"
+    return f"struct(CAST(array() AS array<{_OBJECT_SQL}>) AS found, coalesce({inner}, CAST(array() AS array<{_ENTRY_SQL}>)) AS next)"
+
+
+def _objects(parsed: str, label: str, content: str) -> Column:
+    """All objects of a parsed text, level by level until no level is left.
+
+    A text has no more levels than opening brackets; once the frontier is empty
+    the remaining steps do nothing.
+    """
+    first = f"struct({parsed} AS value, {label} AS label, '{ROOT}' AS path, CAST(NULL AS {_PARENT_SQL}) AS parent)"
+    start = f"struct(CAST(array() AS array<{_OBJECT_SQL}>) AS found, CAST(array({first}) AS array<{_ENTRY_SQL}>) AS next)"
+    level = _let(_fields("e"), "fields", f"CASE WHEN fields IS NOT NULL THEN {_object_of('e')} ELSE {_elements_of('e')} END")
+    both = "struct(concat(s.found, flatten(transform(parts, p -> p.found))) AS found, flatten(transform(parts, p -> p.next)) AS next)"
+    step = f"CASE WHEN size(s.next) = 0 THEN s ELSE {_let(f'transform(s.next, e -> {level})', 'parts', both)} END"
+    brackets = f"length({content}) - length(translate({content}, '[{{', ''))"
+    steps = f"CASE WHEN {brackets} > 0 THEN sequence(1, {brackets}) ELSE CAST(array() AS array<int>) END"
+    return F.expr(f"aggregate({steps}, {start}, (s, x) -> {step}, s -> s.found)")
 
 
 def with_objects(episodes: DataFrame) -> DataFrame:
     """`episodes` plus `objects` (of JSON episodes) and `error` (null when the episode can be processed).
 
-    The one place that parses contents.  Contents nest freely, which column
-    expressions can follow only level by level; a batch function walks each
-    text once instead, and a text it cannot read becomes an error of its row.
-    Narrow: no shuffle.
+    The one place that parses contents, once each and without Python: the parsed
+    text is a frontier that steps one level down at a time, as deep as the text
+    goes.  A text the parser cannot read (broken, thousands of levels, lone
+    surrogates) becomes an error of its row.  Narrow: no shuffle.
     """
     is_json = F.coalesce(F.lower("source") == "json", F.lit(False))
-    bad_json = is_json & F.try_parse_json("content").isNull()
-    error = F.when(F.col("content").isNull(), MISSING).when(bad_json, NOT_JSON)
-    judged = episodes.drop("objects", "error").withColumn("error", error)
-    columns = judged.columns
-    parsed = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in judged.schema.fields)}, objects array<{_OBJECT_SQL}>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            errors = batch.column("error").to_pylist()
-            made = []
-            for i, (text, label) in enumerate(zip(batch.column("content"), batch.column("name"), strict=True)):
-                objects, failed = _objects_of(None if errors[i] else text.as_py(), label.as_py())
-                made.append(objects)
-                errors[i] = errors[i] or failed
-            objects = pa.concat_arrays(made) if made else pa.array([], pa.list_(_OBJECT))
-            kept = [pa.array(errors, pa.string()) if c == "error" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, objects], names=[*columns, "objects"])
-
-    texts = judged.filter(~is_json).withColumn("objects", F.lit(None).cast(f"array<{_OBJECT_SQL}>"))
-    return judged.filter(is_json).mapInArrow(run, parsed).unionByName(texts)
+    # kept as a column of its own, so that the text is parsed once
+    parsed = F.when(is_json, F.try_parse_json("content"))
+    lone = is_json & F.col("content").contains("\\u") & F.col("content").rlike(_LONE)
+    error = F.when(F.col("content").isNull(), MISSING).when(is_json & F.col("_parsed").isNull(), NOT_JSON).when(lone, UNREADABLE)
+    judged = episodes.drop("objects", "error").withColumn("_parsed", parsed).withColumn("error", error)
+    objects = F.when(is_json & F.col("error").isNull(), _objects("_parsed", "name", "content"))
+    return judged.withColumn("objects", objects).drop("_parsed")
 
 
 def json_objects(episodes: DataFrame) -> DataFrame:
     """Every JSON object of JSON episodes, at any depth; texts that cannot be read have none."""
     parsed = episodes if "objects" in episodes.columns else with_objects(episodes)
-    return parsed.select(F.col("uuid").alias("episode_uuid"), "group_id", "reference_time", F.inline("objects"))
+    # an outer inline: for the plain one the optimizer repeats the whole expression in filters
+    found = parsed.select(F.col("uuid").alias("episode_uuid"), "group_id", "reference_time", F.inline_outer("objects"))
+    return found.filter(F.col("path").isNotNull())
 
 
 def json_entities(episodes: DataFrame) -> DataFrame:

@@ -435,6 +435,13 @@ check(
         CASE l WHEN 8 THEN 'key=' || o_orderkey || ',' ELSE '' END || 'name="n' || l || '"' AS attributes
         FROM orders, (SELECT unnest(range(0, 9)) AS l)""",
 )
+check(
+    "f2_json_entities_deep40",
+    """SELECT 'o-' || c_custkey AS episode_uuid, CASE l WHEN 0 THEN 'order' ELSE 'in' || l END AS label, 'n' || l AS name,
+        array_to_string(list_concat(['$'], list_transform(range(1, l + 1), lambda i: 'in' || i)), '.') AS path,
+        CASE l WHEN 40 THEN 'key=' || c_custkey || ',' ELSE '' END || 'name="n' || l || '"' AS attributes
+        FROM customer, (SELECT unnest(range(0, 41)) AS l)""",
+)
 check(
     "f3_json_relations",
     f"""SELECT 'o-' || o_orderkey AS episode_uuid, source_name, target_name, name, source_name || ' ' || name || ' ' || target_name AS fact FROM (

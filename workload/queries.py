@@ -27,7 +27,7 @@ from chronoweave.operators.text_index import bm25_search, build_index
 from chronoweave.operators.vectors import cosine_search, cosine_search_ann, embed_column, with_embedder
 from chronoweave.plans.ingest import build_graph, extract_candidates
 from chronoweave.plans.search import node_text, search_facts, search_nodes
-from chronoweave.session import cut_lineage, scratch_path
+from chronoweave.session import cut_lineage, scratch_path, spread
 from chronoweave.sources.episodes import read_episodes, stream_episodes
 from chronoweave.sources.graph import read_graph, write_graph
 from chronoweave.streaming.ingest import dedup_episodes, materialize, quarantine_stream, stream_ingest
@@ -408,7 +408,7 @@ def f1_split_turns(v: Views) -> DataFrame:
 
 @query
 def f2_json_entities(v: Views) -> DataFrame:
-    return X.json_entities(v.json_ep()).select(
+    return X.json_entities(spread(v.json_ep())).select(
         "episode_uuid", "group_id", "label", "name", "path", pairs_text("attributes").alias("attributes")
     )
 
@@ -444,6 +444,11 @@ def f2_json_entities_deep(v: Views) -> DataFrame:
     return X.json_entities(v.deep_ep()).select("episode_uuid", "label", "name", "path", pairs_text("attributes").alias("attributes"))
 
 
+@query
+def f2_json_entities_deep40(v: Views) -> DataFrame:
+    return X.json_entities(v.deep_ep("customer", 40)).select("episode_uuid", "label", "name", "path", pairs_text("attributes").alias("attributes"))
+
+
 @query
 def f3_json_relations(v: Views) -> DataFrame:
     return X.json_relations(_nested_ep(v)).select("episode_uuid", "source_name", "target_name", "name", "fact")
@@ -681,7 +686,7 @@ def g3_clear_graph(v: Views) -> DataFrame:
 @query
 def g4_graph_status(v: Views) -> DataFrame:
     ep = v.json_ep()
-    valid = extract_candidates(ep, False)
+    valid = extract_candidates(cut_lineage(X.with_objects(spread(ep))), False)
     facts = FA.apply_facts(v.fact(), None, _SINGLE).withColumn("group_id", F.col("source_node_uuid"))
     tables = {
         "episodes": ep,

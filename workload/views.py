@@ -155,15 +155,19 @@ class Views:
         notes = joined_in_order(self.statements(), ["user_id"], "event_id", line, "\n", "content")
         return self._told(notes, "note-", "text")
 
-    def deep_ep(self) -> DataFrame:
-        """Orders as objects nested eight deep."""
-        body = F.concat(F.lit('{"name": "n8", "key": '), F.col("o_orderkey").cast("string"), F.lit("}"))
-        for level in range(7, -1, -1):
+    def deep_ep(self, table: str = "orders", depth: int = 8) -> DataFrame:
+        """Rows of orders or customer as objects nested `depth` deep."""
+        key, group, date = {
+            "orders": ("o_orderkey", F.col("o_orderstatus"), F.col("o_orderdate")),
+            "customer": ("c_custkey", F.col("c_mktsegment"), F.lit("2024-01-01").cast("timestamp")),
+        }[table]
+        body = F.concat(F.lit(f'{{"name": "n{depth}", "key": '), F.col(key).cast("string"), F.lit("}"))
+        for level in range(depth - 1, -1, -1):
             body = F.concat(F.lit(f'{{"name": "n{level}", "in{level + 1}": '), body, F.lit("}"))
-        return self.t("orders").select(
-            F.concat(F.lit("o-"), F.col("o_orderkey")).alias("uuid"), F.lit("order").alias("name"), body.alias("content"),
-            F.lit("json").alias("source"), F.lit("").alias("source_description"), F.col("o_orderstatus").alias("group_id"),
-            F.col("o_orderdate").alias("reference_time"), F.col("o_orderdate").alias("created_at"),
+        return self.t(table).select(
+            F.concat(F.lit("o-"), F.col(key)).alias("uuid"), F.lit("order").alias("name"), body.alias("content"),
+            F.lit("json").alias("source"), F.lit("").alias("source_description"), group.alias("group_id"),
+            date.alias("reference_time"), date.alias("created_at"),
         )
 
     # --- nodes, queries
