@@ -108,7 +108,17 @@ def _double(rows: DataFrame, key: str, id: str, ttl: int, hot_rows: int) -> Data
         jumps = cut_lineage(
             jumps.alias("a").join(jumps.alias("b"), same("a", "b", "n", "_t")).select("a.k", "a._t", "b.n")
         )
-    entry = kept.select(F.col("k").alias("_k"), F.col("_t").alias("_e"))
+    return served_by(rows, kept.withColumn("fresh", F.lit(True)), key, id, hot_rows)
+
+
+def served_by(rows: DataFrame, entries: DataFrame, key: str, id: str, hot_rows: int) -> DataFrame:
+    """`rows` plus `_kept`, the last of the `entries` (k, _t, fresh) of their key at or before `_t`, and `hit`.
+
+    A fresh entry is made by the first row at its instant; another one, at most one
+    per key and before its fresh ones, was there before.
+    """
+    entry = entries.filter("fresh").select(F.col("k").alias("_k"), F.col("_t").alias("_e"))
+    carried = entries.filter("NOT fresh").select(F.col("k").alias("_c"), F.col("_t").alias("_before"))
     marked = rows.join(entry, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_e")), "left").drop("_k")
     found = with_last_seen(marked, [key], ["_t", id], "_e", "_kept", hot_rows)
     # of several rows at an entry's instant the first is the miss; a null id comes first
@@ -118,7 +128,8 @@ def _double(rows: DataFrame, key: str, id: str, ttl: int, hot_rows: int) -> Data
     )
     joined = found.join(firsts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_ft")), "left")
     hit = F.col("_first").isNull() | ~place.eqNullSafe(F.col("_first"))
-    return joined.withColumn("hit", hit).drop("_e", "_k", "_ft", "_first").select(*rows.columns, "_kept", "hit")
+    joined = joined.withColumn("hit", hit).join(broadcast_if_small(carried), F.col(key).eqNullSafe(F.col("_c")), "left")
+    return joined.withColumn("_kept", F.coalesce("_kept", "_before")).select(*rows.columns, "_kept", "hit")
 
 
 # The states of a key.

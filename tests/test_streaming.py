@@ -139,11 +139,31 @@ def test_cache_stream_is_the_batch(table, spark, tmp_path, hot):
     rnd = random.Random(2)
     big = 2**60  # ids that a double cannot hold
     rows = [(rnd.choice("aaab"), T0 + timedelta(seconds=rnd.randrange(3000)), big + i) for i in range(150)]
-    df = table(rows, "k string, ts timestamp, id long")
+    df = table(rows, "k string, ts timestamp, id long").unionByName(table([(None, T0, 5), ("a", T0, None), (None, T0, 6)], "k string, ts timestamp, id long"))
     got = run_parts(spark, df, tmp_path, lambda s, out, ckpt: ttl_cache_stream(s, out, ckpt, "k", "ts", "id", 300, hot))
     same(ttl_cache(df, "k", "ts", "id", 300), got.drop("batch_id"))
 
 
+def test_cache_stream_keeps_rows_without_a_time(table, spark, tmp_path):
+    df = table([("a", None, 1), ("b", None, 2)], "k string, ts timestamp, id long")
+    inbox, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    put(df, inbox, "parquet")
+    ttl_cache_stream(spark.readStream.schema(df.schema).parquet(inbox), out, ckpt, "k", "ts", "id", 300).awaitTermination()
+    assert sorted((r.id, r.hit, r.served_from) for r in spark.read.parquet(f"{out}/rows").collect()) == [(1, False, None), (2, False, None)]
+
+
+def test_state_is_sparks_and_expires(table, spark, tmp_path):
+    rows = [(k, T0 + timedelta(minutes=m), m) for m in (0, 1, 200, 400) for k in ("ab" if m < 2 else "b")]
+    df = table(rows, "k string, ts timestamp, id long")
+    inbox, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    for m in (0, 1, 200, 400):
+        put(df.filter(F.col("id") == m), inbox, "parquet")
+        ttl_cache_stream(spark.readStream.schema(df.schema).parquet(inbox), out, ckpt, "k", "ts", "id", 300).awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "entry").load(f"{ckpt}/state")
+    # the entry of a, which nothing has used since, is gone
+    assert {r["key"]["k"] for r in state.collect()} == {"b"}
+
+
 def test_lifecycle_stream_is_the_batch(table, spark, tmp_path):
     rnd = random.Random(3)
     rows = [(f"k{rnd.randrange(60)}", T0 + timedelta(minutes=rnd.randrange(50)), i, rnd.choice(["start", "complete", "start", "complete", "fail"]), f"m{i}") for i in range(200)]
