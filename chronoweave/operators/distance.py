@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronoweave.session import cut_lineage
 
 _BROADCAST_ROWS = 200_000
+# A node reached from a goal costs as much as so many reached from a centre.
+_FAR_COST = 8
 
 
 def _ends(facts: DataFrame) -> DataFrame:
@@ -72,8 +74,8 @@ class _Side:
 def distances_to(facts: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(center, node, distance) of the given (center, node) pairs; null when there is no path.
 
-    Searches from both ends, always on the side with the smaller frontier, and
-    only from ends whose pairs are still open.  After r hops on one side and s on
+    Searches from both ends, on the side with the cheaper frontier, and only from
+    ends whose pairs are still open.  After r hops on one side and s on
     the other every path of at most r + s facts has met in the middle, so the
     first meeting gives the least distance.
     """
@@ -81,10 +83,14 @@ def distances_to(facts: DataFrame, pairs: DataFrame, max_hops: int | None = None
     open_ = cut_lineage(pairs.select("center", F.col("node").alias("goal")).distinct())
     everything = open_
     near, far = _Side(open_, "center"), _Side(open_, "goal")
-    found = None
+    found, moved = None, None
     while True:
-        met = open_.join(near.reached.select("center", "node", F.col("d").alias("d1")), "center").join(
-            far.reached.select("goal", "node", F.col("d").alias("d2")), ["goal", "node"]
+        # a pair that is still open can only meet in what was reached last
+        of_near = near.frontier if moved is not far else near.reached
+        of_far = far.frontier if moved is not near else far.reached
+        # the goals' side first: few nodes each; then both columns of the centres' side
+        met = open_.join(of_far.select("goal", "node", F.col("d").alias("d2")), "goal").join(
+            of_near.select("center", "node", F.col("d").alias("d1")), ["center", "node"]
         )
         settled = cut_lineage(met.groupBy("center", "goal").agg(F.min(F.col("d1") + F.col("d2")).alias("distance")))
         found = settled if found is None else found.unionByName(settled)
@@ -92,5 +98,7 @@ def distances_to(facts: DataFrame, pairs: DataFrame, max_hops: int | None = None
         hops = near.radius + far.radius
         if (max_hops is not None and hops >= max_hops) or near.size == 0 or far.size == 0 or open_.isEmpty():
             break
-        (near if near.size <= far.size else far).expand(edges, open_)
+        # a step of the goals' side multiplies the pairs that meet, so it must be much the smaller one
+        moved = far if far.size * _FAR_COST < near.size else near
+        moved.expand(edges, open_)
     return everything.join(found, ["center", "goal"], "left").select("center", F.col("goal").alias("node"), "distance")
