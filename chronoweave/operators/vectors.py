@@ -1,25 +1,27 @@
-"""Exact cosine search and embedding columns."""
+"""Cosine search, exact and by hyperplane signatures, and embedding columns."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.functions.text import tokens
 from chronoweave.operators.lookup import check_limit, top_k
-from chronoweave.operators.ordered import broadcast_if_small
 from chronoweave.operators.text_index import SCORE_DIGITS
 
 # Largest query block sent to the tasks: 4,000 vectors of 1,536 doubles are 49 MB.
 QUERY_BLOCK = 4_000
 _BLOCK_ROWS = 10_000
+# Rows a bucket of the approximate search should have, and the planes near a query it may cross.
+BUCKET_ROWS = 1_000
+_CLOSE = 6
 
 
 def _unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,65 +154,149 @@ def cosine_search_ann(
     vectors: DataFrame,
     queries: DataFrame,
     k: int,
-    bucket_length: float = 0.5,
     tables: int = 8,
+    probes: int = 8,
+    bits: int | None = None,
     seed: int = 42,
     min_score: float | None = None,
 ) -> DataFrame:
-    """E3, approximate: only vectors sharing a hash bucket with the query are scored.
-
-    Unit vectors are hashed by random projections; the score of a candidate is
-    exact.  Each pair is scored in the first table in which it meets, so no
-    pair appears twice.  The queries are broadcast after a size check: vectors,
-    and hot buckets, are not shuffled; a task passes on its k best per query.
+    """E3, approximate: only vectors that share a bucket with the query are scored.
+
+    A bucket is the signs of a vector against `bits` random hyperplanes; there are
+    `tables` of them, and of each a query looks into its own bucket and the
+    `probes` it is nearest to, those across the planes it lies closest to.  `bits`
+    follows from the row count, so that a bucket has about BUCKET_ROWS rows; a
+    table of a few buckets is searched whole.  Every score is exact and no pair
+    comes twice.  What is missed are neighbours that fall into other buckets in all
+    tables: few where neighbours are close, many where all vectors are about
+    equally far apart.
+
+    Up to QUERY_BLOCK queries go to the tasks as one matrix with their buckets, and
+    vectors are not shuffled; more queries meet the vectors in a join on (table,
+    bucket).
     """
     check_limit("k", k)
-    sizes = [r[0] for r in queries.filter(F.size("embedding") > 0).select(F.size("embedding")).distinct().collect()]
-    if not sizes:
+    vectors = vectors.select("uuid", "embedding").filter(F.col("embedding").isNotNull())
+    queries = queries.select("query_id", "embedding").filter(F.size("embedding") > 0)
+    if bits is None:
+        bits = max(0, round(np.log2(max(1, vectors.count()) / BUCKET_ROWS)))
+    if bits == 0:
         return cosine_search(vectors, queries, k, min_score)
-    # every size of query vectors has projections of its own
-    parts = [_ann_scores(vectors, queries, dim, bucket_length, tables, seed) for dim in sorted(sizes)]
-    scored = _union(parts)
-    if min_score is not None:
-        scored = scored.filter(F.col("score") >= min_score)
-    return top_k(scored, k, [F.desc("score")], ["uuid"], ["query_id"])
-
-
-def _ann_scores(vectors: DataFrame, queries: DataFrame, dim: int, bucket_length: float, tables: int, seed: int) -> DataFrame:
-    """Scores of the vectors that share a bucket with a query of `dim` components."""
-
-    def hashed(df: DataFrame, id: str) -> DataFrame:
-        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        scaled = F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("_norm")))
-        # the hash function may run before the filter, so it gets a vector in any case
-        usable = F.coalesce((F.size("embedding") == dim) & (F.col("_norm") > 0), F.lit(False))
-        unit = (
-            df.withColumn("_norm", norm)
-            .withColumn("unit", F.when(usable, scaled).otherwise(F.array_repeat(F.lit(0.0), dim)))
-            .filter(usable)
-            .select(id, "unit")
-        )
-        hashes = F.transform("_hashes", lambda h: vector_to_array(h)[0].cast("long"))
-        return (
-            lsh.transform(unit.withColumn("_vector", array_to_vector("unit")))
-            .withColumn("hashes", hashes)
-            .select(id, "unit", "hashes", F.posexplode("hashes").alias("table", "bucket"))
-        )
+    schema = _result_schema(vectors, queries)
+    head = queries.limit(QUERY_BLOCK + 1).toPandas()  # the size check
+    if len(head) > QUERY_BLOCK:
+        best = _met_in_buckets(vectors, queries, _Planes(tables, bits, probes, seed), min_score, schema)
+    else:
+        parts = []
+        # every size of query vectors has planes of its own
+        for dim in sorted({len(v) for v in head["embedding"]}):
+            units, at = _unit_rows(head["embedding"], dim)
+            if len(units):
+                score = _probe_block(head["query_id"].to_numpy()[at], units, _Planes(tables, bits, probes, seed), k, min_score)
+                parts.append(vectors.filter(F.size("embedding") == dim).mapInPandas(score, schema))
+        best = _union(parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    return top_k(best, k, [F.desc("score")], ["uuid"], ["query_id"])
 
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_vector", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(queries.filter(F.size("embedding") == dim).select(array_to_vector("embedding").alias("_vector")).limit(1))
-    asked = hashed(queries, "query_id").select(
-        "query_id", F.col("unit").alias("_q"), F.col("hashes").alias("_qh"), "table", "bucket"
-    )
-    meets = F.zip_with("hashes", "_qh", lambda a, b: a == b)
+
+@dataclass
+class _Planes:
+    """Hyperplanes of all tables, drawn anew from the seed wherever they are needed."""
+
+    tables: int
+    bits: int
+    probes: int
+    seed: int
+
+    def sides(self, units: np.ndarray) -> np.ndarray:
+        """Signed distances to the planes: (tables, rows, bits)."""
+        planes = np.random.default_rng(self.seed).standard_normal((self.tables, units.shape[1], self.bits))
+        return np.matmul(units[None], planes)
+
+    def buckets(self, units: np.ndarray) -> np.ndarray:
+        """(tables, rows)."""
+        return (self.sides(units) > 0) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+    def probed(self, units: np.ndarray) -> np.ndarray:
+        """(tables, rows, probes + 1): a query's own bucket and the nearest others, by the planes to be crossed."""
+        sides = self.sides(units)
+        own = (sides > 0) @ (1 << np.arange(self.bits, dtype=np.int64))
+        # crossings of up to three of the closest planes, cheapest first
+        close = np.argsort(np.abs(sides), axis=2)[:, :, :_CLOSE]
+        margin = np.take_along_axis(np.abs(sides), close, axis=2) ** 2
+        groups = [c for n in (1, 2, 3) for c in combinations(range(close.shape[2]), n)]
+        cost = np.stack([margin[:, :, list(c)].sum(axis=2) for c in groups], axis=2)
+        flips = np.stack([(1 << close[:, :, list(c)]).sum(axis=2) for c in groups], axis=2)
+        cheapest = np.argsort(cost, axis=2, kind="stable")[:, :, : self.probes]
+        others = own[:, :, None] ^ np.take_along_axis(flips, cheapest, axis=2)
+        return np.concatenate([own[:, :, None], others], axis=2)
+
+
+def _pairs(found: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """Row * queries + query of every pair that shares a bucket in some table, once each."""
+    n = sought.shape[1]
+    out = []
+    for table in range(len(found)):
+        keys = sought[table].ravel()
+        order = np.argsort(keys, kind="stable")
+        lo, hi = (np.searchsorted(keys[order], found[table], side) for side in ("left", "right"))
+        count = hi - lo
+        rows = np.repeat(np.arange(len(count)), count)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        out.append(rows * n + order[at] // sought.shape[2])
+    return np.unique(np.concatenate(out))
+
+
+def _probe_block(
+    query_ids: np.ndarray, unit_queries: np.ndarray, planes: _Planes, k: int, min_score: float | None
+) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per batch: exact scores of the pairs that share a bucket, k best per query kept."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sought = planes.probed(unit_queries)
+        for batch in batches:
+            units, at = _unit_rows(batch["embedding"], unit_queries.shape[1])
+            if not len(units):
+                continue
+            ids = batch["uuid"].to_numpy(dtype=object)[at]
+            rows, asked = np.divmod(_pairs(planes.buckets(units), sought), len(unit_queries))
+            sims = np.empty(len(rows))
+            for part in range(0, len(rows), _BLOCK_ROWS):
+                here = slice(part, part + _BLOCK_ROWS)
+                sims[here] = np.einsum("ij,ij->i", units[rows[here]], unit_queries[asked[here]])
+            sims = np.round(sims, SCORE_DIGITS)
+            order = np.argsort(asked, kind="stable")
+            for span in np.split(order, np.flatnonzero(np.diff(asked[order])) + 1):
+                if len(span):
+                    best, scores = _best(ids[rows[span]], sims[span], k, min_score)
+                    yield pd.DataFrame({"query_id": query_ids[asked[span[0]]], "uuid": best, "score": scores})
+
+    return run
+
+
+def _met_in_buckets(vectors: DataFrame, queries: DataFrame, planes: _Planes, min_score: float | None, schema: T.StructType) -> DataFrame:
+    """More queries than one matrix holds: a join on (size, table, bucket), each pair in its first table."""
+
+    def hashed(id: str, sought: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dim in {len(v) for v in batch["embedding"]}:
+                    units, at = _unit_rows(batch["embedding"], dim)
+                    if len(units):
+                        places = planes.probed(units) if sought else planes.buckets(units)[:, :, None]
+                        yield pd.DataFrame({id: batch[id].to_numpy()[at], "unit": list(units), "places": [[list(t) for t in x] for x in places.transpose(1, 0, 2).tolist()]})
+
+        return run
+
+    def placed(df: DataFrame, id: str, sought: bool) -> DataFrame:
+        columns = f"{id} {df.schema[id].dataType.simpleString()}, unit array<double>, places array<array<long>>"
+        return df.mapInPandas(hashed(id, sought), columns).select("*", F.posexplode("places").alias("table", "_p")).select("*", F.explode("_p").alias("bucket")).drop("_p")
+
+    asked = placed(queries, "query_id", True).select("query_id", "table", "bucket", F.col("unit").alias("_q"), F.col("places").alias("_places"))
+    meets = F.zip_with("places", "_places", lambda a, b: F.arrays_overlap(a, b))
     dot = F.aggregate(F.zip_with("unit", "_q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return (
-        hashed(vectors, "uuid")
-        .join(broadcast_if_small(asked, QUERY_BLOCK * tables), ["table", "bucket"])
-        .filter(F.array_position(meets, True) == F.col("table") + 1)
-        .select("query_id", "uuid", F.round(dot, SCORE_DIGITS).alias("score"))
-    )
+    met = placed(vectors, "uuid", False).join(asked, ["table", "bucket"]).filter(F.size("unit") == F.size("_q"))
+    scored = met.filter(F.array_position(meets, True) == F.col("table") + 1).select("query_id", "uuid", F.round(dot, SCORE_DIGITS).alias("score"))
+    return scored if min_score is None else scored.filter(F.col("score") >= min_score)
 
 
 def _hash_embed(dim: int) -> Callable[[pd.Series], pd.Series]:

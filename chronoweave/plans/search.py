@@ -32,8 +32,14 @@ def one_query(spark: SparkSession, text: str, embedding: list[float] | None = No
 
 
 def _embedded(df: DataFrame, text: Column, column: str) -> DataFrame:
-    """`df` with vectors: its own, or those of the built-in embedder."""
-    return df if column in df.columns else embed_column(df, text, EMBEDDING_SIZE, out=column)
+    """`df` with vectors: its own, or those of the built-in embedder if no row brings one.
+
+    A row without a vector among rows with some is no candidate: vectors of
+    different embedders cannot be compared.
+    """
+    if column in df.columns and not df.filter(F.col(column).isNotNull()).select(column).isEmpty():
+        return df
+    return embed_column(df.drop(column), text, EMBEDDING_SIZE, out=column)
 
 
 def node_text() -> Column:

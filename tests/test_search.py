@@ -99,13 +99,32 @@ def test_ann_scores_are_exact_and_pairs_single(table):
     df = table(rows, "uuid string, embedding array<float>")
     q = table([(i, v) for i, (_, v) in enumerate(rows[:12])], "query_id int, embedding array<float>")
     exact = {(r.query_id, r.uuid): r.score for r in VEC.cosine_search(df, q, 240).collect()}
-    found = VEC.cosine_search_ann(df, q, 10, bucket_length=1.0).collect()
+    found = VEC.cosine_search_ann(df, q, 10, tables=6, probes=4, bits=4).collect()
     assert len({(r.query_id, r.uuid) for r in found}) == len(found)
     assert all(r.score == pytest.approx(exact[r.query_id, r.uuid], abs=1e-8) for r in found)
     best = {(r.query_id, r.uuid) for r in VEC.cosine_search(df, q, 10).collect()}
     assert len(best & {(r.query_id, r.uuid) for r in found}) > 0.9 * len(best)
 
 
+@pytest.mark.parametrize("block", [4000, 20])
+def test_ann_finds_near_vectors_among_few_candidates(table, monkeypatch, block):
+    """64 components, 4,000 vectors around 200 centres: nine in ten neighbours from less than a tenth of the pairs."""
+    monkeypatch.setattr(VEC, "QUERY_BLOCK", block)
+    rnd = np.random.default_rng(9)
+    centers = rnd.normal(size=(200, 64))
+    points = (centers[rnd.integers(0, 200, 4000)] + 0.35 * rnd.normal(size=(4000, 64))).astype(np.float32)
+    df = table([(f"v{i:04d}", [float(x) for x in p]) for i, p in enumerate(points)], "uuid string, embedding array<float>")
+    q = table([(i, [float(x) for x in points[i * 80]]) for i in range(50)], "query_id int, embedding array<float>")
+    planes = VEC._Planes(8, 10, 8, 42)
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    assert len(VEC._pairs(planes.buckets(units), planes.probed(units[::80]))) < 0.1 * 50 * 4000
+    found = {(r.query_id, r.uuid): r.score for r in VEC.cosine_search_ann(df, q, 10, bits=10).collect()}
+    sims = units[::80].astype(np.float64) @ units.T.astype(np.float64)
+    best = {(i, f"v{j:04d}") for i in range(50) for j in np.argsort(-sims[i])[:10]}
+    assert len(best & set(found)) >= 0.9 * len(best)
+    assert all(abs(s - sims[i, int(u[1:])]) < 1e-6 for (i, u), s in found.items())
+
+
 def test_cosine_min_score(table):
     df = table([("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 1.0])], "uuid string, embedding array<float>")
     q = table([(0, [1.0, 0.0])], "query_id int, embedding array<float>")

@@ -333,6 +333,15 @@ check(
     {"emb": "SELECT CAST(vec_id AS VARCHAR) AS uuid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"}
     | cosine("near", "emb", "q", 10, "list_cosine_similarity(c.v, q.v) >= 0"),
 )
+check(
+    "e3_cosine_search_ann",
+    "SELECT query_id, uuid, round(score, 6) AS score, rank FROM near",
+    ["q"],
+    {"emb": "SELECT CAST(vec_id AS VARCHAR) AS uuid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"}
+    | cosine("near", "emb", "q", 10, "list_cosine_similarity(c.v, q.v) >= 0"),
+)
+check("e3_cosine_search_ann_scores", "SELECT vec_id AS query_id, CAST(1 AS BIGINT) AS own_first, CAST(0 AS BIGINT) AS wrong FROM embeddings WHERE vec_id % 10 = 0")
+check("e6_search_built_graph", "SELECT CAST(10 AS BIGINT) AS hits, CAST(10 AS BIGINT) AS same")
 _NODE_TEXT = "name || ' ' || summary"
 _NODES = hybrid("f", "node", _NODE_TEXT, "q", 10)
 check("e4_rrf_fuse", "SELECT query_id, uuid, round(rrf, 6) AS rrf FROM f", ["node", "q"], _NODES)

@@ -26,7 +26,7 @@ from chronoweave.operators.resolution import build_mentions, merge_similar, reso
 from chronoweave.operators.text_index import bm25_search, build_index
 from chronoweave.operators.vectors import cosine_search, cosine_search_ann, embed_column, with_embedder
 from chronoweave.plans.ingest import build_graph, extract_candidates
-from chronoweave.plans.search import node_text, search_facts, search_nodes
+from chronoweave.plans.search import node_text, one_query, search_facts, search_nodes
 from chronoweave.session import cut_lineage, scratch_path, spread
 from chronoweave.sources.episodes import read_episodes, stream_episodes
 from chronoweave.sources.graph import read_graph, write_graph
@@ -315,7 +315,22 @@ def e3_cosine_search(v: Views) -> DataFrame:
 
 @query
 def e3_cosine_search_ann(v: Views) -> DataFrame:
-    return cosine_search_ann(_vectors(v), v.query(), 10).withColumn("score", F.round("score", 6))
+    """Small tables have one bucket and are searched whole."""
+    return cosine_search_ann(_vectors(v), v.query(), 10, min_score=0.0).withColumn("score", F.round("score", 6))
+
+
+@query
+def e3_cosine_search_ann_scores(v: Views) -> DataFrame:
+    """Buckets of eight planes, every vector divisible by 10 as a query: how many answers have their exact score."""
+    vectors = _vectors(v)
+    queries = vectors.filter(F.col("uuid").cast("long") % 10 == 0).select(F.col("uuid").cast("long").alias("query_id"), "embedding")
+    found = cosine_search_ann(vectors, queries, 5, bits=8)
+    a, b = vectors.select("uuid", F.col("embedding").alias("x")), queries.select("query_id", F.col("embedding").alias("y"))
+    both = found.join(a, "uuid").join(b, "query_id")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    exact = dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))
+    own = F.count_if((F.col("uuid").cast("long") == F.col("query_id")) & (F.col("rank") == 1))
+    return both.groupBy("query_id").agg(own.alias("own_first"), F.count_if(F.abs(exact - F.col("score")) > 1e-6).alias("wrong"))
 
 
 @query
@@ -383,6 +398,16 @@ def e6_search_nodes_centered(v: Views) -> DataFrame:
     return _shown(found).select("query_id", "rank", "rrf", "distance", "uuid", "name")
 
 
+@query
+def e6_search_built_graph(v: Views) -> DataFrame:
+    """A graph is searched as it was built: its entities bring no vectors, so all of them are embedded."""
+    entities = cut_lineage(build_graph(_nested_ep(v), use_custom_entities=False)["entities"])
+    text = one_query(v.spark, "automobile segment")
+    built = search_nodes(entities, text, group_ids=[], max_nodes=10).select("uuid", "rank")
+    bare = search_nodes(entities.drop("name_embedding"), text, group_ids=[], max_nodes=10).select("uuid", F.col("rank").alias("other"))
+    return built.join(bare, "uuid", "full").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("rank") == F.col("other")).alias("same"))
+
+
 @query
 def e7_search_facts(v: Views) -> DataFrame:
     found = search_facts(v.edge(), _centered(v).drop("center_node_uuid"), group_ids=[])
