@@ -9,11 +9,9 @@ Coordinates are cut into bands; documents that agree on a band share a bucket.
 Equal sets become one class first, and only class representatives go on.  In
 every bucket the members are compared with the least one, on their full sets,
 and those that are not near it with PIVOTS other members.  Where a bucket then
-still holds several groups, the members outside the least one's group are
-compared with all members of other groups: documents already connected need no
-comparison, so a group of near copies costs its size, not its square.  A bucket
-with more outsiders than OUTSIDERS is divided by its members' further bands
-first.  Nothing is capped.
+still holds several groups, its members are compared across groups, on those
+pairs only that share a shingle among their rarest: documents already connected
+need no comparison, and documents unlike all others have none.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -34,10 +32,8 @@ PERCENT = 80
 # A pair of similarity 0.8 misses all 40 bands of 5 with probability 1.2e-7.
 BANDS = 40
 ROWS = 5
-OUTSIDERS = 1000
 PIVOTS = 8
 SKETCH_WORDS = 3
-MAX_DEPTH = 3
 
 _CHUNK = 512
 _SIGNED = "doc_id long, n_shingles long, digest_a long, digest_b long, bands array<long>"
@@ -129,6 +125,12 @@ class _Work:
         of = self.sketches(firsts)
         return self.compared(pairs.join(of["a"], "a").join(of["b"], "b").filter(self.likely()).select("a", "b"))
 
+    def full_sets(self, ids: DataFrame) -> DataFrame:
+        """(id, set) of the documents `ids` (doc_id)."""
+        size = self.size
+        sets = self.texts.join(few(ids), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, size), "id long, set array<long>")
+        return self.written(sets, "sets")
+
     def sketches(self, firsts: DataFrame) -> dict[str, DataFrame]:
         """Sizes and sketches, named for either end of a pair."""
         known = few(firsts.select("id", "n", "sketch"))
@@ -148,10 +150,7 @@ class _Work:
         """(a, b, both, union): sizes of the intersection and the union of the full sets."""
         self.calls += 1
         likely = self.written(likely, f"likely-{self.calls}")
-        ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-        size = self.size
-        sets = self.texts.join(few(ids), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, size), "id long, set array<long>")
-        sets = self.written(sets, f"sets-{self.calls}")
+        sets = self.full_sets(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct())
         of_a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
         of_b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
         sized = likely.join(of_b, "b").join(of_a, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
@@ -164,64 +163,58 @@ def _most_apart(percent: int) -> int:
     return int(bits * p + 5.7 * (bits * p * (1 - p)) ** 0.5) + 1
 
 
-def _linked(work: _Work, firsts: DataFrame, outsiders: int) -> DataFrame | None:
+def _linked(work: _Work, firsts: DataFrame) -> DataFrame | None:
     """Links (a, b) that connect every group of the class representatives `firsts` (id, n, bands, sketch).
 
     None when no two of them share a bucket.
     """
-    keyed = firsts.select(F.posexplode("bands").alias("band", "key"), "id")
-    links = None
-    for depth in range(MAX_DEPTH + 1):
-        star = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_top")).filter("center < _top").drop("_top")
-        shared = work.written(keyed.join(star, "key"), f"shared-{depth}")
-        if shared.isEmpty():
-            return links
-        pairs = shared.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-        found = work.written(work.confirmed(pairs, firsts), f"star-{depth}")
-        pivots = work.compared(_pivot_pairs(work, shared, found, firsts, depth))
-        links = work.written((found if links is None else links.unionByName(found)).unionByName(pivots), f"links-{depth}")
-        grouped = shared.join(few(components(links)), "id", "left").withColumn("group", F.coalesce("group", "id"))
-        of_center = F.max(F.when(F.col("id") == F.col("center"), F.col("group"))).alias("main")
-        mixed = grouped.groupBy("key").agg(of_center, F.min("group").alias("_lo"), F.max("group").alias("_hi")).filter("_lo < _hi")
-        still = work.written(grouped.join(mixed.select("key", "main"), "key"), f"open-{depth}")
-        if still.isEmpty():
-            return links
-        # the similarity of every member of these buckets to the least one
-        known = work.measured(still.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
-        near = few(work.written(known.groupBy("a", "b").agg(F.when(F.count(F.lit(1)) == 1, F.max(F.col("both") / F.col("union"))).alias("near")), f"near-{depth}"))
-        near = near.select(F.col("a").alias("center"), F.col("b").alias("id"), "near")
-        out = F.col("group") != F.col("main")
-        counted = work.written(still.groupBy("key").agg(F.sum(out.cast("long")).alias("outside")), f"outside-{depth}")
-        light = counted.filter(F.col("outside") <= outsiders) if depth < MAX_DEPTH else counted
-        rest = still.join(few(light.select("key")), "key").join(few(firsts.select("id", "n", "sketch")), "id")
-        rest = rest.join(near, ["center", "id"], "left").withColumn("near", F.when(F.col("id") == F.col("center"), 1.0).otherwise(F.col("near")))
-        rest = rest.select("key", "id", "group", "n", "sketch", "near", out.alias("out"))
-        left, right = [
-            rest.select("key", F.col("id").alias(x), F.col("group").alias(f"g_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("near").alias(f"near_{x}"), F.col("out").alias(f"out_{x}"))
-            for x in "ab"
-        ]
-        # conditions of the join itself, so that pairs that cannot be similar are never made: sizes, sketches,
-        # and the triangle inequality of Jaccard distances to the bucket's least member
-        other = (F.col("g_a") != F.col("g_b")) & (~F.col("out_b") | (F.col("a") < F.col("b")))
-        # (a document of several texts has no single distance)
-        triangle = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) <= 1 - work.percent / 100 + 1e-9, F.lit(True))
-        cross = left.filter("out_a").join(right, "key").filter(other & triangle & work.likely()).select("a", "b").distinct()
-        links = work.written(links.unionByName(work.compared(cross)), f"more-{depth}")
-        heavy = counted.filter(F.col("outside") > outsiders).select("key")
-        if depth == MAX_DEPTH or heavy.isEmpty():
-            return links
-        crowded = still.join(few(heavy), "key", "left_semi").select("id", F.col("key").alias("_key"), F.col("band").alias("_band"))
-        further = crowded.join(firsts.select("id", "bands"), "id").select("*", F.posexplode("bands").alias("band", "_next"))
-        keyed = work.written(further.filter("band > _band").select("band", F.xxhash64("_key", "_next").alias("key"), "id"), f"keyed-{depth}")
-    return links
-
-
-def _pivot_pairs(work: _Work, shared: DataFrame, found: DataFrame, firsts: DataFrame, depth: int) -> DataFrame:
+    keyed = firsts.select(F.explode("bands").alias("key"), "id")
+    star = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_top")).filter("center < _top").drop("_top")
+    shared = work.written(keyed.join(star, "key"), "shared")
+    if shared.isEmpty():
+        return None
+    pairs = shared.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    found = work.written(work.confirmed(pairs, firsts), "star")
+    pivots = work.compared(_pivot_pairs(work, shared, found, firsts))
+    links = work.written(found.unionByName(pivots), "links")
+    grouped = shared.join(few(components(links)), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    # a bucket of two is settled by its one comparison
+    count = F.count(F.lit(1)).alias("_n")
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi"), count).filter("_lo < _hi AND _n > 2")
+    still = work.written(grouped.join(few(mixed.select("key")), "key", "left_semi").select("id", "group").distinct(), "open")
+    if still.isEmpty():
+        return links
+    return links.unionByName(work.confirmed(_prefix_pairs(work, still), firsts))
+
+
+def _prefix_pairs(work: _Work, open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups of `open_` (id, group) that can be similar enough.
+
+    Shingles are ordered by the number of sets that hold them, rarest first.  Two
+    similar sets of n shingles at most share one of their first n - ceil(n *
+    percent / 100) + 1; shingles of a single set come first and meet nothing, so
+    documents that differ from all others drop out without a comparison.
+    """
+    sets = work.full_sets(open_.select(F.col("id").alias("doc_id"))).withColumn("row", F.xxhash64("set"))
+    held = sets.select("id", "row", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    often = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    ordered = held.join(often, "shingle").groupBy("id", "row", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
+    prefix = F.col("n") - F.ceil(F.col("n") * work.percent / 100) + 1
+    left = (prefix - (F.col("n") - F.size("shared"))).cast("int")
+    first = ordered.filter(left > 0).select("id", F.explode(F.slice("shared", 1, left)).alias("s")).select("id", "s.shingle").distinct()
+    named = work.written(first.join(few(open_), "id"), "prefixes")
+    across = named.groupBy("shingle").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi")).filter("_lo < _hi").select("shingle")
+    met = named.join(few(across), "shingle", "left_semi")
+    one, two = [met.select("shingle", F.col("id").alias(x), F.col("group").alias(f"g_{x}")) for x in "ab"]
+    return one.join(two, "shingle").filter("a < b AND g_a <> g_b").select("a", "b").distinct()
+
+
+def _pivot_pairs(work: _Work, shared: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
     """Likely pairs (a, b) of members outside their bucket's star and PIVOTS members of the bucket drawn by hash."""
     of = work.sketches(firsts)
     inside = few(found.select(F.col("a").alias("center"), F.col("b").alias("id")))
     outside = shared.filter("id <> center").join(inside, ["center", "id"], "left_anti").select("key", "id")
-    outside = work.written(outside, f"outside-star-{depth}")
+    outside = work.written(outside, "outside-star")
     open_keys = few(outside.select("key").distinct())
     drawn = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id")).getField("id").alias(f"p{i}") for i in range(PIVOTS)]
     pivots = shared.filter("id <> center").join(open_keys, "key", "left_semi").groupBy("key").agg(*drawn)
@@ -233,7 +226,7 @@ def _pivot_pairs(work: _Work, shared: DataFrame, found: DataFrame, firsts: DataF
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT,
-    bands: int = BANDS, rows: int = ROWS, outsiders: int = OUTSIDERS,
+    bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of `docs`.
 
@@ -253,7 +246,7 @@ def near_duplicates(
     # the array holds the band keys, then the sketch
     keys, sketched = F.slice("bands", 1, bands).alias("bands"), F.slice("bands", bands + 1, SKETCH_WORDS).alias("sketch")
     firsts = members.filter(F.col("bands").isNotNull()).select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), keys, sketched)
-    links = _linked(work, firsts, outsiders)
+    links = _linked(work, firsts)
     # documents of several texts connect the classes they are in
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_hi")).filter("a < _hi")
     several = several.join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").filter("a < b").select("a", "b")
