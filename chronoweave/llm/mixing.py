@@ -88,10 +88,11 @@ def mix_sources(
 ) -> DataFrame:
     """`docs` plus seq, block, release, deadline, slot (long, from 0) and in_mix.
 
-    Read the rows by (slot, seq).  Every row stays.  in_mix holds as long as no
-    source has run out: up to there every prefix of slots meets the target
-    weights to less than one block.  Later slots of a source that has run out
-    are simply not there.  A null source is a source of its own; rows with equal
+    Read the rows by (slot, seq).  Every row stays.  Until a source runs out it is
+    less than one block away from its target weight at every slot; later slots of
+    it are simply not there, and the others go on in their proportions.  in_mix
+    holds until sources with half of the target weights have run out, so a small
+    source does not end the mix for all others.  A null source is a source of its own; rows with equal
     doc_id and text are told apart arbitrarily.  Columns of `docs` named like
     the added ones are replaced.  At most MAX_SOURCES sources.
     """
@@ -116,10 +117,13 @@ def mix_sources(
     # bounded: one row per source and one per slot of a round
     weights, plan = F.broadcast(weights), F.broadcast(plan.withColumnRenamed("_s", "_p"))
     total = weights.agg(F.sum("n")).first()[0] or 0
-    full = _floor_div(F.col("rows"), F.lit(block_docs))
-    dry = weights.select("_s", (full % F.col("n")).alias("_k"), _floor_div(full, F.col("n")).alias("_round"))
-    dry = dry.join(plan, (F.col("_s") == F.col("_p")) & (F.col("_k") == F.col("k")))
-    end = dry.agg(F.min(F.col("_round") * total + F.col("slot"))).first()[0]
+    # the first slot that a source has no block for, a last partial block counted; the mix ends with the
+    # slot at which the sources that have run out hold half of the round
+    blocks = _floor_div(F.col("rows") + block_docs - 1, F.lit(block_docs))
+    dry = weights.select("_s", "n", (blocks % F.col("n")).alias("_k"), _floor_div(blocks, F.col("n")).alias("_round"))
+    dry = dry.join(plan, (F.col("_s") == F.col("_p")) & (F.col("_k") == F.col("k"))).select("n", (F.col("_round") * total + F.col("slot")).alias("_at"))
+    gone = dry.withColumn("_gone", F.sum("n").over(W.partitionBy().orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    end = gone.filter(F.col("_gone") * 2 >= total).agg(F.min("_at")).first()[0]
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.withColumn("_before", before).join(weights.select("_s", "n"), "_s").drop("_n")
     order = ["_code", "doc_id", "_text"]
@@ -138,5 +142,9 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """All documents in the order of the schedule: part files and their rows follow it."""
-    return mix_sources(docs).orderBy("slot", "seq").select(docs.columns)
+    """The documents inside the mix, in the order of the schedule: part files and their rows follow it.
+
+    What sources have left when the mix ends would bring back their raw shares and
+    stays out.  An empty table stays empty.
+    """
+    return mix_sources(docs).filter("in_mix").orderBy("slot", "seq").select(docs.columns)

@@ -113,7 +113,8 @@ st AS (SELECT -1::BIGINT AS t, list_transform(ns, lambda a: 0::BIGINT) AS done,
         THEN ((st.done[i] + 1) * total + ns[i] - 1) // ns[i] END) AS due FROM st, o WHERE st.t + 1 < total) st)),
 plan AS (SELECT ss[pick] AS s, k, k * total // ns[pick] AS release, ((k + 1) * total + ns[pick] - 1) // ns[pick] AS deadline, t AS slot FROM st, o WHERE t >= 0),
 num AS (SELECT d.doc_id, d.source, d.s, n, (row_number() OVER (PARTITION BY d.s ORDER BY code, doc_id) - 1)::BIGINT AS seq FROM d JOIN v USING (s)),
-dry AS (SELECT min((cnt // 16) // n * total + slot) AS t FROM v JOIN plan USING (s), o WHERE k = (cnt // 16) % n)
+out AS (SELECT n, ((cnt + 15) // 16) // n * total + slot AS t FROM v JOIN plan USING (s), o WHERE k = ((cnt + 15) // 16) % n),
+dry AS (SELECT min(t) AS t FROM (SELECT t, sum(n) OVER (ORDER BY t) AS gone FROM out), o WHERE gone * 2 >= total)
 SELECT doc_id, source, seq, seq // 16 AS block, seq // 16 // n * total + release AS release, seq // 16 // n * total + deadline AS deadline,
   seq // 16 // n * total + slot AS slot, (seq // 16 // n * total + slot) < dry.t AS in_mix
 FROM num JOIN plan ON plan.s = num.s AND plan.k = seq // 16 % n, o, dry

@@ -31,11 +31,22 @@ def test_every_prefix_is_within_a_block_of_the_targets(spark):
     assert all(abs(weights[s] - 1 - free * x[s] / sum(x.values())) < 1 for s in x)
     done = Counter()
     mixed = [r for r in got if r["in_mix"]]
+    last = {s: max(r["slot"] for r in got if r["source"] == s) for s in sizes}
     for t in range(max(r["slot"] for r in mixed) + 1):
-        done[next(iter(by_slot[t]))[0]] += 1
-        assert all(abs(done[s] - (t + 1) * weights[s] / 24) < 1 for s in weights)
+        for source, _ in by_slot[t]:
+            done[source] += 1
+        assert all(abs(done[s] - (t + 1) * weights[s] / 24) < 1 for s in weights if t <= last[s])
     assert mixed and len(mixed) < len(got)
-    assert all(r["in_mix"] == (r["slot"] <= max(m["slot"] for m in mixed)) for r in got)
+    end = max(m["slot"] for m in mixed)
+    assert all(r["in_mix"] == (r["slot"] <= end) for r in got)
+    # half of the weights have run out where the mix ends
+    assert sum(weights[s] for s in sizes if last[s] <= end) * 2 >= 24
+
+
+def test_a_small_source_does_not_end_the_mix(spark):
+    got = mixing.mix_sources(documents(spark, {"a": 2000, "b": 2000, "c": 2000, "tiny": 10}))
+    assert got.filter("in_mix").count() > 0.95 * 6010
+    assert got.filter("in_mix AND source = 'tiny'").count() == 10
 
 
 def test_pieces_do_not_change_the_order(spark):

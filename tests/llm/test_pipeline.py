@@ -1,5 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
-from chronoweave.llm import minhash, pii, quality
+from chronoweave.llm import minhash, mixing, pii, quality
 from test_minhash import components
 from test_pii import base, discovered
 
@@ -37,7 +39,13 @@ def test_stages_match_plain_versions(spark):
 
     mixed = stages["source mixing"](spark, masked, DIR)
     assert mixed.columns == docs.columns
-    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, masked.collect()))
+    inside = mixing.mix_sources(masked).filter("in_mix").select(docs.columns)
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, inside.collect()))
+    before, after = (Counter(r["source"] for r in d.collect()) for d in (masked, mixed))
+    share = lambda c, s: c[s] / sum(c.values())
+    top = max(before, key=before.get)
+    # the largest source comes closer to its square-root share
+    assert share(after, top) < share(before, top) and sum(after.values()) > 0.5 * sum(before.values())
 
     encoded = stages["sentencepiece"](spark, masked, DIR).collect()
     assert all(r["round_trip"] for r in encoded) and {r["doc_id"] for r in encoded} == set(got)
