@@ -26,7 +26,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Brings all documents into the order of the mixing schedule."""
+    """Keeps the documents inside the mix, in the order of its schedule."""
     return mixing.mixed_documents(docs)
 
 
