@@ -70,11 +70,20 @@ FROM p QUALIFY rank <= 5
 
 _OP7 = r"""
 WITH t AS (SELECT * FROM (VALUES @TEMPLATES@) x(template, licence, text)),
-f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
-    source || '/' || (doc_id % 1000 // 100) || CASE WHEN doc_id % 50 = 0 THEN '/LICENSE' ELSE '/' || (doc_id % 100 // 10) || '/' || doc_id || '.txt' END AS path FROM documents),
-g AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir,
-    list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '@CUE@')), lambda x: trim(x)) AS ls FROM f),
-h AS (SELECT rid, path, dir, unnest(list_distinct(list_concat(ls, CASE WHEN doc_id % 50 = 0 AND len(ls) > 1 THEN [text] ELSE [] END))) AS statement FROM g),
+f AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), chr(9) || chr(13), '  ') AS text,
+    source || '/' || (doc_id // 1000) || CASE WHEN doc_id % 50 = 0 THEN '/LICENSE' ELSE '/' || (doc_id % 100 // 10) || '/' || doc_id || '.txt' END AS path FROM documents),
+g AS (SELECT rid, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir,
+    CASE WHEN regexp_matches(text, '@CUE@') THEN list_transform(string_split(text, chr(10)), lambda x: trim(x)) END AS raw FROM f),
+g1 AS (SELECT *, list_transform(raw, lambda x: trim(regexp_replace(regexp_replace(x, '@COMMENT@', ''), '@COMMENT_END@', ''))) AS bare FROM g WHERE raw IS NOT NULL),
+g2 AS (SELECT *, list_filter(list_transform(string_split_regex(array_to_string(bare, chr(10)), '\n\n+'), lambda b: replace(b, chr(10), ' ')), lambda b: regexp_matches(b, '@CUE@')) AS blocks,
+    coalesce(list_position(list_transform(raw, lambda x: x <> '' AND NOT regexp_matches(x, '@COMMENT@')), true), 0) AS code,
+    CASE WHEN regexp_matches(ltrim(array_to_string(raw, ' ')), '^(?:/\*|<!--)')
+      THEN coalesce(list_position(list_transform(raw, lambda x: contains(x, '*/') OR contains(x, '-->')), true), 0) ELSE 0 END AS closed FROM g1),
+g3 AS (SELECT *, array_to_string(list_filter(CASE WHEN ends_with(path, '/LICENSE') THEN bare
+      ELSE bare[1:greatest(CASE WHEN code > 0 THEN code - 1 ELSE len(bare) END, closed)] END, lambda x: x <> ''), ' ') AS whole,
+    list_filter(list_concat(bare, flatten(list_transform(blocks, lambda b: string_split(regexp_replace(b, '@SENTENCE_END@', '\1' || chr(10), 'g'), chr(10))))), lambda x: regexp_matches(x, '@CUE@')) AS parts FROM g2),
+h AS (SELECT rid, path, dir, true AS part, unnest(list_distinct(list_concat(parts, blocks))) AS statement FROM g3
+  UNION ALL SELECT rid, path, dir, false, whole FROM g3 WHERE regexp_matches(whole, '@CUE@')),
 st AS (SELECT DISTINCT statement FROM h),
 sw AS (SELECT statement, unnest(list_filter(regexp_split_to_array(lower(statement), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM st),
 sc AS (SELECT statement, term, count(*) AS tf FROM sw GROUP BY ALL),
@@ -87,9 +96,9 @@ tv AS (SELECT template, licence, term, tf * idf AS v FROM tc JOIN idf USING (ter
 c AS (SELECT statement, licence, round(sum(w * v) / (any_value(sn) * any_value(tn)), 6) AS cosine FROM sv JOIN tv USING (term)
   JOIN (SELECT statement, sqrt(sum(w * w)) AS sn FROM sv GROUP BY 1) USING (statement)
   JOIN (SELECT template, sqrt(sum(v * v)) AS tn FROM tv GROUP BY 1) USING (template) GROUP BY statement, template, licence),
-b AS (SELECT statement, licence, cosine FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, licence) = 1),
-own AS (SELECT rid, licence, cosine FROM h JOIN b USING (statement) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, licence) = 1),
-od AS (SELECT dir, licence, cosine FROM h JOIN b USING (statement) WHERE ends_with(path, '/LICENSE') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, licence) = 1),
+b AS (SELECT statement, licence, cosine FROM c WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY statement ORDER BY licence = 'Proprietary', cosine DESC, licence) = 1),
+own AS (SELECT rid, licence, cosine FROM h JOIN b USING (statement) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY licence = 'Proprietary', part, cosine DESC, licence) = 1),
+od AS (SELECT dir, licence, cosine FROM h JOIN b USING (statement) WHERE ends_with(path, '/LICENSE') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY licence = 'Proprietary', part, cosine DESC, licence) = 1),
 inh AS (SELECT rid, od.dir, od.licence, od.cosine FROM g JOIN od ON g.dir = od.dir OR starts_with(g.dir, od.dir || '/')
   QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(od.dir) DESC) = 1)
 SELECT doc_id, path, coalesce(own.licence, inh.licence) AS licence, coalesce(own.cosine, inh.cosine) AS cosine,
@@ -238,7 +247,8 @@ def _filled() -> dict[str, str]:
         "op1_html_extraction": _OP1,
         "op4_url_filters": _OP4.replace("@LABELS@", ", ".join(f"'{x}'" for x in LISTED_LABELS)),
         "op6_exact_top_k": _OP6,
-        "op7_license_scan": _OP7.replace("@CUE@", licenses.CUE).replace("@TEMPLATES@", templates),
+        "op7_license_scan": _OP7.replace("@CUE@", licenses.CUE).replace("@COMMENT@", licenses.COMMENT).replace("@COMMENT_END@", licenses.COMMENT_END)
+        .replace("@SENTENCE_END@", licenses.SENTENCE_END).replace("@TEMPLATES@", templates),
         "op9_mix_sources": _OP9,
         "op11_sharding": _OP11.replace("@TABLE@", _CRC_TABLE).replace("@BYTES@", _BYTES.replace("@", "text")).replace("@CRC@", _CRC),
         "op12_conversation_repair": _op12(),

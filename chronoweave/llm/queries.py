@@ -54,7 +54,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # documents have no paths; a layout of directories follows from their ids
     digits = F.col("doc_id").cast("string")
     name = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(digits, F.lit(".txt")))
-    up = F.concat_ws("/", "source", (F.col("doc_id") % 1000 / 100).cast("long").cast("string"))
+    up = F.concat_ws("/", "source", (F.col("doc_id") / 1000).cast("long").cast("string"))
     deep = F.concat_ws("/", up, (F.col("doc_id") % 100 / 10).cast("long").cast("string"))
     path = F.concat_ws("/", F.when(F.col("doc_id") % 50 == 0, up).otherwise(deep), name)
     files = read(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
