@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.session import cut_lineage
+from chronoweave.session import cut_lineage, scratch_path
 
 MIN_COSINE = 0.6
 CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|spdx|permission is hereby|permission to use|redistribution and use"
@@ -168,24 +168,34 @@ def _said(path: Column, text: Column) -> Column:
 def score_statements(statements: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(sid, licence, cosine) of the best template at or above `min_cosine`.
 
-    `statements` has distinct (sid, statement); the texts meet no shuffle, only
+    `statements` has distinct sids; the texts meet no shuffle, only
     their words under the sid do.  A mere reservation comes after every other
     licence, ties go to the lesser name.  Cosines are rounded to six digits.
     No statements give no rows.
     """
     spark = statements.sparkSession
-    known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template long, licence string, text string")
+    known = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, licence string, text string")
     words = statements.select("sid", F.explode(_terms(F.col("statement"))).alias("term")).groupBy("sid", "term").agg(F.count(F.lit(1)).alias("tf"))
+    path = scratch_path(spark, "licence-words")
+    words.write.parquet(path)
+    words = spark.read.parquet(path)
     of_template = known.select("template", "licence", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = words.select("term").unionByName(of_template.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = statements.count() + len(templates)
+    total = words.select("sid").distinct().count() + len(templates)
     idf = df.select("term", (F.log((F.lit(total) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     weighed = words.join(idf, "term").select("sid", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    template = F.broadcast(of_template.join(idf, "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("v")))
-    norms = template.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("tn"))
-    of_statement = weighed.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("sn"))
-    dots = weighed.join(template, "term").groupBy("sid", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosines = dots.join(of_statement, "sid").join(F.broadcast(norms), "template")
+    template = cut_lineage(of_template.join(idf, "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("v")))
+    norms = template.groupBy("template", "licence").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("tn"))
+    # one pass for all sums: the statement's own square beside its products with the templates
+    by_term = template.groupBy("term").agg(F.collect_list(F.struct("template", "v")).alias("of"))
+    own = F.array(F.struct(F.lit(-1).alias("template"), F.col("w").alias("v")))
+    summed = weighed.join(F.broadcast(by_term), "term", "left").select(
+        "sid", "w", F.inline(F.concat(own, F.coalesce("of", F.array().cast("array<struct<template:int,v:double>>"))))
+    )
+    summed = summed.groupBy("sid", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    square = F.max(F.when(F.col("template") == -1, F.col("dot"))).alias("square")
+    dots = summed.groupBy("sid").agg(square, F.collect_list(F.struct("template", "dot")).alias("dots"))  # one entry per template
+    cosines = dots.select("sid", F.sqrt("square").alias("sn"), F.inline("dots")).join(F.broadcast(norms), "template")
     cosines = cosines.select("sid", "licence", F.round(F.col("dot") / (F.col("sn") * F.col("tn")), 6).alias("cosine"))
     return _best_of(cosines.filter(F.col("cosine") >= min_cosine), "sid", F.lit(False))
 
@@ -213,8 +223,8 @@ def scan_licenses(
     rows = files.withColumns({"_row": F.monotonically_increasing_id(), "_said": _said(F.coalesce(at, F.lit("")), whole), "_dir": directory(at)})
     rows = cut_lineage(rows.drop(text, "licence", "cosine", "origin", "licence_dir"))
     said = rows.filter(F.col("_said").isNotNull()).select("_row", "_dir", at.alias("_path"), F.inline("_said"))
-    said = said.withColumn("sid", F.sha2("statement", 256))
-    scored = cut_lineage(score_statements(said.select("sid", "statement").distinct(), templates, min_cosine))
+    said = said.withColumn("sid", F.unhex(F.md5("statement")))
+    scored = cut_lineage(score_statements(said.select("sid", "statement").dropDuplicates(["sid"]), templates, min_cosine))
     found = said.drop("statement").join(scored, "sid")
     own = _best_of(found, "_row", F.col("part")).select("_row", F.col("licence").alias("_own"), F.col("cosine").alias("_own_cosine"))
     in_licence_file = F.col("_path").isNotNull() & file_name(F.col("_path")).rlike(LICENCE_FILE)
