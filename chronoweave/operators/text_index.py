@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.text import tokens
@@ -20,11 +20,16 @@ BM25_B = 0.75
 # Scores are compared after rounding, so that the order in which a score's
 # terms are added cannot decide between documents of equal score.
 SCORE_DIGITS = 9
+# A stored index keeps its postings in folders by a hash of the term.
+TERM_BUCKET = "term_bucket"
+TERM_BUCKETS = 64
+# Up to so many query words are looked up by name in a stored index.
+TERMS_BY_NAME = 1_000
 
 
 @dataclass
 class TextIndex:
-    postings: DataFrame  # kind, group_id, doc_uuid, term, tf, dl
+    postings: DataFrame  # kind, group_id, doc_uuid, term, tf, dl; stored ones have term_bucket
     terms: DataFrame  # term, df
     stats: DataFrame  # one row: n_docs, avgdl
 
@@ -50,6 +55,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def term_bucket(term: Column) -> Column:
+    """Folder of a term in a stored index."""
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def document_lengths(docs: DataFrame, id: str, text: Column, kind: str = "doc", group: str | None = None) -> DataFrame:
+    """(kind, group_id, doc_uuid, dl): every document, those without a word included."""
+    return docs.select(
+        F.lit(kind).alias("kind"),
+        (F.col(group) if group else F.lit(None).cast("string")).alias("group_id"),
+        F.col(id).alias("doc_uuid"),
+        F.coalesce(F.size(tokens(text)), F.lit(0)).cast("long").alias("dl"),
+    )
+
+
 def build_index(docs: DataFrame, id: str, text: Column, kind: str = "doc", group: str | None = None) -> TextIndex:
     """Postings, document frequencies and corpus statistics.
 
@@ -71,18 +91,6 @@ def build_index(docs: DataFrame, id: str, text: Column, kind: str = "doc", group
     return TextIndex(postings, terms, stats)
 
 
-def write_index(index: TextIndex, path: str) -> None:
-    """Stores an index, so that searches read postings instead of texts."""
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def read_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")])
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term), each word once per query."""
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
@@ -92,6 +100,23 @@ def _hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def _only_terms(postings: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+    """Of stored postings, the folders and row groups of the wanted words.
+
+    The words are named in the plan up to a stated number, and folders beyond
+    it: at most TERM_BUCKETS of them.  Postings in memory are left as they are.
+    """
+    if TERM_BUCKET not in postings.columns or not small:
+        return postings
+    asked = wanted.select("term", term_bucket(F.col("term")).alias("b")).distinct()
+    named = asked.limit(TERMS_BY_NAME + 1).collect()
+    if len(named) <= TERMS_BY_NAME:
+        in_folders = F.col(TERM_BUCKET).isin(sorted({r["b"] for r in named}))
+        return postings.filter(in_folders & F.col("term").isin(sorted(r["term"] for r in named)))
+    folders = [r["b"] for r in asked.select("b").distinct().collect()]
+    return postings.filter(F.col(TERM_BUCKET).isin(sorted(folders)))
+
+
 def bm25_search(
     index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None
 ) -> DataFrame:
@@ -100,7 +125,8 @@ def bm25_search(
     Statistics are those of the whole index; `allowed` (uuid) restricts the
     candidates only.  The query words are broadcast after a size check, so the
     postings of a frequent word are scored where they are and the shuffle is by
-    (query, document).
+    (query, document).  Of a stored index only the folders of the query words
+    are read.
     """
     wanted = query_terms(queries)
     small = is_small(wanted)
@@ -115,7 +141,8 @@ def bm25_search(
         .select("query_id", "term", idf.alias("idf"), "avgdl")
     )
     scored = (
-        index.postings.join(_hinted(weighted, small), "term")
+        _only_terms(index.postings, wanted, small)
+        .join(_hinted(weighted, small), "term")
         .select("query_id", "doc_uuid", (F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * length)).alias("_s"))
         .groupBy("query_id", "doc_uuid")
         .agg(F.round(F.sum("_s"), SCORE_DIGITS).alias("score"))

@@ -325,6 +325,15 @@ check("e1_postings", "SELECT uuid AS doc_uuid, term, tf, dl FROM hits_tf", extra
 check("e1_terms", "SELECT term, df FROM hits_df", extra=_INDEX)
 check("e1_stats", "SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM hits_st", extra=_INDEX)
 check("e2_bm25_search", "SELECT query_id, uuid, round(score, 6) AS score, rank FROM hits", extra=_BQ | _DOC)
+check("e1_segments", "SELECT term, df FROM hits_df", extra=_INDEX)
+check("e1_segments_stats", "SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM hits_st", extra=_INDEX)
+check("e2_bm25_search_stored", "SELECT query_id, uuid, round(score, 6) AS score, rank FROM hits", extra=_BQ | _DOC)
+check(
+    "g3_clear_index",
+    f"""SELECT term, count(*) AS df FROM (SELECT DISTINCT uuid, unnest({words("name || ' ' || summary")}) AS term
+        FROM ent WHERE group_id <> 'customer') GROUP BY term""",
+    ["ent0", "ent"],
+)
 # e3_cosine_search_ann depends on Spark's random projections: no SQL, tested against the exact scores
 check(
     "e3_cosine_search",

@@ -29,6 +29,7 @@ from chronoweave.plans.ingest import build_graph, extract_candidates
 from chronoweave.plans.search import node_text, one_query, search_facts, search_nodes
 from chronoweave.session import cut_lineage, scratch_path, spread
 from chronoweave.sources.episodes import read_episodes, stream_episodes
+from chronoweave.sources.index import append_index, clear_index, compact_index, read_index, remove_documents
 from chronoweave.sources.graph import read_graph, write_graph
 from chronoweave.streaming.ingest import dedup_episodes, materialize, quarantine_stream, stream_ingest
 from chronoweave.streaming.keyed import lifecycle_stream, sequence_by_group, ttl_cache_stream
@@ -296,6 +297,48 @@ def e1_stats(v: Views) -> DataFrame:
     return _doc_index(v).stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
+def _stored_index(v: Views):
+    """The documents in two segments: half of them come first with another text, a few are removed and come again."""
+    docs = v.t("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("n"), "text")
+    path = scratch_path(v.spark, "index")
+    early = docs.filter("n % 2 = 0").withColumn("text", F.concat(F.lit("early draft "), F.coalesce("text", F.lit(""))))
+    append_index(early, path, "doc_id", F.col("text"))
+    gone = early.filter("n % 10 = 0").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("doc_uuid"))
+    remove_documents(v.spark, path, gone)
+    append_index(docs, path, "doc_id", F.col("text"))
+    return path
+
+
+@query
+def e1_segments(v: Views) -> DataFrame:
+    """Frequencies as sums over segments equal those of the live documents."""
+    return read_index(v.spark, _stored_index(v)).index.terms
+
+
+@query
+def e1_segments_stats(v: Views) -> DataFrame:
+    return read_index(v.spark, _stored_index(v)).index.stats.withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query
+def e2_bm25_search_stored(v: Views) -> DataFrame:
+    """The same search over the segments on disk, compacted."""
+    queries = v.t("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    path = _stored_index(v)
+    compact_index(v.spark, path)
+    found = bm25_search(read_index(v.spark, path).index, queries, 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def g3_clear_index(v: Views) -> DataFrame:
+    """Terms of a stored index after one group has left it."""
+    path = scratch_path(v.spark, "index")
+    append_index(v.ent(), path, "uuid", node_text(), "node", "group_id")
+    clear_index(v.spark, path, ["customer"])
+    return read_index(v.spark, path).index.terms
+
+
 @query
 def e2_bm25_search(v: Views) -> DataFrame:
     """Which documents contain the benchmark passages."""
