@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -42,155 +43,282 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
-# Tags and words of class, id or role that mark what is not the article.
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog button head search".split()) | RAW
-FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent "
-    "cookie cookies disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices pagination "
-    "popup promo promotion related replies reply respond share sharing sidebar sidebars skip social sponsor sponsored "
-    "subscribe toolbar widget widgets banner contentinfo complementary alert".split()
+# Tags and words of class, id or role that mark what is not the article, by how sure they are.
+HARD_TAGS = frozenset("nav footer aside menu dialog button head search".split()) | RAW
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies".split())
+NAME_WORDS = frozenset(
+    "ad ads advert adverts advertisement adsense breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead menu menus modal "
+    "nav navbar navigation newsletter notice notices pagination popup promo promotion sponsor sponsored subscribe contentinfo "
+    "complementary".split()
 )
+LAYOUT_WORDS = frozenset("sidebar sidebars".split())
+SOFT_WORDS = frozenset("alert banner banners related reply respond share sharing skip social toolbar widget widgets".split())
 HEADER_TOKENS = frozenset("header site-header page-header main-header top-header".split())
 # Words that make such a name say something about the page, and tags never judged by name.
 NOT_FURNITURE = frozenset("has no with without open".split())
 CONTENT_TAGS = frozenset("html body article main".split())
+# Marks of an element, from none to certain furniture.
+PLAIN, SOFT, LAYOUT, NAMED, COMMENTS, HARD = range(6)
+# A wrapper judged by its volume holds at least so many characters of prose; less than SHORT without a sentence is a label.
+LEAST_PROSE, SHORT = 200, 40
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+_OPENING = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_TAG_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
-_NUMBERS = re.compile(r"[0-9]+")
+_NUMBERS = re.compile(r"[0-9>]+")
 _SENTENCE = re.compile(r"[.!?。！？](?:\s|$)")
+_ENDS_LIST = frozenset("ul ol dl table".split()) | (CONTAINER - {"tr", "td"})
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "furniture", "prose", "linked", "depth")
-
-    def __init__(self, tag: str, path: str, parent: _Element | None, furniture: bool):
-        self.tag, self.path, self.parent, self.furniture = tag, path, parent, furniture
-        self.prose = self.linked = 0.0
-        self.depth = parent.depth + 1 if parent else 0
-
+    """A node of the page; what its ancestors say about it is carried down, so nothing climbs."""
 
-def _is_furniture(token: str) -> bool:
-    words = _WORD.findall(token)
-    return token in HEADER_TOKENS or (not FURNITURE_WORDS.isdisjoint(words) and NOT_FURNITURE.isdisjoint(words))
+    __slots__ = ("tag", "name", "parent", "mark", "number", "depth", "container", "in_link", "link_below", "heading_below", "in_article", "furniture")
 
-
-def _names(tag: str, attributes: str) -> tuple[str, bool]:
-    """(generalised name of an element, whether its attributes mark furniture)."""
+    def __init__(self, tag: str, name: str, parent: _Element | None, mark: int, number: int):
+        self.tag, self.name, self.parent, self.mark, self.number = tag, name, parent, mark, number
+        self.depth = parent.depth + 1 if parent else 0
+        self.in_link = tag == "a" or (parent is not None and parent.in_link)
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
+        self.furniture = False
+        if tag in CONTAINER or parent is None:
+            # the nearest container, and what lies between it and this element
+            self.container, self.link_below, self.heading_below = self, False, False
+        else:
+            self.container = parent.container
+            self.link_below = parent.link_below or tag == "a"
+            self.heading_below = parent.heading_below or tag in HEADING
+
+    def path(self) -> str:
+        names, at = [], self
+        while at is not None:
+            names.append(at.name)
+            at = at.parent
+        return ">".join(reversed(names))
+
+
+def _mark_of(token: str) -> int:
+    words = set(_WORD.findall(token))
+    if token in HEADER_TOKENS:
+        return NAMED
+    if words & NOT_FURNITURE:
+        return PLAIN
+    for mark, names in ((COMMENTS, COMMENT_WORDS), (NAMED, NAME_WORDS), (LAYOUT, LAYOUT_WORDS), (SOFT, SOFT_WORDS)):
+        if words & names:
+            return mark
+    return PLAIN
+
+
+@lru_cache(maxsize=4096)
+def _names(tag: str, attributes: str) -> tuple[str, int]:
+    """(generalised name of an element, mark by its attributes)."""
     if not attributes.strip(" /"):
-        return tag, False
-    classes, marked = "", False
+        return tag, PLAIN
+    classes, mark = "", PLAIN
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "class":
             classes = ".".join(sorted({_NUMBERS.sub("", x) for x in value.split()} - {""}))
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            marked = True
+            mark = HARD
         elif tag not in CONTENT_TAGS and name in ("class", "id", "role"):
-            marked = marked or any(_is_furniture(token) for token in value.split())
-    return (f"{tag}.{classes}" if classes else tag), marked
-
-
-def _parts(html: str) -> Iterator[tuple[_Element, str | None]]:
-    """(element, text) in page order; text None stands for a block border."""
-    root = _Element("html", "html", None, False)
-    stack = [root]
-    at = 0
-    found = _TOKEN.search(html)
-    while found:
-        if found.start() > at:
-            yield stack[-1], html[at : found.start()]
-        at = found.end()
-        tag = found.group(2)
-        if tag is None:
-            if found.group().startswith("<![CDATA["):
-                yield stack[-1], found.group()[9:-3]
-            found = _TOKEN.search(html, at)
-            continue
-        tag = tag.lower()
-        if found.group(1):
-            open_ = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            mark = max([mark, *map(_mark_of, value.split())])
+    return (f"{tag}.{classes}" if classes else tag), mark
+
+
+class _Stack:
+    """Open elements, with the places of each tag, so no look-up walks over them."""
+
+    def __init__(self, root: _Element):
+        self.open = [root]
+        self.of_tag: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+        self.blocks: list[int] = []
+        self.list_ends: list[int] = []
+
+    def _kinds(self, tag: str) -> list[list[int]]:
+        kinds = [self.of_tag.setdefault(tag, [])]
+        for names, places in ((CONTAINER, self.containers), (BLOCK, self.blocks), (_ENDS_LIST, self.list_ends)):
+            if tag in names:
+                kinds.append(places)
+        return kinds
+
+    def push(self, element: _Element) -> None:
+        for places in self._kinds(element.tag):
+            places.append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, at: int) -> None:
+        """Ends the elements from place `at` on."""
+        while len(self.open) > at:
+            for places in self._kinds(self.open.pop().tag):
+                places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.of_tag.get(tag)
+        return places[-1] if places else 0
+
+    def close_implied(self, tag: str) -> None:
+        """Ends the open elements that a start tag ends."""
+        if tag in BLOCK and self.blocks and self.open[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])  # a block ends an open paragraph, with the inline elements inside it
+        ended = max((self.last(t) for t in CLOSES.get(tag, ())), default=0)
+        if ended > (self.list_ends[-1] if self.list_ends else 0):
+            self.cut(ended)
+
+
+def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) in page order: kinds text, start, end; one pass.
+
+    A tag whose quotes run to the end of the page ends at its first >, and so do
+    all tags after it; without any > the rest is text.
+    """
+    at = start = 0
+    quotes = cdata = True
+    raw = None
+    while True:
+        if raw is not None:  # the content of a raw element, up to its end tag
+            end = re.compile(rf"</{raw}\b", re.I).search(html, at)
+            at = start = end.start() if end else len(html)
+            raw = None
+        found = _OPENING.search(html, at)
+        if found is None:
+            break
+        opened, head = found.start(), found.group()
+        if head == "<!--":
+            end = html.find("-->", found.end())
+            after, token = (end + 3 if end >= 0 else len(html)), None
+        elif head == "<![CDATA[" and cdata and (end := html.find("]]>", found.end())) >= 0:
+            after, token = end + 3, ("text", html[found.end() : end], "")
+        else:
+            cdata = cdata and head != "<![CDATA["
+            is_tag = found.group(2) is not None
+            rest = _TAG_REST.match(html, found.end()) if is_tag and quotes else None
+            quotes = quotes and not (is_tag and rest is None)
+            end = rest.end() - 1 if rest else html.find(">", found.end())
+            if end < 0:
+                break
+            after = end + 1
+            token = ("end" if found.group(1) else "start", found.group(2).lower(), html[found.end() : end]) if is_tag else None
+        if opened > start:
+            yield "text", html[start:opened], ""
+        if token is not None:
+            yield token
+            if token[0] == "start" and token[1] in RAW and not token[2].endswith("/"):
+                raw = re.escape(token[1])
+        at = start = after
+    if start < len(html):
+        yield "text", html[start:], ""
+
+
+def _parse(html: str) -> tuple[list[_Element], list[tuple[_Element, str | None]]]:
+    """Elements, parents first, and (element, text) in page order; text None stands for a block border."""
+    root = _Element("html", "html", None, PLAIN, 0)
+    elements, parts, stack = [root], [], _Stack(root)
+    for kind, tag, attributes in _tokens(html):
+        here = stack.open[-1]
+        if kind == "text":
+            parts.append((here, tag))
+        elif kind == "end":
+            place = stack.last(tag)
             # an end tag inside a container does not close what is around the container
-            crossed = any(e.tag in CONTAINER for e in stack[open_ + 1 :]) and tag not in BLOCK
-            if open_ and not crossed:
+            crossed = tag not in BLOCK and stack.containers and stack.containers[-1] > place
+            if place and not crossed:
                 if tag in BLOCK:
-                    yield stack[open_], None
-                del stack[open_:]
-        elif tag in ("html", "body", "head") and (tag == "html" or any(e.tag == tag for e in stack)):
+                    parts.append((stack.open[place], None))
+                stack.cut(place)
+        elif tag == "html" or (tag in ("body", "head") and stack.last(tag)):
             pass
         elif tag in VOID:
-            if tag == "br":
-                yield stack[-1], " "
-            elif tag == "hr":
-                yield stack[-1], None
+            if tag in ("br", "hr"):
+                parts.append((here, " " if tag == "br" else None))
         else:
-            _close_implied(stack, tag)
-            name, marked = _names(tag, found.group(3) or "")
-            parent = stack[-1]
-            inside_article = any(e.tag in ("article", "main") for e in stack)
-            furniture = parent.furniture or marked or tag in FURNITURE_TAGS or (tag == "header" and not inside_article)
+            stack.close_implied(tag)
+            parent = stack.open[-1]
+            name, mark = _names(tag, attributes)
+            if tag in HARD_TAGS or (tag == "header" and not parent.in_article):
+                mark = HARD
+            elif tag == "form":
+                mark = max(mark, LAYOUT)
             if tag in BLOCK:
-                yield parent, None
-            if tag in RAW and not found.group(3).endswith("/"):
-                end = re.compile(rf"</{tag}\b", re.I).search(html, at)
-                at = end.start() if end else len(html)
-            stack.append(_Element(tag, f"{parent.path}>{name}", parent, furniture))
-        found = _TOKEN.search(html, at)
-    if at < len(html):
-        yield stack[-1], html[at:]
-
-
-def _close_implied(stack: list[_Element], tag: str) -> None:
-    """Ends the open elements that a start tag ends."""
-    if tag in BLOCK:  # a block ends an open paragraph, with the inline elements inside it
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag in BLOCK:
-                break
-    ends = CLOSES.get(tag)
-    if ends:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ends:
-                del stack[i:]
-                break
-            if stack[i].tag in ("ul", "ol", "dl", "table") or stack[i].tag in CONTAINER - {"tr", "td"}:
-                break
+                parts.append((parent, None))
+            element = _Element(tag, name, parent, mark, len(elements))
+            elements.append(element)
+            stack.push(element)
+    _settle(elements, parts)
+    return elements, parts
 
 
-def _score(parts: list[tuple[_Element, str | None]]) -> _Element | None:
-    """The container with the most prose; prose counts half for each level further up."""
-    containers: dict[int, _Element] = {}
+def _settle(elements: list[_Element], parts: list[tuple[_Element, str | None]]) -> None:
+    """Decides which marked elements are furniture; everything inside one is furniture too.
+
+    Hard marks and comments always are.  A wrapper named like furniture, or a
+    form, is layout if it holds the page's `main`, or if no article stands
+    outside furniture and at least half of the page's prose is inside it.  A
+    soft name inside an article needs evidence: mostly links, or a short label.
+    """
+    n = len(elements)
+    plain, linked, sentences = [0] * n, [0] * n, [0] * n
     for element, text in parts:
-        if text is None or element.furniture:
+        length = len(text.strip()) if text else 0
+        if length:
+            (linked if element.in_link else plain)[element.number] += length
+            sentences[element.number] += bool(_SENTENCE.search(text))
+    main = [e.tag == "main" for e in elements]
+    article = [e.tag == "article" for e in elements]
+    heading = [e.tag in HEADING for e in elements]
+    marked = [False] * n  # below or at a mark
+    for e in elements:
+        marked[e.number] = e.mark > PLAIN or (e.parent is not None and marked[e.parent.number])
+    for e in reversed(elements[1:]):
+        if e.mark < COMMENTS:
+            up, k = e.parent.number, e.number
+            for sums in (plain, linked, sentences):
+                sums[up] += sums[k]
+            main[up], article[up], heading[up] = main[up] or main[k], article[up] or article[k], heading[up] or heading[k]
+    free = any(e.tag in ("article", "main") and not marked[e.number] and plain[e.number] for e in elements)
+    for e in elements[1:]:
+        k = e.number
+        e.furniture = e.parent.furniture
+        if e.furniture or e.mark == PLAIN:
             continue
-        length = len(text.strip())
+        most = not free and plain[k] >= LEAST_PROSE and 2 * plain[k] >= plain[0]
+        if e.mark >= COMMENTS:
+            e.furniture = True
+        elif e.mark == SOFT and e.parent.in_article:
+            label = plain[k] < SHORT and not sentences[k] and not heading[k]
+            e.furniture = linked[k] >= max(plain[k], 1) or label
+        else:
+            e.furniture = not (main[k] or (most and (article[k] or e.mark <= LAYOUT)))
+
+
+def _score(parts: list[tuple[_Element, str | None]]) -> tuple[_Element, float] | None:
+    """(the container with the most prose, its score); prose counts half for each container further up."""
+    containers: dict[int, _Element] = {}
+    prose: dict[int, float] = {}
+    links: dict[int, float] = {}
+    for element, text in parts:
+        length = 0 if text is None or element.furniture else len(text.strip())
         if not length:
             continue
-        inner, linked, heading = element, False, False
-        while inner.parent is not None and inner.tag not in CONTAINER:
-            linked, heading = linked or inner.tag == "a", heading or inner.tag in HEADING
-            inner = inner.parent
-        weight = 0.0 if heading else length + 25.0 * len(_SENTENCE.findall(text))
-        share, level = 1.0, inner
+        weight = 0.0 if element.heading_below else length + 25.0 * len(_SENTENCE.findall(text))
+        share, level = 1.0, element.container
         while level is not None and share > 0.05:
-            if level.tag in CONTAINER:
-                containers[id(level)] = level
-                if linked:
-                    level.linked += length * share
-                else:
-                    level.prose += weight * share
-                share /= 2
-            level = level.parent
-    best = max(containers.values(), key=lambda e: (e.prose - e.linked, -e.depth), default=None)
-    return best if best is not None and best.prose > best.linked else None
-
-
-def _whole(parts: list[tuple[_Element, str | None]], best: _Element) -> _Element:
+            k = level.number
+            containers[k] = level
+            if element.link_below:
+                links[k] = links.get(k, 0.0) + length * share
+            else:
+                prose[k] = prose.get(k, 0.0) + weight * share
+            share /= 2
+            level = level.parent.container if level.parent is not None else None
+    worth = {k: prose.get(k, 0.0) - links.get(k, 0.0) for k in containers}
+    best = max(containers, key=lambda k: (worth[k], -containers[k].depth), default=None)
+    return (containers[best], worth[best]) if best is not None and worth[best] > 0 else None
+
+
+def _whole(elements: list[_Element], parts: list[tuple[_Element, str | None]], best: _Element) -> _Element:
     """The element that holds the whole article around its densest container.
 
     That is the nearest article or main; without one, the highest container whose
@@ -202,15 +330,17 @@ def _whole(parts: list[tuple[_Element, str | None]], best: _Element) -> _Element
         if chain[-1].tag in ("article", "main"):
             return chain[-1]
         chain.append(chain[-1].parent)
-    level = {id(e): i for i, e in enumerate(chain)}
+    level, in_link = [-1] * len(elements), [False] * len(elements)
+    for i, e in enumerate(chain):
+        level[e.number] = i
+    for e in elements:
+        if level[e.number] < 0:
+            level[e.number] = level[e.parent.number]
+            in_link[e.number] = e.tag == "a" or in_link[e.parent.number]
     added = [[0, 0] for _ in chain]
     for element, text in parts:
-        if text is None or element.furniture or not text.strip():
-            continue
-        in_link, at = False, element
-        while id(at) not in level:
-            in_link, at = in_link or at.tag == "a", at.parent
-        added[level[id(at)]][in_link] += len(text.strip())
+        if text is not None and not element.furniture:
+            added[level[element.number]][in_link[element.number]] += len(text.strip())
     whole = best
     for element, (plain, links) in list(zip(chain, added, strict=True))[1:]:
         if links > plain:
@@ -224,9 +354,24 @@ def best_path(html: str | None) -> tuple[str, float] | None:
     """(generalised path, score) of a page's best container; None without prose."""
     if not html:
         return None
-    parts = list(_parts(html))
+    elements, parts = _parse(html)
     best = _score(parts)
-    return (_whole(parts, best).path, best.prose - best.linked) if best is not None else None
+    return (_whole(elements, parts, best[0]).path(), best[1]) if best is not None else None
+
+
+def _tops(elements: list[_Element], path: str) -> list[_Element | None]:
+    """For each element the outermost element at `path` around it, itself included."""
+    names = path.split(">")
+    fits = [0] * len(elements)  # names of the path met from the root on; -1 once it left the path
+    tops: list[_Element | None] = [None] * len(elements)
+    for e in elements:
+        k, up = e.number, e.parent.number if e.parent is not None else None
+        tops[k] = tops[up] if up is not None else None
+        before = fits[up] if up is not None else 0
+        fits[k] = before + 1 if 0 <= before < len(names) and names[before] == e.name else -1
+        if fits[k] == len(names):
+            tops[k] = e
+    return tops
 
 
 def main_text(html: str | None, path: str | None) -> tuple[str, bool]:
@@ -236,34 +381,34 @@ def main_text(html: str | None, path: str | None) -> tuple[str, bool]:
     """
     if not html:
         return "", False
-    parts = list(_parts(html))
-    chosen = path if path and any(e.path == path or e.path.startswith(path + ">") for e, _ in parts) else None
-    agreed = chosen is not None
-    if chosen is None:
-        best = _score(parts)
-        if best is None:
-            return "", False
-        chosen = _whole(parts, best).path
-    # the text at the path, per element there; one that is mostly links is a menu of the same form
-    tops: dict[int, list[str | None]] = {}
+    elements, parts = _parse(html)
+    tops = _tops(elements, path) if path else []
+    blocks = _blocks(parts, tops) if any(t is not None for t in tops) else []
+    if blocks:
+        return "\n".join(blocks), True
+    best = _score(parts)
+    if best is None:
+        return "", False
+    return "\n".join(_blocks(parts, _tops(elements, _whole(elements, parts, best[0]).path()))), False
+
+
+def _blocks(parts: list[tuple[_Element, str | None]], tops: list[_Element | None]) -> list[str]:
+    """The text below each top; one that is mostly links is a menu of the same form."""
+    runs: dict[int, list[str | None]] = {}
     linked: dict[int, list[int]] = {}
     for element, text in parts:
-        top, level, in_link = None, element, False
-        while level is not None:
-            in_link = in_link or level.tag == "a"
-            top, level = (level if level.path == chosen else top), level.parent
+        top = tops[element.number]
         if top is None:
             continue
-        run = tops.setdefault(id(top), [])
+        run = runs.setdefault(top.number, [])
         if text is None:
             run.append(None)
         elif not element.furniture:
             run.append(text)
-            of = linked.setdefault(id(top), [0, 0])
-            of[in_link] += len(text.strip())
+            linked.setdefault(top.number, [0, 0])[element.in_link] += len(text.strip())
     prose = {k for k, (plain, links) in linked.items() if plain >= links}
     blocks: list[str] = []
-    for key, run in tops.items():
+    for key, run in runs.items():
         if key not in prose and prose:
             continue
         piece: list[str] = []
@@ -275,9 +420,7 @@ def main_text(html: str | None, path: str | None) -> tuple[str, bool]:
                 if block:
                     blocks.append(block)
                 piece = []
-    if agreed and not blocks:
-        return main_text(html, None)
-    return "\n".join(blocks), agreed
+    return blocks
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +456,11 @@ def extract_main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url
     """`keep` of every page plus text, agreed (taken at the host's path) and n_chars.
 
     Null, empty and textless pages give an empty text.  Pages with a null url or
-    one without a host form a group of their own.  Every row stays.
+    one without a host form a group of their own.  Every row stays, repeated ones
+    too; an empty table gives no rows.  Whole pages are read, in time and memory
+    that grow with their length, whatever their nesting.  Of equal containers the
+    one nearer to the root wins, of paths with equal votes the lesser.  Columns
+    of `pages` that are not in `keep` are left out, so none can clash.
     """
     winners = cut_lineage(winning_paths(pages))
     size = winners.agg(F.sum(F.octet_length("_host") + F.octet_length("_path"))).first()[0] or 0
