@@ -1,8 +1,8 @@
 """Personal data in texts, with patterns learnt from the corpus itself.
 
 Base finders give the seeds: e-mail addresses, IP numbers, card numbers and
-telephone numbers.  Every other word with a digit or an @ is a candidate.  The
-words left of a seed or candidate are its lexical pattern.  Patterns and
+telephone numbers.  Every other word with a digit or an @ is a candidate, together
+with such words that follow it directly.  The words left of a seed or candidate are its lexical pattern.  Patterns and
 instances form a graph; in each round a pattern is worth the mean score of
 what it extracts, and an instance is worth 1 - prod(1 - worth of its patterns).
 Patterns of high worth, backed by several different seeds, then discover the
@@ -15,6 +15,8 @@ is a count, not a group of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,15 @@ KINDS = {
 }
 # A text without this cannot hold the kind.
 _HINT = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
-CANDIDATE = rf"(?<![^{_BLANK}])[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
+# A candidate: a word with a digit or @, and those that follow it after one blank each.
+_WORD = rf"[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
+CANDIDATE = rf"(?<![^{_BLANK}]){_WORD}(?:\x20{_WORD})*+"
 CONTEXT = "context"
 
+# The words of a pattern are looked for in so many characters left of a candidate.
 PATTERN_CHARS = 64
+# Code points per piece of a text that is cut at many places.
+PIECE = 1024
 ROUNDS = 3
 MIN_SEEDS = 3
 MIN_WORTH = 0.8
@@ -44,30 +51,65 @@ DAMPING = 0.9
 _SPAN = "struct<start:int,end:int,value:string,before:string>"
 
 
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of an array in a logarithmic number of passes."""
+
+    def step(acc: Column, k: Column) -> Column:
+        return F.transform(acc, lambda x, i: F.coalesce(join(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))), x))
+
+    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), steps - 1), values, step)
+
+
 def occurrences(text: Column, regex: str) -> Column:
     """Leftmost non-overlapping matches with code point positions and the text before each."""
 
-    def walk(parts: Column) -> Column:
-        pairs = F.transform(parts["found"], lambda m, i: F.struct(m.alias("m"), F.get(parts["between"], i).alias("b")))
+    def spans(parts: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            end = F.get(parts["ends"], i)
+            return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"), F.get(parts["between"], i).alias("before"))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["b"])
-            span = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"), x["b"].alias("before"))
-            return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.transform(parts["found"], span)
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-        return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+    def placed(parts: Column) -> Column:
+        steps = F.transform(parts["found"], lambda m, i: F.length(m) + F.length(F.get(parts["between"], i)))
+        ends = let(steps, lambda x: _running(x, lambda a, b: a + b))
+        return let(F.struct(parts["found"].alias("found"), parts["between"].alias("between"), ends.alias("ends")), spans)
 
     none = F.array().cast(f"array<{_SPAN}>")
 
     def with_pieces(found: Column) -> Column:
         between = F.when(F.size(found) > 0, F.split(text, regex, -1))
         parts = F.struct(found.alias("found"), between.alias("between"))
-        return F.when(F.size(found) > 0, let(parts, walk)).otherwise(none)
+        return F.when(F.size(found) > 0, let(parts, placed)).otherwise(none)
 
     return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), with_pieces)
 
 
+def _overlapped(found: Column, base: Column) -> Column:
+    """For each of the ordered spans `found`, whether one of `base` overlaps it.
+
+    That is so if the greatest end of the base spans which start before its end
+    lies behind its start.
+    """
+
+    def event(at: Column, kind: int, start: Column, reach: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), start.alias("start"), reach.alias("reach"))
+
+    ends = F.transform(found, lambda s: event(s["end"], 0, s["start"], F.lit(-1)))
+    starts = F.transform(base, lambda b: event(b["start"], 1, F.lit(-1), b["end"]))
+
+    def flags(events: Column) -> Column:
+        reach = let(F.transform(events, lambda e: e["reach"]), lambda x: _running(x, lambda a, b: F.greatest(a, b)))
+        judged = let(
+            reach,
+            lambda r: F.transform(events, lambda e, i: F.struct(e["kind"].alias("kind"), (F.get(r, i) > e["start"]).alias("hit"))),
+        )
+        return F.transform(F.filter(judged, lambda j: j["kind"] == 0), lambda j: j["hit"])
+
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), let(F.array_sort(F.concat(ends, starts)), flags))
+
+
 def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "ip":
@@ -107,8 +149,7 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_base", _base(whole))
 
-    def candidate(s: Column) -> Column:
-        seed = F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    def candidate(s: Column, seed: Column) -> Column:
         bare = F.regexp_replace(s["value"], r"^[\p{Punct}&&[^+]]+|\p{Punct}+$", "")
         lead = F.length(F.regexp_extract(s["value"], r"^[\p{Punct}&&[^+]]+", 0))
         start = s["start"] + lead
@@ -117,8 +158,14 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
             bare.alias("instance"), seed.alias("seed"),
         )
 
+    def candidates(found: Column) -> Column:
+        return let(
+            F.struct(found.alias("found"), _overlapped(found, F.col("_base")).alias("seeds")),
+            lambda x: F.transform(x["found"], lambda s, i: candidate(s, F.coalesce(F.get(x["seeds"], i), F.lit(False)))),
+        )
+
     found = F.when(whole.rlike("[0-9@]"), occurrences(whole, CANDIDATE)).otherwise(F.array().cast(f"array<{_SPAN}>"))
-    shaped = F.filter(F.transform(found, candidate), lambda c: c["instance"].rlike("[0-9@]") & (F.length(F.trim(c["pattern"])) > 0))
+    shaped = F.filter(let(found, candidates), lambda c: c["instance"].rlike("[0-9@]") & (F.length(F.trim(c["pattern"])) > 0))
     return out.withColumn("_candidates", shaped)
 
 
@@ -155,8 +202,10 @@ def find_personal_data(
     """`docs` plus `spans`: array<struct<kind, start, end>> of code points, end exclusive.
 
     Base spans by kind and start, then those the learnt patterns discovered
-    (kind "context").  Null and empty texts hold none.  Equal rows are treated
-    alike and all stay.  Columns of `docs` named like the added or the internal
+    (kind "context").  Null and empty texts hold none, an empty table gives no
+    rows.  Whole texts are searched, in time near their length; of the text before
+    a candidate the last PATTERN_CHARS characters are its context.  Equal rows are
+    treated alike and all stay.  Columns of `docs` named like the added or the internal
     ones (with a leading underscore) are replaced.
     """
     spark = docs.sparkSession
@@ -191,26 +240,52 @@ def count_kind(spans: Column, kind: str) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """`text` with every span replaced by its kind in brackets; overlapping spans become one."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))
-        return F.when(F.size(acc) == 0, F.array(s)).when(s["start"] < last["end"], joined).otherwise(F.concat(acc, F.array(s)))
+    def merged(all_: Column) -> Column:
+        """Overlapping spans as one, of the first one's kind."""
+
+        def cut(x: Column) -> Column:
+            firsts = F.filter(
+                F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (F.get(all_, i)["start"] >= F.get(x["reach"], i - 1))
+            )
+            return let(
+                firsts,
+                lambda f: F.transform(
+                    f,
+                    lambda i, j: F.struct(
+                        F.get(all_, i)["start"].alias("start"),
+                        F.get(x["reach"], F.coalesce(F.get(f, j + 1), F.size(all_)) - 1).alias("end"),
+                        F.get(all_, i)["kind"].alias("kind"),
+                    ),
+                ),
+            )
+
+        reach = let(F.transform(all_, lambda s: s["end"]), lambda e: _running(e, lambda a, b: F.greatest(a, b)))
+        return let(F.struct(reach.alias("reach")), cut)
+
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        """The text from `start` to `end`, without walking over what comes before."""
+        of = F.transform(
+            F.sequence(F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")),
+            lambda p: F.substring(
+                F.get(pieces, p), F.greatest(start - p * PIECE, F.lit(0)) + 1, F.least(end - p * PIECE, F.lit(PIECE)) - F.greatest(start - p * PIECE, F.lit(0))
+            ),
+        )
+        return F.when(end > start, F.array_join(of, "")).otherwise("")
 
-    def rebuilt(merged: Column) -> Column:
-        pieces = F.transform(
-            merged,
+    def rebuilt(x: Column) -> Column:
+        spans_ = x["spans"]
+        kept = F.transform(
+            spans_,
             lambda s, i: F.concat(
-                F.substring(text, F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(0)),
-                F.lit("["), F.upper(s["kind"]), F.lit("]"),
+                between(x["pieces"], F.coalesce(F.get(spans_, i - 1)["end"], F.lit(0)), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")
             ),
         )
-        tail = F.substring(text, F.element_at(merged, -1)["end"] + 1, F.length(text))
-        return F.concat(F.array_join(pieces, ""), tail)
+        return F.concat(F.array_join(kept, ""), between(x["pieces"], F.element_at(spans_, -1)["end"], F.length(text)))
 
-    return F.when(F.size(spans) > 0, let(F.aggregate(ordered, none, merge), rebuilt)).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    parts = F.struct(let(ordered, merged).alias("spans"), pieces.alias("pieces"))
+    return F.when(F.size(spans) > 0, let(parts, rebuilt)).otherwise(text)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -35,13 +36,16 @@ def base(text):
     return [(k, m.start(), m.end()) for k, rx in REGEX.items() for m in re.finditer(rx, text or "") if valid(k, m[0])]
 
 
+RUN = r"(?<![^ \t-\r])[^ \t-\r0-9@]*[0-9@][^ \t-\r]*(?: [^ \t-\r0-9@]*[0-9@][^ \t-\r]*)*"
+
+
 def discovered(texts, rounds=pii.ROUNDS):
     """The bootstrapping, document by document and edge by edge."""
     found, edges = [], defaultdict(lambda: [0, False])
     for row, text in enumerate(texts):
         spans = base(text)
-        for m in re.finditer(r"(?<![^ \t-\r])[^ \t-\r0-9@]*[0-9@][^ \t-\r]*", text or ""):
-            last = max([e for e in (x.end() for x in re.finditer(r"(?<![^ \t-\r])[^ \t-\r0-9@]*[0-9@][^ \t-\r]*", text[: m.start()]))], default=0)
+        for m in re.finditer(RUN, text or ""):
+            last = max([e for e in (x.end() for x in re.finditer(RUN, text[: m.start()].rstrip(" ")))], default=0)
             near = text[last : m.start()][-64:].lower()
             hit = re.search(r"([^ \t-\r]+[ \t-\r]+)?[^ \t-\r]+[ \t-\r]*$", near)
             pattern = re.sub(r"[ \t-\r0-9]+", " ", hit[0]) if hit else ""
@@ -113,3 +117,21 @@ def test_redaction_replaces_every_span(spark):
     assert got[1]["text"] == "to [EMAIL], card [CARD]." and got[1]["n_chars"] == 24
     assert got[2]["text"] is None
     assert pii.redact_documents(docs.limit(0)).count() == 0
+
+
+def test_identifiers_in_several_parts_are_found_whole(spark):
+    texts = [*[f"please write to me at user{i}@example.com today" for i in range(6)], "please write to me at 555 123 4567 or so"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in pii.redact_documents(docs).collect()}
+    assert got[6] == "please write to me at [CONTEXT] or so" and got[0] == "please write to me at [EMAIL] today"
+
+
+def test_long_texts_full_of_matches(spark):
+    texts = ["no. 12345, " * 90_000, "a@b.c, " * 60_000, "\U0001f600 10.0.0.1 " * 3_000 + "tail"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    start = time.monotonic()
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).select("doc_id", "spans").collect()}
+    assert [tuple(s) for s in spans[1]] == base(texts[1]) and [tuple(s) for s in spans[2]] == base(texts[2])
+    got = {r["doc_id"]: r["text"] for r in pii.redact_documents(docs).collect()}
+    assert got == {0: texts[0], 1: "[EMAIL], " * 60_000, 2: "\U0001f600 [IP] " * 3_000 + "tail"}
+    assert time.monotonic() - start < 90
