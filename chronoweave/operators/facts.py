@@ -92,7 +92,7 @@ def _with_sources(kept: DataFrame, whole: DataFrame, key: list[str]) -> DataFram
 
 
 def _is_single(single_valued: list[str]) -> Column:
-    return F.col("name").isin(single_valued) if single_valued else F.lit(False)
+    return F.coalesce(F.col("name").isin(single_valued), F.lit(False)) if single_valued else F.lit(False)
 
 
 def _close(facts: DataFrame, hot_rows: int) -> DataFrame:
@@ -107,8 +107,32 @@ def _close(facts: DataFrame, hot_rows: int) -> DataFrame:
     return distinct.withColumns({"invalid_at": F.col("_next.valid_at"), "expired_at": expired}).drop("_next")
 
 
+def fact_sightings(seen: DataFrame, facts: DataFrame, single_valued: list[str]) -> DataFrame:
+    """(uuid, valid_at, episode_uuid), one row for every episode a fact was seen in.
+
+    `seen` holds all rows ever given to `apply_facts` with their `episodes`, and
+    `facts` its result.  Sightings are freed of repetitions under their whole
+    row and then find the fact that stands for them by a join with one row per
+    fact, so a fact seen in a third of all episodes is many rows in many tasks.
+    Rows whose `episodes` are null or empty are no sightings.
+    """
+    rows = seen.select(*_RELATION, "target_node_uuid", "valid_at", "uuid", F.explode("episodes").alias("episode_uuid"))
+    exact = rows.filter(_is_single(single_valued)).distinct()
+    standing = facts.select(*[F.col(c).alias(f"_k_{c}") for c in (*_RELATION, "target_node_uuid", "valid_at", "uuid")])
+
+    def found(sightings: DataFrame, which: Column, key: list[str]) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
+        return sightings.join(standing.filter(which), same).select(
+            F.col("_k_uuid").alias("uuid"), F.col("_k_valid_at").alias("valid_at"), "episode_uuid"
+        )
+
+    any_of = rows.filter(~_is_single(single_valued)).select(*_RELATION, "target_node_uuid", "episode_uuid").distinct()
+    single = F.coalesce(F.col("_k_name").isin(single_valued), F.lit(False)) if single_valued else F.lit(False)
+    return found(exact, single, [*_RELATION, "valid_at", "uuid"]).unionByName(found(any_of, ~single, [*_RELATION, "target_node_uuid"]))
+
+
 def apply_facts(
-    new: DataFrame, facts: DataFrame | None, single_valued: list[str], hot_rows: int = HOT_ROWS
+    new: DataFrame, facts: DataFrame | None, single_valued: list[str], hot_rows: int = HOT_ROWS, unite_episodes: bool = True
 ) -> DataFrame:
     """stored and new facts with their validity recomputed.
 
@@ -116,19 +140,25 @@ def apply_facts(
     key, so arrival order does not matter; the others are only freed of
     repetitions, keeping the earliest with the episodes of all.  Stored facts of keys without news are
     passed through; they are not even shuffled while the news are small.
+
+    With `unite_episodes` a fact's episodes are one array; without it a fact keeps
+    those of its own row, and `fact_sightings` gives all of them as rows, however
+    many they are.
     """
     if facts is None:
-        return _validity(new, single_valued, hot_rows)
+        return _validity(new, single_valued, hot_rows, unite_episodes)
     touched = broadcast_if_small(new.select(*[F.col(c).alias(f"_t_{c}") for c in _RELATION]).distinct())
     same_key = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in _RELATION]
     affected = facts.join(touched, same_key, "left_semi").unionByName(new, allowMissingColumns=True)
-    recomputed = _validity(affected, single_valued, hot_rows)
+    recomputed = _validity(affected, single_valued, hot_rows, unite_episodes)
     return facts.join(touched, same_key, "left_anti").unionByName(recomputed, allowMissingColumns=True)
 
 
-def _validity(whole: DataFrame, single_valued: list[str], hot_rows: int) -> DataFrame:
+def _validity(whole: DataFrame, single_valued: list[str], hot_rows: int, unite_episodes: bool = True) -> DataFrame:
     alone = whole.filter(_is_single(single_valued))
-    single = _with_sources(_close(alone, hot_rows), alone, [*_RELATION, "valid_at", "uuid"])
+    single = _close(alone, hot_rows)
+    if unite_episodes:
+        single = _with_sources(single, alone, [*_RELATION, "valid_at", "uuid"])
     others = whole.filter(~_is_single(single_valued))
     columns = [c for c in whole.columns if c not in [*_RELATION, "target_node_uuid"]]
     tie = [c for c in ("fact",) if c in columns]
@@ -138,7 +168,8 @@ def _validity(whole: DataFrame, single_valued: list[str], hot_rows: int) -> Data
         .agg(earliest.alias("_f"))
         .select(*_RELATION, "target_node_uuid", "_f.*")
     )
-    kept = _with_sources(kept, others, [*_RELATION, "target_node_uuid"])
+    if unite_episodes:
+        kept = _with_sources(kept, others, [*_RELATION, "target_node_uuid"])
     if "invalid_at" not in whole.columns:
         kept = kept.withColumns({c: F.lit(None).cast("timestamp") for c in ("invalid_at", "expired_at")})
     return single.unionByName(kept)

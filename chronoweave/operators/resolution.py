@@ -105,7 +105,7 @@ def merge_mentions(stored: DataFrame, new: DataFrame, replaced: DataFrame) -> Da
 
 
 def similar_names(entities: DataFrame) -> DataFrame:
-    """Pairs (a, b) of entities, a < b, whose names differ by one edit.
+    """Pairs (a, b) of entities of one group with a label in common, a < b, whose names differ by one edit.
 
     Two such names share the text left when one letter is taken out of either,
     so the pairs come from an equi-join on those texts.  Names are distinct per
@@ -114,7 +114,7 @@ def similar_names(entities: DataFrame) -> DataFrame:
     however many entities there are.
     """
     names = entities.select(
-        "uuid", "group_id", F.get("labels", F.lit(0)).alias("label"), normalized_name(F.col("name")).alias("_name")
+        "uuid", "group_id", F.explode(F.array_distinct("labels")).alias("label"), normalized_name(F.col("name")).alias("_name")
     )
     shorter = F.transform(
         F.sequence(F.lit(1), F.length("_name")),

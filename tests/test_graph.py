@@ -106,6 +106,19 @@ def test_repeated_facts(table):
     assert got.filter("uuid = '1'").first().invalid_at == t(2)
 
 
+def test_sightings_as_rows(table):
+    rows = [(*fact("1", "X", 1), ["e1", "e2"]), (*fact("1", "X", 1), ["e2", "e3"]), (*fact("2", "Y", 2), ["e4"]), (*fact("9", "Z", 1, name=None), ["e9"])]
+    rows += [(*fact("3", "X", 5, name="knows"), ["e1"]), (*fact("4", "X", 6, name="knows"), [f"e{i}" for i in range(6)]), (*fact("5", "Y", 6, name="knows"), None)]
+    seen = table(rows, f"{FACT}, episodes array<string>")
+    alone = FA.apply_facts(seen, None, ["lives_in"], unite_episodes=False)
+    whole = FA.apply_facts(seen, None, ["lives_in"])
+    same(alone.drop("episodes"), whole.drop("episodes"))
+    got = FA.fact_sightings(seen, alone, ["lives_in"])
+    want = [(r.uuid, r.valid_at, e) for r in whole.collect() for e in r.episodes or []]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 11
+    assert FA.fact_sightings(seen.limit(0), alone, ["lives_in"]).count() == 0
+
+
 def test_equal_times_give_an_empty_interval(table):
     got = {r.uuid: r for r in FA.apply_facts(table([fact("2", "Y", 1), fact("1", "X", 1)], FACT), None, ["lives_in"]).collect()}
     assert got["1"].invalid_at == t(1) == got["1"].valid_at and got["2"].invalid_at is None
@@ -240,6 +253,12 @@ def test_merge_similar(table):
     assert moved.first().root == john.uuid
 
 
+def test_similar_names_meet_under_any_label(table):
+    rows = [("1", "g", ["A", "B"], "Jon"), ("2", "g", ["C", "B"], "John"), ("3", "g", ["C"], "Jo"), ("4", "h", ["B"], "Jon"), ("5", "g", None, "Jon")]
+    pairs = similar_names(table(rows, "uuid string, group_id string, labels array<string>, name string"))
+    assert sorted(map(tuple, pairs.collect())) == [("1", "2")]
+
+
 def test_upsert(table):
     target = table([("a", 1, 0), ("b", 1, 0)], "uuid string, v int, n int")
     updates = table([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "uuid string, v int, n int")

@@ -620,6 +620,13 @@ check(
         GROUP BY group_id, source_node_uuid, name, target_node_uuid""",
     ["fact"],
 )
+check(
+    "f15_sightings",
+    f"""SELECT uuid, uuid AS episode_uuid FROM fact WHERE {_SINGLE}
+        UNION ALL SELECT first_value(uuid) OVER (PARTITION BY group_id, source_node_uuid, name, target_node_uuid
+            ORDER BY valid_at, created_at, uuid), uuid FROM fact WHERE NOT ({_SINGLE})""",
+    ["fact"],
+)
 _TRUE_AT = "valid_at <= TIMESTAMP '{t}' AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '{t}')"
 check(
     "f16_facts_as_of",

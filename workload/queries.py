@@ -678,6 +678,14 @@ def f15_provenance(v: Views) -> DataFrame:
     )
 
 
+@query
+def f15_sightings(v: Views) -> DataFrame:
+    """Facts and the episodes they were seen in as rows."""
+    seen = v.fact().withColumn("episodes", F.array(F.col("uuid")))
+    facts = FA.apply_facts(seen, None, _SINGLE, unite_episodes=False)
+    return FA.fact_sightings(seen, facts, _SINGLE).select("uuid", "episode_uuid")
+
+
 @query
 def f16_facts_as_of(v: Views) -> DataFrame:
     stored = FA.apply_facts(v.fact(), None, _SINGLE)
