@@ -32,6 +32,7 @@ from chronoweave.llm.words import mix, power_table
 SAMPLES = 2
 SHARPNESS = 1.0
 SLICE_CHARS = 1_500_000
+SPELLED_IDS = 1 << 17  # turned into bytes at once
 _MARK = 0x2581
 _LITERAL = 0x110000  # stands for a U+2581 of the text itself, which is no blank
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -88,6 +89,9 @@ class Vocabulary:
             bytes([int(p[3:5], 16)]) if sp.is_byte(i) else (b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace("▁", " ").encode())
             for i, p in enumerate(self.pieces)
         ]
+        self.flat = np.frombuffer(b"".join(self.as_bytes), np.uint8)
+        self.byte_size = np.array([len(b) for b in self.as_bytes])
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
 
     def begins(self, hashes: np.ndarray) -> np.ndarray:
         """Whether a longer piece may begin with the hashed text."""
@@ -108,6 +112,26 @@ class Vocabulary:
         whole = b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace")
         return whole[1:] if whole.startswith(" ") else whole
 
+    def spelled(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(UTF-8 bytes of all pieces in a row, where each piece ends there)."""
+        runs, ends = [], np.cumsum(self.byte_size[ids])
+        for lo in range(0, len(ids), SPELLED_IDS):
+            some = ids[lo : lo + SPELLED_IDS]
+            size = self.byte_size[some]
+            shift = self.byte_start[some] - (np.cumsum(size) - size)
+            runs.append(self.flat[np.arange(int(size.sum())) + np.repeat(shift, size)].tobytes())
+        return b"".join(runs), ends
+
+
+def _decodes_to(vocab: Vocabulary, ids: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[bool]:
+    """Whether the ids from each offset to the next decode to the text; the blank put first is taken off."""
+    whole, ends = vocab.spelled(ids)
+    bounds = np.append(0, ends)[offsets].tolist()
+    same = []
+    for lo, hi, text in zip(bounds[:-1], bounds[1:], texts, strict=True):
+        same.append(whole[lo + whole.startswith(b" ", lo, hi) : hi] == text.encode())
+    return same
+
 
 class Lattice:
     """Edges and sums of the distinct units of some texts.
@@ -422,10 +446,11 @@ def encode_documents(
                 rows = pa.array([d + lo for d, *_ in found], pa.int64())
                 ids = [x for _, _, x, _, _ in found]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                same = [v.decode(x.tolist()) == texts[lo + d] for (d, *_), x in zip(found, ids, strict=True)]
+                joined = np.concatenate(ids)
+                same = _decodes_to(v, joined, offsets, [texts[lo + d] for d, *_ in found])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), pa.array([r for _, r, *_ in found], pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined.astype(np.int32))),
                      pa.array([len(x) for x in ids], pa.int64()), pa.array([x[3] for x in found]), pa.array([x[4] for x in found]), pa.array(same)],
                     [key, "sample", "ids", "n_pieces", "log_prob", "log_inclusion", "round_trip"],
                 )

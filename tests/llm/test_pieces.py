@@ -75,3 +75,16 @@ def test_rows_come_back_and_do_not_depend_on_batches(spark, vocab):
     decoded = pieces.decode_documents(got, MODEL_FILE).collect()
     assert all(r["text"] == (TEXTS[r["doc_id"]] or "") for r in decoded if r["doc_id"] is not None)
     assert pieces.encode_documents(docs.limit(0), MODEL_FILE).count() == 0
+
+
+def test_decoding_by_arrays_equals_decoding_by_pieces():
+    vocab = pieces.Vocabulary(MODEL_FILE)
+    texts = ["", " ", "  two", "plain words here", "é𐍈 � ▁ x", "a\x00b\n\tc"]
+    found = pieces.sample_segmentations(vocab, texts, np.arange(len(texts), dtype=np.uint64), 2)
+    ids = [x for _, _, x, _, _ in found]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    want = [vocab.decode(x.tolist()) == texts[d] for (d, *_), x in zip(found, ids, strict=True)]
+    kept, pieces.SPELLED_IDS = pieces.SPELLED_IDS, 3
+    assert pieces._decodes_to(vocab, np.concatenate(ids), offsets, [texts[d] for d, *_ in found]) == want and all(want)
+    assert not any(pieces._decodes_to(vocab, np.concatenate(ids), offsets, [texts[d] + "x" for d, *_ in found]))
+    pieces.SPELLED_IDS = kept
