@@ -85,10 +85,13 @@ def _fields(entry: str) -> str:
 
     `inner`: an object, or an array with an object somewhere inside.
     """
-    holds = (
-        f"startswith(j, '{{') OR (startswith(j, '[') AND contains(j, '{{') AND contains(regexp_replace(j, r'{_STRINGS}', ''), '{{'))"
-    )
-    field = _let("to_json(m.value)", "j", f"struct(m.key AS key, m.value AS value, j AS json, {holds} AS inner)")
+    is_object = "try_variant_get(m.value, '$', 'struct<>') IS NOT NULL"
+    any_object = "exists(try_variant_get(m.value, '$', 'array<struct<>>'), x -> x IS NOT NULL)"
+    deeper = f"startswith(j, '[') AND contains(j, '{{') AND contains(regexp_replace(j, r'{_STRINGS}', ''), '{{')"
+    plain = _let("to_json(m.value)", "j", f"struct(m.key AS key, m.value AS value, j AS json, {deeper} AS inner)")
+    # what will be walked is not written out as text: that would repeat a deep text once per level
+    walked = "struct(m.key AS key, m.value AS value, CAST(NULL AS string) AS json, true AS inner)"
+    field = f"CASE WHEN {is_object} OR coalesce({any_object}, false) THEN {walked} ELSE {plain} END"
     return f"transform(map_entries(try_variant_get({entry}.value, '$', 'map<string,variant>')), m -> {field})"
 
 
@@ -122,13 +125,15 @@ def _objects(parsed: str, label: str, content: str) -> Column:
     the remaining steps do nothing.
     """
     first = f"struct({parsed} AS value, {label} AS label, '{ROOT}' AS path, CAST(NULL AS {_PARENT_SQL}) AS parent)"
-    start = f"struct(CAST(array() AS array<{_OBJECT_SQL}>) AS found, CAST(array({first}) AS array<{_ENTRY_SQL}>) AS next)"
+    none = f"CAST(array() AS array<{_OBJECT_SQL}>)"
+    start = f"struct({none} AS found, array(struct({none} AS found, CAST(array({first}) AS array<{_ENTRY_SQL}>) AS next)) AS parts)"
     level = _let(_fields("e"), "fields", f"CASE WHEN fields IS NOT NULL THEN {_object_of('e')} ELSE {_elements_of('e')} END")
-    both = "struct(concat(s.found, flatten(transform(parts, p -> p.found))) AS found, flatten(transform(parts, p -> p.next)) AS next)"
-    step = f"CASE WHEN size(s.next) = 0 THEN s ELSE {_let(f'transform(s.next, e -> {level})', 'parts', both)} END"
+    # a transform copies what it returns, so the objects found so far must not pass through one at every level
+    both = "concat(s.found, flatten(transform(s.parts, p -> p.found)))"
+    step = f"CASE WHEN size(s.parts) = 0 THEN s ELSE struct({both} AS found, transform(flatten(transform(s.parts, p -> p.next)), e -> {level}) AS parts) END"
     brackets = f"length({content}) - length(translate({content}, '[{{', ''))"
     steps = f"CASE WHEN {brackets} > 0 THEN sequence(1, {brackets}) ELSE CAST(array() AS array<int>) END"
-    return F.expr(f"aggregate({steps}, {start}, (s, x) -> {step}, s -> s.found)")
+    return F.expr(f"aggregate({steps}, {start}, (s, x) -> {step}, s -> {both})")
 
 
 def with_objects(episodes: DataFrame) -> DataFrame:

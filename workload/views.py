@@ -164,7 +164,7 @@ class Views:
         body = F.concat(F.lit(f'{{"name": "n{depth}", "key": '), F.col(key).cast("string"), F.lit("}"))
         for level in range(depth - 1, -1, -1):
             body = F.concat(F.lit(f'{{"name": "n{level}", "in{level + 1}": '), body, F.lit("}"))
-        return self.t(table).select(
+        return spread(self.t(table)).select(
             F.concat(F.lit("o-"), F.col(key)).alias("uuid"), F.lit("order").alias("name"), body.alias("content"),
             F.lit("json").alias("source"), F.lit("").alias("source_description"), group.alias("group_id"),
             date.alias("reference_time"), date.alias("created_at"),
