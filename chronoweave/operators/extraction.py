@@ -100,7 +100,8 @@ def _object_of(entry: str) -> str:
     named = [
         _let(
             f"get(filter(fields, f -> f.key = '{key}'), 0)", "f",
-            r"""CASE WHEN startswith(f.json, '"') THEN try_variant_get(f.value, '$', 'string') WHEN f.json RLIKE '^[-0-9tf]' THEN f.json END""",
+            r"""CASE WHEN NOT startswith(f.json, '"') THEN CASE WHEN f.json RLIKE '^[-0-9tf]' THEN f.json END"""
+            r""" WHEN contains(f.json, '\\') THEN try_variant_get(f.value, '$', 'string') ELSE substring(f.json, 2, length(f.json) - 2) END""",
         )
         for key in NAME_KEYS
     ]

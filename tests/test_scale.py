@@ -23,3 +23,8 @@ def test_walked_members_are_not_written_out_at_every_level(spark, table):
         ("$.a.b[1][0][0].c", "$.a.b[1][0][0].c", []),
         ("$.f[0]", "$.f[0]", [("g", '"\\\\"')]),
     ]
+
+
+def test_names_with_escapes(table):
+    found = X.json_entities(ep(table, '{"name": "a\\"b\\\\c", "x": {"name": ""}, "y": {"title": "t\\u00e4"}}', source="json"))
+    assert sorted(r.name for r in found.collect()) == ["", 'a"b\\c', "tä"]
