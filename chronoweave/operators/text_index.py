@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronoweave.functions.text import tokens
 from chronoweave.operators.lookup import top_k
@@ -25,6 +28,10 @@ TERM_BUCKET = "term_bucket"
 TERM_BUCKETS = 64
 # Up to so many query words are looked up by name in a stored index.
 TERMS_BY_NAME = 1_000
+# Words, and (document, query) pairs, that a task holds as arrays at once.
+WORDS_AT_ONCE = 500_000
+# Up to so many (query, word) pairs go to the tasks that score whole documents.
+WEIGHTS_AT_HAND = 100_000
 
 
 @dataclass
@@ -32,16 +39,31 @@ class TextIndex:
     postings: DataFrame  # kind, group_id, doc_uuid, term, tf, dl; stored ones have term_bucket
     terms: DataFrame  # term, df
     stats: DataFrame  # one row: n_docs, avgdl
+    words: DataFrame | None = None  # kind, group_id, doc_uuid, _words: whole documents, when they are at hand
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of whole documents: (document, word) pairs counted per batch."""
+def _spans(sizes: np.ndarray) -> Iterator[slice]:
+    """Rows in spans of about WORDS_AT_ONCE words; a longer document is a span of its own."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // WORDS_AT_ONCE)) + 1
+    for lo, hi in zip([0, *edges], [*edges, len(sizes)]):
+        if hi > lo:
+            yield slice(int(lo), int(hi))
+
+
+def _in_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches cut into spans, with the number of words of each document."""
     for batch in batches:
-        words = batch.column("_words")
-        lengths = np.diff(words.offsets.to_numpy())
-        coded = words.flatten().dictionary_encode()
+        lengths = np.diff(batch.column("_words").offsets.to_numpy()).astype(np.int64)
+        for span in _spans(lengths):
+            yield batch.slice(span.start, span.stop - span.start), lengths[span]
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of whole documents: (document, word) pairs counted per span of a batch."""
+    for batch, lengths in _in_spans(batches):
+        coded = batch.column("_words").flatten().dictionary_encode()
         width = max(1, len(coded.dictionary))
-        pair = np.repeat(np.arange(len(words), dtype=np.int64), lengths) * width + coded.indices.to_numpy()
+        pair = np.repeat(np.arange(len(lengths)), lengths) * width + coded.indices.to_numpy()
         pairs, tf = np.unique(pair, return_counts=True)
         rows = pa.array(pairs // width)
         yield pa.RecordBatch.from_arrays(
@@ -49,12 +71,71 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 *[batch.column(c).take(rows) for c in ("kind", "group_id", "doc_uuid")],
                 coded.dictionary.take(pa.array(pairs % width)),
                 pa.array(tf.astype(np.int64)),
-                pa.array(lengths.astype(np.int64)).take(rows),
+                pa.array(lengths).take(rows),
             ],
             names=["kind", "group_id", "doc_uuid", "term", "tf", "dl"],
         )
 
 
+def _score_words(weights: list, k: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores of whole documents, per span the k best of each query.
+
+    `weights` has (query_id, term, idf, avgdl).  Scores that rounding could make
+    equal to the last one kept stay too.
+    """
+    query_ids = list(dict.fromkeys(w["query_id"] for w in weights))
+    place = {q: i for i, q in enumerate(query_ids)}
+    terms = list(dict.fromkeys(w["term"] for w in weights))
+    code = {t: i for i, t in enumerate(terms)}
+    of_term = np.array([code[w["term"]] for w in weights])
+    order = np.argsort(of_term, kind="stable")
+    query = np.array([place[w["query_id"]] for w in weights])[order]
+    idf = np.array([w["idf"] for w in weights])[order]
+    n_of = np.bincount(of_term, minlength=len(terms))
+    first = np.cumsum(n_of) - n_of
+    avgdl = weights[0]["avgdl"]
+    n_queries = len(query_ids)
+
+    def best(rows: np.ndarray, term: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = n_of[term]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[term], count)
+        length = 1 - BM25_B + BM25_B * dl / avgdl
+        share = idf[at] * np.repeat(tf, count) * (BM25_K1 + 1) / np.repeat(tf + BM25_K1 * length, count)
+        pairs, which = np.unique(np.repeat(rows, count) * n_queries + query[at], return_inverse=True)
+        score = np.bincount(which, weights=share, minlength=len(pairs))
+        doc, asked = np.divmod(pairs, n_queries)
+        order = np.lexsort((-score, asked))
+        doc, asked, score = doc[order], asked[order], score[order]
+        start = np.searchsorted(asked, np.arange(n_queries))
+        size = np.bincount(asked, minlength=n_queries)
+        last = score[np.where(size > 0, start + np.minimum(size, k) - 1, 0)]
+        keep = score >= last[asked] - 10.0**-SCORE_DIGITS * 2
+        return doc[keep], asked[keep], score[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = pa.array(terms), pa.array(query_ids, id_type)
+        for batch, lengths in _in_spans(batches):
+            found = pc.index_in(batch.column("_words").flatten(), value_set=known)
+            hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            if not len(hit):
+                continue
+            row = np.repeat(np.arange(len(lengths)), lengths)[hit]
+            pair = row * len(terms) + found.drop_null().to_numpy()
+            pairs, tf = np.unique(pair, return_counts=True)
+            rows, term = np.divmod(pairs, len(terms))
+            for part in _spans(np.bincount(rows, weights=n_of[term], minlength=len(lengths)).astype(np.int64)):
+                here = slice(*np.searchsorted(rows, [part.start, part.stop]))
+                if here.start == here.stop:
+                    continue
+                doc, asked, score = best(rows[here], term[here], tf[here], lengths[rows[here]])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(asked)), batch.column("doc_uuid").take(pa.array(doc)), pa.array(score)],
+                    names=["query_id", "uuid", "score"],
+                )
+
+    return run
+
+
 def term_bucket(term: Column) -> Column:
     """Folder of a term in a stored index."""
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
@@ -88,7 +169,7 @@ def build_index(docs: DataFrame, id: str, text: Column, kind: str = "doc", group
     postings = words.mapInArrow(_count_words, schema)
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("_words")).alias("avgdl"))
-    return TextIndex(postings, terms, stats)
+    return TextIndex(postings, terms, stats, words)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -118,7 +199,7 @@ def _only_terms(postings: DataFrame, wanted: DataFrame, small: bool) -> DataFram
 
 
 def bm25_search(
-    index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None
+    index: TextIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None, in_place: bool = False
 ) -> DataFrame:
     """The k best documents per query as (query_id, uuid, score, rank).
 
@@ -126,7 +207,8 @@ def bm25_search(
     candidates only.  The query words are broadcast after a size check, so the
     postings of a frequent word are scored where they are and the shuffle is by
     (query, document).  Of a stored index only the folders of the query words
-    are read.
+    are read.  With `in_place`, a task scores the whole documents of an index
+    that has them at hand, and sends its k best per query only.
     """
     wanted = query_terms(queries)
     small = is_small(wanted)
@@ -140,6 +222,10 @@ def bm25_search(
         .crossJoin(F.broadcast(index.stats))  # one row
         .select("query_id", "term", idf.alias("idf"), "avgdl")
     )
+    if in_place and index.words is not None and allowed is None and small:
+        weights = weighted.limit(WEIGHTS_AT_HAND + 1).collect()
+        if 0 < len(weights) <= WEIGHTS_AT_HAND:
+            return _best_documents(index.words, weights, queries, k)
     scored = (
         _only_terms(index.postings, wanted, small)
         .join(_hinted(weighted, small), "term")
@@ -151,3 +237,17 @@ def bm25_search(
     if allowed is not None:  # after scoring: only documents with a query word meet the candidates
         scored = scored.join(allowed.select("uuid"), "uuid", "left_semi")
     return top_k(scored, k, [F.desc("score")], ["uuid"], ["query_id"])
+
+
+def _best_documents(words: DataFrame, weights: list, queries: DataFrame, k: int) -> DataFrame:
+    id_field = queries.select("query_id").schema["query_id"]
+    schema = T.StructType(
+        [
+            T.StructField("query_id", id_field.dataType),
+            T.StructField("uuid", words.schema["doc_uuid"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    score = _score_words(weights, k, to_arrow_type(id_field.dataType))
+    found = words.mapInArrow(score, schema).withColumn("score", F.round("score", SCORE_DIGITS))
+    return top_k(found, k, [F.desc("score")], ["uuid"], ["query_id"])

@@ -60,8 +60,9 @@ def _hybrid(
     Postings know their group, so groups are filtered without a join.
     """
     depth = per_result * limit
-    in_groups = TextIndex(filter_groups(index.postings, *groups), index.terms, index.stats)
-    by_text = bm25_search(in_groups, queries, depth, allowed)
+    words = None if index.words is None else filter_groups(index.words, *groups)
+    in_groups = TextIndex(filter_groups(index.postings, *groups), index.terms, index.stats, words)
+    by_text = bm25_search(in_groups, queries, depth, allowed, in_place=True)
     return rrf_fuse([by_text, cosine_search(vectors, queries, depth)])
 
 

@@ -1,6 +1,12 @@
 """Work that has to grow no faster than its input."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 from chronoweave.operators import extraction as X
+from chronoweave.operators import text_index as I
 from tests.test_extraction import ep
 from workload.views import Views
 
@@ -28,3 +34,33 @@ def test_walked_members_are_not_written_out_at_every_level(spark, table):
 def test_names_with_escapes(table):
     found = X.json_entities(ep(table, '{"name": "a\\"b\\\\c", "x": {"name": ""}, "y": {"title": "t\\u00e4"}}', source="json"))
     assert sorted(r.name for r in found.collect()) == ["", 'a"b\\c', "tä"]
+
+
+def _batch(texts):
+    words = pa.array([t.split() for t in texts], pa.list_(pa.string()))
+    ids = pa.array([str(i) for i in range(len(texts))])
+    return pa.RecordBatch.from_arrays([pa.array(["doc"] * len(texts)), pa.nulls(len(texts), pa.string()), ids, words], names=["kind", "group_id", "doc_uuid", "_words"])
+
+
+def test_postings_of_a_large_batch_come_in_spans(monkeypatch):
+    batch = _batch(["a b a", "", "b c d e f g h", "a"] * 25)
+    whole = pa.Table.from_batches(I._count_words(iter([batch]))).to_pylist()
+    monkeypatch.setattr(I, "WORDS_AT_ONCE", 10)
+    spans = list(I._count_words(iter([batch])))
+    assert len(spans) > 10 and max(s.num_rows for s in spans) <= 17
+    key = lambda r: (r["doc_uuid"], r["term"])
+    assert sorted(pa.Table.from_batches(spans).to_pylist(), key=key) == sorted(whole, key=key)
+
+
+@pytest.mark.parametrize("k", [1, 3, 100])
+def test_documents_scored_in_place_equal_the_joined_postings(spark, table, k):
+    rng = np.random.default_rng(1)
+    docs = [(str(i), "x", " ".join(rng.choice(list("abcdefg"), rng.integers(0, 9)))) for i in range(60)]
+    index = I.build_index(table(docs, "id string, g string, text string"), "id", F.col("text"), group="g")
+    queries = table([(1, "a b"), (2, "g"), (3, "nowhere"), (None, "b b c"), (5, "")], "query_id int, text string")
+    joined = I.bm25_search(I.TextIndex(index.postings, index.terms, index.stats), queries, k)
+    found = I.bm25_search(index, queries, k, in_place=True)
+    rows = lambda df: sorted(((r.query_id, r.uuid, round(r.score, 8), r["rank"]) for r in df.collect()), key=repr)
+    assert rows(found) == rows(joined) and found.schema == joined.schema
+    # only the best rows of a task leave it: no sum over all (query, document) pairs
+    assert "sum(" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -343,7 +343,7 @@ def g3_clear_index(v: Views) -> DataFrame:
 def e2_bm25_search(v: Views) -> DataFrame:
     """Which documents contain the benchmark passages."""
     queries = v.t("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return bm25_search(_doc_index(v), queries, 10).withColumn("score", F.round("score", 6))
+    return bm25_search(_doc_index(v), queries, 10, in_place=True).withColumn("score", F.round("score", 6))
 
 
 def _vectors(v: Views) -> DataFrame:
