@@ -19,6 +19,8 @@ from chronoweave.operators.text_index import SCORE_DIGITS
 # Largest query block sent to the tasks: 4,000 vectors of 1,536 doubles are 49 MB.
 QUERY_BLOCK = 4_000
 _BLOCK_ROWS = 10_000
+# Vectors that meet a block of queries in their buckets at once.
+_PROBED_ROWS = 1_000
 # Rows a bucket of the approximate search should have, and the planes near a query it may cross.
 BUCKET_ROWS = 1_000
 _CLOSE = 6
@@ -108,7 +110,7 @@ def cosine_search(
                 parts.append(vectors.filter(F.size("embedding") == dim).mapInPandas(score, schema))
         best = _union(parts) if parts else vectors.sparkSession.createDataFrame([], schema)
     else:
-        best = _blockwise(vectors, queries, k, min_score, schema)
+        best = _blockwise(vectors, queries, lambda ids, units: _score_block(ids, units, k, min_score), schema)
     return top_k(best, k, [F.desc("score")], ["uuid"], ["query_id"])
 
 
@@ -119,8 +121,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
+_Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+
 def _blockwise(
-    vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None, schema: T.StructType
+    vectors: DataFrame, queries: DataFrame, scorer: Callable[[np.ndarray, np.ndarray], _Scorer], schema: T.StructType
 ) -> DataFrame:
     """Tiles of bounded size: every vector block meets every query block once.
 
@@ -143,7 +148,7 @@ def _blockwise(
         for dim in {len(x) for x in right["embedding"]}:
             units, at = _unit_rows(right["embedding"], dim)
             if len(units):
-                run = _score_block(right["query_id"].to_numpy()[at], units, k, min_score)
+                run = scorer(right["query_id"].to_numpy()[at], units)
                 out.extend(run(iter([left])))
         return pd.concat([o for o in out if len(o)] or out, ignore_index=True)
 
@@ -172,8 +177,8 @@ def cosine_search_ann(
     equally far apart.
 
     Up to QUERY_BLOCK queries go to the tasks as one matrix with their buckets, and
-    vectors are not shuffled; more queries meet the vectors in a join on (table,
-    bucket).
+    vectors are not shuffled; more queries meet the vectors in tiles of bounded
+    size, of which only the pairs that share a bucket are scored.
     """
     check_limit("k", k)
     vectors = vectors.select("uuid", "embedding").filter(F.col("embedding").isNotNull())
@@ -185,7 +190,8 @@ def cosine_search_ann(
     schema = _result_schema(vectors, queries)
     head = queries.limit(QUERY_BLOCK + 1).toPandas()  # the size check
     if len(head) > QUERY_BLOCK:
-        best = _met_in_buckets(vectors, queries, _Planes(tables, bits, probes, seed), min_score, schema)
+        planes = _Planes(tables, bits, probes, seed)
+        best = _blockwise(vectors, queries, lambda ids, units: _probe_block(ids, units, planes, k, min_score), schema)
     else:
         parts = []
         # every size of query vectors has planes of its own
@@ -234,7 +240,7 @@ class _Planes:
 def _pairs(found: np.ndarray, sought: np.ndarray) -> np.ndarray:
     """Row * queries + query of every pair that shares a bucket in some table, once each."""
     n = sought.shape[1]
-    out = []
+    seen = np.zeros(found.shape[1] * n, dtype=bool)
     for table in range(len(found)):
         keys = sought[table].ravel()
         order = np.argsort(keys, kind="stable")
@@ -242,63 +248,44 @@ def _pairs(found: np.ndarray, sought: np.ndarray) -> np.ndarray:
         count = hi - lo
         rows = np.repeat(np.arange(len(count)), count)
         at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        out.append(rows * n + order[at] // sought.shape[2])
-    return np.unique(np.concatenate(out))
+        seen[rows * n + order[at] // sought.shape[2]] = True
+    return np.flatnonzero(seen)
 
 
 def _probe_block(
     query_ids: np.ndarray, unit_queries: np.ndarray, planes: _Planes, k: int, min_score: float | None
 ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Per batch: exact scores of the pairs that share a bucket, k best per query kept."""
+    """Per _PROBED_ROWS vectors: exact scores of the pairs that share a bucket, k best per query kept."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sought = planes.probed(unit_queries)
         for batch in batches:
-            units, at = _unit_rows(batch["embedding"], unit_queries.shape[1])
-            if not len(units):
-                continue
-            ids = batch["uuid"].to_numpy(dtype=object)[at]
-            rows, asked = np.divmod(_pairs(planes.buckets(units), sought), len(unit_queries))
-            sims = np.empty(len(rows))
-            for part in range(0, len(rows), _BLOCK_ROWS):
-                here = slice(part, part + _BLOCK_ROWS)
-                sims[here] = np.einsum("ij,ij->i", units[rows[here]], unit_queries[asked[here]])
-            sims = np.round(sims, SCORE_DIGITS)
-            order = np.argsort(asked, kind="stable")
-            for span in np.split(order, np.flatnonzero(np.diff(asked[order])) + 1):
-                if len(span):
-                    best, scores = _best(ids[rows[span]], sims[span], k, min_score)
-                    yield pd.DataFrame({"query_id": query_ids[asked[span[0]]], "uuid": best, "score": scores})
+            whole, at = _unit_rows(batch["embedding"], unit_queries.shape[1])
+            for first in range(0, len(whole), _PROBED_ROWS):
+                units = whole[first : first + _PROBED_ROWS]
+                ids = batch["uuid"].to_numpy(dtype=object)[at[first : first + _PROBED_ROWS]]
+                rows, asked = np.divmod(_pairs(planes.buckets(units), sought), len(unit_queries))
+                sims = np.empty(len(rows))
+                for part in range(0, len(rows), _BLOCK_ROWS):
+                    here = slice(part, part + _BLOCK_ROWS)
+                    sims[here] = np.einsum("ij,ij->i", units[rows[here]], unit_queries[asked[here]])
+                sims = np.round(sims, SCORE_DIGITS)
+                if min_score is not None:
+                    rows, asked, sims = (x[sims >= min_score] for x in (rows, asked, sims))
+                if not len(rows):
+                    continue
+                # ties with a query's last place stay until the ids decide
+                order = np.lexsort((-sims, asked))
+                rows, asked, sims = rows[order], asked[order], sims[order]
+                start = np.searchsorted(asked, np.arange(len(unit_queries)))
+                size = np.bincount(asked, minlength=len(unit_queries))
+                last = sims[np.where(size > 0, start + np.minimum(size, k) - 1, 0)]
+                keep = sims >= last[asked]
+                yield pd.DataFrame({"query_id": query_ids[asked[keep]], "uuid": ids[rows[keep]], "score": sims[keep]})
 
     return run
 
 
-def _met_in_buckets(vectors: DataFrame, queries: DataFrame, planes: _Planes, min_score: float | None, schema: T.StructType) -> DataFrame:
-    """More queries than one matrix holds: a join on (size, table, bucket), each pair in its first table."""
-
-    def hashed(id: str, sought: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for dim in {len(v) for v in batch["embedding"]}:
-                    units, at = _unit_rows(batch["embedding"], dim)
-                    if len(units):
-                        places = planes.probed(units) if sought else planes.buckets(units)[:, :, None]
-                        yield pd.DataFrame({id: batch[id].to_numpy()[at], "unit": list(units), "places": [[list(t) for t in x] for x in places.transpose(1, 0, 2).tolist()]})
-
-        return run
-
-    def placed(df: DataFrame, id: str, sought: bool) -> DataFrame:
-        columns = f"{id} {df.schema[id].dataType.simpleString()}, unit array<double>, places array<array<long>>"
-        return df.mapInPandas(hashed(id, sought), columns).select("*", F.posexplode("places").alias("table", "_p")).select("*", F.explode("_p").alias("bucket")).drop("_p")
-
-    asked = placed(queries, "query_id", True).select("query_id", "table", "bucket", F.col("unit").alias("_q"), F.col("places").alias("_places"))
-    meets = F.zip_with("places", "_places", lambda a, b: F.arrays_overlap(a, b))
-    dot = F.aggregate(F.zip_with("unit", "_q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    met = placed(vectors, "uuid", False).join(asked, ["table", "bucket"]).filter(F.size("unit") == F.size("_q"))
-    scored = met.filter(F.array_position(meets, True) == F.col("table") + 1).select("query_id", "uuid", F.round(dot, SCORE_DIGITS).alias("score"))
-    return scored if min_score is None else scored.filter(F.col("score") >= min_score)
-
-
 def _hash_embed(dim: int) -> Callable[[pd.Series], pd.Series]:
     def embed(hashes: pd.Series) -> pd.Series:
         # one scatter-add for the whole batch

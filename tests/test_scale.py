@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import extraction as X
 from chronoweave.operators import text_index as I
+from chronoweave.operators import vectors as VEC
 from tests.test_extraction import ep
 from workload.views import Views
 
@@ -64,3 +65,18 @@ def test_documents_scored_in_place_equal_the_joined_postings(spark, table, k):
     assert rows(found) == rows(joined) and found.schema == joined.schema
     # only the best rows of a task leave it: no sum over all (query, document) pairs
     assert "sum(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_approximate_queries_meet_in_tiles(table, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(str(i), [float(x) for x in rng.standard_normal(8).round(1)]) for i in range(120)]
+    df = table(rows + rows[:1] + [("null", None), ("short", [1.0])], "uuid string, embedding array<float>")
+    q = table([(int(i), v) for i, v in rows[::5]], "query_id int, embedding array<float>")
+    found = lambda: sorted(map(tuple, VEC.cosine_search_ann(df, q, 3, tables=3, probes=2, bits=3).collect()))
+    want = found()
+    for name, n in (("QUERY_BLOCK", 7), ("_BLOCK_ROWS", 50), ("_PROBED_ROWS", 9)):
+        monkeypatch.setattr(VEC, name, n)
+    assert found() == want
+    # no row per (pair, table): the tiles keep the best of their pairs only
+    plan = VEC.cosine_search_ann(df, q, 3, tables=3, probes=2, bits=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Join" not in plan
