@@ -224,7 +224,9 @@ def bm25_search(
     )
     if in_place and index.words is not None and allowed is None and small:
         weights = weighted.limit(WEIGHTS_AT_HAND + 1).collect()
-        if 0 < len(weights) <= WEIGHTS_AT_HAND:
+        # rows that share an id are one document: their sums need the postings
+        shared = index.words.groupBy("doc_uuid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        if 0 < len(weights) <= WEIGHTS_AT_HAND and shared.isEmpty():
             return _best_documents(index.words, weights, queries, k)
     scored = (
         _only_terms(index.postings, wanted, small)

@@ -80,3 +80,10 @@ def test_many_approximate_queries_meet_in_tiles(table, monkeypatch):
     # no row per (pair, table): the tiles keep the best of their pairs only
     plan = VEC.cosine_search_ann(df, q, 3, tables=3, probes=2, bits=3)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroups" in plan and "Join" not in plan
+
+
+def test_rows_of_one_id_are_one_document(table):
+    docs = table([("a", "red fox"), ("a", "red"), ("b", "red red")], "id string, text string")
+    index, q = I.build_index(docs, "id", F.col("text")), table([(1, "red fox")], "query_id int, text string")
+    joined = I.bm25_search(index, q, 5).collect()
+    assert sorted(I.bm25_search(index, q, 5, in_place=True).collect()) == sorted(joined) and len(joined) == 2
