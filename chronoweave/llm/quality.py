@@ -9,10 +9,13 @@ most of the rows costs nothing extra.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import BLANKS, WORD, let, total, words
+from chronoweave.llm.common import BLANKS, WORD, let, total
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -20,10 +23,14 @@ MAX_REPEAT_PERCENT = 30
 MAX_LOSS_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
-# Line ends that close a sentence, possibly inside quotes or brackets.
-SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+# Signs that close a sentence, and quotes or brackets that may follow them.
+SENTENCE_ENDS = ".!?:;…。！？"
+CLOSERS = "\"'”’»)]"
+# Line terminators other than white space; one may end a line.
+TERMINATORS = "\u0085\u2028\u2029"
 # Signs between the entries of a navigation bar.
-NAVIGATION_SIGN = r"(?:^|[\x20\x09])(?:\||»|›|•|>)(?=[\x20\x09]|$)"
+NAVIGATION_SIGNS = "|»›•>"
+NAVIGATION_SIGN = rf"(?:^|[\x20\x09])[{NAVIGATION_SIGNS}](?=[\x20\x09]|$)"
 # Phrases of page furniture, in lower case.
 BOILERPLATE = (
     "all rights reserved", "click here", "cookie policy", "enable javascript", "lorem ipsum", "privacy policy",
@@ -31,17 +38,43 @@ BOILERPLATE = (
 )
 
 
+def _without(text: Column, signs: str) -> Column:
+    return reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit("")), signs, text)
+
+
 def _chars(text: Column) -> Column:
     """Code points that are not white space."""
-    return F.length(F.translate(text, BLANKS, "")).cast("long")
+    return F.length(_without(text, BLANKS)).cast("long")
+
+
+def _split_words(text: Column) -> Column:
+    """Words in order; splitting at a single sign needs no pattern."""
+    blank = reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit(" ")), BLANKS[1:], text)
+    return F.array_remove(F.split(blank, " "), "")
+
+
+def _has_words(line: Column) -> Column:
+    return F.ltrim(line, F.lit(BLANKS)) != ""
+
+
+def _ends_with(line: Column, signs: str) -> Column:
+    return reduce(or_, [F.endswith(line, F.lit(sign)) for sign in signs])
+
+
+def _closed(line: Column) -> Column:
+    """Whether a line ends a sentence, apart from white space, quotes and brackets."""
+    whole = F.when(_ends_with(line, TERMINATORS), F.left(line, F.length(line) - 1)).otherwise(line)
+    return _ends_with(F.rtrim(F.rtrim(whole, F.lit(BLANKS)), F.lit(CLOSERS)), SENTENCE_ENDS)
 
 
 def line_fails(line: Column) -> Column:
     """Whether a line with words fails the punctuation, navigation or boilerplate rule."""
     signs = F.regexp_count(line, F.lit(NAVIGATION_SIGN))
-    navigation = (signs >= 3) & (signs * 5 >= F.regexp_count(line, F.lit(WORD)))
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return ~line.rlike(SENTENCE_END) | navigation | boilerplate
+    # most lines hold no such sign at all
+    navigation = reduce(or_, [F.contains(line, F.lit(sign)) for sign in NAVIGATION_SIGNS])
+    navigation = navigation & (signs >= 3) & (signs * 5 >= F.regexp_count(line, F.lit(WORD)))
+    boilerplate = let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE]))
+    return ~_closed(line) | navigation | boilerplate
 
 
 def repeated_words(found: Column) -> Column:
@@ -53,10 +86,15 @@ def repeated_words(found: Column) -> Column:
     """
     starts = F.size(found) - (WINDOW - 1)
 
-    def hashed(codes: Column) -> Column:
-        return F.transform(
-            F.slice(codes, 1, starts), lambda x, i: F.xxhash64(x, *[F.get(codes, i + k) for k in range(1, WINDOW)])
-        )
+    def wider(hashes: Column, by: int) -> Column:
+        """Hashes of windows that are wider by so many words; the array stays as long."""
+        return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + by)))
+
+    def whole_windows(hashes: Column, width: int) -> Column:
+        return F.slice(hashes, 1, F.size(hashes) - (width - 1))
+
+    def repeats(hashes: Column) -> Column:
+        return F.size(F.array_distinct(hashes)) < F.size(hashes)
 
     def covered(hashes: Column) -> Column:
         rows = F.array_sort(
@@ -76,13 +114,27 @@ def repeated_words(found: Column) -> Column:
 
         return let(let(rows, at), length)
 
-    def count(codes: Column) -> Column:
-        return let(
-            hashed(codes),
-            lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")),
-        )
-
-    return F.when(starts >= 2, let(F.transform(found, lambda w: F.xxhash64(w)), count)).otherwise(F.lit(0).cast("long"))
+    def count(halves: Column) -> Column:
+        # a window that is there twice has its first half there twice
+        eights = let(wider(halves, WINDOW // 2), lambda h: whole_windows(h, WINDOW))
+        full = let(eights, lambda h: F.when(repeats(h), covered(h)).otherwise(none))
+        return F.when(repeats(whole_windows(halves, WINDOW // 2)), full).otherwise(none)
+
+    none = F.lit(0).cast("long")
+    ones = F.transform(found, lambda w: F.xxhash64(w))
+    halves = let(let(ones, lambda h: wider(h, 1)), lambda h: wider(h, 2))
+    return F.when(starts >= 2, let(halves, count)).otherwise(none)
+
+
+def _by_lines(whole: Column, lines: Column, fails: Column) -> Column:
+    """Number and characters of the failing lines, and the text without them."""
+    failing = F.filter(lines, lambda x, i: F.get(fails, i))
+    left = F.filter(lines, lambda x, i: ~F.get(fails, i))
+    return F.struct(
+        F.size(failing).cast("long").alias("n_failed_lines"),
+        total(F.transform(failing, _chars)).alias("lost"),
+        F.when(F.array_contains(fails, True), F.array_join(left, "\n")).otherwise(whole).alias("clean_text"),
+    )
 
 
 def judge_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -97,21 +149,28 @@ def judge_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n")
-    spoken = F.filter(lines, lambda x: x.rlike(WORD))
-    kept_lines = let(lines, lambda a: F.filter(a, lambda x: ~x.rlike(WORD) | ~line_fails(x)))
-    out = docs.withColumns(
+
+    def judged(of: Column) -> Column:
+        # each line is judged once; what depends on it is one value, also where a filter on it is pushed down
+        return let(F.transform(of, lambda x: _has_words(x) & line_fails(x)), lambda fails: _by_lines(whole, of, fails))
+
+    def counted(found: Column) -> Column:
+        return F.struct(F.size(found).cast("long").alias("n_words"), repeated_words(found).alias("n_repeat_words"))
+
+    out = docs.withColumns({"_quality_lines": let(lines, judged), "_quality_words": let(_split_words(whole), counted)})
+    out = out.withColumns(
         {
-            "n_words": F.regexp_count(whole, F.lit(WORD)).cast("long"),
+            "n_words": F.col("_quality_words.n_words"),
             "word_chars": _chars(whole),
-            "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": let(spoken, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
-            "n_repeat_words": let(words(F.col(text)), repeated_words),
-            "n_failed_lines": F.size(F.filter(spoken, line_fails)).cast("long"),
-            "clean_text": F.array_join(kept_lines, "\n"),
+            "n_symbols": (F.length(whole) - F.length(_without(whole, SYMBOLS))).cast("long"),
+            "n_dup_lines": let(F.filter(lines, _has_words), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
+            "n_repeat_words": F.col("_quality_words.n_repeat_words"),
+            "n_failed_lines": F.col("_quality_lines.n_failed_lines"),
+            "clean_text": F.col("_quality_lines.clean_text"),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    lost = F.col("word_chars") - _chars(F.col("clean_text"))
+    lost = F.col("_quality_lines.lost")
     out = out.withColumns(
         {
             "base_failed": failed,
@@ -119,7 +178,7 @@ def judge_documents(docs: DataFrame, text: str = "text") -> DataFrame:
             "kept": ~failed & (lost * 100 <= F.col("word_chars") * MAX_LOSS_PERCENT),
         }
     )
-    return out
+    return out.drop("_quality_lines", "_quality_words")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:

@@ -55,3 +55,19 @@ def test_cleaning_keeps_the_columns(spark):
     assert got.columns == docs.columns
     assert [(r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()] == [(1, PROSE, len(PROSE))]
     assert quality.clean_documents(docs.limit(0)).count() == 0
+
+
+def test_lines_are_judged_once(spark, monkeypatch):
+    calls, rule = [], quality.line_fails
+    monkeypatch.setattr(quality, "line_fails", lambda x: calls.append(1) or rule(x))
+    quality.judge_documents(spark.createDataFrame([(1, PROSE)], "doc_id long, text string"))
+    assert len(calls) == 1
+
+
+def test_line_ends_as_by_pattern(spark):
+    ends = ["", ".", "!", "。", "…", '."', ".”)", ".\r", ". \t", ". ", '.") \u0085', ".  ", ".  ", " ", '"', "a)", ". a"]
+    rows = [(i, "some words" + e) for i, e in enumerate(ends)]
+    pattern = "[.!?:;…。！？][\"'”’»)\\]]*[\\x20\\x09-\\x0D]*$"
+    got = spark.createDataFrame(rows, "i long, line string").selectExpr("*", "line").toDF("i", "line", "again")
+    for r in got.select("line", quality._closed(got["line"]).alias("closed"), got["line"].rlike(pattern).alias("by_pattern")).collect():
+        assert r["closed"] == r["by_pattern"], repr(r["line"])
