@@ -54,31 +54,40 @@ def _stored(entities: DataFrame) -> DataFrame:
 def _fold(rows: DataFrame) -> DataFrame:
     """One entity per uuid.
 
-    Attributes are folded one row per (entity, attribute) first.  A vector stays
-    with the name it was made for.
+    One pass folds rows per (entity, attribute); what a row says of the entity
+    itself stands beside its first attribute only.  A vector stays with the name
+    it was made for.
     """
-    values = (
-        rows.select("uuid", "created_at", F.explode("attributes").alias("k", "v"))
-        .groupBy("uuid", "k")
-        .agg(F.max_by("v", F.struct("created_at", "v")).alias("v"))
-        .groupBy("uuid")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("attributes"))
+    itself = F.struct("created_at", "name", F.col("name_embedding").isNull().alias("bare"), "name_embedding")
+    split = rows.select(
+        "uuid", "created_at", itself.alias("_self"), "labels", "group_id", "summary",
+        F.posexplode_outer("attributes").alias("_pos", "k", "v"),
     )
-    first = F.min(F.struct("created_at", "name", F.col("name_embedding").isNull().alias("bare"), "name_embedding")).alias("_first")
-    itself = rows.groupBy("uuid").agg(
-        first,
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"),
+    head = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    value = F.struct("created_at", "v")
+    folded = split.groupBy("uuid", "k").agg(
+        F.max_by("v", F.when(F.col("_pos").isNotNull(), value)).alias("v"),
+        F.min(F.when(head, F.col("_self"))).alias("_first"),
+        F.collect_set(F.when(head, F.col("labels"))).alias("labels"),
+        F.first("group_id").alias("group_id"),
+        F.max(F.when(head, F.col("summary"))).alias("summary"),
+    )
+    pair = F.when(F.col("k").isNotNull(), F.struct("k", "v"))
+    whole = folded.groupBy("uuid").agg(
+        F.min("_first").alias("_first"),
+        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("labels"))))).alias("labels"),
         F.first("group_id").alias("group_id"),
         F.max("summary").alias("summary"),
+        F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("attributes"),
     )
-    return itself.join(values, "uuid", "left").select(
+    return whole.select(
         "uuid",
         "_first.name",
         F.coalesce("summary", F.lit("")).alias("summary"),
         "labels",
         "group_id",
         "_first.created_at",
-        F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes"),
+        "attributes",
         "_first.name_embedding",
     )
 
