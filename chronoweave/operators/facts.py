@@ -76,16 +76,16 @@ def split_relations(facts: DataFrame, relations: DataFrame) -> tuple[DataFrame,
     return facts.join(keys, same, "left_semi"), facts.join(keys, same, "left_anti")
 
 
-def _united(facts: DataFrame, key: list[str]) -> DataFrame:
-    """(key, _episodes): sources of all sightings of a fact, united map-side."""
-    return facts.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("episodes")))).alias("_episodes"))
+def _united() -> Column:
+    """Sources of all sightings of a fact, united map-side."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("episodes"))))
 
 
 def _with_sources(kept: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
     """`kept` with the episodes of all rows of `whole` that have the same key."""
     if "episodes" not in whole.columns:
         return kept
-    united = _united(whole, key).select(*[F.col(c).alias(f"_k_{c}") for c in key], "_episodes")
+    united = whole.groupBy(*key).agg(_united().alias("_episodes")).select(*[F.col(c).alias(f"_k_{c}") for c in key], "_episodes")
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
     joined = kept.join(united, same, "left").withColumn("episodes", F.coalesce("_episodes", "episodes"))
     return joined.drop("_episodes", *[f"_k_{c}" for c in key])
@@ -161,15 +161,16 @@ def _validity(whole: DataFrame, single_valued: list[str], hot_rows: int, unite_e
         single = _with_sources(single, alone, [*_RELATION, "valid_at", "uuid"])
     others = whole.filter(~_is_single(single_valued))
     columns = [c for c in whole.columns if c not in [*_RELATION, "target_node_uuid"]]
+    # the earliest row and the episodes of all rows come from one pass over them
+    united = [_united().alias("_episodes")] if unite_episodes and "episodes" in columns else []
+    own = [c for c in columns if not (united and c == "episodes")]
     tie = [c for c in ("fact",) if c in columns]
-    earliest = F.min_by(F.struct(*columns), F.struct("valid_at", "created_at", "uuid", *tie))
+    earliest = F.min_by(F.struct(*own), F.struct("valid_at", "created_at", "uuid", *tie))
     kept = (
         others.groupBy(*_RELATION, "target_node_uuid")
-        .agg(earliest.alias("_f"))
-        .select(*_RELATION, "target_node_uuid", "_f.*")
+        .agg(earliest.alias("_f"), *united)
+        .select(*_RELATION, "target_node_uuid", *[F.col(f"_f.{c}") if c in own else F.col("_episodes").alias(c) for c in columns])
     )
-    if unite_episodes:
-        kept = _with_sources(kept, others, [*_RELATION, "target_node_uuid"])
     if "invalid_at" not in whole.columns:
         kept = kept.withColumns({c: F.lit(None).cast("timestamp") for c in ("invalid_at", "expired_at")})
     return single.unionByName(kept)

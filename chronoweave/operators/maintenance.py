@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators.lookup import unknown_ids
 from chronoweave.operators.ordered import broadcast_if_small
 from chronoweave.schema import GRAPH_TABLES
+from chronoweave.session import cut_lineage
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: str = "uuid", order: list[str] | None = None) -> DataFrame:
@@ -64,27 +65,32 @@ def graph_status(tables: dict[str, DataFrame]) -> DataFrame:
     """Counts, newest episode, active facts and referential checks per group.
 
     References are counted per (group, node) before they meet the entities, so
-    a hub node is one row there.
+    a hub node is one row there.  Tables may be the ends of long plans: facts,
+    mentions and entities are gone through once each, their counts kept.
     """
     episodes, entities, facts, mentions = (
         tables[n] for n in list(GRAPH_TABLES) if n != "postings"
     )
     one = F.lit(1)
+    # each fact stands here twice, once per end
+    ends = facts.select(
+        "group_id", F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("node"), F.lit("fact").alias("kind"),
+        F.col("invalid_at").isNull().alias("active"),
+    )
+    named = mentions.select("group_id", F.col("entity_uuid").alias("node"), F.lit("mention").alias("kind"), F.lit(False).alias("active"))
+    counted = [F.count(one).alias("n"), F.count_if("active").alias("active")]
+    references = cut_lineage(ends.unionByName(named).groupBy("group_id", "node", "kind").agg(*counted))
+    entities = cut_lineage(entities.select("uuid", "group_id"))
+    facts_by_group = references.filter("kind = 'fact'").groupBy("group_id")
+    half = lambda c: F.expr(f"sum({c}) div 2")
     per_table = [
         episodes.groupBy("group_id").agg(
             F.count(one).alias("episodes"), F.max("reference_time").alias("newest_episode")
         ),
         entities.groupBy("group_id").agg(F.count(one).alias("entities")),
-        facts.groupBy("group_id").agg(
-            F.count(one).alias("facts"), F.count_if(F.col("invalid_at").isNull()).alias("active_facts")
-        ),
-        mentions.groupBy("group_id").agg(F.count(one).alias("mentions")),
+        facts_by_group.agg(half("n").alias("facts"), half("active").alias("active_facts")),
+        references.filter("kind = 'mention'").groupBy("group_id").agg(F.sum("n").alias("mentions")),
     ]
-    ends = facts.select(
-        "group_id", F.explode(F.array("source_node_uuid", "target_node_uuid")).alias("node")
-    ).withColumn("kind", F.lit("fact"))
-    named = mentions.select("group_id", F.col("entity_uuid").alias("node"), F.lit("mention").alias("kind"))
-    references = ends.unionByName(named).groupBy("group_id", "node", "kind").agg(F.count(one).alias("n"))
     dangling = (
         references.join(entities.select(F.col("uuid").alias("node")), "node", "left_anti")
         .groupBy("group_id")

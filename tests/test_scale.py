@@ -5,6 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave.operators.facts import apply_facts
+from chronoweave.operators.maintenance import graph_status
+from chronoweave.operators.resolution import resolve_entities
 from chronoweave.operators import extraction as X
 from chronoweave.operators import text_index as I
 from chronoweave.operators import vectors as VEC
@@ -87,3 +90,30 @@ def test_rows_of_one_id_are_one_document(table):
     index, q = I.build_index(docs, "id", F.col("text")), table([(1, "red fox")], "query_id int, text string")
     joined = I.bm25_search(index, q, 5).collect()
     assert sorted(I.bm25_search(index, q, 5, in_place=True).collect()) == sorted(joined) and len(joined) == 2
+
+
+def _planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entities_and_facts_are_folded_in_one_pass(spark):
+    candidates = spark.createDataFrame([("g", "L", "n", {"a": "1"})], "group_id string, label string, name string, attributes map<string,string>")
+    candidates = candidates.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    assert "Join" not in _planned(resolve_entities(candidates))
+    at = F.lit("2024-01-01").cast("timestamp")
+    facts = spark.createDataFrame([("u", "g", "a", "b", "knows", ["e"])], "uuid string, group_id string, source_node_uuid string, target_node_uuid string, name string, episodes array<string>")
+    facts = facts.withColumns({"fact": F.lit("f"), "created_at": at, "valid_at": at})
+    assert "Join" not in _planned(apply_facts(facts, None, []))
+
+
+def test_status_goes_through_derived_tables_once(spark):
+    at = F.lit("2024-01-01").cast("timestamp")
+    episodes = spark.createDataFrame([("e", "g")], "uuid string, group_id string").withColumn("reference_time", at)
+    entities = spark.createDataFrame([("a", "g")], "uuid string, group_id string")
+    facts = spark.createDataFrame([("f", "g", "a", "b"), ("h", None, "a", "a")], "uuid string, group_id string, source_node_uuid string, target_node_uuid string").withColumn("invalid_at", at)
+    mentions = spark.createDataFrame([("e", "a", "g"), ("e", "a", None)], "episode_uuid string, entity_uuid string, group_id string")
+    status = graph_status({"episodes": episodes, "entities": entities, "facts": facts, "mentions": mentions})
+    plan = _planned(status)
+    assert "invalid_at" not in plan and "entity_uuid" not in plan
+    got = sorted((r["group_id"] or "", r["facts"], r["active_facts"], r["mentions"], r["status"]) for r in status.collect())
+    assert got == [("", 0, 0, 1, "ok"), ("", 1, 0, 0, "ok"), ("g", 1, 0, 1, "error")]
