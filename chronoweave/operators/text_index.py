@@ -77,15 +77,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _score_words(weights: list, k: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scores of whole documents, per span the k best of each query.
+def _terms_of(weights: list) -> list[str]:
+    return list(dict.fromkeys(w["term"] for w in weights))
+
+
+def _best_of(weights: list, k: int) -> tuple[list, np.ndarray, Callable]:
+    """(query ids, queries of each term, function to the k best of each query).
 
-    `weights` has (query_id, term, idf, avgdl).  Scores that rounding could make
-    equal to the last one kept stay too.
+    `weights` has (query_id, term, idf, avgdl).  The function takes postings as
+    (document, term, tf, dl), all those of a document at once, and gives
+    (document, query, score); scores that rounding could make equal to the last
+    one kept stay too.
     """
     query_ids = list(dict.fromkeys(w["query_id"] for w in weights))
     place = {q: i for i, q in enumerate(query_ids)}
-    terms = list(dict.fromkeys(w["term"] for w in weights))
+    terms = _terms_of(weights)
     code = {t: i for i, t in enumerate(terms)}
     of_term = np.array([code[w["term"]] for w in weights])
     order = np.argsort(of_term, kind="stable")
@@ -112,6 +118,14 @@ def _score_words(weights: list, k: int, id_type: pa.DataType) -> Callable[[Itera
         keep = score >= last[asked] - 10.0**-SCORE_DIGITS * 2
         return doc[keep], asked[keep], score[keep]
 
+    return query_ids, n_of, best
+
+
+def _score_words(weights: list, k: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores of whole documents, per span the k best of each query."""
+    query_ids, n_of, best = _best_of(weights, k)
+    terms = _terms_of(weights)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ids = pa.array(terms), pa.array(query_ids, id_type)
         for batch, lengths in _in_spans(batches):
@@ -136,6 +150,47 @@ def _score_words(weights: list, k: int, id_type: pa.DataType) -> Callable[[Itera
     return run
 
 
+def _score_postings(weights: list, k: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores of postings (doc_uuid, term's place, tf, dl) that come document by document, per span the k best of each query.
+
+    Postings are held until their (document, query) pairs are about
+    WORDS_AT_ONCE; the last document waits for the rest of its own.
+    """
+    query_ids, n_of, best = _best_of(weights, k)
+
+    def scored(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        coded = held.column("doc_uuid").combine_chunks().dictionary_encode(null_encoding="encode")
+        rows = coded.indices.to_numpy()
+        columns = [held.column(c).to_numpy() for c in ("_term", "tf", "dl")]
+        for part in _spans(np.bincount(rows, weights=n_of[columns[0]]).astype(np.int64)):
+            here = slice(*np.searchsorted(rows, [part.start, part.stop]))
+            doc, asked, score = best(rows[here], *[c[here] for c in columns])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query_ids, id_type).take(pa.array(asked)), coded.dictionary.take(pa.array(doc)), pa.array(score)],
+                names=["query_id", "uuid", "score"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        pairs = 0
+        for batch in batches:
+            held.append(batch)
+            pairs += int(n_of[batch.column("_term").to_numpy()].sum())
+            if pairs < WORDS_AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held)
+            ids = table.column("doc_uuid").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if cut:
+                yield from scored(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            pairs = int(n_of[table.column("_term").to_numpy()[cut:]].sum())
+        if sum(len(b) for b in held):
+            yield from scored(pa.Table.from_batches(held))
+
+    return run
+
+
 def term_bucket(term: Column) -> Column:
     """Folder of a term in a stored index."""
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
@@ -205,8 +260,10 @@ def bm25_search(
 
     Statistics are those of the whole index; `allowed` (uuid) restricts the
     candidates only.  The query words are broadcast after a size check, so the
-    postings of a frequent word are scored where they are and the shuffle is by
-    (query, document).  Of a stored index only the folders of the query words
+    postings of a frequent word are found where they are; they are brought
+    together by document and scored there, k best per query and span, so no
+    (query, document) pair is shuffled or held.  With more query words the
+    shuffle is by (query, document).  Of a stored index only the folders of the query words
     are read.  With `in_place`, a task scores the whole documents of an index
     that has them at hand, and sends its k best per query only.
     """
@@ -222,12 +279,13 @@ def bm25_search(
         .crossJoin(F.broadcast(index.stats))  # one row
         .select("query_id", "term", idf.alias("idf"), "avgdl")
     )
-    if in_place and index.words is not None and allowed is None and small:
+    if small:
         weights = weighted.limit(WEIGHTS_AT_HAND + 1).collect()
-        # rows that share an id are one document: their sums need the postings
-        shared = index.words.groupBy("doc_uuid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if 0 < len(weights) <= WEIGHTS_AT_HAND and shared.isEmpty():
-            return _best_documents(index.words, weights, queries, k)
+        if 0 < len(weights) <= WEIGHTS_AT_HAND:
+            # rows that share an id are one document: their sums need the postings
+            if in_place and index.words is not None and allowed is None and not _ids_shared(index.words):
+                return _best_documents(index.words, weights, queries, k)
+            return _best_by_document(_only_terms(index.postings, wanted, small), weights, queries, k, allowed)
     scored = (
         _only_terms(index.postings, wanted, small)
         .join(_hinted(weighted, small), "term")
@@ -241,15 +299,34 @@ def bm25_search(
     return top_k(scored, k, [F.desc("score")], ["uuid"], ["query_id"])
 
 
+def _ids_shared(words: DataFrame) -> bool:
+    return not words.groupBy("doc_uuid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def _best_by_document(postings: DataFrame, weights: list, queries: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+    """The k best documents from the postings of the weighted words, sorted by document in every task."""
+    terms = [(t, i) for i, t in enumerate(_terms_of(weights))]
+    places = F.broadcast(postings.sparkSession.createDataFrame(terms, "term string, _term long"))
+    found = postings.join(places, "term").select("doc_uuid", "_term", "tf", "dl")
+    if allowed is not None:
+        found = found.join(allowed.select(F.col("uuid").alias("doc_uuid")), "doc_uuid", "left_semi")
+    found = found.repartition("doc_uuid").sortWithinPartitions("doc_uuid")
+    return _ranked(found, _score_postings, weights, queries, k)
+
+
 def _best_documents(words: DataFrame, weights: list, queries: DataFrame, k: int) -> DataFrame:
+    return _ranked(words, _score_words, weights, queries, k)
+
+
+def _ranked(rows: DataFrame, scorer: Callable, weights: list, queries: DataFrame, k: int) -> DataFrame:
     id_field = queries.select("query_id").schema["query_id"]
     schema = T.StructType(
         [
             T.StructField("query_id", id_field.dataType),
-            T.StructField("uuid", words.schema["doc_uuid"].dataType),
+            T.StructField("uuid", rows.schema["doc_uuid"].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    score = _score_words(weights, k, to_arrow_type(id_field.dataType))
-    found = words.mapInArrow(score, schema).withColumn("score", F.round("score", SCORE_DIGITS))
+    score = scorer(weights, k, to_arrow_type(id_field.dataType))
+    found = rows.mapInArrow(score, schema).withColumn("score", F.round("score", SCORE_DIGITS))
     return top_k(found, k, [F.desc("score")], ["uuid"], ["query_id"])

@@ -250,3 +250,43 @@ def test_postings_are_not_shuffled_by_word(table):
     """The query words are broadcast: a frequent word stays where its postings are."""
     plan = bm25_search(index(table), table([(0, "red")], "query_id int, text string"), 3)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [term" in plan and "hashpartitioning(query_id" in plan
+
+
+def test_postings_are_scored_document_by_document(spark, monkeypatch):
+    from chronoweave.operators import text_index as I
+
+    words = ["oak", "elm", "ash", "fir", "yew", "box"]
+    rows = [(i % 37 if i % 11 else None, " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 5))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    queries = spark.createDataFrame([(q, " ".join(words[q % 6 :])) for q in range(12)], "query_id long, text string")
+    index = I.build_index(docs, "id", F.col("text"))
+    allowed = docs.filter("id % 2 = 0").select(F.col("id").alias("uuid"))
+    found = [I.bm25_search(index, queries, 4, a) for a in (None, allowed)]
+    # no (query, document) pair is summed by a shuffle: only the k best of each span are sent
+    assert "Aggregate" not in found[0]._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(I, "WEIGHTS_AT_HAND", 0)
+    plain = [I.bm25_search(index, queries, 4, a) for a in (None, allowed)]
+    for new, old in zip(found, plain, strict=True):
+        assert sorted(map(repr, new.collect())) == sorted(map(repr, old.select(*new.columns).collect()))
+
+
+def test_documents_cut_over_batches_are_scored_whole(monkeypatch):
+    import pyarrow as pa
+
+    from chronoweave.operators import text_index as I
+
+    rng = np.random.default_rng(3)
+    weights = [{"query_id": q, "term": f"t{t}", "idf": 0.5 + t, "avgdl": 9.0} for q in range(5) for t in range(8) if (q + t) % 2]
+    ids = [None] * 40 + sorted(rng.integers(0, 30, 400).tolist())
+    columns = [pa.array(ids, pa.int64()), *[pa.array(rng.integers(0, n, 440)) for n in (8, 5, 20)]]
+    whole = pa.RecordBatch.from_arrays(columns, ["doc_uuid", "_term", "tf", "dl"])
+    score = I._score_postings(weights, 1000, pa.int64())
+
+    def found(size):
+        batches = [whole.slice(lo, size) for lo in range(0, len(whole), size)]
+        return sorted((repr(r["uuid"]), r["query_id"], round(r["score"], 9)) for b in score(iter(batches)) for r in b.to_pylist())
+
+    at_once = found(len(whole))
+    assert len({r[:2] for r in at_once}) == len(at_once)
+    monkeypatch.setattr(I, "WORDS_AT_ONCE", 30)
+    assert found(7) == at_once and found(100) == at_once
