@@ -206,3 +206,12 @@ def is_small(df: DataFrame, max_rows: int = 100_000) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint behind a check of the row count; without it Spark shuffles."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+# Rows that one task makes distinct or sorts when tasks are counted out.
+TASK_ROWS = 250_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Into how many tasks a shuffle of `rows` rows is dealt, so that memory of a task does not grow with them."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))

@@ -22,7 +22,7 @@ BATCH = "batch_id"
 
 def _append(df: DataFrame, out: str, table: str, batch_id: int) -> None:
     """Each micro-batch owns one folder: a replay replaces its own rows only."""
-    df.write.mode("overwrite").parquet(f"{out}/{table}/{BATCH}={batch_id}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{table}/{BATCH}={batch_id}")
 
 
 def ingest_batch(
@@ -79,9 +79,13 @@ def _last_batches(log: dict[str, DataFrame]) -> DataFrame:
 
 
 def _current(df: DataFrame, last: DataFrame, uuid: str) -> DataFrame:
-    """Rows that came with the last arrival of their episode."""
+    """Rows that came with the last arrival of their episode.
+
+    Normalised episodes have a uuid, and no row comes after the last arrival:
+    the join deals rows by uuid alone, which what follows can build on.
+    """
     of = last.select(F.col("uuid").alias("_u"), "_last")
-    return df.join(of, F.col(uuid).eqNullSafe(F.col("_u")) & (F.col(BATCH) == F.col("_last")), "left_semi").drop(BATCH)
+    return df.join(of, (F.col(uuid) == F.col("_u")) & (F.col(BATCH) >= F.col("_last")), "left_semi").drop(BATCH)
 
 
 def _current_facts(facts: DataFrame, last: DataFrame) -> DataFrame:

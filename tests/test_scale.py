@@ -1,5 +1,7 @@
 """Work that has to grow no faster than its input."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,10 +9,12 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators.facts import apply_facts
 from chronoweave.operators.maintenance import graph_status
-from chronoweave.operators.resolution import resolve_entities
+from chronoweave.operators import resolution as R
+from chronoweave.operators.resolution import build_mentions, resolve_entities
 from chronoweave.operators import extraction as X
 from chronoweave.operators import text_index as I
 from chronoweave.operators import vectors as VEC
+from chronoweave.streaming import ingest
 from tests.test_extraction import ep
 from workload.views import Views
 
@@ -117,3 +121,46 @@ def test_status_goes_through_derived_tables_once(spark):
     assert "invalid_at" not in plan and "entity_uuid" not in plan
     got = sorted((r["group_id"] or "", r["facts"], r["active_facts"], r["mentions"], r["status"]) for r in status.collect())
     assert got == [("", 0, 0, 1, "ok"), ("", 1, 0, 0, "ok"), ("g", 1, 0, 1, "error")]
+
+
+CANDIDATES = "episode_uuid string, group_id string, label string, name string, attributes map<string,string>, hour int"
+
+
+def _candidates(table):
+    rows = [
+        ("e1", "g", "L", " Ann  Lee", {"a": "1", "b": "x"}, 1), ("e2", "g", "L", "ann lee", {"a": "2"}, 2), ("e2", "g", "L", "ANN LEE", {"a": "3"}, 2),
+        ("e1", "g", "L", "Ann Lee", {}, None), ("e3", None, "L", "ann lee", None, 1), ("e3", "", "L", None, {"z": None}, 1),
+        ("e3", "", None, "", {"z": "q"}, 1), ("e3", "", None, None, {"z": "r"}, 1), (None, "g", "M", "x", {"a": "1"}, 3),
+    ]
+    hour = F.make_interval(hours=F.col("hour"))
+    return table(rows, CANDIDATES).withColumn("created_at", F.lit("2024-01-01").cast("timestamp") + hour).drop("hour")
+
+
+def test_candidates_fold_alike_by_name_and_by_id(table):
+    rows = _candidates(table)
+    text = lambda df: sorted(map(repr, df.withColumn("attributes", F.sort_array(F.map_entries("attributes"))).collect()))
+    by_name, by_id = resolve_entities(rows), R._fold(R._as_rows(rows))
+    assert by_name.columns == by_id.columns and text(by_name) == text(by_id)
+    pairs = rows.select("episode_uuid", R.entity_id().alias("entity_uuid"), "group_id").distinct()
+    assert sorted(map(repr, build_mentions(rows).collect())) == sorted(map(repr, pairs.collect()))
+
+
+def test_ids_are_made_when_shuffles_are_over(table):
+    for df in (resolve_entities(_candidates(table)), build_mentions(_candidates(table))):
+        keys = re.findall(r"Aggregate \[(.*?)\]", _planned(df))
+        assert keys and not [k for k in keys if re.search(r"\b(entity_)?uuid#", k)]
+
+
+def test_the_last_arrivals_are_dealt_by_uuid_alone(spark, table):
+    rows = table([("a", 0), ("a", 1), ("b", 0), ("b", 0)], "uuid string, batch_id long")
+    last = ingest._last_batches({"episodes": rows, "failed": rows.limit(0)})
+    current = ingest._current(rows.withColumn("x", F.lit(1)), last, "uuid")
+    assert sorted(map(tuple, current.collect())) == [("a", 1), ("b", 1), ("b", 1)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:  # what is made distinct afterwards is where it has to be
+        plan = current.distinct()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and not [x for x in dealt if not re.fullmatch(r"uuid#\d+|_u#\d+", x)]
