@@ -792,6 +792,7 @@ def h2_conversations_to_episodes(v: Views) -> DataFrame:
 
 # --- J
 # JSON keeps milliseconds unless told otherwise.
+ARRIVAL_ROWS = 50_000
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
@@ -803,7 +804,10 @@ def _halves(df: DataFrame, at_column: str) -> list[DataFrame]:
 
 
 def _arrive(df: DataFrame, inbox: str, fmt: str = "json") -> None:
-    df.write.mode("append").format(fmt).option("timestampFormat", MICROS).save(inbox)
+    files = df.write.mode("append").format(fmt).option("timestampFormat", MICROS)
+    if fmt != "parquet":  # a packed text file is one split, so files stay small
+        files = files.option("compression", "gzip").option("maxRecordsPerFile", ARRIVAL_ROWS)
+    files.save(inbox)
 
 
 @query
