@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.operators.ordered import broadcast_if_small
+from chronoweave.operators.ordered import broadcast_if_small, is_small, tasks_for
 from chronoweave.operators.projection import format_fact
 from chronoweave.schema import (
     AVAILABLE,
@@ -52,10 +52,25 @@ def get_fact(facts: DataFrame, uuid: str) -> DataFrame:
 
 def get_facts(facts: DataFrame, uuids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C3, many facts: the formatted rows, and the uuids that do not exist."""
-    wanted = broadcast_if_small(uuids.select("uuid").distinct())
+    wanted, facts = meeting(uuids, facts)
     return format_fact(facts.join(wanted, "uuid", "left_semi")), unknown_ids(wanted, facts)
 
 
+def meeting(ids: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct `ids` (uuid), and `table` as it is to be joined with them.
+
+    Few ids are broadcast.  Many, and the table, are dealt by uuid to tasks of
+    bounded size before anything is made distinct: a scan that makes millions
+    of different ids distinct holds them all, and Spark, which takes a packed
+    file for a small one, would broadcast them.
+    """
+    ids = ids.select("uuid")
+    if is_small(ids):
+        return F.broadcast(ids.distinct()), table
+    n = tasks_for(table, max(table.count(), ids.count()))
+    return ids.repartition(n, "uuid").distinct().hint("merge"), table.repartition(n, "uuid")
+
+
 def unknown_ids(ids: DataFrame, table: DataFrame) -> DataFrame:
     """The `ids` (uuid) that `table` does not have.
 

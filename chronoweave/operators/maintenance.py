@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators.lookup import unknown_ids
+from chronoweave.operators.lookup import meeting, unknown_ids
 from chronoweave.operators.ordered import broadcast_if_small
 from chronoweave.schema import GRAPH_TABLES
 from chronoweave.session import cut_lineage
@@ -28,7 +28,7 @@ def upsert(target: DataFrame, updates: DataFrame, key: str = "uuid", order: list
 
 def delete_facts(facts: DataFrame, uuids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """G1: facts without the given ones, and the uuids that do not exist."""
-    gone = broadcast_if_small(uuids.select("uuid").distinct())
+    gone, facts = meeting(uuids, facts)
     return facts.join(gone, "uuid", "left_anti"), unknown_ids(gone, facts)
 
 
@@ -39,7 +39,7 @@ def delete_episodes(
 
     Entities and facts stay.
     """
-    gone = broadcast_if_small(uuids.select("uuid").distinct())
+    gone, episodes = meeting(uuids, episodes)
     kept = episodes.join(gone, "uuid", "left_anti")
     kept_mentions = mentions.join(gone.withColumnRenamed("uuid", "episode_uuid"), "episode_uuid", "left_anti")
     return kept, kept_mentions, unknown_ids(gone, episodes)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators.facts import apply_facts
-from chronoweave.operators.maintenance import graph_status
+from chronoweave.operators.maintenance import delete_episodes, delete_facts, graph_status
 from chronoweave.operators import resolution as R
 from chronoweave.operators.resolution import build_mentions, resolve_entities
 from chronoweave.operators import extraction as X
@@ -164,3 +164,25 @@ def test_the_last_arrivals_are_dealt_by_uuid_alone(spark, table):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     assert dealt and not [x for x in dealt if not re.fullmatch(r"uuid#\d+|_u#\d+", x)]
+
+
+def test_many_ids_are_neither_broadcast_nor_held_by_a_scan(spark, table):
+    many = spark.range(150_000).select(F.concat(F.lit("e"), F.col("id") % 149_000 + 5).alias("uuid"))
+    rows = table([("e1",), ("e7",), ("e7",), (None,)], "uuid string")
+    mentions = table([("e1", "x"), ("e7", "y")], "episode_uuid string, entity_uuid string")
+    kept, kept_mentions, unknown = delete_episodes(rows, mentions, many)
+    assert sorted(str(r.uuid) for r in kept.collect()) == ["None", "e1"] and kept_mentions.collect() == [("e1", "x")]
+    assert unknown.count() == 148_999 and unknown.filter("uuid IN ('e1', 'e7')").isEmpty()
+    few = many.filter("uuid < 'e2'").limit(10).unionByName(rows.filter("uuid = 'e7'"))
+    assert delete_facts(rows, few)[0].count() == 2
+    for df in (kept, kept_mentions, unknown, delete_facts(rows, many)[1]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("Exchange hashpartitioning") :]
+        assert "Broadcast" not in plan and "HashAggregate" not in below[below.rindex("Exchange") :]
+
+
+def test_mentions_of_counted_episodes_are_dealt_before_they_are_made_distinct(table):
+    rows = _candidates(table)
+    dealt = build_mentions(rows, episodes=1_000_000_000)
+    assert "RepartitionByExpression" in _planned(dealt) and ", 4000" in _planned(dealt)
+    assert sorted(map(repr, build_mentions(rows, episodes=9).collect())) == sorted(map(repr, build_mentions(rows).collect()))

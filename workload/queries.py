@@ -736,7 +736,7 @@ def g1_delete_facts(v: Views) -> DataFrame:
 @query
 def g2_delete_episodes(v: Views) -> DataFrame:
     ep = v.json_ep()
-    mentions = build_mentions(extract_candidates(ep, False))
+    mentions = build_mentions(extract_candidates(ep, False), episodes=ep.count())
     gone = v.t("orders").select(F.concat(F.lit("ev-"), F.col("o_orderkey") + 5000).alias("uuid"))
     kept, kept_mentions, unknown = M.delete_episodes(ep, mentions, gone)
     return (
