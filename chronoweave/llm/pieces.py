@@ -95,14 +95,15 @@ class Vocabulary:
 
     def begins(self, hashes: np.ndarray) -> np.ndarray:
         """Whether a longer piece may begin with the hashed text."""
-        return self.prefixes[(hashes >> np.uint64(42)).astype(np.int32)]
+        return self.prefixes.take((hashes >> np.uint64(42)).astype(np.int64))
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Piece id per hash, -1 for none."""
-        upper = (hashes >> np.uint64(44)).astype(np.int32)
-        at = self.place[upper]
-        out = np.where((at >= 0) & (self.hashes[at] == hashes), self.ids[at], np.int32(-1))
-        again = np.flatnonzero(self.shared[upper] & (out < 0))
+        upper = (hashes >> np.uint64(44)).astype(np.int64)
+        at = self.place.take(upper)
+        known = np.maximum(at, 0)
+        out = np.where((at >= 0) & (self.hashes.take(known) == hashes), self.ids.take(known), np.int32(-1))
+        again = np.flatnonzero(self.shared.take(upper) & (out < 0))
         at = np.minimum(np.searchsorted(self.hashes, hashes[again]), len(self.hashes) - 1)
         out[again] = np.where(self.hashes[at] == hashes[again], self.ids[at], -1)
         return out
@@ -139,7 +140,7 @@ class Lattice:
     Node i is a character of a unit.  edge[i, l] is the edge of the piece of
     l + 1 characters from there, -1 for none; ids[e] its piece (-2: the bytes of
     one character) and log_share[e] its log probability among the node's edges.
-    cum[i, l] are the running probabilities, to draw from.
+    cum[i, l] are the running probabilities, to draw from; the last is beyond any draw.
     """
 
     def __init__(self, vocab: Vocabulary, codes: np.ndarray, ends: np.ndarray):
@@ -153,35 +154,34 @@ class Lattice:
         hits = []
         for length in range(1, longest + 1):
             if length > 1:
-                fits = (left[at] >= length) & vocab.begins(rolled)
-                at, rolled = at[fits], rolled[fits]
-                rolled = rolled * _BASE + value[at + length - 1]
+                fits = np.flatnonzero((left.take(at) >= length) & vocab.begins(rolled))
+                at = at.take(fits)
+                rolled = rolled.take(fits) * _BASE + value.take(at + (length - 1))
             found = vocab.lookup(rolled)
             if length == 1:
                 found = np.where(found < 0, self._bytes_of(codes), found)
             hit = np.flatnonzero(found != -1)
-            hits.append((at[hit], found[hit]))
+            hits.append((at.take(hit), found.take(hit)))
         # edges by distance of their node from the unit's end, then node, then length
         degree = np.zeros(n, np.int32)
         for where, _ in hits:
-            degree[where] += 1
+            degree[where] = degree.take(where) + 1
         order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
         place = np.empty(n, np.int32)
         place[order] = np.cumsum(degree[order]) - degree[order]
         total = int(degree.sum())
         node, length, piece = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32)
         for k, (where, found) in enumerate(hits, 1):
-            to = place[where]
+            to = place.take(where)
             node[to], length[to], piece[to] = where, k, found
-            place[where] += 1
+            place[where] = to + 1
         del order, place, hits, rolled, at, value
-        weight = np.where(piece >= 0, vocab.log_weight[piece], 0.0)
+        weight = vocab.log_weight.take(np.maximum(piece, 0))
         wide = np.flatnonzero(piece == -2)
         weight[wide] = vocab.byte_weight * _byte_count(codes[node[wide]])
         sums = np.zeros(n + 1)
         to = node + length
-        inner = to < ends[node]
-        to = np.where(inner, to, np.int32(n))
+        to = np.where(to < ends.take(node), to, np.int32(n))
         level = np.concatenate(([0], np.cumsum(np.bincount(left[node])[1:]))) if n else np.zeros(1, np.int64)
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if n else np.zeros(0, np.int64)
         begin = np.searchsorted(first, level)
@@ -191,20 +191,21 @@ class Lattice:
             if lo == hi:
                 continue
             heads = first[begin[r - 1] : begin[r]] - lo
-            t = weight[lo:hi] + sums[to[lo:hi]]
+            t = weight[lo:hi] + sums.take(to[lo:hi])
             top = np.maximum.reduceat(t, heads)
             size = np.diff(np.append(heads, hi - lo))
             whole = top + np.log(np.add.reduceat(np.exp(t - np.repeat(top, size)), heads))
             sums[node[lo:hi][heads]] = whole
             terms[lo:hi] = t - np.repeat(whole, size)
         self.ids, self.log_share = piece.astype(np.int32), terms
+        cell = node.astype(np.int64) * longest + (length - 1)
         self.edge = np.full((n, longest), -1, np.int32)
-        self.edge[node, length - 1] = np.arange(len(node), dtype=np.int32)
-        share = np.zeros((n, longest), np.float32)
-        share[node, length - 1] = np.exp(terms)
-        self.cum = np.cumsum(share, axis=1)
-        self.degree, self.last = degree, np.zeros(n, np.int8)
-        self.last[node[first]] = length[np.append(first[1:], total) - 1] - 1
+        self.edge.ravel()[cell] = np.arange(len(node), dtype=np.int32)
+        self.cum = np.zeros((n, longest), np.float32)
+        self.cum.ravel()[cell] = np.exp(terms)
+        np.cumsum(self.cum, axis=1, out=self.cum)
+        self.cum.ravel()[cell.take(np.append(first[1:], total) - 1)] = 2.0  # never passed by
+        self.degree = degree
 
     def _bytes_of(self, codes: np.ndarray) -> np.ndarray:
         """Byte piece of each ASCII character, -2 for the others."""
@@ -226,7 +227,16 @@ def _uniform(keys: np.ndarray, *places: np.ndarray | int) -> np.ndarray:
     """Uniform numbers in (0, 1) that depend on the key and the place only."""
     x = keys
     for p in places:
-        x = mix(x * _STRIDE + (p.astype(np.uint64) if isinstance(p, np.ndarray) else np.uint64(p)) + np.uint64(1))
+        x = _placed(x, p)
+    return _fraction(x)
+
+
+def _placed(x: np.ndarray, p: np.ndarray | int) -> np.ndarray:
+    """Random words further down: those of place p below x."""
+    return mix(x * _STRIDE + (p.astype(np.uint64) if isinstance(p, np.ndarray) else np.uint64(p)) + np.uint64(1))
+
+
+def _fraction(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -235,8 +245,8 @@ class _Paths:
 
     def __init__(self, lattice: Lattice, owner: np.ndarray, unit: np.ndarray, node: np.ndarray, length: np.ndarray, texts: int):
         self.owner, self.unit, self.node, self.length = owner, unit, node, length
-        self.edge = lattice.edge[node, length]
-        self.log = lattice.log_share[self.edge]
+        self.edge = lattice.edge.ravel().take(node.astype(np.int64) * lattice.edge.shape[1] + length)
+        self.log = lattice.log_share.take(self.edge)
         self.count = np.bincount(owner, minlength=texts)
         self.start = np.cumsum(self.count) - self.count
         total = np.concatenate(([0.0], np.cumsum(self.log)))
@@ -246,11 +256,14 @@ class _Paths:
 
     def open_sets(self, lattice: Lattice, steps: np.ndarray, bound: np.ndarray, keys: np.ndarray, sample: int) -> None:
         """Keys of the sets that leave at `steps`: Gumbel maxima below `bound` per text."""
-        rest = -np.expm1(self.log[steps])
-        place = self.before[steps] + np.log(np.maximum(rest, 1e-300))
-        u = _uniform(keys[self.owner[steps]], 2 * sample + 1, steps - self.start[self.owner[steps]])
-        key = -np.logaddexp(-bound[self.owner[steps]], -(place - np.log(-np.log(u))))
-        self.key[steps] = np.where((lattice.degree[self.node[steps]] == 1) | (rest <= 0), -np.inf, key)
+        steps = steps[lattice.degree.take(self.node.take(steps)) > 1]
+        owner = self.owner.take(steps)
+        rest = -np.expm1(self.log.take(steps))
+        place = self.before.take(steps) + np.log(np.maximum(rest, 1e-300))
+        u = _fraction(_placed(_placed(keys, 2 * sample + 1).take(owner), steps - self.start.take(owner)))
+        # the Gumbel maximum place - log(-log(u)), cut off at the bound
+        key = place - np.log(np.exp(np.minimum(place - bound.take(owner), 700.0)) - np.log(u))
+        self.key[steps] = np.where(rest <= 0, -np.inf, key)
 
     def best(self) -> tuple[np.ndarray, np.ndarray]:
         """(greatest key, its step) per text."""
@@ -262,20 +275,18 @@ class _Paths:
 
 def _walk(lattice: Lattice, owner: np.ndarray, unit: np.ndarray, node: np.ndarray, end: np.ndarray, keys: np.ndarray, sample: int):
     """Draws the pieces of every given unit from its node on: (owner, unit, node, length) in text order."""
-    who = np.arange(len(node))
     live = np.flatnonzero(node < end)
-    at = node.copy()
+    here, stop = node[live], end[live]
+    random = _placed(_placed(keys, 2 * sample).take(owner.take(live)), unit.take(live))
     rounds = []
     r = 0
     while len(live):
-        here = at[live]
-        u = _uniform(keys[owner[live]], 2 * sample, unit[live], r)
-        over = lattice.cum[here] > u[:, None]
-        over[np.arange(len(here)), lattice.last[here]] = True
-        length = np.argmax(over, axis=1)
-        rounds.append((who[live], here, length))
-        at[live] = here + length + 1
-        live = live[at[live] < end[live]]
+        u = _fraction(_placed(random, r))
+        length = np.argmax(lattice.cum.take(here, axis=0) > u[:, None], axis=1)
+        rounds.append((live, here, length))
+        here = here + length + 1
+        on = np.flatnonzero(here < stop)
+        live, here, stop, random = live.take(on), here.take(on), stop.take(on), random.take(on)
         r += 1
     if not rounds:
         none = np.zeros(0, np.int64)

@@ -88,3 +88,15 @@ def test_decoding_by_arrays_equals_decoding_by_pieces():
     assert pieces._decodes_to(vocab, np.concatenate(ids), offsets, [texts[d] for d, *_ in found]) == want and all(want)
     assert not any(pieces._decodes_to(vocab, np.concatenate(ids), offsets, [texts[d] + "x" for d, *_ in found]))
     pieces.SPELLED_IDS = kept
+
+
+def test_few_random_words_are_mixed_for_a_character(monkeypatch):
+    rng, mixed, plain = np.random.default_rng(5), [], pieces.mix
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(20)]
+    vocab = pieces.Vocabulary(MODEL_FILE)
+    monkeypatch.setattr(pieces, "mix", lambda x: mixed.append(x.size) or plain(x))
+    found = pieces.sample_segmentations(vocab, texts, np.arange(20, dtype=np.uint64), 2)
+    # what depends on the text or the unit alone is mixed once, and nodes with one edge are not drawn from
+    steps = sum(len(ids) for _, _, ids, _, _ in found)
+    assert sum(mixed) < 3.5 * steps, sum(mixed) / steps
