@@ -11,9 +11,12 @@ every bucket the members are compared with the least one, on their full sets,
 and those that are not near it with PIVOTS other members.  Where a bucket then
 still holds several groups, the members outside the least one's group are
 compared with all members of other groups: documents already connected need no
-comparison, so a group of near copies costs its size, not its square.  A bucket
-with more outsiders than OUTSIDERS is divided by its members' further bands
-first.  Nothing is capped.
+comparison, so a group of near copies costs its size, not its square.  Outsiders
+are paired with members only where the parities of both sets, PARITY_BITS bits
+each, differ in no more places than similar sets can: the places that differ are
+never more than the elements that do, so no link is lost.  A pair is made in the
+first bucket it shares.  A bucket with more outsiders than OUTSIDERS is divided
+by its members' further bands first.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm.components import components, few
@@ -37,6 +41,7 @@ ROWS = 5
 OUTSIDERS = 1000
 PIVOTS = 8
 SKETCH_WORDS = 3
+PARITY_BITS = 1024
 MAX_DEPTH = 3
 
 _CHUNK = 512
@@ -108,12 +113,26 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), values], ["id", "set"])
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, parity): whether an odd number of a set's hashes fall on each of PARITY_BITS places, as whole numbers."""
+    for batch in batches:
+        for lo in range(0, len(batch), _CHUNK):
+            rows = batch.slice(lo, _CHUNK)
+            sets = rows.column(1)
+            row = np.repeat(np.arange(len(rows)), pa.compute.list_value_length(sets).to_numpy())
+            place = row * PARITY_BITS + (sets.flatten().to_numpy() & (PARITY_BITS - 1))
+            odd = (np.bincount(place, minlength=len(rows) * PARITY_BITS) & 1).astype(np.uint8)
+            words = pa.array(np.packbits(odd, bitorder="little").view(np.int64))
+            offsets = pa.array(np.arange(0, len(words) + 1, PARITY_BITS // 64, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(offsets, words)], ["id", "parity"])
+
+
 class _Work:
     """Scratch tables of one run and the check of candidate pairs."""
 
     def __init__(self, texts: DataFrame, size: int, percent: int):
         self.spark, self.texts, self.size, self.percent = texts.sparkSession, texts, size, percent
-        self.calls = 0
+        self.calls, self.sets = 0, None
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, f"minhash-{name}")
@@ -140,6 +159,16 @@ class _Work:
         near_size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
         return near_size & (apart <= _most_apart(self.percent))
 
+    def parities(self) -> DataFrame:
+        """(id, parity) of the sets measured last; null for a document of several texts."""
+        found = self.sets.mapInArrow(_parities, "id long, parity array<long>")
+        return found.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.first("parity")).alias("parity"))
+
+    def possible(self) -> Column:
+        """Condition over n_a, n_b, p_a and p_b that every similar pair meets; true where a parity is not known."""
+        differ = sum((F.bit_count(F.get("p_a", F.lit(w)).bitwiseXOR(F.get("p_b", F.lit(w)))) for w in range(PARITY_BITS // 64)), F.lit(0))
+        return F.coalesce(differ * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent), F.lit(True))
+
     def compared(self, likely: DataFrame) -> DataFrame:
         """The (a, b) of `likely` whose full sets are similar enough."""
         return self.measured(likely).filter(F.col("both") * 100 >= F.col("union") * self.percent).select("a", "b")
@@ -151,7 +180,7 @@ class _Work:
         ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
         size = self.size
         sets = self.texts.join(few(ids), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, size), "id long, set array<long>")
-        sets = self.written(sets, f"sets-{self.calls}")
+        self.sets = sets = self.written(sets, f"sets-{self.calls}")
         of_a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
         of_b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
         sized = likely.join(of_b, "b").join(of_a, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
@@ -169,7 +198,7 @@ def _linked(work: _Work, firsts: DataFrame, outsiders: int) -> DataFrame | None:
 
     None when no two of them share a bucket.
     """
-    keyed = firsts.select(F.posexplode("bands").alias("band", "key"), "id")
+    keyed = firsts.select(F.posexplode("bands").alias("band", "key"), "id", F.lit(0).cast("long").alias("parent"))
     links = None
     for depth in range(MAX_DEPTH + 1):
         star = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_top")).filter("center < _top").drop("_top")
@@ -188,6 +217,7 @@ def _linked(work: _Work, firsts: DataFrame, outsiders: int) -> DataFrame | None:
             return links
         # the similarity of every member of these buckets to the least one
         known = work.measured(still.filter("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
+        parities = work.written(work.parities(), f"parities-{depth}")
         near = few(work.written(known.groupBy("a", "b").agg(F.when(F.count(F.lit(1)) == 1, F.max(F.col("both") / F.col("union"))).alias("near")), f"near-{depth}"))
         near = near.select(F.col("a").alias("center"), F.col("b").alias("id"), "near")
         out = F.col("group") != F.col("main")
@@ -195,24 +225,26 @@ def _linked(work: _Work, firsts: DataFrame, outsiders: int) -> DataFrame | None:
         light = counted.filter(F.col("outside") <= outsiders) if depth < MAX_DEPTH else counted
         rest = still.join(few(light.select("key")), "key").join(few(firsts.select("id", "n", "sketch")), "id")
         rest = rest.join(near, ["center", "id"], "left").withColumn("near", F.when(F.col("id") == F.col("center"), 1.0).otherwise(F.col("near")))
-        rest = rest.select("key", "id", "group", "n", "sketch", "near", out.alias("out"))
+        rest = rest.join(parities, "id").withColumn("keys", F.collect_set("key").over(Window.partitionBy("id", "parent")))
+        rest = rest.select("key", "id", "group", "n", "near", out.alias("out"), F.col("sketch").alias("s"), F.col("parity").alias("p"), F.col("keys").alias("k"))
         left, right = [
-            rest.select("key", F.col("id").alias(x), F.col("group").alias(f"g_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), F.col("near").alias(f"near_{x}"), F.col("out").alias(f"out_{x}"))
+            rest.select("key", F.col("id").alias(x), F.col("group").alias(f"g_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "near", "out", "s", "p", "k")])
             for x in "ab"
         ]
-        # conditions of the join itself, so that pairs that cannot be similar are never made: sizes, sketches,
-        # and the triangle inequality of Jaccard distances to the bucket's least member
+        # conditions of the join itself, so that pairs that cannot be similar are never made: sizes, sketches, the
+        # triangle inequality of Jaccard distances to the bucket's least member, and parities
         other = (F.col("g_a") != F.col("g_b")) & (~F.col("out_b") | (F.col("a") < F.col("b")))
         # (a document of several texts has no single distance)
         triangle = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) <= 1 - work.percent / 100 + 1e-9, F.lit(True))
-        cross = left.filter("out_a").join(right, "key").filter(other & triangle & work.likely()).select("a", "b").distinct()
+        first = F.array_min(F.array_intersect("k_a", "k_b")) == F.col("key")
+        cross = left.filter("out_a").join(right, "key").filter(other & triangle & work.likely() & work.possible() & first).select("a", "b").distinct()
         links = work.written(links.unionByName(work.compared(cross)), f"more-{depth}")
         heavy = counted.filter(F.col("outside") > outsiders).select("key")
         if depth == MAX_DEPTH or heavy.isEmpty():
             return links
         crowded = still.join(few(heavy), "key", "left_semi").select("id", F.col("key").alias("_key"), F.col("band").alias("_band"))
         further = crowded.join(firsts.select("id", "bands"), "id").select("*", F.posexplode("bands").alias("band", "_next"))
-        keyed = work.written(further.filter("band > _band").select("band", F.xxhash64("_key", "_next").alias("key"), "id"), f"keyed-{depth}")
+        keyed = work.written(further.filter("band > _band").select("band", F.xxhash64("_key", "_next").alias("key"), "id", F.col("_key").alias("parent")), f"keyed-{depth}")
     return links
 
 
