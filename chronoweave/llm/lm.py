@@ -16,8 +16,10 @@ of words and of classes after each context are cut by hash into parts, more of
 them the more text there is.  Documents are packed into batches of bounded
 bytes.  A batch sends its own words and (context, class) pairs with their counts
 to the parts; a part adds up the batches and answers each with what it asked
-for, so no table is held in one place.  A context is 54 bits of its hash and has
-at most CLASSES pairs a batch.
+for, so no table is held in one place.  The parts take turns in ROUNDS rounds,
+and so do the batches when they are scored; what a round shuffled is removed
+before the next, so that it is not all on disk at once.  A context is 54 bits of
+its hash and has at most CLASSES pairs a batch.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ SLOT_BITS = 20
 ORDERS = 3  # digits alone, after one word, after two words
 BATCH_BYTES = 8_000_000
 PART_BYTES = 1 << 20  # text to each part of the counts
+ROUNDS = 2
 TOKENS_AT_ONCE = 200_000
 
 FIRST_WEIGHTS = (1.0, 0.35, 0.25)
@@ -201,8 +204,11 @@ def _opened(blob: bytes) -> bytes:
     return _CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(batch, part, blob): the words and keys of each batch and their counts, by ranges of their hashes."""
+def _asked(batches: Iterator[pa.RecordBatch], parts: int, turn: int = 0, rounds: int = 1) -> Iterator[pa.RecordBatch]:
+    """(batch, part, blob): the words and keys of each batch and their counts, by ranges of their hashes.
+
+    Of every `rounds` parts the one whose turn it is.
+    """
     word_cuts = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
     key_cuts = np.array([((p << 64 - BITS) // parts) << BITS for p in range(1, parts)], np.uint64)
     for batch in batches:
@@ -210,7 +216,7 @@ def _asked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
             both = _gathered(_unpack(blob.as_py()))
             ends = [np.concatenate(([0], np.searchsorted(v, cuts), [len(v)])) for (v, _), cuts in zip(both, (word_cuts, key_cuts), strict=True)]
             chosen, blobs = [], []
-            for p in range(parts):
+            for p in range(turn, parts, rounds):
                 if any(e[p] < e[p + 1] for e in ends):
                     cut = [(v[e[p] : e[p + 1]], n[e[p] : e[p + 1]]) for (v, n), e in zip(both, ends, strict=True)]
                     packed = [x for v, n in cut for x in (_planes(np.diff(v, prepend=np.uint64(0))), _planes(n.astype(np.uint32)))]
@@ -437,8 +443,11 @@ def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     rows.mapInArrow(_batched, "batch long, size long, blob binary").write.option("compression", "none").parquet(path)
     batches = spark.read.schema("batch long, size long, blob binary").parquet(path)
     parts = max(1, -(-(batches.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
-    asked = batches.select("batch", "blob").mapInArrow(lambda b: _asked(b, parts), "batch long, part long, blob binary")
-    answers = _stored(asked.groupBy("part").applyInArrow(_answers, _ANSWERS), "lm-answers")
+    answers = None
+    for turn in range(min(ROUNDS, parts)):
+        asked = batches.select("batch", "blob").mapInArrow(lambda b, turn=turn: _asked(b, parts, turn, ROUNDS), "batch long, part long, blob binary")
+        found = _stored(asked.groupBy("part").applyInArrow(_answers, _ANSWERS), "lm-answers")
+        answers = found if answers is None else answers.unionByName(found)
     by_class = answers.select("totals").filter("totals IS NOT NULL").mapInArrow(_by_class, "kind long, tokens long, words long")
     classes = by_class.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
     class_tokens, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -454,7 +463,12 @@ def score_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.Table.from_batches(done)
 
     received = answers.filter("batch IS NOT NULL").select("batch", "part", "blob")
-    scored = batches.select("batch", "blob").groupBy("batch").cogroup(received.groupBy("batch")).applyInArrow(score, _SCORED)
+    scored = None
+    for turn in range(ROUNDS):
+        mine = F.pmod(F.xxhash64("batch"), F.lit(ROUNDS)) == turn
+        own, told = batches.filter(mine).select("batch", "blob"), received.filter(mine)
+        found = _stored(own.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, _SCORED), "lm-scores")
+        scored = found if scored is None else scored.unionByName(found)
     bits = -F.col("score") * float(np.log2(10)) / F.col("n_bytes")
     return scored.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, bits))
 
